@@ -31,8 +31,7 @@ def date_bucket(ts: Column, reference_ts: Column) -> Column:
 
 def relative_age(ts: Column, reference_ts: Column) -> Column:
     """Clock time within a day, ``Nd ago`` within a week, else a short date."""
-    seconds = F.timestamp_diff("SECOND", ts, reference_ts)
-    days = F.floor(seconds / 86400)
+    days = F.floor(F.timestamp_diff("MICROSECOND", ts, reference_ts) / 86_400_000_000)
     return (
         F.when(ts.isNull(), "")
         .when(days == 0, F.date_format(ts, "hh:mm a"))

@@ -87,12 +87,13 @@ def _price(model: Column, side: int, prices: dict) -> Column:
     return F.create_map(*[F.lit(x) for m, p in prices.items() for x in (m, float(p[side]))])[model]
 
 
-def usage_cost(runs: DataFrame, prices: dict | None = None, cached_share: float = 0.1) -> DataFrame:
-    """Token totals and dollars per configuration; cached input tokens cost a share of the price."""
+def usage_cost(runs: DataFrame, prices: dict | None = None) -> DataFrame:
+    """Token totals and dollars per configuration; tokens read from a prompt cache or written to
+    it cost a share of the input price."""
     prices = prices or C.TOKEN_PRICES
-    plain = F.col("tokens_in") - F.col("cached_in")
-    cost = (plain * _price(F.col("model"), 0, prices) + F.col("cached_in") * _price(F.col("model"), 0, prices) * cached_share
-            + F.col("tokens_out") * _price(F.col("model"), 1, prices)) / 1e6
+    plain = F.col("tokens_in") - F.col("cached_in") - F.col("written_in")
+    weighted = plain + F.col("cached_in") * C.CACHE_READ_SHARE + F.col("written_in") * C.CACHE_WRITE_SHARE
+    cost = (weighted * _price(F.col("model"), 0, prices) + F.col("tokens_out") * _price(F.col("model"), 1, prices)) / 1e6
     return runs.withColumn("cost", cost).groupBy("config").agg(
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
         F.sum("cached_in").alias("cached_in"), F.round(F.sum("cost"), 6).alias("cost_usd"))

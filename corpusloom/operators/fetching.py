@@ -26,14 +26,13 @@ def contained_in(needles: DataFrame, texts: DataFrame, needle: str, text: str, g
     lengths = sorted(r["n"] for r in keyed.select(F.length("__gram").alias("n")).distinct().collect())
     if not lengths:
         return keyed.select(needle).join(texts.select(text).limit(0), F.lit(True))
-    places = [
-        F.when(
-            F.length(text) >= n,
-            F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)),
-                        lambda i, n=n: F.substring(F.col(text), i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in lengths
-    ]
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
+        cut = F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n)))
+        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    places = [pieces(n) for n in lengths]
     grams = texts.select(text).distinct().select(text, F.explode(F.array_distinct(F.concat(*places))).alias("__gram"))
     return keyed.join(grams, "__gram").filter(F.contains(F.col(text), F.col(needle))).select(needle, text)
 

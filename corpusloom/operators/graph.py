@@ -148,15 +148,14 @@ def neighbors(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int =
     wanted = seeds.select(F.lower("name").alias("__key")).distinct()
     found = nodes.join(wanted, F.lower(nodes["name"]) == F.col("__key"), "left_semi").select(
         F.col("name").alias("entity"), F.col("type").alias("entity_type"), "description")
-    names = found.select("entity")
-    others = nodes.select(F.col("name").alias("other"), F.col("type").alias("other_type"))
-    outgoing = edges.select(F.col("head").alias("entity"), F.lit("outgoing").alias("direction"), "relation",
-                            F.col("tail").alias("other"), "evidence")
-    incoming = edges.select(F.col("tail").alias("entity"), F.lit("incoming").alias("direction"), "relation",
-                            F.col("head").alias("other"), "evidence")
-    touching = outgoing.unionByName(incoming).join(names, "entity", "left_semi").join(others.select("other"), "other", "left_semi")
-    kept = top_per_key(touching, ["entity", "direction"], ["other", "relation"], limit, "rank")
-    return kept.join(others, "other").join(found, "entity", "right")
+    ends = F.explode(F.array(
+        F.struct(F.col("head").alias("entity"), F.lit("outgoing").alias("direction"), F.col("tail").alias("other")),
+        F.struct(F.col("tail").alias("entity"), F.lit("incoming").alias("direction"), F.col("head").alias("other"))))
+    touching = edges.select(ends.alias("e"), "relation", "evidence").select("e.*", "relation", "evidence")
+    kept = top_per_key(touching.join(found, "entity", "right"), ["entity", "direction"], ["other", "relation"], limit, "rank")
+    kept = kept.withColumn("rank", F.when(F.col("relation").isNotNull(), F.col("rank")))
+    # Stored edges have existing ends, so only the types of the kept ones are looked up.
+    return kept.join(nodes.select(F.col("name").alias("other"), F.col("type").alias("other_type")), "other", "left")
 
 
 def neighbors_many(questions: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 10,

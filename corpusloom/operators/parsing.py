@@ -31,12 +31,16 @@ def entity_type(categories: Column, rules=None, default: str = "Other") -> Colum
     for name, members, parts in rules or C.ENTITY_TYPE_RULES:
         tests = [F.array_contains(categories, m) for m in members]
         if parts:
-            tests.append(F.exists(categories, lambda c, ps=parts: _any(F.contains(c, F.lit(p)) for p in ps)))
+            tests.append(_has_part(categories, parts))
         test = _any(tests)
         chain = F.when(test, name) if chain is None else chain.when(test, name)
     return chain.otherwise(default)
 
 
+def _has_part(categories: Column, parts: list[str]) -> Column:
+    return F.exists(categories, lambda c: _any(F.contains(c, F.lit(p)) for p in parts))
+
+
 def _any(tests) -> Column:
     result = None
     for test in tests:
@@ -71,4 +75,5 @@ def parse_pages(df: DataFrame) -> DataFrame:
     df = with_regions(with_entity_type(with_doc_id(with_title(df))))
     df = df.withColumn("content", X.clean_markdown(F.col("markdown")))
     df = df.withColumn("sections", X.parse_sections(F.col("sections")))
-    return with_hash(df)
+    df = df.withColumnRenamed("category", "categories").withColumnRenamed("url", "source_url")
+    return with_hash(df.drop("markdown"))

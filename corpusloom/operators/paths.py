@@ -64,12 +64,11 @@ def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int =
                        *(["hops"] if "hops" in pairs.columns else []))
     if "hops" in todo.columns:
         todo = todo.withColumnRenamed("hops", "__bound")
-    todo = keep(todo)
     steps = keep(_both_ways(edges))
     ahead = _walks(todo.select(F.col("source").alias("name")).distinct(), steps, (max_hops + 1) // 2, keep)
     behind = _walks(todo.select(F.col("target").alias("name")).distinct(), steps, max_hops // 2, keep)
 
-    found: list[DataFrame] = []
+    result = None
     for length in range(1, max_hops + 1):
         left = ahead[(length + 1) // 2].select(
             F.col("start").alias("source"), F.col("end").alias("mid"), F.col("nodes").alias("n1"), F.col("hops").alias("h1"))
@@ -89,18 +88,11 @@ def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int =
             F.transform(hops, lambda h: h["forward"]).alias("forward"),
         )
         rows = top_per_key(rows, [key], ["nodes", "relations"], max_paths)
-        if stop_early:
+        if stop_early and length < max_hops:
             rows = keep(rows)
-            found.append(rows)
-            counts = found[0]
-            for other in found[1:]:
-                counts = counts.unionByName(other)
-            served = counts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max_paths)
-            todo = keep(todo.join(served, key, "left_anti"))
-        else:
-            found.append(rows)
-    result = found[0]
-    for other in found[1:]:
-        result = result.unionByName(other)
+        result = rows if length == 1 else result.unionByName(rows)
+        if stop_early:
+            served = result.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max_paths)
+            todo = todo.join(served, key, "left_anti")
     ranked = top_per_key(result, [key], ["path_length", "nodes", "relations"], max_paths, "path_rank")
     return ranked.withColumn("path_steps", path_steps(F.col("nodes"), F.col("relations")))

@@ -7,19 +7,19 @@ formula. Spark reads a view as a DataFrame; an oracle statement carries it as a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from corpusloom import constants as C
 
 
 class SparkDialect:
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, sql_name: Callable[[str], str]):
+        self.sql_name = sql_name
 
     def table(self, name: str) -> str:
-        if name in VIEWS:
-            return f"({VIEWS[name](self)})"
-        return f"parquet.`{self.folder}/{name}.parquet`"
+        return f"({VIEWS[name](self)})" if name in VIEWS else self.sql_name(name)
 
     def arr(self, *xs: str) -> str:
         return f"array({', '.join(xs)})" if xs else "CAST(array() AS ARRAY<STRING>)"
@@ -52,10 +52,7 @@ class SparkDialect:
 
 class DuckDialect(SparkDialect):
     def __init__(self):
-        super().__init__("")
-
-    def table(self, name: str) -> str:
-        return f"({VIEWS[name](self)})" if name in VIEWS else name
+        super().__init__(str)
 
     def arr(self, *xs: str) -> str:
         return f"[{', '.join(xs)}]" if xs else "CAST([] AS VARCHAR[])"
@@ -191,54 +188,53 @@ SELECT name, 'Concept' AS type, coalesce(description, '') || ' seen again' AS de
 FROM {d.table('kg_nodes')} b WHERE item_key % 4 = 0"""
 
 
-def core_edges(d: SparkDialect) -> str:
-    """Region, nation and supplier edges; the supplier rings give cycles."""
-    count = f"(SELECT count(*) FROM {d.table('supplier')})"
+def nation_name(key: str) -> str:
+    return f"'NATION_' || CAST({key} AS STRING)"
 
-    def evidence(key: str) -> str:
-        return f"CASE WHEN {key} % 5 = 0 THEN NULL ELSE repeat('x ', CAST({key} % 60 AS INT)) END AS evidence"
 
-    def ring(relation: str, target: str, slot: int) -> str:
-        return f"""
-SELECT a.s_name AS head, '{relation}' AS relation, b.s_name AS tail, {evidence('a.s_suppkey')},
-  'supplier_' || CAST(a.s_suppkey AS STRING) AS source_doc_id,
-  CAST(a.s_suppkey AS BIGINT) * 16 + {slot} AS pos, CAST(a.s_suppkey AS BIGINT) AS item_key
-FROM {d.table('supplier')} a JOIN {d.table('supplier')} b ON b.s_suppkey = ({target}) % {count}"""
+def supplier_name(key: str) -> str:
+    return f"'Supplier#' || lpad(CAST({key} AS STRING), 9, '0')"
+
+
+def customer_name(key: str) -> str:
+    return f"'Customer#' || lpad(CAST({key} AS STRING), 9, '0')"
 
+
+def edge(source: str, key: str, head: str, relation: str, tail: str, slot: int, prefix: str) -> str:
+    """Edges of one table; names of referenced rows follow from their keys, so nothing is joined."""
     return f"""
-SELECT n_name AS head, 'PART_OF' AS relation, r_name AS tail, {evidence('n_nationkey')},
-  'nation_' || CAST(n_nationkey AS STRING) AS source_doc_id,
-  CAST(n_nationkey AS BIGINT) * 16 AS pos, CAST(n_nationkey AS BIGINT) AS item_key
-FROM {d.table('nation')} n JOIN {d.table('region')} r ON r_regionkey = n_regionkey
-UNION ALL
-SELECT s_name, 'LOCATED_IN', n_name, {evidence('s_suppkey')},
-  'supplier_' || CAST(s_suppkey AS STRING), CAST(s_suppkey AS BIGINT) * 16 + 1, CAST(s_suppkey AS BIGINT)
-FROM {d.table('supplier')} s JOIN {d.table('nation')} n ON n_nationkey = s_nationkey
-UNION ALL {ring('ALLY_OF', 'a.s_suppkey + 1', 2)}
-UNION ALL {ring('ENEMY_OF', 'a.s_suppkey * 3 + 1', 3)}"""
+SELECT {head} AS head, {relation} AS relation, {tail} AS tail,
+  CASE WHEN {key} % 5 = 0 THEN NULL ELSE repeat('x ', CAST({key} % 60 AS INT)) END AS evidence,
+  '{prefix}_' || CAST({key} AS STRING) AS source_doc_id, CAST({key} AS BIGINT) * 16 + {slot} AS pos,
+  CAST({key} AS BIGINT) AS item_key
+FROM {source}"""
+
+
+def core_edges(d: SparkDialect) -> str:
+    """Region, nation and supplier edges; the supplier rings give cycles."""
+    count = f"(SELECT count(*) FROM {d.table('supplier')})"
+    supplier = d.table("supplier")
+    nations = f"{d.table('nation')} n JOIN {d.table('region')} r ON r_regionkey = n_regionkey"
+    return " UNION ALL ".join([
+        edge(nations, "n_nationkey", "n_name", "'PART_OF'", "r_name", 0, "nation"),
+        edge(supplier, "s_suppkey", "s_name", "'LOCATED_IN'", nation_name("s_nationkey"), 1, "supplier"),
+        edge(supplier, "s_suppkey", "s_name", "'ALLY_OF'", supplier_name(f"((s_suppkey + 1) % {count})"), 2, "supplier"),
+        edge(supplier, "s_suppkey", "s_name", "'ENEMY_OF'", supplier_name(f"((s_suppkey * 3 + 1) % {count})"), 3, "supplier"),
+    ])
 
 
 def kg_edges(d: SparkDialect) -> str:
     count = f"(SELECT count(*) FROM {d.table('supplier')})"
-    evidence = "CASE WHEN {0} % 5 = 0 THEN NULL ELSE repeat('x ', CAST({0} % 60 AS INT)) END AS evidence"
-    return f"""{core_edges(d)}
-UNION ALL
-SELECT c_name, 'LOCATED_IN', n_name, {evidence.format('c_custkey')},
-  'customer_' || CAST(c_custkey AS STRING), CAST(c_custkey AS BIGINT) * 16 + 4, CAST(c_custkey AS BIGINT)
-FROM {d.table('customer')} c JOIN {d.table('nation')} n ON n_nationkey = c_nationkey
-UNION ALL
-SELECT c_name, {pick('c_custkey % 5', ["'RELATED_TO'", "'KNOWS_OF'", "'TRANSFORMED_INTO'", "'AFFILIATED_WITH'", "'SEALED'"])},
-  s_name, {evidence.format('c_custkey')},
-  'customer_' || CAST(c_custkey AS STRING), CAST(c_custkey AS BIGINT) * 16 + 5, CAST(c_custkey AS BIGINT)
-FROM {d.table('customer')} c JOIN {d.table('supplier')} s ON s_suppkey = c_custkey % {count}
-UNION ALL
-SELECT s_name, 'POSSESSES', p_name || ' #' || CAST(p_partkey AS STRING), {evidence.format('p_partkey')},
-  'part_' || CAST(p_partkey AS STRING), CAST(p_partkey AS BIGINT) * 16 + 6, CAST(p_partkey AS BIGINT)
-FROM {d.table('part')} p JOIN {d.table('supplier')} s ON s_suppkey = p_partkey % {count}
-UNION ALL
-SELECT 'Order ' || CAST(o_orderkey AS STRING), 'ORIGINATED_FROM', c_name, {evidence.format('o_orderkey')},
-  'orders_' || CAST(o_orderkey AS STRING), CAST(o_orderkey AS BIGINT) * 16 + 7, CAST(o_orderkey AS BIGINT)
-FROM {d.table('orders')} o JOIN {d.table('customer')} c ON c_custkey = o_custkey"""
+    kinds = pick("c_custkey % 5", ["'RELATED_TO'", "'KNOWS_OF'", "'TRANSFORMED_INTO'", "'AFFILIATED_WITH'", "'SEALED'"])
+    return " UNION ALL ".join([
+        core_edges(d),
+        edge(d.table("customer"), "c_custkey", "c_name", "'LOCATED_IN'", nation_name("c_nationkey"), 4, "customer"),
+        edge(d.table("customer"), "c_custkey", "c_name", kinds, supplier_name(f"(c_custkey % {count})"), 5, "customer"),
+        edge(d.table("part"), "p_partkey", supplier_name(f"(p_partkey % {count})"), "'POSSESSES'",
+             "p_name || ' #' || CAST(p_partkey AS STRING)", 6, "part"),
+        edge(d.table("orders"), "o_orderkey", "'Order ' || CAST(o_orderkey AS STRING)", "'ORIGINATED_FROM'",
+             customer_name("o_custkey"), 7, "orders"),
+    ])
 
 
 def kg_triples(d: SparkDialect) -> str:
@@ -258,7 +254,7 @@ FROM {d.table('kg_edges')} b WHERE relation = 'LOCATED_IN'"""
 def alias_texts(d: SparkDialect) -> str:
     """One description per customer; every alias pattern occurs, every fifth alias is another name."""
     k = "CAST(c_custkey AS STRING)"
-    other = f"CASE WHEN c_custkey % 5 = 0 THEN 'Customer#' || lpad(CAST(c_custkey + 1 AS STRING), 9, '0') ELSE 'Nick ' || {k} END"
+    other = f"CASE WHEN c_custkey % 5 = 0 THEN {customer_name('(c_custkey + 1)')} ELSE 'Nick ' || {k} END"
     phrases = [
         f"'is a trader also known as \"' || {other} || '\", a friend.'",
         f"'was also called Caller {k[:0]}' || chr(65 + CAST(c_custkey % 26 AS INT)) || ', once.'",
@@ -403,7 +399,7 @@ def runs(d: SparkDialect) -> str:
     || '], "traps_triggered": [' || {d.join('triggered', ', ')} || '], "reasoning": "config ' || CAST(c AS STRING) || '"' || chr(125)"""
     return f"""
 SELECT k, c, question_id, question, tier, config, model, covered, triggered, answer, error, tokens_in,
-  tokens_out, cached_in, seconds, attempt,
+  tokens_out, cached_in, written_in, seconds, attempt,
   CASE WHEN k % 19 = 0 THEN substr(reply, 1, length(reply) - 12)
        WHEN k % 4 = 1 THEN '```json' || {NL} || reply || {NL} || '```'
        WHEN k % 4 = 2 THEN 'Here it is: ' || reply || ' Done.' ELSE reply END AS raw
@@ -416,7 +412,7 @@ FROM (SELECT *, {reply} AS reply FROM (
            || '] and more. Then it ended [Source: Page ' || CAST(k + c AS STRING) || '] [Relation: A to B].' END AS answer,
     CASE WHEN (k + c) % 23 = 0 THEN 'timeout' ELSE NULL END AS error,
     1000 + (k * 7 + c * 13) % 500 AS tokens_in, 100 + (k * 3 + c) % 90 AS tokens_out,
-    (k + c) % 3 * 100 AS cached_in, CAST((k * 3 + c) % 70 AS DOUBLE) / 10 AS seconds
+    (k + c) % 3 * 100 AS cached_in, (k + c) % 4 * 50 AS written_in, CAST((k * 3 + c) % 70 AS DOUBLE) / 10 AS seconds
   FROM {d.table('questions')} q CROSS JOIN {d.table('configs')} v
     JOIN (VALUES (0), (1)) AS r(attempt) ON attempt = 0 OR k % 8 = 0
 ) s) t"""
@@ -431,11 +427,17 @@ VIEWS = {
 
 
 def spark_view(tables, name: str) -> DataFrame:
-    return tables.spark.sql(VIEWS[name](SparkDialect(tables.folder)))
+    return tables.spark.sql(VIEWS[name](SparkDialect(tables.sql_name)))
 
 
 def with_views(names: list[str], body: str) -> str:
     """An oracle statement that carries the views it reads."""
+    if not names:
+        return body
     duck = DuckDialect()
     ctes = ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n](duck)})" for n in names)
-    return f"WITH {ctes} {body}" if names else body
+    body = body.strip()
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(opening):
+            return f"{opening}{ctes}, {body[len(opening):]}"
+    return f"WITH {ctes} {body}"

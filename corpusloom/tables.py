@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -29,16 +31,30 @@ def fits_in_rows(df: DataFrame, limit: int) -> bool:
 
 
 class Tables:
-    """Attribute access to the parquet tables of one folder and to the views derived from them."""
+    """Attribute access to the parquet tables of one folder and to the views derived from them.
+
+    Each table is opened once; derived views refer to it by a session-local name, so reading a
+    view costs no further look at the files.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._open: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
+    def sql_name(self, table: str) -> str:
+        """Name under which SQL text can read a table of this folder."""
+        name = f"corpusloom_{hashlib.md5(self.folder.encode()).hexdigest()[:8]}_{table}"
+        if table not in self._open:
+            self._open[table] = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+            self._open[table].createOrReplaceTempView(name)
+        return name
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self.sql_name(name)
+            return self._open[name]
         from corpusloom.plans import views
 
         if name in views.VIEWS:
