@@ -154,15 +154,18 @@ def count_literal(text: Column, literal: Column) -> Column:
     return F.when(F.length(literal) > 0, hits.cast("long")).otherwise(F.length(text).cast("long") + 1)
 
 
-@F.pandas_udf("string")
-def ascii_id(values: pd.Series) -> pd.Series:
+def ascii_id(col: Column) -> Column:
     """Compatibility decomposition without the non-ASCII characters.
 
     Spark has no normal-form function, so this runs over Arrow batches.
     """
-    return values.map(
-        lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii")
-    )
+
+    @F.pandas_udf("string")
+    def fold(values: pd.Series) -> pd.Series:
+        return values.map(
+            lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii"))
+
+    return fold(col)
 
 
 def valid_alias(col: Column, stopwords: Iterable[str] = C.ALIAS_STOPWORDS) -> Column:

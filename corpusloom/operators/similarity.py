@@ -117,29 +117,44 @@ def _blocked(q: DataFrame, c: DataFrame, k: int, same: Sequence[str], out: T.Str
     return _meet(left, right, ["qb", "cb"], k, same, out)
 
 
-def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, same: Sequence[str], out: T.StructType) -> DataFrame:
-    def score(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or items.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, same: Sequence[str], out: T.StructType,
+          inner: str | None = None) -> DataFrame:
+    """Score the two sides of each key against each other; with ``inner``, only rows that also
+    agree on that column."""
+
+    def pair(asked: pd.DataFrame, items: pd.DataFrame) -> list[pd.DataFrame]:
         rows, groups, ids = _unit_rows(asked["query_vec"]), _groups(asked, same), asked["query_id"].to_numpy()
         found = []
         for start in range(0, len(items), BLOCK_ROWS):
             at, item, value = _best(rows, groups, items.iloc[start:start + BLOCK_ROWS], same, k)
             found.append(pd.DataFrame({"query_id": ids[at], "item_id": item, "score": value}))
-        return pd.concat(found, ignore_index=True)
+        return found
+
+    def score(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        found: list[pd.DataFrame] = []
+        if inner is None:
+            if len(asked) and len(items):
+                found = pair(asked, items)
+        else:
+            parts = dict(list(items.groupby(inner, sort=False)))
+            for value, group in asked.groupby(inner, sort=False):
+                if value in parts:
+                    found += pair(group, parts[value])
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, out)
 
 
 def vector_topk_approx(queries: DataFrame, corpus: DataFrame, k: int = 8, tables: int = 8, bits: int = 6,
-                       width: int = 64, salts: int = 4, query_id: str = "query_id", item_id: str = "item_id",
-                       query_vec: str = "embedding", item_vec: str = "embedding", seed: int = 7) -> DataFrame:
+                       width: int = 64, query_id: str = "query_id", item_id: str = "item_id",
+                       query_vec: str = "embedding", item_vec: str = "embedding", seed: int = 7,
+                       rows_per_task: int = 20_000) -> DataFrame:
     """Approximate top-k: items that share a sign code with the query in any table, ranked exactly.
 
-    Codes are signs of products with ``tables * bits`` fixed random directions. The corpus side
-    of a code is dealt over ``salts`` sub-buckets and the queries visit each of them, so one
-    crowded code is several tasks; inside, scores are matrix products with a local top-k and no
-    pair is ever emitted beyond k per query.
+    Codes are signs of products with ``tables * bits`` fixed random directions. Codes are counted
+    first (at most ``tables * 2**bits`` figures): a crowded code is dealt over as many salts as it
+    needs and its queries visit each of them, while sparse codes share a task. Inside a task each
+    code is a matrix product with a local top-k, so no pair beyond k per query is ever emitted.
     """
     directions = np.random.default_rng(seed).standard_normal((width, tables * bits))
 
@@ -153,12 +168,18 @@ def vector_topk_approx(queries: DataFrame, corpus: DataFrame, k: int = 8, tables
         return df.select(F.col(key).alias(id_name), F.col(vec).alias(vec_name), codes(F.col(vec)).alias("codes")).select(
             id_name, vec_name, F.posexplode("codes").alias("hash_table", "code"))
 
-    left = coded(queries, query_id, query_vec, "query_id", "query_vec").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = coded(spread(corpus), item_id, item_vec, "item_id", "item_vec").withColumn(
-        "salt", F.pmod(F.xxhash64("item_id"), F.lit(salts)).cast("int"))
+    items = coded(spread(corpus), item_id, item_vec, "item_id", "item_vec")
+    slots = max(1, math.ceil(corpus.count() / rows_per_task))
+    sizes = items.groupBy("hash_table", "code").agg(F.ceil(F.count(F.lit(1)) / rows_per_task).cast("int").alias("salts"))
+    left = coded(queries, query_id, query_vec, "query_id", "query_vec").join(sizes, ["hash_table", "code"]).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = items.join(sizes, ["hash_table", "code"]).withColumn("salt", F.pmod(F.xxhash64("item_id"), F.col("salts")).cast("int"))
+    slot = F.pmod(F.xxhash64("code", "salt"), F.lit(slots)).cast("int")
+    bucket = (F.col("code") * 1_000_000 + F.col("salt")).alias("bucket")
     out = _output_type(queries, corpus, query_id, item_id)
-    local = _meet(left, right, ["hash_table", "code", "salt"], k, (), out)
+    local = _meet(left.select("query_id", "query_vec", "hash_table", bucket, slot.alias("slot")),
+                  right.select("item_id", "item_vec", "hash_table", bucket, slot.alias("slot")),
+                  ["hash_table", "slot"], k, (), out, inner="bucket")
     once = local.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
     return top_per_key(once, ["query_id"], [F.desc("score"), F.col("item_id")], k, "rank")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,17 @@ def fits_in_rows(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put the folder of this package on the Python path of the workers, where it exists there.
+
+    Clusters that install the package or ship it with ``--py-files`` do not need it.
+    """
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, home]))
+
+
 class Tables:
     """Attribute access to the parquet tables of one folder and to the views derived from them.
 
@@ -42,6 +54,7 @@ class Tables:
         self.folder = folder.rstrip("/")
         self._open: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        let_workers_import(spark)
 
     def sql_name(self, table: str) -> str:
         """Name under which SQL text can read a table of this folder."""
