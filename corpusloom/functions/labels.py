@@ -42,12 +42,15 @@ def relative_age(ts: Column, reference_ts: Column) -> Column:
 
 def classify_query(col: Column, patterns=None, default: str = C.DEFAULT_QUESTION_TYPE) -> Column:
     """Question type by the first pattern group found in the lower-cased question."""
-    question = F.lower(col)
-    chain = None
-    for name, group in patterns or C.QUESTION_PATTERNS:
-        hit = X.matches_any(question, group, "(?U)")
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return chain.otherwise(default)
+
+    def choose(question: Column) -> Column:
+        chain = None
+        for name, group in patterns or C.QUESTION_PATTERNS:
+            hit = X.matches_any(question, group, "(?U)")
+            chain = F.when(hit, name) if chain is None else chain.when(hit, name)
+        return chain.otherwise(default)
+
+    return X.let(F.lower(col), choose)
 
 
 def search_depth(query: Column, entities: Column, query_type: Column) -> Column:
@@ -57,10 +60,7 @@ def search_depth(query: Column, entities: Column, query_type: Column) -> Column:
         F.lit(C.DEPTH_DEFAULT),
     )
     entity_bonus = F.when(F.size(entities) >= 3, 2).when(F.size(entities) == 2, 1).otherwise(0)
-    words = F.array(*[F.lit(w) for w in C.DEPTH_KEYWORDS])
-    question = F.lower(query)
-    found = F.filter(words, lambda w: F.contains(question, w))
-    keyword_bonus = F.when(F.size(found) > 0, 1).otherwise(0)
+    keyword_bonus = F.when(X.has_any(query, C.DEPTH_KEYWORDS), 1).otherwise(0)
     low, high = C.DEPTH_RANGE
     hops = F.greatest(F.lit(low), F.least(base + entity_bonus + keyword_bonus, F.lit(high)))
     return F.struct(

@@ -43,30 +43,25 @@ def relation_score(evidence: Column, relation: Column, target: Column, entities:
 def passage_score(similarity: Column, text: Column, title: Column, section: Column,
                   entities: Column, query_type: Column) -> Column:
     """Similarity, mention density, title or section hit and question-type words."""
-    lowered = F.lower(text)
     wanted = F.transform(entities, lambda e: F.lower(e))
-    mentions = F.aggregate(
-        wanted, F.lit(0).cast("long"), lambda acc, e: acc + X.count_literal(lowered, e)
-    )
-    density = F.when(F.length(text) > 0, F.least(mentions / (F.length(text) / 500) * 0.15, F.lit(0.3))).otherwise(0.0)
+    mentions = X.let(F.lower(text), lambda low: F.aggregate(
+        wanted, F.lit(0).cast("long"), lambda acc, e: acc + X.count_literal(low, e)))
     heads = F.array(F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(section, F.lit(""))))
     in_head = F.exists(wanted, lambda e: F.exists(heads, lambda h: F.contains(h, e)))
+    return passage_score_from(similarity, mentions, F.length(text), in_head, X.has_any(text, C.RELATIONSHIP_WORDS),
+                              X.has_any(text, C.FACTUAL_WORDS), query_type)
 
-    def has_word(words):
-        return F.coalesce(lowered.rlike("|".join(words)), F.lit(False))
 
+def passage_score_from(similarity: Column, mentions: Column, text_length: Column, in_head: Column, relational: Column,
+                       factual: Column, query_type: Column) -> Column:
+    """The passage score from figures that were taken from the text beforehand."""
+    density = F.when(text_length > 0, F.least(mentions / (text_length / 500) * 0.15, F.lit(0.3))).otherwise(0.0)
     bonus = (
-        F.when((query_type == "RELATIONSHIP") & has_word(C.RELATIONSHIP_WORDS), 0.1)
-        .when((query_type == "FACTUAL") & has_word(C.FACTUAL_WORDS), 0.1)
+        F.when((query_type == "RELATIONSHIP") & relational, 0.1)
+        .when((query_type == "FACTUAL") & factual, 0.1)
         .otherwise(0.0)
     )
-    return F.round(
-        F.least(similarity, F.lit(1.0)) * 0.4
-        + density
-        + F.when(in_head, 0.2).otherwise(0.0)
-        + bonus,
-        3,
-    )
+    return F.round(F.least(similarity, F.lit(1.0)) * 0.4 + density + F.when(in_head, 0.2).otherwise(0.0) + bonus, 3)
 
 
 def title_match(entity: Column, title: Column) -> Column:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +15,29 @@ from corpusloom import constants as C
 BLANK_CLASS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Spark shares repeated expressions only in some places (not in filters, CASE branches or
+    lambdas), and lower-casing a long text once per use is what costs most.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def has_any(col: Column, words: Iterable[str]) -> Column:
+    """True when any literal word occurs, case ignored: plain substring searches over one
+    lower-cased copy, which is far cheaper than a case-insensitive alternation."""
+    lowered = [w.lower() for w in words]
+
+    def search(text: Column) -> Column:
+        test = F.contains(text, F.lit(lowered[0]))
+        for word in lowered[1:]:
+            test = test | F.contains(text, F.lit(word))
+        return test
+
+    return F.coalesce(let(F.lower(col), search), F.lit(False))
+
+
 def strip(col: Column, chars: str = C.BLANKS) -> Column:
     """Remove leading and trailing characters of a set (blanks, tabs and newlines by default)."""
     return F.trim(col, F.lit(chars))
@@ -29,13 +51,6 @@ def rstrip(col: Column, chars: str = C.BLANKS) -> Column:
     return F.rtrim(col, F.lit(chars))
 
 
-def any_of(words: Iterable[str], ignore_case: bool = True) -> str:
-    """One alternation that finds any of the given literal words."""
-    body = "|".join(re.sub(r"([^\w\s])", r"\\\1", word, flags=re.ASCII) if word.isascii() else word
-                    for word in words)
-    return f"(?iu){body}" if ignore_case else body
-
-
 def matches_any(col: Column, patterns: Iterable[str], flags: str = "") -> Column:
     """True when any regular expression is found; one combined pattern, one pass over the text."""
     return F.coalesce(col.rlike(flags + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
@@ -170,11 +185,14 @@ def ascii_id(col: Column) -> Column:
 
 def valid_alias(col: Column, stopwords: Iterable[str] = C.ALIAS_STOPWORDS) -> Column:
     """The alias without surrounding blanks and quotes, or null when it is not usable."""
-    alias = strip(strip(col), "\"'")
-    letters = F.length(F.regexp_replace(alias, rf"[^\p{{L}}{BLANK_CLASS}]", ""))
-    usable = (
-        F.length(alias).between(2, 50)
-        & ~F.lower(alias).isin(list(stopwords))
-        & (letters / F.length(alias) >= 0.7)
-    )
-    return F.when(usable, alias)
+
+    def check(alias: Column) -> Column:
+        letters = F.length(F.regexp_replace(alias, rf"[^\p{{L}}{BLANK_CLASS}]", ""))
+        usable = (
+            F.length(alias).between(2, 50)
+            & ~F.lower(alias).isin(list(stopwords))
+            & (letters / F.length(alias) >= 0.7)
+        )
+        return F.when(usable, alias)
+
+    return let(strip(strip(col), "\"'"), check)

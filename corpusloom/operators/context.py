@@ -7,15 +7,36 @@ from pyspark.sql import functions as F
 
 from corpusloom import constants as C
 from corpusloom.functions import scoring, text as X
+from corpusloom.operators.mentions import mention_counts
 
 
-def rerank_passages(passages: DataFrame, questions: DataFrame, key: str = "question_id") -> DataFrame:
-    """Passages scored for their question and placed by that score, earlier rank first on ties."""
-    scored = passages.join(questions.select(key, F.col("entities").alias("__asked"), "query_type"), key).withColumn(
-        "rerank_score", scoring.passage_score(F.col("score"), F.col("full_text"), F.col("title"), F.col("section_title"),
-                                              F.col("__asked"), F.col("query_type")))
+TRUNCATED = "... [truncated]"
+
+
+def rerank_passages(matches: DataFrame, texts: DataFrame, questions: DataFrame, key: str = "question_id",
+                    item: str = "item_id") -> DataFrame:
+    """Matches scored for their question and placed by that score, earlier rank first on ties.
+
+    A text is read once, however many questions it was found for: its length, its telling words
+    and its entity mentions become a few figures per item, and only those meet the matches.
+    ``texts``: item, title, section_title, full_text.
+    """
+    used = texts.join(matches.select(item).distinct(), item, "left_semi")
+    asked = questions.select(key, F.explode("entities").alias("name")).select(key, F.lower("name").alias("name"))
+    counts = mention_counts(used, asked, "full_text", item)
+    figures = used.select(
+        item, F.lower(F.coalesce("title", F.lit(""))).alias("__title"), F.lower(F.coalesce("section_title", F.lit(""))).alias("__section"),
+        F.length("full_text").alias("__length"), X.has_any(F.col("full_text"), C.RELATIONSHIP_WORDS).alias("__relational"),
+        X.has_any(F.col("full_text"), C.FACTUAL_WORDS).alias("__factual"))
+    named = matches.select(key, item).join(asked, key).join(counts, [item, "name"]).groupBy(key, item).agg(F.sum("n").alias("__mentions"))
+    rows = matches.join(figures, item).join(named, [key, item], "left").join(
+        questions.select(key, F.transform("entities", lambda e: F.lower(e)).alias("__asked"), "query_type"), key)
+    in_head = F.exists("__asked", lambda e: F.contains(F.col("__title"), e) | F.contains(F.col("__section"), e))
+    score = scoring.passage_score_from(F.col("score"), F.coalesce("__mentions", F.lit(0)), F.col("__length"), in_head,
+                                       F.col("__relational"), F.col("__factual"), F.col("query_type"))
     order = Window.partitionBy(key).orderBy(F.desc("rerank_score"), "rank")
-    return scored.withColumn("place", F.row_number().over(order)).drop("__asked")
+    scored = rows.withColumn("rerank_score", score).withColumn("place", F.row_number().over(order))
+    return scored.select(*matches.columns, "query_type", "rerank_score", "place")
 
 
 def path_block(found: DataFrame, key: str = "question_id") -> DataFrame:
@@ -69,37 +90,49 @@ def pack_passages(passages: DataFrame, budget: int = C.TEXT_BUDGET, key: str = "
     rows = passages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
         "place", F.coalesce("title", F.lit("Unknown")).alias("title"), F.coalesce("section_title", F.lit("")).alias("section"),
         "score", F.coalesce("source_url", F.lit("")).alias("url"), F.coalesce("full_text", F.lit("")).alias("text")))).alias("p"))
-    start = F.struct(
-        F.array(F.lit(title)).alias("lines"), F.lit(len(title) // C.CHARS_PER_TOKEN).cast("long").alias("used"),
-        F.lit(0).alias("taken"), F.lit(False).alias("over"))
 
-    def step(acc: Column, p: Column) -> Column:
-        spent = acc["used"] >= budget
-        header = F.concat(
-            F.lit("\n### ["), (acc["taken"] + 1).cast("string"), F.lit("] "), p["title"],
+    def header(p: Column, i: Column) -> Column:
+        return F.concat(
+            F.lit("\n### ["), (i + 1).cast("string"), F.lit("] "), p["title"],
             F.when(p["section"] != "", F.concat(F.lit(" > "), p["section"])).otherwise(""),
             F.lit(" (relevance: "), F.format_string("%.2f", p["score"]), F.lit(")"))
-        whole = F.concat(header, F.lit("\n"), p["text"])
-        fits = acc["used"] + X.estimate_tokens(whole) <= budget
+
+    # Passages are taken without gaps, so headers are known beforehand and the fold is over sizes.
+    rows = rows.withColumn("h", F.transform("p", header))
+    rows = rows.withColumn("sizes", F.transform("p", lambda p, i: F.struct(
+        F.length(F.get("h", i)).alias("head"), F.length(p["text"]).alias("text"))))
+    start = F.struct(
+        F.lit(len(title) // C.CHARS_PER_TOKEN).cast("long").alias("used"), F.array().cast("array<int>").alias("chars"),
+        F.lit(False).alias("over"), F.lit(False).alias("noted"))
+
+    def step(acc: Column, size: Column) -> Column:
+        spent = acc["used"] >= budget
+        whole = F.floor((size["head"] + 1 + size["text"]) / C.CHARS_PER_TOKEN)
         room = ((F.lit(budget) - acc["used"]) * C.CHARS_PER_TOKEN).cast("int")
-        cut = F.concat(header, F.lit("\n"), F.left(p["text"], room - 50), F.lit("... [truncated]"))
-        passage = F.when(fits, whole).otherwise(cut)
+        fits = acc["used"] + whole <= budget
         take = ~acc["over"] & ~spent & (fits | (room > 200))
-        reference = F.when(p["url"] != "", F.array(F.concat(F.lit("[Source: "), p["url"], F.lit("]")))).otherwise(
-            F.array().cast("array<string>"))
-        note = F.concat(F.lit("\n["), (F.size("p") - acc["taken"]).cast("string"),
-                        F.lit(" more passages truncated due to token limit]"))
-        lines = F.when(take, F.concat(acc["lines"], F.array(passage), reference)).when(
-            ~acc["over"] & spent, F.array_append(acc["lines"], note)).otherwise(acc["lines"])
+        cut = F.least(size["text"], room - 50)
+        tokens = F.when(fits, whole).otherwise(F.floor((size["head"] + 1 + cut + len(TRUNCATED)) / C.CHARS_PER_TOKEN))
         return F.struct(
-            lines.alias("lines"),
-            F.when(take, acc["used"] + X.estimate_tokens(passage)).otherwise(acc["used"]).alias("used"),
-            F.when(take, acc["taken"] + 1).otherwise(acc["taken"]).alias("taken"),
-            (~take).alias("over"))
-
-    packed = rows.withColumn("acc", F.aggregate("p", start, step))
-    return packed.select(key, F.array_join("acc.lines", "\n").alias("text_context"), F.col("acc.used").alias("tokens"),
-                         F.col("acc.taken").alias("taken"), F.size("p").alias("offered"))
+            F.when(take, acc["used"] + tokens).otherwise(acc["used"]).alias("used"),
+            # The number of characters to take, or -1 for the whole text.
+            F.when(take, F.array_append(acc["chars"], F.when(fits, -1).otherwise(cut))).otherwise(acc["chars"]).alias("chars"),
+            (acc["over"] | ~take).alias("over"),
+            (acc["noted"] | (~acc["over"] & spent)).alias("noted"))
+
+    packed = rows.withColumn("acc", F.aggregate("sizes", start, step))
+
+    def passage(p: Column, i: Column) -> Column:
+        chars = F.get("acc.chars", i)
+        text = F.when(chars < 0, p["text"]).otherwise(F.concat(F.left(p["text"], chars), F.lit(TRUNCATED)))
+        reference = F.when(p["url"] != "", F.concat(F.lit("\n[Source: "), p["url"], F.lit("]"))).otherwise("")
+        return F.concat(F.get("h", i), F.lit("\n"), text, reference)
+
+    taken = F.size("acc.chars")
+    note = F.when(F.col("acc.noted"), F.concat(
+        F.lit("\n["), (F.size("p") - taken).cast("string"), F.lit(" more passages truncated due to token limit]")))
+    body = F.concat_ws("\n", F.lit(title), F.transform(F.slice("p", F.lit(1), taken), passage), note)
+    return packed.select(key, body.alias("text_context"), F.col("acc.used").alias("tokens"), taken.alias("taken"), F.size("p").alias("offered"))
 
 
 def graph_text(lines: DataFrame, path_texts: DataFrame | None = None, key: str = "question_id") -> DataFrame:

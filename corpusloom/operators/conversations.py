@@ -104,9 +104,9 @@ def extract_citations(df: DataFrame, answer_col: str = "answer", key: tuple[str,
     """Cited sources with the sentence before the citation; relation marks are removed first."""
     text = F.regexp_replace(answer_col, r"\[Relation: .*?\]", "")
     pattern = r"([^.。\n]+?)\s*\[Source:\s*([^\]]+)\]"
-    sentences = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    sources = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    pairs = F.transform(sentences, lambda s, i: F.struct(s.alias("sentence"), F.get(sources, i).alias("source")))
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.transform(matches, lambda m: F.struct(
+        F.substring_index(m, "[Source:", 1).alias("sentence"), F.regexp_extract(m, r"\[Source:\s*([^\]]+)\]$", 1).alias("source")))
     return df.select(*key, F.posexplode(pairs).alias("citation_no", "c")).select(
         *key, "citation_no", X.strip(F.col("c.sentence")).alias("sentence"), F.col("c.source").alias("source"))
 

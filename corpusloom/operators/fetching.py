@@ -10,6 +10,7 @@ from corpusloom.functions import scoring, text as X
 from corpusloom.operators.mentions import mention_counts
 from corpusloom.operators.ranking import first_per_key, top_per_key
 from corpusloom.operators.similarity import vector_topk
+from corpusloom.session import cut_lineage
 
 GRAM = 8
 
@@ -143,10 +144,11 @@ def fetch_layers(questions: DataFrame, docs: DataFrame, vectors: DataFrame, cap:
 
     ``questions`` also holds ``layers`` (array) and ``embedding``.
     """
-    a = layer_title(questions, docs, key, id_col).select(key, id_col, "place").withColumn("layer", F.lit("A"))
+    # Held documents are a few rows per question and read by every later layer.
+    a = cut_lineage(layer_title(questions, docs, key, id_col).select(key, id_col, "place").withColumn("layer", F.lit("A")))
     known = vectors.join(docs.select(id_col), id_col, "left_semi")
-    b = layer_semantic(questions.filter(F.array_contains("layers", "B")), known, a, key=key, id_col=id_col).select(
-        key, id_col, "place").withColumn("layer", F.lit("B"))
+    b = cut_lineage(layer_semantic(questions.filter(F.array_contains("layers", "B")), known, a, key=key, id_col=id_col).select(
+        key, id_col, "place").withColumn("layer", F.lit("B")))
     c = layer_comention(questions.filter(F.array_contains("layers", "C")), docs, a.unionByName(b), key=key, id_col=id_col).select(
         key, id_col, "place").withColumn("layer", F.lit("C"))
     every = a.unionByName(b).unionByName(c)

@@ -14,12 +14,11 @@ from corpusloom.functions import text as X
 def on_topic(regions: Column, categories: Column, title: Column, content: Column,
              keywords: Sequence[str] = C.TOPIC_KEYWORDS, region: str = C.TOPIC_REGION, head_chars: int = 2000) -> Column:
     """Region tag, or any keyword in the joined categories, the title or the head of the content."""
-    pattern = X.any_of(keywords)
     return (
         F.array_contains(regions, region)
-        | F.concat_ws(" ", categories).rlike(pattern)
-        | F.coalesce(title, F.lit("")).rlike(pattern)
-        | F.left(content, F.lit(head_chars)).rlike(pattern)
+        | X.has_any(F.concat_ws(" ", categories), keywords)
+        | X.has_any(title, keywords)
+        | X.has_any(F.left(content, F.lit(head_chars)), keywords)
     )
 
 
@@ -31,11 +30,10 @@ def topic_filter(docs: DataFrame, keywords: Sequence[str] = C.TOPIC_KEYWORDS, re
 def raw_on_topic(categories: Column, url: Column, markdown: Column, keywords: Sequence[str] = C.RAW_TOPIC_KEYWORDS,
                  category_terms: Sequence[str] = C.RAW_TOPIC_CATEGORIES, head_chars: int = 2000) -> Column:
     """Category terms, then keywords in the URL, then keywords in the head of the page."""
-    pattern = X.any_of(keywords)
     return (
-        F.exists(categories, lambda c: c.rlike(X.any_of(category_terms)))
-        | F.coalesce(url, F.lit("")).rlike(pattern)
-        | F.left(F.coalesce(markdown, F.lit("")), F.lit(head_chars)).rlike(pattern)
+        F.exists(categories, lambda c: X.has_any(c, category_terms))
+        | X.has_any(url, keywords)
+        | X.has_any(F.left(markdown, F.lit(head_chars)), keywords)
     )
 
 

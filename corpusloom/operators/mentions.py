@@ -10,18 +10,66 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.tables import fits_in_rows, spread
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
-SLICE_NAMES = 20_000   # dictionary names shared with every task at a time
+SLICE_NAMES = 20_000    # names counted in one pass over the texts
+SHARED_NAMES = 200_000  # names that may be shared with every task for the look-up
+
+
+_RUNS = "array<struct<start:int,run:string>>"
+
+
+def _all_runs(longest: int):
+    """Every run of up to ``longest`` words of a text."""
+
+    @F.pandas_udf(_RUNS)
+    def runs(lowered: pd.Series) -> pd.Series:
+        def one(text: str):
+            spans = [m.span() for m in _WORD.finditer(text)]
+            return [
+                (spans[i][0], text[spans[i][0]:spans[j][1]])
+                for i in range(len(spans)) for j in range(i, min(i + longest, len(spans)))
+            ]
+        return lowered.map(lambda t: [] if t is None else one(t))
+
+    return runs
+
+
+def _known_runs(cores: DataFrame):
+    """The runs of a text that are a name's core; ``cores`` has a checked size."""
+    lengths: dict[str, set[int]] = {}
+    rows = cores.collect()
+    for row in rows:
+        lengths.setdefault(_WORD.search(row["core"]).group(), set()).add(row["words"])
+    shared = cores.sparkSession.sparkContext.broadcast((frozenset(r["core"] for r in rows), lengths))
+
+    @F.pandas_udf(_RUNS)
+    def runs(lowered: pd.Series) -> pd.Series:
+        known, by_first = shared.value
+
+        def one(text: str):
+            spans = [m.span() for m in _WORD.finditer(text)]
+            hits = []
+            for i, (start, end) in enumerate(spans):
+                for words in by_first.get(text[start:end], ()):
+                    if i + words <= len(spans) and (run := text[start:spans[i + words - 1][1]]) in known:
+                        hits.append((start, run))
+            return hits
+
+        return lowered.map(lambda t: [] if t is None else one(t))
+
+    return runs
 
 
 def find_mentions(texts: DataFrame, names: DataFrame, text_col: str = "text", key: str = "text_id") -> DataFrame:
     """Names found in texts: whole words, case ignored, longest first, no overlaps; first
     occurrence of each name: (key, name, start).
 
-    A name is looked up by its core (first to last letter or digit). Texts give every run of up
-    to as many words as the longest name has; runs and cores meet in a hash join, so the cost
-    is linear in the text and does not depend on the size of the dictionary.
+    A name is looked up by its core (first to last letter or digit) among the word runs of the
+    text. A dictionary of at most ``SHARED_NAMES`` names, checked by counting, is shared with the
+    tasks; for a larger one every run of up to as many words as the longest name has goes into a
+    hash join, so no task ever holds the dictionary.
     """
     dictionary = (
         names.select(F.col("name")).filter(F.col("name").rlike(r"[\p{L}\p{N}]"))
@@ -30,20 +78,14 @@ def find_mentions(texts: DataFrame, names: DataFrame, text_col: str = "text", ke
         .withColumn("words", F.size(F.regexp_extract_all("core", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))))
         .withColumn("lead", F.expr("locate(core, low) - 1"))
     )
-    longest = dictionary.agg(F.coalesce(F.max("words"), F.lit(1)).alias("m")).first()["m"]
-
-    @F.pandas_udf("array<struct<start:int,run:string>>")
-    def runs(lowered: pd.Series) -> pd.Series:
-        def one(text: str):
-            spans = [m.span() for m in _WORD.finditer(text)]
-            return [
-                (spans[i][0], text[spans[i][0]:spans[j][1]])
-                for i in range(len(spans)) for j in range(i, min(i + longest, len(spans)))
-            ]
-        return lowered.map(lambda t: [] if t is None else one(t))
-
-    lowered = texts.select(F.col(key).alias("text_id"), F.lower(text_col).alias("low_text"))
-    found = lowered.select("text_id", F.explode(runs("low_text")).alias("r")).select(
+    lowered = spread(texts.select(F.col(key).alias("text_id"), F.lower(text_col).alias("low_text")))
+    if fits_in_rows(dictionary, SHARED_NAMES):
+        # Runs are looked up while the text is read, so only hits leave the task.
+        runs = _known_runs(dictionary.select("core", "words").distinct())
+    else:
+        longest = dictionary.agg(F.coalesce(F.max("words"), F.lit(1)).alias("m")).first()["m"]
+        runs = _all_runs(longest)
+    found = lowered.select("text_id", F.explode(runs(F.col("low_text"))).alias("r")).select(
         "text_id", F.col("r.start").alias("core_start"), F.col("r.run").alias("core"))
     hits = found.join(dictionary, "core")
     start = F.col("core_start") - F.col("lead")
@@ -89,7 +131,7 @@ def mention_counts(docs: DataFrame, names: DataFrame, text_col: str = "content",
     """
     low = names.select(F.lower("name").alias("name")).filter("name <> ''").distinct()
     slices = max(1, math.ceil(low.count() / slice_names))
-    texts = docs.select(F.col(key).alias("key"), F.lower(text_col).alias("low_text"))
+    texts = spread(docs.select(F.col(key).alias("key"), F.lower(text_col).alias("low_text")))
     out = f"key {docs.schema[key].dataType.simpleString()}, name string, n bigint"
     result = None
     for s in range(slices):

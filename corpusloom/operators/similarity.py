@@ -39,7 +39,7 @@ def _best(query_rows: np.ndarray, query_group: np.ndarray, items: pd.DataFrame,
     if same:
         scores = np.where(query_group[:, None] == _groups(items, same)[None, :], scores, -np.inf)
     # Rounding below the twelfth place keeps equal vectors equal across block shapes.
-    order = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
+    order = _leading(-np.round(scores, 12), k)
     rows = np.repeat(np.arange(len(query_rows)), order.shape[1])
     cols = order.ravel()
     hit = scores[rows, cols]
@@ -47,6 +47,21 @@ def _best(query_rows: np.ndarray, query_group: np.ndarray, items: pd.DataFrame,
     return rows[live], items["item_id"].to_numpy()[cols[live]], hit[live]
 
 
+def _leading(keys: np.ndarray, k: int) -> np.ndarray:
+    """Column indices of the k smallest keys per row, the smaller index first on ties."""
+    if keys.shape[1] <= k:
+        return np.argsort(keys, axis=1, kind="stable")
+    near = np.argpartition(keys, k - 1, axis=1)[:, :k]
+    near.sort(axis=1)
+    values = np.take_along_axis(keys, near, axis=1)
+    order = np.take_along_axis(near, np.argsort(values, axis=1, kind="stable"), axis=1)
+    # Where more keys reach the k-th value than fit, the choice among equals is made by index.
+    tied = np.flatnonzero((keys <= values.max(axis=1, keepdims=True)).sum(axis=1) > k)
+    if len(tied):
+        order[tied] = np.argsort(keys[tied], axis=1, kind="stable")[:, :k]
+    return order
+
+
 def _output_type(queries: DataFrame, corpus: DataFrame, query_id: str, item_id: str) -> T.StructType:
     return T.StructType([
         T.StructField("query_id", queries.schema[query_id].dataType),
@@ -108,7 +123,7 @@ def _blocked(q: DataFrame, c: DataFrame, k: int, same: Sequence[str], out: T.Str
     Rows are dealt to blocks by a hash of their unique id, so blocks are even whatever the data;
     each query block meets each corpus block once.
     """
-    q_blocks = max(1, math.ceil(q.count() / block))
+    q_blocks = max(1, math.ceil(q.count() / block), q.sparkSession.sparkContext.defaultParallelism)
     c_blocks = max(1, math.ceil(c.count() / (4 * block)))
     left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn(
         "cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import conversations as K
 from corpusloom.operators import filtering, profiling
 from corpusloom.plans.catalog import query
+from corpusloom.tables import spread
 
 # ---------------------------------------------------------------- messages and turns
 
@@ -113,7 +114,7 @@ SELECT question_id, config, attempt, CAST(i - 1 AS INT) AS citation_no, trim(sen
       regexp_extract_all(a, '([^.。\n]+?)\s*\[Source:\s*([^\]]+)\]', 2) AS sources
     FROM (SELECT *, regexp_replace(answer, '\[Relation: .*?\]', '', 'g') AS a FROM runs WHERE answer IS NOT NULL)))""", ["runs"])
 def p19(t):
-    return K.extract_citations(t.runs, key=("question_id", "config", "attempt"))
+    return K.extract_citations(spread(t.runs), key=("question_id", "config", "attempt"))
 
 
 @query("S15_cache_history", """

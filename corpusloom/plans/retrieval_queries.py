@@ -424,15 +424,17 @@ JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN left(text, 1500) || ' is a fr
   ON d.doc_id = t.item_id"""
 
 
-def _passages(t, questions=None):
-    questions = _with_vectors(t) if questions is None else questions
-    top = similarity.vector_topk(questions, t.embeddings, 8, query_id="question_id", item_id="vec_id").withColumnRenamed("query_id", "question_id")
+def _texts(t):
     text = F.when(F.col("doc_id") % 5 == 0, F.expr("left(text, 1500) || ' is a friend of nation_' || doc_id % 25 || ', related to NATION_3.'")).otherwise(F.col("text"))
-    docs = t.documents.select(
-        "doc_id", text.alias("full_text"), F.expr("'Page NATION_' || doc_id % 25").alias("title"),
+    return t.documents.select(
+        F.col("doc_id").alias("item_id"), "doc_id", text.alias("full_text"), F.expr("'Page NATION_' || doc_id % 25").alias("title"),
         F.expr("CASE WHEN doc_id % 3 = 0 THEN 'Story of NATION_' || (doc_id + 1) % 25 ELSE '' END").alias("section_title"),
         F.expr("CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'https://h.example/' || doc_id END").alias("source_url"))
-    return top.join(docs, top["item_id"] == docs["doc_id"])
+
+
+def _reranked(t):
+    top = similarity.vector_topk(_with_vectors(t), t.embeddings, 8, query_id="question_id", item_id="vec_id").withColumnRenamed("query_id", "question_id")
+    return context.rerank_passages(top, _texts(t), _typed(t))
 
 
 def _typed(t):
@@ -452,7 +454,7 @@ FROM (SELECT *, CAST({_PASSAGE_SCORE} AS DOUBLE) AS rerank_score FROM ({_PASSAGE
 
 @query("X03_passage_score", f"SELECT question_id, doc_id, rerank_score, CAST(place AS INT) AS place FROM ({_RERANKED})", ["questions"])
 def x03(t):
-    return context.rerank_passages(_passages(t), _typed(t)).select("question_id", "doc_id", "rerank_score", "place")
+    return _reranked(t).select("question_id", F.col("item_id").alias("doc_id"), "rerank_score", "place")
 
 
 _PACKED = f"""
@@ -476,7 +478,7 @@ SELECT question_id, md5(body) AS digest, used AS tokens, taken, n AS offered FRO
 
 @query("W08_packed_passages", _PACKED, ["questions"])
 def w08(t):
-    packed = context.pack_passages(context.rerank_passages(_passages(t), _typed(t)))
+    packed = context.pack_passages(_reranked(t).join(_texts(t), "item_id"))
     return packed.select("question_id", F.md5(F.col("text_context").cast("binary")).alias("digest"), "tokens", "taken",
                          F.col("offered").cast("long").alias("offered"))
 
@@ -511,7 +513,7 @@ SELECT question_id, part, CAST(item_no AS INT) AS item_no, item, block FROM (
 def u04(t):
     typed = _typed(t)
     none = t.spark.createDataFrame([], "question_id string, path_rank int, path_steps array<string>")
-    rows = context.hybrid_rows(context.rerank_passages(_passages(t), typed), G.ranked(t), none, typed)
+    rows = context.hybrid_rows(_reranked(t).withColumn("doc_id", F.col("item_id")), G.ranked(t), none, typed)
     return rows.select("question_id", "part", "item_no", "item", "block")
 
 

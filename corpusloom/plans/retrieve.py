@@ -49,12 +49,11 @@ def enrich_text(matches: DataFrame, chunks: DataFrame, key: str, text: str = "te
 
 def _passages(questions: DataFrame, stores: Stores, config: RetrievalConfig) -> DataFrame:
     top = similarity.vector_topk(questions, stores.vectors, config.top_k, query_id="question_id").withColumnRenamed("query_id", "question_id")
-    rows = top.join(stores.passages, "item_id")
-    if not config.use_full_text and "preview" in rows.columns:
-        rows = rows.withColumn("full_text", F.col("preview"))
-    if config.use_reranking:
-        return context.rerank_passages(rows, questions)
-    return rows.withColumn("place", F.col("rank"))
+    texts = stores.passages
+    if not config.use_full_text and "preview" in texts.columns:
+        texts = texts.withColumn("full_text", F.col("preview"))
+    placed = context.rerank_passages(top, texts, questions) if config.use_reranking else top.withColumn("place", F.col("rank"))
+    return placed.join(texts, "item_id")
 
 
 def _relations(questions: DataFrame, stores: Stores, config: RetrievalConfig) -> DataFrame:
