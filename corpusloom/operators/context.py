@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom import constants as C
 from corpusloom.functions import scoring, text as X
 from corpusloom.operators.mentions import mention_counts
+from corpusloom.session import cut_lineage
 
 
 TRUNCATED = "... [truncated]"
@@ -21,6 +22,8 @@ def rerank_passages(matches: DataFrame, texts: DataFrame, questions: DataFrame,
     and its entity mentions become a few figures per item, and only those meet the matches.
     ``texts``: item, title, section_title, full_text.
     """
+    # k rows per question that three branches read; vectors are not searched three times.
+    matches = cut_lineage(matches)
     used = texts.join(matches.select(item).distinct(), item, "left_semi")
     asked = questions.select(key, F.explode("entities").alias("name")).select(key, F.lower("name").alias("name"))
     counts = mention_counts(used, asked, "full_text", item)

@@ -134,12 +134,38 @@ def label_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("label").agg(F.count(F.lit(1)).alias("conversations"))
 
 
-def sessionize(df: DataFrame, user: str = "user_id", ts: str = "ts", gap_seconds: int = C.SESSION_IDLE_SECONDS, tie: str = "event_id") -> DataFrame:
-    """Adds ``session_no``: a new session starts after an idle gap longer than the limit."""
-    order = Window.partitionBy(user).orderBy(ts, tie)
-    gap = F.timestamp_diff("MICROSECOND", F.lag(ts).over(order), F.col(ts))
-    starts = df.withColumn("__new", F.when(gap.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0))
-    return starts.withColumn("session_no", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def _running_count(df: DataFrame, key: str, slot: Column, order: list[str], flag: Column, out: str) -> DataFrame:
+    """Running sum of a flag per key in two levels: inside a slot of the key's time line, and over
+    the slot totals. One busy key is spread over as many tasks as it has slots."""
+    placed = df.withColumn("__slot", slot).withColumn("__flag", flag.cast("long"))
+    inside = Window.partitionBy(key, "__slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = placed.groupBy(key, "__slot").agg(F.sum("__flag").alias("__sum"))
+    ahead = Window.partitionBy(key).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(key, "__slot", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__offset"))
+    counted = placed.withColumn("__inside", F.sum("__flag").over(inside)).join(offsets, [key, "__slot"])
+    return counted.withColumn(out, F.col("__inside") + F.col("__offset")).drop("__slot", "__flag", "__inside", "__offset")
+
+
+def _time_slot(ts: str, seconds: int) -> Column:
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
+
+
+def sessionize(df: DataFrame, user: str = "user_id", ts: str = "ts", gap_seconds: int = C.SESSION_IDLE_SECONDS, tie: str = "event_id",
+               slot_seconds: int = 86_400) -> DataFrame:
+    """Adds ``session_no``: a new session starts after an idle gap longer than the limit.
+
+    The time line of a user is cut into slots. Gaps inside a slot come from a window over the
+    slot; the first event of a slot is compared with the last one of the user's slot before.
+    """
+    slot = _time_slot(ts, slot_seconds)
+    placed = df.withColumn("__slot", slot)
+    edges = placed.groupBy(user, "__slot").agg(F.max(ts).alias("__last"))
+    before = edges.select(user, "__slot", F.lag("__last").over(Window.partitionBy(user).orderBy("__slot")).alias("__before"))
+    inside = Window.partitionBy(user, "__slot").orderBy(ts, tie)
+    rows = placed.withColumn("__previous", F.lag(ts).over(inside)).join(before, [user, "__slot"])
+    gap = F.timestamp_diff("MICROSECOND", F.coalesce("__previous", "__before"), F.col(ts))
+    rows = rows.withColumn("__new", gap.isNull() | (gap > gap_seconds * 1_000_000)).drop("__slot", "__previous", "__before")
+    return _running_count(rows, user, slot, [ts, tie], F.col("__new"), "session_no").drop("__new")
 
 
 def session_summary(df: DataFrame, user: str = "user_id", ts: str = "ts", gap_seconds: int = C.SESSION_IDLE_SECONDS) -> DataFrame:
@@ -148,12 +174,11 @@ def session_summary(df: DataFrame, user: str = "user_id", ts: str = "ts", gap_se
 
 
 def failure_streaks(calls: DataFrame, threshold: int = 3, service: str = "user_id", ts: str = "ts", tie: str = "event_id",
-                    failed: Column | None = None) -> DataFrame:
+                    failed: Column | None = None, slot_seconds: int = 86_400) -> DataFrame:
     """Runs of at least ``threshold`` consecutive failures per service."""
     failed = F.col("event_type") == "error" if failed is None else failed
-    order = Window.partitionBy(service).orderBy(ts, tie)
-    rows = calls.select(service, ts, tie, failed.alias("failed")).withColumn(
-        "__good", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = calls.select(service, ts, tie, failed.alias("failed"))
+    rows = _running_count(rows, service, _time_slot(ts, slot_seconds), [ts, tie], ~F.col("failed"), "__good")
     return rows.filter("failed").groupBy(service, "__good").agg(
         F.count(F.lit(1)).alias("failures"), F.min(tie).alias("first_call"), F.max(tie).alias("last_call")
     ).filter(F.col("failures") >= threshold).drop("__good")

@@ -3,49 +3,54 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.tables import fits_in_rows, spread
 
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_WORD = re.compile(r"[^\W_]+")
 SLICE_NAMES = 20_000    # names counted in one pass over the texts
 SHARED_NAMES = 200_000  # names that may be shared with every task for the look-up
 
 
-_RUNS = "array<struct<start:int,run:string>>"
-
-
-def _all_runs(longest: int):
-    """Every run of up to ``longest`` words of a text."""
-
-    @F.pandas_udf(_RUNS)
-    def runs(lowered: pd.Series) -> pd.Series:
-        def one(text: str):
-            spans = [m.span() for m in _WORD.finditer(text)]
-            return [
-                (spans[i][0], text[spans[i][0]:spans[j][1]])
-                for i in range(len(spans)) for j in range(i, min(i + longest, len(spans)))
-            ]
-        return lowered.map(lambda t: [] if t is None else one(t))
-
-    return runs
+def _resolve(candidates: list[tuple[int, int, str]]) -> list[tuple[str, int]]:
+    """(start, end, name) candidates to accepted names: longest first, no overlaps, first start."""
+    candidates.sort(key=lambda c: (c[0] - c[1], c[2].lower(), c[0]))
+    taken = bytearray(max((c[1] for c in candidates), default=0))
+    kept: dict[str, int] = {}
+    for start, end, name in candidates:
+        # Every accepted span is at least as long, so an overlap covers an end of this one.
+        if not taken[start] and not taken[end - 1]:
+            taken[start:end] = b"\x01" * (end - start)
+            kept[name] = min(start, kept.get(name, start))
+    return list(kept.items())
+
+
+def _stands_free(text: str, low: str, start: int) -> bool:
+    """A name with outer punctuation needs that punctuation, and a free border, in the text."""
+    end = start + len(low)
+    return (
+        start >= 0 and text.startswith(low, start)
+        and (start == 0 or not text[start - 1].isalnum())
+        and (end >= len(text) or not text[end].isalnum())
+    )
 
 
-def _known_runs(cores: DataFrame):
-    """The runs of a text that are a name's core; ``cores`` has a checked size."""
+def _shared_finder(dictionary: DataFrame):
+    """UDF from a text to its mentions, for a dictionary of checked size."""
+    by_core: dict[str, list[tuple[str, str, int]]] = {}
     lengths: dict[str, set[int]] = {}
-    rows = cores.collect()
-    for row in rows:
+    for row in dictionary.collect():
+        by_core.setdefault(row["core"], []).append((row["name"], row["low"], row["lead"]))
         lengths.setdefault(_WORD.search(row["core"]).group(), set()).add(row["words"])
-    shared = cores.sparkSession.sparkContext.broadcast((frozenset(r["core"] for r in rows), lengths))
+    shared = dictionary.sparkSession.sparkContext.broadcast((by_core, lengths))
 
-    @F.pandas_udf(_RUNS)
-    def runs(lowered: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<name:string,start:int>>")
+    def find(lowered: pd.Series) -> pd.Series:
         known, by_first = shared.value
 
         def one(text: str):
@@ -53,73 +58,80 @@ def _known_runs(cores: DataFrame):
             hits = []
             for i, (start, end) in enumerate(spans):
                 for words in by_first.get(text[start:end], ()):
-                    if i + words <= len(spans) and (run := text[start:spans[i + words - 1][1]]) in known:
-                        hits.append((start, run))
-            return hits
+                    if i + words > len(spans):
+                        continue
+                    for name, low, lead in known.get(text[start:spans[i + words - 1][1]], ()):
+                        if _stands_free(text, low, start - lead):
+                            hits.append((start - lead, start - lead + len(low), name))
+            return _resolve(hits)
 
         return lowered.map(lambda t: [] if t is None else one(t))
 
-    return runs
+    return find
+
 
+def _joined_candidates(lowered: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Candidates (text_id, name, start, end) from a hash join of word runs and name cores."""
+    longest = dictionary.agg(F.coalesce(F.max("words"), F.lit(1)).alias("m")).first()["m"]
+
+    @F.pandas_udf("array<struct<start:int,run:string>>")
+    def runs(texts: pd.Series) -> pd.Series:
+        def one(text: str):
+            spans = [m.span() for m in _WORD.finditer(text)]
+            return [
+                (spans[i][0], text[spans[i][0]:spans[j][1]])
+                for i in range(len(spans)) for j in range(i, min(i + longest, len(spans)))
+            ]
+        return texts.map(lambda t: [] if t is None else one(t))
 
-def find_mentions(texts: DataFrame, names: DataFrame, text_col: str = "text", key: str = "text_id") -> DataFrame:
+    found = lowered.select("text_id", F.explode(runs("low_text")).alias("r")).select(
+        "text_id", F.col("r.start").alias("core_start"), F.col("r.run").alias("core"))
+    hits = found.join(dictionary, "core").withColumn("start", F.col("core_start") - F.col("lead"))
+    hits = hits.select("text_id", "name", "low", "start", (F.col("start") + F.length("low")).alias("end"))
+    is_plain = F.col("low").rlike(r"^[\p{L}\p{N}](?s:.*[\p{L}\p{N}])?$")
+    dressed = hits.filter(~is_plain).join(lowered, "text_id")
+
+    def char(at):
+        return F.substring(F.col("low_text"), at, F.lit(1))
+
+    fits = (
+        (F.col("start") >= 0)
+        & (F.substring(F.col("low_text"), F.col("start") + 1, F.length("low")) == F.col("low"))
+        & ((F.col("start") == 0) | ~char(F.col("start")).rlike(r"[\p{L}\p{N}]"))
+        & ~char(F.col("end") + 1).rlike(r"[\p{L}\p{N}]")
+    )
+    return hits.filter(is_plain).unionByName(dressed.filter(fits).drop("low_text")).drop("low")
+
+
+def find_mentions(texts: DataFrame, names: DataFrame, text_col: str = "text", key: str = "text_id",
+                  shared_names: int = SHARED_NAMES) -> DataFrame:
     """Names found in texts: whole words, case ignored, longest first, no overlaps; first
     occurrence of each name: (key, name, start).
 
     A name is looked up by its core (first to last letter or digit) among the word runs of the
-    text. A dictionary of at most ``SHARED_NAMES`` names, checked by counting, is shared with the
+    text. A dictionary of at most ``shared_names`` names, checked by counting, is shared with the
     tasks; for a larger one every run of up to as many words as the longest name has goes into a
     hash join, so no task ever holds the dictionary.
     """
     dictionary = (
         names.select(F.col("name")).filter(F.col("name").rlike(r"[\p{L}\p{N}]"))
         .groupBy(F.lower("name").alias("low")).agg(F.min("name").alias("name"))
-        .withColumn("core", F.regexp_extract("low", r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0))
+        .withColumn("core", F.regexp_extract("low", r"[\p{L}\p{N}](?s:.*[\p{L}\p{N}])?", 0))
         .withColumn("words", F.size(F.regexp_extract_all("core", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))))
         .withColumn("lead", F.expr("locate(core, low) - 1"))
     )
     lowered = spread(texts.select(F.col(key).alias("text_id"), F.lower(text_col).alias("low_text")))
-    if fits_in_rows(dictionary, SHARED_NAMES):
-        # Runs are looked up while the text is read, so only hits leave the task.
-        runs = _known_runs(dictionary.select("core", "words").distinct())
+    if fits_in_rows(dictionary, shared_names):
+        found = lowered.select("text_id", F.explode(_shared_finder(dictionary)(F.col("low_text"))).alias("m"))
     else:
-        longest = dictionary.agg(F.coalesce(F.max("words"), F.lit(1)).alias("m")).first()["m"]
-        runs = _all_runs(longest)
-    found = lowered.select("text_id", F.explode(runs(F.col("low_text"))).alias("r")).select(
-        "text_id", F.col("r.start").alias("core_start"), F.col("r.run").alias("core"))
-    hits = found.join(dictionary, "core")
-    start = F.col("core_start") - F.col("lead")
-    hits = hits.select("text_id", "name", "low", start.alias("start"), (start + F.length("low")).alias("end"))
-    # A name with outer punctuation needs that punctuation, and a free border, in the text.
-    plain = hits.filter(F.col("low").rlike(r"^[\p{L}\p{N}](?s:.*[\p{L}\p{N}])?$"))
-    dressed = hits.filter(~F.col("low").rlike(r"^[\p{L}\p{N}](?s:.*[\p{L}\p{N}])?$")).join(lowered, "text_id")
-    char = lambda at: F.substring(F.col("low_text"), at, F.lit(1))
-    fits = (
-        (F.col("start") >= 0)
-        & (F.substring(F.col("low_text"), F.col("start") + 1, F.length("low")) == F.col("low"))
-        & ((F.col("start") == 0) | ~char(F.col("start")).rlike(r"[\p{L}\p{N}]"))
-        & ~char(F.col("end") + 1).rlike(r"[\p{L}\p{N}]")
-    )
-    hits = plain.unionByName(dressed.filter(fits).drop("low_text"))
-
-    @F.pandas_udf("array<struct<name:string,start:int>>")
-    def resolve(candidates: pd.Series) -> pd.Series:
-        def one(rows):
-            rows = sorted(((r["end"] - r["start"], r["start"], r["name"]) for r in rows), key=lambda r: (-r[0], r[2].lower(), r[1]))
-            taken, kept = set(), {}
-            for size, begin, name in rows:
-                places = range(begin, begin + size)
-                # Every accepted span is at least as long, so an overlap covers an end of this one.
-                if places[0] in taken or places[-1] in taken:
-                    continue
-                taken.update(places)
-                kept[name] = min(begin, kept.get(name, begin))
-            return [(name, begin) for name, begin in kept.items()]
-        return candidates.map(one)
-
-    grouped = hits.groupBy("text_id").agg(F.collect_list(F.struct("name", "start", "end")).alias("c"))
-    return grouped.select(F.col("text_id").alias(key), F.explode(resolve("c")).alias("m")).select(
-        key, F.col("m.name").alias("name"), F.col("m.start").alias("start"))
+        @F.pandas_udf("array<struct<name:string,start:int>>")
+        def resolve(candidates: pd.Series) -> pd.Series:
+            return candidates.map(lambda rows: _resolve([(r["start"], r["end"], r["name"]) for r in rows]))
+
+        hits = _joined_candidates(lowered, dictionary)
+        grouped = hits.groupBy("text_id").agg(F.collect_list(F.struct("name", "start", "end")).alias("c"))
+        found = grouped.select("text_id", F.explode(resolve("c")).alias("m"))
+    return found.select(F.col("text_id").alias(key), F.col("m.name").alias("name"), F.col("m.start").alias("start"))
 
 
 def mention_counts(docs: DataFrame, names: DataFrame, text_col: str = "content", key: str = "doc_id",

@@ -114,7 +114,7 @@ SELECT question_id, config, attempt, CAST(i - 1 AS INT) AS citation_no, trim(sen
       regexp_extract_all(a, '([^.。\n]+?)\s*\[Source:\s*([^\]]+)\]', 2) AS sources
     FROM (SELECT *, regexp_replace(answer, '\[Relation: .*?\]', '', 'g') AS a FROM runs WHERE answer IS NOT NULL)))""", ["runs"])
 def p19(t):
-    return K.extract_citations(spread(t.runs), key=("question_id", "config", "attempt"))
+    return K.extract_citations(t.wide.runs, key=("question_id", "config", "attempt"))
 
 
 @query("S15_cache_history", """
@@ -216,7 +216,7 @@ _CUSTOMERS = {"c_custkey": "integer", "c_name": "string", "c_nationkey": "intege
 
 @query("A14_profile_documents", _profile_sql("documents", "doc_id", _DOCS))
 def a14_documents(t):
-    return _profiled(t.documents.select(*_DOCS), "doc_id")
+    return _profiled(spread(t.documents.select(*_DOCS)), "doc_id")
 
 
 @query("A14_profile_customers", _profile_sql("customer", "c_custkey", _CUSTOMERS))

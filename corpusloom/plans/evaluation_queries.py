@@ -71,7 +71,7 @@ FROM (SELECT *, coalesce(answer = '', true) OR error IS NOT NULL AS empty, len(l
 
 def _judged(t):
     gold = t.gold.select("question_id", "key_facts", "hallucination_traps", "min_acceptable_facts")
-    return spread(t.runs).join(gold, "question_id").withColumn("parsed_ok", F.col("k") % 19 != 0)
+    return t.wide.runs.join(gold, "question_id").withColumn("parsed_ok", F.col("k") % 19 != 0)
 
 
 def _scores(t):
@@ -195,14 +195,14 @@ FROM (SELECT *, CASE WHEN (json_valid(body) AND NOT regexp_matches(body, ',\s*[\
     CASE WHEN (json_valid(body) AND NOT regexp_matches(body, ',\s*[\]}}]')) THEN CAST(body AS JSON) WHEN (json_valid(regexp_extract(body, '(?s)\{{.*\}}')) AND NOT regexp_matches(body, ',\s*[\]}}]')) THEN CAST(regexp_extract(body, '(?s)\{{.*\}}') AS JSON) END AS j
   FROM (SELECT *, {_UNFENCED} AS body FROM runs)) WHERE status IS NOT NULL""", ["runs"])
 def x11_native(t):
-    rows = salvage_json(spread(t.runs), "raw", _REPLY).filter(F.col("status").isin("direct", "braces"))
+    rows = salvage_json(t.wide.runs, "raw", _REPLY).filter(F.col("status").isin("direct", "braces"))
     return rows.select("question_id", "config", "attempt", "status", F.array_join(F.col("parsed.facts_covered").cast("array<string>"), ",").alias("covered"),
                        F.array_join(F.col("parsed.traps_triggered").cast("array<string>"), ",").alias("triggered"), F.col("parsed.reasoning").alias("reasoning"))
 
 
 @query("X11_salvaged_replies")
 def x11(t):
-    rows = salvage_json(spread(t.runs), "raw", _REPLY)
+    rows = salvage_json(t.wide.runs, "raw", _REPLY)
     return rows.select("question_id", "config", "attempt", "status", F.to_json("parsed").alias("parsed"))
 
 

@@ -324,7 +324,7 @@ WHERE place <= 8"""
 
 def _with_vectors(t):
     n = t.embeddings.count()
-    return t.questions.withColumn("vec_id", F.col("k") % n).join(t.embeddings.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    return t.wide.questions.withColumn("vec_id", F.col("k") % n).join(t.embeddings.select("vec_id", "embedding"), "vec_id").drop("vec_id")
 
 
 def _vectors(t):

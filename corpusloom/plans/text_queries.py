@@ -107,7 +107,7 @@ def p04(t):
 @query("P05_clean_markdown", f"SELECT doc_id, length(c) AS size, md5(c) AS digest FROM (SELECT doc_id, {d_clean_markdown('markdown')} AS c FROM wiki)", ["wiki"])
 def p05(t):
     text = X.clean_markdown(F.col("markdown"))
-    return spread(t.wiki.select("doc_id", "markdown")).select("doc_id", text.alias("c")).select(
+    return t.wide.wiki.select("doc_id", "markdown").select("doc_id", text.alias("c")).select(
         "doc_id", F.length("c").cast("long").alias("size"), F.md5(F.col("c").cast("binary")).alias("digest"))
 
 
@@ -124,7 +124,7 @@ WHERE content <> ''"""
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INT) AS section_no, title, level,
   length(content) AS size, md5(content) AS digest FROM ({_SECTIONS_SQL})""", ["wiki"])
 def p06(t):
-    rows = spread(t.wiki.select("doc_id", "sections")).select(
+    rows = t.wide.wiki.select("doc_id", "sections").select(
         "doc_id", F.posexplode(X.parse_sections(F.col("sections"))).alias("section_no", "s"))
     return rows.select("doc_id", "section_no", "s.title", "s.level", F.length("s.content").cast("long").alias("size"),
                        F.md5(F.col("s.content").cast("binary")).alias("digest"))
@@ -167,7 +167,7 @@ def p08(t):
 
 @query("P09_normalize_text", f"SELECT doc_id, length(c) AS size, md5(c) AS digest FROM (SELECT doc_id, {d_normalize('markdown')} AS c FROM wiki)", ["wiki"])
 def p09(t):
-    return spread(t.wiki.select("doc_id", "markdown")).select("doc_id", X.normalize_text(F.col("markdown")).alias("c")).select(
+    return t.wide.wiki.select("doc_id", "markdown").select("doc_id", X.normalize_text(F.col("markdown")).alias("c")).select(
         "doc_id", F.length("c").cast("long").alias("size"), F.md5(F.col("c").cast("binary")).alias("digest"))
 
 
@@ -178,7 +178,7 @@ FROM (SELECT doc_id, place, title, {d_normalize('content')} AS c FROM ({_SECTION
   WHERE title NOT IN {d_list(C.SKIPPED_SECTIONS)}) WHERE c <> ''""", ["wiki"])
 def p10(t):
     cleaned = X.clean_sections(X.parse_sections(F.col("sections")))
-    rows = spread(t.wiki.select("doc_id", "sections")).select("doc_id", F.posexplode(cleaned).alias("section_no", "s"))
+    rows = t.wide.wiki.select("doc_id", "sections").select("doc_id", F.posexplode(cleaned).alias("section_no", "s"))
     return rows.select("doc_id", "section_no", "s.title", F.length("s.content").cast("long").alias("size"),
                        F.md5(F.col("s.content").cast("binary")).alias("digest"))
 
@@ -248,7 +248,7 @@ _RAW_RE = "(?i)" + "|".join(C.RAW_TOPIC_KEYWORDS)
 
 
 def _parsed(t):
-    return parsing.parse_pages(spread(t.wiki.drop("title")))
+    return parsing.parse_pages(t.wide.wiki.drop("title"))
 
 
 @query("F01_topic_filter", f"""
@@ -264,7 +264,7 @@ def f01(t):
 SELECT doc_id FROM wiki WHERE len(list_filter(category, lambda c: regexp_matches(c, '(?i)sumeru|dendro|akademiya'))) > 0
   OR regexp_matches(url, '{_RAW_RE}') OR regexp_matches(left(markdown, 2000), '{_RAW_RE}')""", ["wiki"])
 def f02(t):
-    return filtering.topic_filter_raw(spread(t.wiki)).select("doc_id")
+    return filtering.topic_filter_raw(t.wide.wiki).select("doc_id")
 
 
 @query("F03_min_length", f"SELECT doc_id, length(c) AS size FROM (SELECT doc_id, {d_normalize('text')} AS c FROM documents) WHERE length(c) >= 50")
@@ -331,7 +331,7 @@ WHERE r = 1 AND length(content) >= 50"""
 @query("flagship_usable_documents", f"SELECT lang, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM ({_CLEAN_SQL}) GROUP BY lang")
 def usable_documents(t):
     """Distinct usable documents per language: hash, keep first, normalise, drop short, count."""
-    hashed = parsing.with_hash(t.documents.select("doc_id", "lang", F.col("text").alias("content")))
+    hashed = parsing.with_hash(spread(t.documents.select("doc_id", "lang", F.col("text").alias("content"))))
     # The digest is cheap to shuffle; texts are normalised only for the rows that stay.
     unique = ranking.dedup_exact(hashed)
     cleaned = unique.withColumn("content", X.normalize_text(F.col("content")))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -16,14 +18,15 @@ TABLES = (
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row work at least one task per core.
 
-    A table that arrives as fewer splits than there are cores (one small parquet row group)
-    is dealt out round-robin; a table with enough splits is returned as it is, so nothing
-    is shuffled at scale.
+    A table that arrives as fewer splits than there are cores (one small parquet row group) is
+    dealt out round-robin; a table with enough splits is returned as it is, so nothing is
+    shuffled at scale. The row count that is observed keeps later filters above the exchange,
+    where they run on all cores; select the needed columns beforehand.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= wanted:
         return df
-    return df.repartition(wanted)
+    return df.repartition(wanted).observe(f"rows_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 
 
 def fits_in_rows(df: DataFrame, limit: int) -> bool:
@@ -49,18 +52,26 @@ class Tables:
     view costs no further look at the files.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, spread_out: bool = False):
         self.spark = spark
+        self.spread_out = spread_out
         self.folder = folder.rstrip("/")
         self._open: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         let_workers_import(spark)
 
+    @property
+    def wide(self) -> Tables:
+        """The same tables dealt out over all cores, for views whose rows are costly to work on."""
+        return Tables(self.spark, self.folder, spread_out=True)
+
     def sql_name(self, table: str) -> str:
         """Name under which SQL text can read a table of this folder."""
-        name = f"corpusloom_{hashlib.md5(self.folder.encode()).hexdigest()[:8]}_{table}"
+        kind = "wide" if self.spread_out else "corpusloom"
+        name = f"{kind}_{hashlib.md5(self.folder.encode()).hexdigest()[:8]}_{table}"
         if table not in self._open:
-            self._open[table] = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+            df = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+            self._open[table] = spread(df) if self.spread_out else df
             self._open[table].createOrReplaceTempView(name)
         return name
 

@@ -390,3 +390,41 @@ def test_publish_append_and_summary(spark, tables, tmp_path):
 def test_constants_hold_their_counts():
     assert len(C.TOPIC_KEYWORDS) == 61 and len(C.ENTITY_TYPE_RULES) == 21 and len(C.REGION_KEYWORDS) == 12
     assert len(C.TITLE_ALIASES) == 9 and len(C.ALIAS_PATTERNS) == 12 and len(C.VALID_RELATIONS) == 21
+
+
+def test_mention_plans_agree(spark, tables):
+    texts = tables.documents.select(F.col("doc_id").alias("text_id"), "text")
+    words = tables.benchmark.select(F.split("text", " ").alias("w"))
+    pairs = F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
+    words = words.select(F.explode(F.concat("w", pairs)).alias("name")).filter("name <> ''").distinct()
+    shared = mentions.find_mentions(texts, words)
+    joined = mentions.find_mentions(texts, words, shared_names=1)
+    assert shared.count() > 0
+    assert shared.exceptAll(joined).count() == 0 and joined.exceptAll(shared).count() == 0
+    names = {}
+    for row in sorted(r[0] for r in words.collect()):
+        names.setdefault(row.lower(), row)
+    for row in texts.orderBy(F.length("text")).limit(25).collect():
+        got = {r.name.lower(): r.start for r in shared.filter(F.col("text_id") == row.text_id).collect()}
+        assert got == {k.lower(): v for k, v in brute_mentions(row.text, list(names.values())).items()}
+
+
+@pytest.mark.parametrize("slot", [600, 86_400, 10**9])
+def test_sessions_do_not_depend_on_slots(spark, tables, slot):
+    busy = tables.events.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 1).otherwise(F.col("user_id")))
+    key = ["user_id", "event_id", "session_no"]
+    expected = conversations.sessionize(busy, slot_seconds=10**10).select(key)
+    assert conversations.sessionize(busy, slot_seconds=slot).select(key).exceptAll(expected).count() == 0
+    streaks = conversations.failure_streaks(busy, slot_seconds=slot)
+    assert streaks.exceptAll(conversations.failure_streaks(busy, slot_seconds=10**10)).count() == 0
+
+
+def test_passage_scores_from_figures_equal_the_direct_score(spark):
+    texts = spark.createDataFrame([(1, "T Ada", "", "ada met Ada, an ally and enemy of Bo."), (2, "X", "On bo", "It is a tale."), (3, "X", "", "")],
+                                  "item_id long, title string, section_title string, full_text string")
+    asked = spark.createDataFrame([("q", ["Ada", "bo"], "RELATIONSHIP"), ("r", ["Bo"], "FACTUAL")], "question_id string, entities array<string>, query_type string")
+    found = asked.select("question_id").join(texts.select("item_id"), F.lit(True)).withColumn("score", F.col("item_id") * 0.4).withColumn("rank", F.col("item_id"))
+    got = context.rerank_passages(found, texts, asked).select("question_id", "item_id", "rerank_score")
+    direct = found.join(texts, "item_id").join(asked, "question_id").select("question_id", "item_id", scoring.passage_score(
+        F.col("score"), F.col("full_text"), F.col("title"), F.col("section_title"), F.col("entities"), F.col("query_type")).alias("rerank_score"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, direct.collect()))
