@@ -63,7 +63,8 @@ def score_answers(judged: DataFrame) -> DataFrame:
 def summarize_scores(scores: DataFrame) -> DataFrame:
     """One row per configuration: means, share that met the minimum, mean per tier, count."""
     def mean(col: Column, places: int = 4) -> Column:
-        return F.round(F.coalesce(F.avg(col), F.lit(0.0)), places)
+        # Scores have four places, so a decimal mean is exact and does not depend on the order of rows.
+        return F.round(F.coalesce(F.avg(col.cast("decimal(12,4)")), F.lit(0)), places).cast("double")
 
     tiers = [mean(F.when(F.col("tier") == t, F.col("overall_score"))).alias(f"tier{t}") for t in (1, 2, 3, 4)]
     return scores.groupBy("config").agg(
@@ -87,7 +88,7 @@ def _price(model: Column, side: int, prices: dict) -> Column:
     return F.create_map(*[F.lit(x) for m, p in prices.items() for x in (m, float(p[side]))])[model]
 
 
-def usage_cost(runs: DataFrame, prices: dict | None = None) -> DataFrame:
+def usage_cost(runs: DataFrame, prices: dict | None = None, places: int = 6) -> DataFrame:
     """Token totals and dollars per configuration; tokens read from a prompt cache or written to
     it cost a share of the input price."""
     prices = prices or C.TOKEN_PRICES
@@ -96,7 +97,7 @@ def usage_cost(runs: DataFrame, prices: dict | None = None) -> DataFrame:
     cost = (weighted * _price(F.col("model"), 0, prices) + F.col("tokens_out") * _price(F.col("model"), 1, prices)) / 1e6
     return runs.withColumn("cost", cost).groupBy("config").agg(
         F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
-        F.sum("cached_in").alias("cached_in"), F.round(F.sum("cost"), 6).alias("cost_usd"))
+        F.sum("cached_in").alias("cached_in"), F.round(F.sum("cost"), places).alias("cost_usd"))
 
 
 def config_averages(runs: DataFrame, prices: dict | None = None) -> DataFrame:

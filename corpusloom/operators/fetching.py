@@ -67,15 +67,17 @@ def layer_title(questions: DataFrame, docs: DataFrame, key: str = "question_id",
 
 
 def layer_semantic(questions: DataFrame, vectors: DataFrame, held: DataFrame, k: int = 20, keep: int = 8,
-                   key: str = "question_id", id_col: str = "doc_id") -> DataFrame:
-    """Layer B: of the k nearest vectors the first documents that are not held yet.
+                   key: str = "question_id", id_col: str = "doc_id", docs: DataFrame | None = None) -> DataFrame:
+    """Layer B: of the k nearest vectors the first documents that exist and are not held yet.
 
     ``questions``: key, embedding. ``vectors``: vec_id, doc_id, embedding.
     """
     near = vector_topk(questions, vectors, k, query_id=key, item_id="vec_id").withColumnRenamed("query_id", key)
     found = near.join(vectors.select(F.col("vec_id").alias("item_id"), id_col), "item_id")
-    docs = found.groupBy(key, id_col).agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
-    fresh = docs.join(held.select(key, id_col), [key, id_col], "left_anti")
+    if docs is not None:
+        found = found.join(docs.select(id_col), id_col, "left_semi")
+    near_docs = found.groupBy(key, id_col).agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+    fresh = near_docs.join(held.select(key, id_col), [key, id_col], "left_anti")
     place = F.row_number().over(Window.partitionBy(key).orderBy("rank"))
     return fresh.withColumn("place", place).filter(F.col("place") <= keep)
 
@@ -146,8 +148,7 @@ def fetch_layers(questions: DataFrame, docs: DataFrame, vectors: DataFrame, cap:
     """
     # Held documents are a few rows per question and read by every later layer.
     a = cut_lineage(layer_title(questions, docs, key, id_col).select(key, id_col, "place").withColumn("layer", F.lit("A")))
-    known = vectors.join(docs.select(id_col), id_col, "left_semi")
-    b = cut_lineage(layer_semantic(questions.filter(F.array_contains("layers", "B")), known, a, key=key, id_col=id_col).select(
+    b = cut_lineage(layer_semantic(questions.filter(F.array_contains("layers", "B")), vectors, a, key=key, id_col=id_col, docs=docs).select(
         key, id_col, "place").withColumn("layer", F.lit("B")))
     c = layer_comention(questions.filter(F.array_contains("layers", "C")), docs, a.unionByName(b), key=key, id_col=id_col).select(
         key, id_col, "place").withColumn("layer", F.lit("C"))

@@ -87,12 +87,12 @@ def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int =
             F.array_compact(F.transform(hops, lambda h: F.when(h["evidence"] != "", h["evidence"]))).alias("evidences"),
             F.transform(hops, lambda h: h["forward"]).alias("forward"),
         )
-        rows = top_per_key(rows, [key], ["nodes", "relations"], max_paths)
+        rows = top_per_key(rows, [key], ["nodes", "relations", "forward"], max_paths)
         if stop_early and length < max_hops:
             rows = keep(rows)
         result = rows if length == 1 else result.unionByName(rows)
         if stop_early:
             served = result.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max_paths)
             todo = todo.join(served, key, "left_anti")
-    ranked = top_per_key(result, [key], ["path_length", "nodes", "relations"], max_paths, "path_rank")
+    ranked = top_per_key(result, [key], ["path_length", "nodes", "relations", "forward"], max_paths, "path_rank")
     return ranked.withColumn("path_steps", path_steps(F.col("nodes"), F.col("relations")))

@@ -67,3 +67,8 @@ def d_quote(text: str) -> str:
 
 def d_list(words) -> str:
     return "(" + ", ".join(d_quote(w) for w in words) + ")"
+
+
+def d_round(x: str, places: int) -> str:
+    """Half-up rounding of a double by its decimal digits, as Spark does it."""
+    return f"CAST(round(CAST({x} AS DECIMAL(30, 14)), {places}) AS DOUBLE)"

@@ -8,7 +8,7 @@ from corpusloom import constants as C
 from corpusloom.functions import text as X
 from corpusloom.functions.jsonfix import salvage_json
 from corpusloom.operators import evaluation, filtering, models, ranking, reports
-from corpusloom.plans.catalog import d_strip, query
+from corpusloom.plans.catalog import d_round, d_strip, query
 from corpusloom.tables import spread
 
 CONFIGS = ["S4-LLM", "S4-VEC", "S4-GRF", "S4-HYB", "G4-LLM", "G4-VEC", "G4-GRF", "G4-HYB"]
@@ -94,9 +94,9 @@ def a18(t):
 
 
 _SUMMARY = f"""
-SELECT config, round(avg(overall_score), 4) AS overall, round(avg(fact_score), 4) AS fact_score, round(avg(trap_score), 4) AS trap_score,
-  round(avg(CAST(min_facts_met AS INT)) * 100, 1) AS min_facts_pct,
-  {', '.join(f"round(coalesce(avg(overall_score) FILTER (tier = {i}), 0.0), 4) AS tier{i}" for i in (1, 2, 3, 4))}, count(*) AS n
+SELECT config, {d_round('avg(CAST(overall_score AS DECIMAL(12, 4)))', 4)} AS overall, {d_round('avg(CAST(fact_score AS DECIMAL(12, 4)))', 4)} AS fact_score, {d_round('avg(CAST(trap_score AS DECIMAL(12, 4)))', 4)} AS trap_score,
+  {d_round('avg(CAST(min_facts_met AS INT)) * 100', 1)} AS min_facts_pct,
+  {', '.join(f"{d_round(f'coalesce(avg(CAST(overall_score AS DECIMAL(12, 4))) FILTER (tier = {i}), 0.0)', 4)} AS tier{i}" for i in (1, 2, 3, 4))}, count(*) AS n
 FROM ({_SCORED}) WHERE attempt = 0 GROUP BY config"""
 
 
@@ -112,7 +112,7 @@ def a19(t):
 
 @query("A20_lift", f"""
 WITH s AS ({_SUMMARY}) SELECT a.config, split_part(a.config, '-', 1) AS family, split_part(a.config, '-', 2) AS strategy,
-  round(a.overall - b.overall, 4) AS lift, round((a.overall - b.overall) / b.overall * 100, 2) AS lift_pct
+  {d_round('a.overall - b.overall', 4)} AS lift, {d_round('(a.overall - b.overall) / b.overall * 100', 2)} AS lift_pct
 FROM s a JOIN s b ON split_part(b.config, '-', 1) = split_part(a.config, '-', 1) AND split_part(b.config, '-', 2) = 'LLM'""", ["runs", "gold"])
 def a20(t):
     return evaluation.lift(_summary(t))
@@ -124,10 +124,10 @@ def _price_sql(column: str, side: int) -> str:
 
 @query("A21_usage_cost", f"""
 SELECT config, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(cached_in) AS BIGINT) AS cached_in,
-  round(sum(((tokens_in - cached_in - written_in) + cached_in * CAST(0.1 AS DOUBLE) + written_in * CAST(1.25 AS DOUBLE)) * {_price_sql('model', 0)} + tokens_out * {_price_sql('model', 1)}) / 1e6, 6) AS cost_usd
+  round(sum(((tokens_in - cached_in - written_in) + cached_in * CAST(0.1 AS DOUBLE) + written_in * CAST(1.25 AS DOUBLE)) * {_price_sql('model', 0)} + tokens_out * {_price_sql('model', 1)}) / 1e6, 10) AS cost_usd
 FROM runs GROUP BY config""", ["runs"])
 def a21(t):
-    return evaluation.usage_cost(t.runs)
+    return evaluation.usage_cost(t.runs, places=10)
 
 
 _CLASS_SQL = "CASE WHEN use_vector AND use_graph THEN 'HYB' WHEN use_vector THEN 'VEC' WHEN use_graph THEN 'GRF' ELSE 'LLM' END"

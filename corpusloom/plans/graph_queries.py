@@ -267,18 +267,18 @@ def a11(t):
 
 _WALK = """
 WITH RECURSIVE sym AS (
-  SELECT head AS a, tail AS b, relation, evidence, head || '|' || relation || '|' || tail AS k FROM core_edges
-  UNION ALL SELECT tail, head, relation, evidence, head || '|' || relation || '|' || tail FROM core_edges WHERE head <> tail),
+  SELECT head AS a, tail AS b, relation, evidence, head || '|' || relation || '|' || tail AS k, true AS forward FROM core_edges
+  UNION ALL SELECT tail, head, relation, evidence, head || '|' || relation || '|' || tail, false FROM core_edges WHERE head <> tail),
 pairs AS (SELECT s_suppkey AS pair_id, s_name AS source,
   'Supplier#' || lpad(CAST((s_suppkey + 10) % (SELECT count(*) FROM supplier) AS STRING), 9, '0') AS target FROM supplier),
 walk AS (
-  SELECT source AS start, source AS here, [source] AS nodes, CAST([] AS VARCHAR[]) AS rels, CAST([] AS VARCHAR[]) AS evs, CAST([] AS VARCHAR[]) AS ks, 0 AS n FROM (SELECT DISTINCT source FROM pairs)
+  SELECT source AS start, source AS here, [source] AS nodes, CAST([] AS VARCHAR[]) AS rels, CAST([] AS VARCHAR[]) AS evs, CAST([] AS VARCHAR[]) AS ks, CAST([] AS BOOLEAN[]) AS dirs, 0 AS n FROM (SELECT DISTINCT source FROM pairs)
   UNION ALL
-  SELECT start, b, list_append(nodes, b), list_append(rels, relation), list_append(evs, coalesce(evidence, '')), list_append(ks, k), n + 1
+  SELECT start, b, list_append(nodes, b), list_append(rels, relation), list_append(evs, coalesce(evidence, '')), list_append(ks, k), list_append(dirs, forward), n + 1
   FROM walk JOIN sym ON a = here WHERE n < {hops} AND NOT list_contains(ks, k))
 SELECT pair_id, CAST(n AS INT) AS path_length, array_to_string(nodes, '|') AS nodes, array_to_string(rels, '|') AS relations,
   {extra} CAST(r AS INT) AS path_rank FROM (
-  SELECT pair_id, n, nodes, rels, evs, row_number() OVER (PARTITION BY pair_id ORDER BY n, nodes, rels) AS r
+  SELECT pair_id, n, nodes, rels, evs, row_number() OVER (PARTITION BY pair_id ORDER BY n, nodes, rels, dirs) AS r
   FROM pairs JOIN walk ON start = source AND here = target WHERE n >= 1)
 WHERE r <= {keep}"""
 

@@ -374,7 +374,7 @@ _PICK = """SELECT p.question_id, p.pair_no, s.doc_id, row_number() OVER (PARTITI
 
 _FETCHED = f"""
 WITH told AS MATERIALIZED ({_TOLD}), a AS MATERIALIZED ({_LAYER_A}),
-b AS MATERIALIZED ({_LAYER_B.format(where="WHERE list_contains(layers, 'B')")}), {_COMENTION},
+b AS MATERIALIZED ({_LAYER_B.format(where="WHERE list_contains(layers, 'B')").replace("WHERE NOT EXISTS", "WHERE b.doc_id IN (SELECT doc_id FROM clean_wiki) AND NOT EXISTS")}), {_COMENTION},
 held AS (SELECT question_id, doc_id FROM a UNION ALL SELECT question_id, doc_id FROM b),
 qpairs AS (SELECT x.question_id, lower(x.e) AS a, lower(y.e) AS b, row_number() OVER (PARTITION BY x.question_id ORDER BY x.i, y.i) - 1 AS pair_no
   FROM (SELECT question_id, unnest(entities) AS e, generate_subscripts(entities, 1) AS i FROM questions WHERE list_contains(layers, 'C')) x

@@ -343,7 +343,7 @@ def test_passages_are_cut_noted_or_dropped(spark):
     assert got["cut"].taken == 2 and got["cut"].text_context.count("... [truncated]") == 1
     assert got["drop"].taken == 1 and "truncated" not in got["drop"].text_context
     full = spark.createDataFrame([("q", i, "x" * 400) for i in (1, 2, 3)], "question_id string, place int, full_text string").select(
-        "*", F.lit("T").alias("title"), F.lit("").alias("section_title"), F.lit(0.5).alias("score"), F.lit("").alias("source_url"))
+        "*", F.lit("T" * 30).alias("title"), F.lit("").alias("section_title"), F.lit(0.5).alias("score"), F.lit("").alias("source_url"))
     assert "[2 more passages truncated due to token limit]" in context.pack_passages(full, budget=100).first().text_context
 
 
