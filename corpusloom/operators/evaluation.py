@@ -70,7 +70,7 @@ def summarize_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("config").agg(
         mean(F.col("overall_score")).alias("overall"), mean(F.col("fact_score")).alias("fact_score"),
         mean(F.col("trap_score")).alias("trap_score"),
-        F.round(F.avg(F.col("min_facts_met").cast("int")) * 100, 1).alias("min_facts_pct"),
+        F.round(F.avg(F.col("min_facts_met").cast("int").cast("decimal(12,4)")) * 100, 1).cast("double").alias("min_facts_pct"),
         *tiers, F.count(F.lit(1)).alias("n"))
 
 
