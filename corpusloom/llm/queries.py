@@ -57,3 +57,24 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from corpusloom.llm.bpe import encoded
 
     return encoded(table(spark, folder, "documents"), vocabulary(), digests=True)
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusloom.llm.quality import scored
+
+    return scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def listed(spans: str):
+    """``kind:start:end`` items of an array of spans, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusloom.llm.pii import KINDS, find_pii
+
+    found = find_pii(table(spark, folder, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))

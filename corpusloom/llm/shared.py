@@ -26,11 +26,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def joined(kinds_and_spans: Column) -> Column:
-    """``kind:start:end`` items, already sorted, joined by commas."""
-    return F.array_join(kinds_and_spans, ",")
-
-
 def ordered(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` with ``idx``: the row's position 0, 1, 2, ... in the given order over all rows.
 
