@@ -78,3 +78,32 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = find_pii(table(spark, folder, "documents"))
     counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+MIX_SQL = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+per_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM sized GROUP BY source),
+weighed AS (SELECT *, CASE k % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w FROM per_source),
+level(n, x) AS (
+  SELECT 0, 0.0::DOUBLE
+  UNION ALL
+  SELECT n + 1, (SELECT (1.5::DOUBLE * sum(source_size) - 2.0::DOUBLE * sum(CASE WHEN w * x > 2.0::DOUBLE * source_size THEN source_size ELSE 0 END))
+                        / sum(CASE WHEN NOT w * x > 2.0::DOUBLE * source_size THEN w END) FROM weighed)
+  FROM level WHERE n < 60),
+goal AS (
+  SELECT source AS s, source_size, least(w * (SELECT x FROM level WHERE n = 60), 2.0::DOUBLE * source_size) AS target,
+         ('0x' || substr(md5('mix' || coalesce(':' || source, '')), 1, 5))::INT / 1048576.0::DOUBLE AS u FROM weighed),
+placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY size, doc_id) - 1)::DOUBLE AS i FROM sized JOIN goal ON source IS NOT DISTINCT FROM s),
+each AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e FROM placed)
+SELECT doc_id, size, source_size, target, ((floor((i + 1) * e + u) - floor(i * e + u)) * size)::BIGINT AS taken FROM each
+"""
+
+
+@query("op2_mixing", MIX_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusloom.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
