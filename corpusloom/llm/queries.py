@@ -107,3 +107,34 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     from corpusloom.llm.mixing import mix
 
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def sketch_sql(text: str) -> str:
+    return rf"""(SELECT coalesce(list(DISTINCT h ORDER BY h), []) FROM (
+        SELECT substr(md5(array_to_string(list_slice(w, i, i + 4), ' ')), 1, 16) AS h
+        FROM (SELECT regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w), unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0)
+        WHERE h < '2000000000000000')"""
+
+
+FINGERPRINT_SQL = f"""
+WITH own AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+two AS (
+  SELECT a.doc_id, a.text, a.n, b.text AS after, left(a.text, a.n - a.n // 2) || left(b.text, a.n // 2) AS edited
+  FROM (SELECT *, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), max(doc_id) OVER ()) AS next_id FROM own) a JOIN own b ON b.doc_id = a.next_id),
+made AS (
+  SELECT *, {sketch_sql('text')} AS s, {sketch_sql('edited')} AS e, {sketch_sql('after')} AS f FROM two)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+  substr(md5(text), 1, 16) || ':' || array_to_string(s, ',') AS fingerprint, substr(md5(edited), 1, 16) || ':' || array_to_string(e, ',') AS edited_fingerprint,
+  CASE WHEN text = edited THEN 1.0 WHEN len(s) + len(e) = 0 THEN 0.0 ELSE len(list_intersect(s, e)) / len(list_distinct(s || e)) END::DOUBLE AS near_edited,
+  CASE WHEN text = after THEN 1.0 WHEN len(s) + len(f) = 0 THEN 0.0 ELSE len(list_intersect(s, f)) / len(list_distinct(s || f)) END::DOUBLE AS near_next,
+  CASE WHEN len(s) > 0 THEN len(list_intersect(s, e)) / len(s) END::DOUBLE AS in_edited
+FROM made
+"""
+
+
+@query("op1_fingerprints", FINGERPRINT_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusloom.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(table(spark, folder, "documents"))
