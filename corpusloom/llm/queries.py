@@ -71,12 +71,16 @@ def listed(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
 
+def count_of(spans: str, kind):
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long")
+
+
 @query("op10_pii")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     from corpusloom.llm.pii import KINDS, find_pii
 
     found = find_pii(table(spark, folder, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [count_of("base", k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
@@ -138,3 +142,35 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     from corpusloom.llm.fingerprints import fingerprint_edits
 
     return fingerprint_edits(table(spark, folder, "documents"))
+
+
+def secrets_sql() -> str:
+    from corpusloom.llm.secrets import BASE, RULES
+
+    def found(number: int) -> str:
+        rule = RULES[number]
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        return f"""SELECT doc_id, {number} AS kind, '{rule.kind}' AS name, start, start + size AS stop FROM (
+            SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS start,
+                   length(m[i]) AS size, length(t[i]) AS tested
+            FROM (SELECT doc_id, string_split_regex(text, {pattern}) AS gaps, regexp_extract_all(text, {pattern}, 0) AS m, regexp_extract_all(text, {pattern}, {rule.group}) AS t
+                  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) WHERE regexp_matches(text, {pattern}))) WHERE tested >= {rule.least}"""
+
+    every = " UNION ALL ".join(found(k) for k in range(len(RULES)))
+    item = "name || ':' || start::BIGINT || ':' || stop::BIGINT"
+    counts = ", ".join(f"count(s.kind) FILTER (s.kind = {k})::BIGINT AS n_{name}" for k, name in enumerate(BASE))
+    return f"""SELECT d.doc_id, {counts},
+        sha256(coalesce(string_agg({item}, ',' ORDER BY start, s.kind) FILTER (s.kind < {len(BASE)}), '')) AS base_sha256, coalesce(string_agg({item}, ',' ORDER BY start, s.kind), '') AS spans
+        FROM documents d LEFT JOIN ({every}) s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
+
+
+@query("op5_secrets", secrets_sql())
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusloom.llm.secrets import BASE, RULES, find_secrets
+
+    found = find_secrets(table(spark, folder, "documents"))
+    names = F.array(*[F.lit(r.kind) for r in RULES])
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start, s.end)), ",")
+    counts = [count_of("spans", k).alias(f"n_{name}") for k, name in enumerate(BASE)]
+    base = F.filter("spans", lambda s: s.kind < len(BASE))
+    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
