@@ -174,3 +174,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     counts = [count_of("spans", k).alias(f"n_{name}") for k, name in enumerate(BASE)]
     base = F.filter("spans", lambda s: s.kind < len(BASE))
     return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+@query("op4_embedding_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusloom.llm.embeddings import near_embeddings
+
+    return near_embeddings(table(spark, folder, "embeddings"))
