@@ -205,3 +205,21 @@ def find_pii(docs: DataFrame, mask: bool = False, id_col: str = "doc_id", text:
     found = "array<struct<kind:string,start:bigint,end:bigint>>"
     schema = f"doc_id long, base {found}, spans {found}" + (", masked string" if mask else "")
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text}` text").mapInArrow(run, schema)
+
+
+def without_pii(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs`` with all its columns, every span in ``text`` replaced by ``<kind>`` and ``length`` set to the new number of code points.
+
+    A null text stays null, and so does its length.
+    """
+    at, size = docs.columns.index(text), docs.columns.index(length)
+
+    def run(batches):
+        for batch in batches:
+            texts = [None if t is None else masked(t, spans(t)[1]) for t in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, batch.schema.types[at])
+            columns[size] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.types[size])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -151,3 +151,18 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: s
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text}` text").mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text", **sample) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose whole text the classifier takes for good; all without a label to learn from."""
+    fitted = train(docs, labels, label, id_col=id_col, text=text, **sample)
+    if fitted is None:
+        return docs
+    model, at = docs.sparkSession.sparkContext.broadcast(fitted), docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            x = np.array([features(t.as_py()) for t in batch.column(at)]).reshape(-1, FEATURES)
+            yield batch.filter(pa.array(model.value.score(x) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -181,3 +181,27 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     from corpusloom.llm.embeddings import near_embeddings
 
     return near_embeddings(table(spark, folder, "embeddings"))
+
+
+@query("op3_token_rollup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Word counts of all documents come in, are revised to tokens of a vocabulary, and later copies of a text go;
+    one batch is committed twice."""
+    import uuid
+
+    from corpusloom.llm.rollups import TokenRollup, deleted, inserted, revised, token_counts
+    from corpusloom.llm.shared import stored
+    from corpusloom.session import shared_folder
+
+    docs = table(spark, folder, "documents")
+    words, tokens = token_counts(docs), stored(token_counts(docs, vocabulary(), "word_bpe_49k"))
+    rollup = TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("1-insert", inserted(words))
+    for _ in range(2):
+        rollup.commit("2-revise", revised(words, tokens))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    texts = stored(docs.select("doc_id", digest.alias("digest")))
+    firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = texts.join(firsts, "digest").filter("doc_id > first").select("doc_id").distinct()
+    rollup.commit("3-delete", deleted(tokens.join(copies, "doc_id", "left_semi")))
+    return rollup.totals()
