@@ -78,7 +78,8 @@ def links(prints: DataFrame, distance: int = 4, blocks: int = BLOCKS) -> DataFra
 
     def span(group: pa.Table) -> pa.Table:
         f = group.column("f").to_numpy()
-        pairs = forest(np.bitwise_count(f[:, None] ^ f[None, :]) <= distance) if len(f) else []
+        bits = f.view(np.uint64)  # signed numbers would be counted without their sign
+        pairs = forest(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= distance) if len(f) else []
         ends = [pa.array(f[[p[side] for p in pairs]] if pairs else [], pa.int64()) for side in (0, 1)]
         return pa.Table.from_arrays(ends, names=["a", "b"])
 
