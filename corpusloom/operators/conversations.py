@@ -61,22 +61,29 @@ def session_sizes(turns: DataFrame, min_turns: int = C.COMPRESS_MIN_TURNS, min_c
     return sized.withColumn("compress", (F.col("turns") >= min_turns) & (F.col("chars") >= min_chars))
 
 
+def _remembered(mentions: Column, cap: int) -> Column:
+    """Mentions in order folded to the entities still known: a new one goes last and the oldest beyond ``cap`` goes;
+    one that went is new again."""
+    none = F.array().cast("array<string>")
+
+    def step(known, entity):
+        longer = F.concat(known, F.array(entity))
+        return F.when(F.array_contains(known, entity), known).otherwise(F.slice(longer, F.greatest(F.lit(1), F.size(longer) - cap + 1), cap))
+
+    return F.aggregate(F.array_compact(mentions), none, step)
+
+
 def accumulated_entities(turns: DataFrame, cap: int = C.ENTITY_CAP) -> DataFrame:
-    """Entities of a session in the order of their first mention, the last ``cap`` of them."""
-    seen = turns.select("session_id", "turn_no", F.posexplode("entities").alias("p", "entity"))
-    first = seen.groupBy("session_id", "entity").agg(F.min(F.struct("turn_no", "p")).alias("first_seen"))
-    last = top_per_key(first, ["session_id"], [F.desc("first_seen")], cap)
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("first_seen"))
-    return last.select("session_id", place.alias("place"), "entity")
+    """Entities that a session still knows after its last turn, in the order they came in, at most ``cap`` of them."""
+    said = turns.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn_no", "entities"))).alias("said"))
+    known = said.select("session_id", _remembered(F.flatten(F.transform("said", lambda t: F.coalesce(t.entities, F.array().cast("array<string>")))), cap).alias("known"))
+    return known.select("session_id", F.posexplode("known").alias("p", "entity")).select("session_id", (F.col("p") + 1).alias("place"), "entity")
 
 
 def entities_before(turns: DataFrame, cap: int = C.ENTITY_CAP) -> DataFrame:
-    """Adds ``known``: the entities accumulated before each turn, first mention first."""
-    order = Window.partitionBy("session_id").orderBy("turn_no")
-    # A session keeps at most a capped number of turns, so the window's arrays stay short.
-    so_far = F.collect_list("entities").over(order.rowsBetween(-C.TURNS_CAP, -1))
-    every = F.array_distinct(F.flatten(so_far))
-    return turns.withColumn("known", F.slice(every, F.greatest(F.lit(1), F.size(every) - cap + 1), cap))
+    """Adds ``known``: the entities that the session knows before each turn, in the order they came in."""
+    before = Window.partitionBy("session_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)
+    return turns.withColumn("known", _remembered(F.flatten(F.collect_list("entities").over(before)), cap))
 
 
 def resolve_coreference(turns: DataFrame, words=C.REFERRING_WORDS) -> DataFrame:

@@ -80,9 +80,13 @@ def entity_table(entities: DataFrame) -> DataFrame:
                        F.coalesce("description", F.lit("")).alias("description"), "source_doc_id", "source_title")
 
 
-def retype_edges(edges: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Replace the relation of generic edges by a decided one, matched null-safe on the evidence."""
-    e, d = edges.alias("e"), decisions.alias("d")
+def retype_edges(edges: DataFrame, decisions: DataFrame, order_by: Sequence[Column | str] = ("new_relation",)) -> DataFrame:
+    """Replace the relation of generic edges by a decided one, matched null-safe on the evidence.
+
+    Of several decisions for one edge the first in ``order_by`` counts, so edges are never multiplied.
+    """
+    first = top_per_key(decisions, ["head", "tail", "evidence"], list(order_by), 1)
+    e, d = edges.alias("e"), first.alias("d")
     on = (
         (F.col("e.relation") == "RELATED_TO")
         & (F.col("e.head") == F.col("d.head")) & (F.col("e.tail") == F.col("d.tail"))

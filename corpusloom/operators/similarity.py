@@ -38,8 +38,9 @@ def _best(query_rows: np.ndarray, query_group: np.ndarray, items: pd.DataFrame,
     scores = query_rows @ _unit_rows(items["item_vec"]).T
     if same:
         scores = np.where(query_group[:, None] == _groups(items, same)[None, :], scores, -np.inf)
-    # Rounding below the twelfth place keeps equal vectors equal across block shapes.
-    order = _leading(-np.round(scores, 12), k)
+    # Rounded once, below the twelfth place: vectors that tie do so in every block, merge and rank.
+    scores = np.round(scores, 12)
+    order = _leading(-scores, k)
     rows = np.repeat(np.arange(len(query_rows)), order.shape[1])
     cols = order.ravel()
     hit = scores[rows, cols]

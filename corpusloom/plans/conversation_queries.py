@@ -47,11 +47,11 @@ def w05(t):
 
 
 @query("W06_accumulated_entities", """
-SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY t, p) AS INT) AS place, entity FROM (
-  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t DESC, p DESC) AS r FROM (
-    SELECT session_id, entity, min(turn_no * 1000 + i) // 1000 AS t, min(turn_no * 1000 + i) % 1000 AS p FROM (
-      SELECT session_id, turn_no, unnest(entities) AS entity, generate_subscripts(entities, 1) - 1 AS i FROM turns) GROUP BY session_id, entity))
-WHERE r <= 2""", ["turns"])
+SELECT session_id, CAST(place AS INT) AS place, known[place] AS entity FROM (
+  SELECT session_id, known, unnest(range(1, len(known) + 1)) AS place FROM (
+    SELECT session_id, list_reduce(list([entity] ORDER BY turn_no, i), lambda known, new:
+        CASE WHEN list_contains(known, new[1]) THEN known ELSE list_slice(known || new, greatest(len(known), 1), len(known) + 1) END, []::VARCHAR[]) AS known
+    FROM (SELECT session_id, turn_no, unnest(entities) AS entity, generate_subscripts(entities, 1) AS i FROM turns) GROUP BY session_id))""", ["turns"])
 def w06(t):
     return K.accumulated_entities(t.turns, 2)
 
