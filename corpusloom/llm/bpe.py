@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Distinct chunks (in each of two generations) and token pairs that a Python worker keeps between blocks; more are worked out again.
-KEPT_CHUNKS, KEPT_PAIRS, BLOCK_ROWS = 100_000, 150_000, 512
+KEPT_CHUNKS, KEPT_PAIRS, BLOCK_ROWS = 110_000, 300_000, 512
 
 # Fixed values of this kind of vocabulary file: its pre-tokenizer pattern and Unicode white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[NEW]]+|[\p{N}--[NEW]]|[[^\s\p{L}\p{N}][NEW]]+"
