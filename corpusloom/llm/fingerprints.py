@@ -70,11 +70,14 @@ def fingerprint_edits(docs: DataFrame, scale: int = SCALE, shingle: int = SHINGL
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = next_ids(given)
     needs = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "half")
-    own = given.withColumn("fingerprint", printed(F.col("text"), sketch(F.col("text"), scale, shingle)))
-    sent = own.join(needs, "doc_id").groupBy(F.col("for_id").alias("doc_id")).agg(
-        F.min(F.struct(F.expr("substring(text, 1, half)").alias("start"), "fingerprint")).alias("next")
-    )
-    rows = own.join(sent, "doc_id", "left")
+    mine = printed(F.col("text"), sketch(F.col("text"), scale, shingle))
+    # Both joins below take the texts by the same key and keep all of them, so Spark shuffles them once and reads that twice.
+    needs = needs.withColumnRenamed("doc_id", "of")
+    sent = given.join(needs, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    sent = sent.select("for_id", F.struct(F.expr("substring(text, 1, half)").alias("start"), mine.alias("fingerprint")).alias("next"))
+    sent = sent.groupBy("for_id").agg(F.min("next").alias("next"))
+    rows = given.join(sent, F.col("doc_id").eqNullSafe(F.col("for_id")), "left").withColumn("fingerprint", mine)
+    rows = rows.withColumn("next", F.when(F.col("doc_id").isNotNull(), F.col("next")))
     start = F.coalesce(F.col("next.start"), F.lit(""))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars) - half)"), F.substring(start, F.lit(1), F.col("half"))))
