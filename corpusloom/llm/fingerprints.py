@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import WORD, ordered
 
 #: One hash in so many is retained, a power of two; words of a shingle.
 SCALE, SHINGLE = 8, 5
+#: Neighbouring ids whose rows meet in one window, a power of two.
+BLOCK = 64
 
 
 def sketch(text: Column, scale: int = SCALE, shingle: int = SHINGLE) -> Column:
@@ -46,13 +48,17 @@ def containment(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(a), F.lit(0))
 
 
-def next_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, half) by descending id, the last followed by the first; half of the longest text under doc_id."""
-    sizes = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.floor(F.max(F.char_length("text")) / 2).cast("int").alias("half"))
-    placed = ordered(sizes, [-F.col("doc_id")])
+def chained(ids: DataFrame) -> DataFrame:
+    """(block, top, above) of every block of ids: its largest id, and the block whose smallest id that id follows.
+
+    By descending id a block's smallest id is followed by the largest id of the next lower block; the
+    lowest block is followed by the highest.
+    """
+    tops = ids.filter("doc_id is not null").groupBy("block").agg(F.max("doc_id").alias("top"))
+    placed = ordered(tops, [F.col("block")])
     n = placed.count()
-    follow = placed.select(F.col("doc_id").alias("next_id"), F.pmod(F.col("idx") - 1, F.lit(max(n, 1))).alias("idx"))
-    return placed.join(follow, "idx").select("doc_id", "next_id", "half")
+    follow = placed.select(F.col("block").alias("above"), F.pmod(F.col("idx") - 1, F.lit(max(n, 1))).alias("idx"))
+    return placed.join(follow, "idx").select("block", "top", "above")
 
 
 def fingerprint_edits(docs: DataFrame, scale: int = SCALE, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,25 +66,31 @@ def fingerprint_edits(docs: DataFrame, scale: int = SCALE, shingle: int = SHINGL
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by as many (or
     all) of the start of the next document, by descending id, the last followed by the first. Texts
-    are shuffled once by id, the starts of next documents no longer than they are needed, and sketches of
-    next documents once; no group is larger than the rows of one id.
+    are shuffled once, by blocks of ``BLOCK`` neighbouring ids, and meet the next text in a window over
+    the block; only the top row of each block is sent on to the block above. A block holds the rows of
+    ``BLOCK`` ids, so no task grows with the input unless one id repeats.
 
     A null text is empty; an empty text has an empty sketch. Of rows that share an id, the least text
     is the next one of others. A row without id has an empty next text. Other columns are left out;
     an empty table gives an empty one.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = next_ids(given)
-    needs = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "half")
+    # Rows without id are dealt out by text, under numbers that no block of ids has.
+    alone = F.lit(-(1 << 63)) + F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    block = F.shiftright("doc_id", BLOCK.bit_length() - 1)
+    chain = chained(given.select("doc_id", block.alias("block")))
     mine = printed(F.col("text"), sketch(F.col("text"), scale, shingle))
-    # Both joins below take the texts by the same key and keep all of them, so Spark shuffles them once and reads that twice.
-    needs = needs.withColumnRenamed("doc_id", "of")
-    sent = given.join(needs, F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    sent = sent.select("for_id", F.struct(F.expr("substring(text, 1, half)").alias("start"), mine.alias("fingerprint")).alias("next"))
-    sent = sent.groupBy("for_id").agg(F.min("next").alias("next"))
-    rows = given.join(sent, F.col("doc_id").eqNullSafe(F.col("for_id")), "left").withColumn("fingerprint", mine)
-    rows = rows.withColumn("next", F.when(F.col("doc_id").isNotNull(), F.col("next")))
-    start = F.coalesce(F.col("next.start"), F.lit(""))
+    # Both uses take all columns and rows of this exchange, so Spark runs it once and reads it twice.
+    dealt = given.withColumn("block", F.coalesce(block, alone)).repartition("block")
+    at_top = F.col("block").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top"))
+    tops = dealt.join(chain.withColumnRenamed("block", "of"), at_top)
+    tops = tops.select("above", F.struct("text", mine.alias("fingerprint")).alias("entering")).groupBy("above").agg(F.min("entering").alias("entering"))
+    rows = dealt.join(tops, F.col("block").eqNullSafe(F.col("above")), "left").withColumn("fingerprint", mine)
+    by_id = Window.partitionBy("block").orderBy("doc_id", F.desc("text"))
+    of_id = Window.partitionBy("block", "doc_id").orderBy(F.desc("text"))
+    rows = rows.withColumn("before", F.lag(F.struct("text", "fingerprint")).over(by_id)).withColumn("before", F.first("before").over(of_id))
+    rows = rows.withColumn("next", F.when(F.col("doc_id").isNotNull(), F.coalesce("before", "entering")))
+    start = F.coalesce(F.col("next.text"), F.lit(""))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars) - half)"), F.substring(start, F.lit(1), F.col("half"))))
     rows = rows.withColumn("edited_fingerprint", printed(F.col("edited"), sketch(F.col("edited"), scale, shingle)))

@@ -60,6 +60,16 @@ def test_fingerprints(docs, texts):
         assert (r.near_edited, r.near_next) == (like(a, e, t == edited), like(a, f, t == after))
 
 
+def test_fingerprints_over_blocks(spark):
+    """Ids that are far apart, negative, at the borders of blocks or repeated; the least text of an id is next."""
+    ids = [-200, -64, -1, 0, 63, 64, 64, 65, 5000, 5000, 10**15]
+    rows = [(i, f"t{k} " + "w " * (20 - k)) for k, i in enumerate(ids)]
+    got = {(r.doc_id, r.edited_sha256) for r in fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {i: min(t for j, t in rows if j == i) for i in ids}
+    below = lambda i: max((j for j in ids if j < i), default=max(ids))
+    assert got == {(i, sha(t[: len(t) - len(t) // 2] + first[below(i)][: len(t) // 2])) for i, t in rows}
+
+
 def test_fingerprints_odd(odd, empty):
     got = Counter(r.doc_id for r in fingerprints.fingerprint_edits(odd).collect())
     assert got == {1: 4, None: 2, 2: 1}
