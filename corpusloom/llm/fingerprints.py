@@ -76,16 +76,16 @@ def fingerprint_edits(docs: DataFrame, scale: int = SCALE, shingle: int = SHINGL
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # Rows without id are dealt out by text, under numbers that no block of ids has.
-    alone = F.lit(-(1 << 63)) + F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    alone = F.lit(-(1 << 63)) + F.xxhash64("text").bitwiseAND(F.lit((1 << 20) - 1))
     block = F.shiftright("doc_id", BLOCK.bit_length() - 1)
     chain = chained(given.select("doc_id", block.alias("block")))
     mine = printed(F.col("text"), sketch(F.col("text"), scale, shingle))
-    # Both uses take all columns and rows of this exchange, so Spark runs it once and reads it twice.
+    # Both uses take all columns and rows of this exchange and join by its key alone, so Spark runs it once and reads it twice.
     dealt = given.withColumn("block", F.coalesce(block, alone)).repartition("block")
-    at_top = F.col("block").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top"))
+    at_top = (F.col("block") == F.col("of")) & (F.coalesce(F.col("doc_id").bitwiseXOR(F.col("top")), F.lit(1)) == 0)
     tops = dealt.join(chain.withColumnRenamed("block", "of"), at_top)
     tops = tops.select("above", F.struct("text", mine.alias("fingerprint")).alias("entering")).groupBy("above").agg(F.min("entering").alias("entering"))
-    rows = dealt.join(tops, F.col("block").eqNullSafe(F.col("above")), "left").withColumn("fingerprint", mine)
+    rows = dealt.join(tops, F.col("block") == F.col("above"), "left").withColumn("fingerprint", mine)
     by_id = Window.partitionBy("block").orderBy("doc_id", F.desc("text"))
     of_id = Window.partitionBy("block", "doc_id").orderBy(F.desc("text"))
     rows = rows.withColumn("before", F.lag(F.struct("text", "fingerprint")).over(by_id)).withColumn("before", F.first("before").over(of_id))
