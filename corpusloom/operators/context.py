@@ -50,10 +50,11 @@ def path_block(found: DataFrame, key: str = "question_id") -> DataFrame:
 
 
 def pack_graph_context(ranked: DataFrame, path_texts: DataFrame | None = None, budget: int = C.GRAPH_BUDGET,
-                       key: str = "question_id") -> DataFrame:
+                       key: str = "question_id", around: DataFrame | None = None) -> DataFrame:
     """Entity and relation lines of a question while the tokens before a line are below the budget.
 
-    The path block is counted first, so one line may overshoot but none follows it.
+    The path block is counted first, so one line may overshoot but none follows it. Entities
+    come from ``around``, where given: one without relations keeps its header.
     """
     header = F.concat(
         F.lit("\n### "), "entity", F.lit(" ("), F.coalesce("entity_type", F.lit("None")), F.lit(")"),
@@ -68,7 +69,7 @@ def pack_graph_context(ranked: DataFrame, path_texts: DataFrame | None = None, b
     relation = F.concat(
         F.lit("  • "), F.when(out, F.col("entity")).otherwise(F.col("other")), F.lit(" —["), "relation", F.lit("]→ "),
         F.when(out, F.col("other")).otherwise(F.col("entity")), proof)
-    heads = ranked.groupBy(key, "entity_no").agg(F.first(header).alias("line")).withColumn("line_no", F.lit(0))
+    heads = (ranked if around is None else around).groupBy(key, "entity_no").agg(F.first(header).alias("line")).withColumn("line_no", F.lit(0))
     rows = ranked.filter(F.col("relation").isNotNull()).select(key, "entity_no", relation.alias("line"), F.col("place").alias("line_no"))
     lines = heads.select(key, "entity_no", "line_no", "line").unionByName(rows.select(key, "entity_no", "line_no", "line"))
     lines = lines.withColumn("tokens", X.estimate_tokens(F.col("line")))

@@ -11,35 +11,39 @@ from corpusloom import constants as C
 from corpusloom.functions import text as X
 
 
+def _head(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.left(text, F.lit(chars))
+
+
 def on_topic(regions: Column, categories: Column, title: Column, content: Column,
-             keywords: Sequence[str] = C.TOPIC_KEYWORDS, region: str = C.TOPIC_REGION, head_chars: int = 2000) -> Column:
-    """Region tag, or any keyword in the joined categories, the title or the head of the content."""
+             keywords: Sequence[str] = C.TOPIC_KEYWORDS, region: str = C.TOPIC_REGION, head_chars: int | None = None) -> Column:
+    """Region tag, or any keyword in the joined categories, the title or the content, or its first ``head_chars`` characters."""
     return (
         F.array_contains(regions, region)
         | X.has_any(F.concat_ws(" ", categories), keywords)
         | X.has_any(title, keywords)
-        | X.has_any(F.left(content, F.lit(head_chars)), keywords)
+        | X.has_any(_head(content, head_chars), keywords)
     )
 
 
 def topic_filter(docs: DataFrame, keywords: Sequence[str] = C.TOPIC_KEYWORDS, region: str = C.TOPIC_REGION,
-                 head_chars: int = 2000) -> DataFrame:
+                 head_chars: int | None = None) -> DataFrame:
     return docs.filter(on_topic(F.col("regions"), F.col("categories"), F.col("title"), F.col("content"), keywords, region, head_chars))
 
 
 def raw_on_topic(categories: Column, url: Column, markdown: Column, keywords: Sequence[str] = C.RAW_TOPIC_KEYWORDS,
-                 category_terms: Sequence[str] = C.RAW_TOPIC_CATEGORIES, head_chars: int = 2000) -> Column:
-    """Category terms, then keywords in the URL, then keywords in the head of the page."""
+                 category_terms: Sequence[str] = C.RAW_TOPIC_CATEGORIES, head_chars: int | None = None) -> Column:
+    """Category terms, then keywords in the URL, then keywords in the page, or its first ``head_chars`` characters."""
     return (
         F.exists(categories, lambda c: X.has_any(c, category_terms))
         | X.has_any(url, keywords)
-        | X.has_any(F.left(markdown, F.lit(head_chars)), keywords)
+        | X.has_any(_head(markdown, head_chars), keywords)
     )
 
 
 def topic_filter_raw(pages: DataFrame, keywords: Sequence[str] = C.RAW_TOPIC_KEYWORDS,
-                     category_terms: Sequence[str] = C.RAW_TOPIC_CATEGORIES) -> DataFrame:
-    return pages.filter(raw_on_topic(F.col("category"), F.col("url"), F.col("markdown"), keywords, category_terms))
+                     category_terms: Sequence[str] = C.RAW_TOPIC_CATEGORIES, head_chars: int | None = None) -> DataFrame:
+    return pages.filter(raw_on_topic(F.col("category"), F.col("url"), F.col("markdown"), keywords, category_terms, head_chars))
 
 
 def split_relations(edges: DataFrame, allowed: Sequence[str] = C.VALID_RELATIONS) -> tuple[DataFrame, DataFrame]:
@@ -97,11 +101,11 @@ def search_conversations(messages: DataFrame, text: str) -> DataFrame:
     return hits.groupBy("conv_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def search_answers(entries: DataFrame, text: str, head: int = 400) -> DataFrame:
-    """Entries with the text in the question or in the head of the answer."""
+def search_answers(entries: DataFrame, text: str, head: int | None = None) -> DataFrame:
+    """Entries with the text in the question or in the answer, or its first ``head`` characters."""
     needle = F.lit(text.lower())
     return entries.filter(
-        F.contains(F.lower("question"), needle) | F.contains(F.lower(F.left(F.col("answer"), F.lit(head))), needle)
+        F.contains(F.lower("question"), needle) | F.contains(F.lower(_head(F.col("answer"), head)), needle)
     )
 
 

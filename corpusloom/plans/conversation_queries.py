@@ -102,7 +102,7 @@ def f10(t):
     return filtering.search_conversations(t.messages, "NATION_1")
 
 
-@query("F10_answer_search", "SELECT session_id, turn_no FROM turns WHERE contains(lower(question), 'eaux') OR contains(lower(left(answer, 400)), 'eaux')", ["turns"])
+@query("F10_answer_search", "SELECT session_id, turn_no FROM turns WHERE contains(lower(question), 'eaux') OR contains(lower(answer), 'eaux')", ["turns"])
 def f10_answers(t):
     return filtering.search_answers(t.turns, "Eaux").select("session_id", "turn_no")
 

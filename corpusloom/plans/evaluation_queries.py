@@ -97,12 +97,12 @@ _SUMMARY = f"""
 SELECT config, {d_round('avg(CAST(overall_score AS DECIMAL(12, 4)))', 4)} AS overall, {d_round('avg(CAST(fact_score AS DECIMAL(12, 4)))', 4)} AS fact_score, {d_round('avg(CAST(trap_score AS DECIMAL(12, 4)))', 4)} AS trap_score,
   {d_round('avg(CAST(min_facts_met AS INT)) * 100', 1)} AS min_facts_pct,
   {', '.join(f"{d_round(f'coalesce(avg(CAST(overall_score AS DECIMAL(12, 4))) FILTER (tier = {i}), 0.0)', 4)} AS tier{i}" for i in (1, 2, 3, 4))}, count(*) AS n
-FROM ({_SCORED}) WHERE attempt = 0 GROUP BY config"""
+FROM (SELECT * FROM ({_SCORED}) QUALIFY row_number() OVER (PARTITION BY question_id, config ORDER BY attempt DESC) = 1) GROUP BY config"""
 
 
 def _summary(t):
-    first = _scores(t).filter("attempt = 0")
-    return evaluation.summarize_scores(first)
+    last = ranking.keep_last(_scores(t), ["question_id", "config"], ["attempt"])
+    return evaluation.summarize_scores(last)
 
 
 @query("A19_score_summary", _SUMMARY, ["runs", "gold"])

@@ -194,9 +194,12 @@ SELECT *, row_number() OVER (PARTITION BY question_id, entity_no ORDER BY score
 FROM (SELECT *, {SCORE_SQL} AS score FROM ({QUESTION_AROUND}) WHERE relation IS NOT NULL)"""
 
 
+def around(t):
+    return graph.neighbors_many(t.questions, t.kg_nodes, t.kg_edges, 15)
+
+
 def ranked(t):
-    around = graph.neighbors_many(t.questions, t.kg_nodes, t.kg_edges, 15)
-    return graph.rank_relations(around, t.questions)
+    return graph.rank_relations(around(t), t.questions)
 
 
 @query("X02_relation_score", f"SELECT head, relation, other, {SCORE_SQL} AS score FROM (SELECT head, relation, tail AS other, evidence, ['nation_1', 'Supplier#000000007'] AS asked FROM kg_edges)", ["kg_edges"])

@@ -420,12 +420,12 @@ SELECT q.question_id, q.entities, {_classify_sql()} AS query_type, t.rank, t.sco
   CASE WHEN d.doc_id % 3 = 0 THEN 'Story of NATION_' || (d.doc_id + 1) % 25 ELSE '' END AS section_title,
   CASE WHEN d.doc_id % 4 = 0 THEN '' ELSE 'https://h.example/' || d.doc_id END AS source_url
 FROM questions q JOIN ({_topk_sql(8, _VQ_ASKED, _C_SQL)}) t ON t.query_id = q.k % (SELECT count(*) FROM embeddings)
-JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN left(text, 1500) || ' is a friend of nation_' || doc_id % 25 || ', related to NATION_3.' ELSE text END AS text FROM documents) d
+JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' is a friend of nation_' || doc_id % 25 || ', related to NATION_3.' ELSE text END AS text FROM documents) d
   ON d.doc_id = t.item_id"""
 
 
 def _texts(t):
-    text = F.when(F.col("doc_id") % 5 == 0, F.expr("left(text, 1500) || ' is a friend of nation_' || doc_id % 25 || ', related to NATION_3.'")).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 5 == 0, F.expr("text || ' is a friend of nation_' || doc_id % 25 || ', related to NATION_3.'")).otherwise(F.col("text"))
     return t.documents.select(
         F.col("doc_id").alias("item_id"), "doc_id", text.alias("full_text"), F.expr("'Page NATION_' || doc_id % 25").alias("title"),
         F.expr("CASE WHEN doc_id % 3 = 0 THEN 'Story of NATION_' || (doc_id + 1) % 25 ELSE '' END").alias("section_title"),
@@ -500,7 +500,7 @@ SELECT question_id, entity_no, CAST(line_no AS INT) AS line_no, line, tokens_bef
 
 @query("W07_packed_graph_lines", _LINES, ["questions", "kg_edges", "kg_nodes"])
 def w07(t):
-    lines = context.pack_graph_context(G.ranked(t), budget=700)
+    lines = context.pack_graph_context(G.ranked(t), budget=700, around=G.around(t))
     return lines.select("question_id", "entity_no", "line_no", "line", "tokens_before")
 
 
@@ -527,10 +527,10 @@ def d07(t):
 
 @query("D07_user_message", """
 SELECT session_id, CASE WHEN turn_no > 0 THEN '## Conversation History' || chr(10) || answer || chr(10) || chr(10) ELSE '' END
-  || '## Context' || chr(10) || left(answer, 100) || chr(10) || chr(10) || '## Question' || chr(10) || question AS prompt, turn_no FROM turns""", ["turns"])
+  || '## Context' || chr(10) || answer || chr(10) || chr(10) || '## Question' || chr(10) || question AS prompt, turn_no FROM turns""", ["turns"])
 def d07_message(t):
     history = F.when(F.col("turn_no") > 0, F.col("answer")).otherwise("")
-    return t.turns.select("session_id", context.user_message(F.left(F.col("answer"), F.lit(100)), F.col("question"), history).alias("prompt"), "turn_no")
+    return t.turns.select("session_id", context.user_message(F.col("answer"), F.col("question"), history).alias("prompt"), "turn_no")
 
 
 @query("D08_retrieve")

@@ -56,14 +56,15 @@ def _passages(questions: DataFrame, stores: Stores, config: RetrievalConfig) ->
     return placed.join(texts, "item_id")
 
 
-def _relations(questions: DataFrame, stores: Stores, config: RetrievalConfig) -> DataFrame:
+def _relations(questions: DataFrame, stores: Stores, config: RetrievalConfig) -> tuple[DataFrame, DataFrame]:
+    """Neighbourhoods of the asked entities, those without relations included, and their ranked relations."""
     around = graph.neighbors_many(questions, stores.nodes, stores.edges, config.max_relations)
     if config.use_graph_ranking:
         ranked = graph.rank_relations(around, questions)
     else:
         place = F.col("rank") + F.when(F.col("direction") == "outgoing", 0).otherwise(config.max_relations)
         ranked = around.filter(F.col("relation").isNotNull()).withColumn("score", F.lit(0.0)).withColumn("place", place)
-    return ranked
+    return around, ranked
 
 
 def _paths(questions: DataFrame, stores: Stores, config: RetrievalConfig) -> DataFrame:
@@ -102,6 +103,7 @@ def retrieve(questions: DataFrame, stores: Stores, config: RetrievalConfig = Ret
         if config.use_paths:
             best = _paths(typed, stores, config).filter(F.col("path_rank") == 1)
             blocks = context.path_block(best.withColumnRenamed("source", "entity1").withColumnRenamed("target", "entity2"))
-        lines = context.pack_graph_context(_relations(typed, stores, config), blocks, config.graph_budget)
+        around, ranked = _relations(typed, stores, config)
+        lines = context.pack_graph_context(ranked, blocks, config.graph_budget, around=around)
         graphs = context.graph_text(lines, blocks)
     return context.assemble_context(typed, texts, graphs)

@@ -255,14 +255,14 @@ def _parsed(t):
 SELECT doc_id FROM (SELECT doc_id, {_TITLE_SQL} AS title, {_REGIONS_SQL} AS regions, array_to_string(category, ' ') AS cats,
   {d_clean_markdown('markdown')} AS content FROM wiki)
 WHERE list_contains(regions, 'Sumeru') OR regexp_matches(cats, '{_TOPIC_RE}') OR regexp_matches(title, '{_TOPIC_RE}')
-  OR regexp_matches(left(content, 2000), '{_TOPIC_RE}')""", ["wiki"])
+  OR regexp_matches(content, '{_TOPIC_RE}')""", ["wiki"])
 def f01(t):
     return filtering.topic_filter(_parsed(t)).select("doc_id")
 
 
 @query("F02_raw_topic_filter", f"""
 SELECT doc_id FROM wiki WHERE len(list_filter(category, lambda c: regexp_matches(c, '(?i)sumeru|dendro|akademiya'))) > 0
-  OR regexp_matches(url, '{_RAW_RE}') OR regexp_matches(left(markdown, 2000), '{_RAW_RE}')""", ["wiki"])
+  OR regexp_matches(url, '{_RAW_RE}') OR regexp_matches(markdown, '{_RAW_RE}')""", ["wiki"])
 def f02(t):
     return filtering.topic_filter_raw(t.wide.wiki).select("doc_id")
 

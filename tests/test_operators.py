@@ -12,7 +12,7 @@ from corpusloom import constants as C
 from corpusloom.functions import labels, scoring
 from corpusloom.functions import text as X
 from corpusloom.functions.jsonfix import repair, salvage_json
-from corpusloom.operators import aliases, chunking, context, conversations, evaluation, fetching, graph, mentions, models, paths, ranking, reports, similarity
+from corpusloom.operators import aliases, chunking, context, conversations, evaluation, fetching, filtering, graph, mentions, models, paths, ranking, reports, similarity
 from corpusloom.sources import readers, writers
 
 
@@ -379,6 +379,25 @@ def test_path_block_counts_towards_the_graph_budget(spark):
     assert context.pack_graph_context(ranked, block, budget=20).count() == 0
 
 
+def test_entity_without_relations_keeps_its_header(spark):
+    nodes = spark.createDataFrame([("Lone", "T", "alone"), ("A", "T", ""), ("B", "T", "")], "name string, type string, description string")
+    edges = spark.createDataFrame([("A", "KNOWS", "B", None)], "head string, relation string, tail string, evidence string")
+    asked = spark.createDataFrame([("q", ["lone", "A"])], "question_id string, entities array<string>")
+    around = graph.neighbors_many(asked, nodes, edges)
+    lines = context.pack_graph_context(graph.rank_relations(around, asked), around=around).orderBy("entity_no", "line_no").collect()
+    assert [r.line for r in lines] == ["\n### Lone (T)\nalone", "\n### A (T)", "  • A —[KNOWS]→ B"]
+
+
+def test_filters_read_whole_texts(spark):
+    late = "x " * 3000 + "needle"
+    entries = spark.createDataFrame([(1, "q", late), (2, "q", "x")], "id long, question string, answer string")
+    assert [r.id for r in filtering.search_answers(entries, "Needle").collect()] == [1]
+    assert filtering.search_answers(entries, "Needle", head=400).count() == 0
+    docs = entries.select("id", F.array(F.lit("r")).alias("regions"), F.array(F.lit("c")).alias("categories"), F.lit("t").alias("title"), F.col("answer").alias("content"))
+    assert [r.id for r in filtering.topic_filter(docs, ["needle"], "none").collect()] == [1]
+    assert filtering.topic_filter(docs, ["needle"], "none", head_chars=2000).count() == 0
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 
