@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 
 #: Distinct chunks (in each of two generations) and token pairs that a Python worker keeps between blocks; more are worked out again.
 KEPT_CHUNKS, KEPT_PAIRS, BLOCK_ROWS = 110_000, 300_000, 512
+#: The same where only counts are wanted: a number takes less room than ids and tokens.
+KEPT_COUNTS = 250_000
 
 # Fixed values of this kind of vocabulary file: its pre-tokenizer pattern and Unicode white space.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[NEW]]+|[\p{N}--[NEW]]|[[^\s\p{L}\p{N}][NEW]]+"
@@ -70,6 +72,8 @@ class WordTokens:
         self.fits: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
+        self.sizes: dict[str, int] = {}
+        self.older_sizes: dict[str, int] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain merging of a few symbols: the lowest rank first, from the left."""
@@ -133,6 +137,10 @@ class WordTokens:
             out[word] = (number, token)
         return out
 
+    def parts_of(self, chunk: str) -> list[str]:
+        """The words of a chunk, as byte letters."""
+        return [m.encode().decode("latin-1").translate(self.letters) for m in self.pieces.findall(chunk)]
+
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks (text between blanks, lower case) that aren't known; those not met for long go."""
         if len(self.chunks) > KEPT_CHUNKS:
@@ -144,7 +152,7 @@ class WordTokens:
             else:
                 new.append(chunk)
         plain = {c for c in new if c.isascii() and c.isalpha()}
-        parts = {c: [m.encode().decode("latin-1").translate(self.letters) for m in self.pieces.findall(c)] for c in new if c not in plain}
+        parts = {c: self.parts_of(c) for c in new if c not in plain}
         tokens = self.encode_words(plain.union(*parts.values()))
         for chunk in plain:
             self.chunks[chunk] = tokens[chunk]
@@ -175,6 +183,22 @@ class WordTokens:
                 tokens += [t for _, t in known if t]
             yield " ".join(ids), " ".join(tokens)
 
+    def count_texts(self, texts: list[str]) -> list[int]:
+        """The number of tokens of every text; of known chunks only their numbers of tokens are kept."""
+        if len(self.sizes) > KEPT_COUNTS:
+            self.older_sizes, self.sizes = self.sizes, {}
+        split = [self.split(t) for t in texts]
+        met, new = {c for runs in split for special, chunks in runs if not special for c in chunks}, {}
+        for chunk in met.difference(self.sizes):
+            if chunk in self.older_sizes:
+                self.sizes[chunk] = self.older_sizes[chunk]
+            else:
+                new[chunk] = [chunk] if chunk.isascii() and chunk.isalpha() else self.parts_of(chunk)
+        words = {w: ids.count(" ") + 1 for w, (ids, _) in self.encode_words(set().union(*new.values())).items()}
+        for chunk, parts in new.items():
+            self.sizes[chunk] = sum(map(words.__getitem__, parts))
+        return [sum(len(chunks) if special else sum(map(self.sizes.__getitem__, chunks)) for special, chunks in runs) for runs in split]
+
 
 def lowered(text: str) -> str:
     """Lower case letter by letter: a final sigma is not treated apart."""

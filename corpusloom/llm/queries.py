@@ -194,14 +194,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from corpusloom.session import shared_folder
 
     docs = table(spark, folder, "documents")
-    words, tokens = token_counts(docs), stored(token_counts(docs, vocabulary(), "word_bpe_49k"))
+    words, tokens = stored(token_counts(docs)), stored(token_counts(docs, vocabulary(), "word_bpe_49k"))
     rollup = TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.commit("1-insert", inserted(words))
     for _ in range(2):
         rollup.commit("2-revise", revised(words, tokens))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    texts = stored(docs.select("doc_id", digest.alias("digest")))
-    firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = texts.join(firsts, "digest").filter("doc_id > first").select("doc_id").distinct()
-    rollup.commit("3-delete", deleted(tokens.join(copies, "doc_id", "left_semi")))
+    firsts = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    later = tokens.filter("doc_id is not null").join(firsts, "doc_id", "left_anti")  # joined by id, so copies don't meet in one task
+    rollup.commit("3-delete", deleted(later))
     return rollup.totals()

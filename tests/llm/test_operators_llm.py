@@ -1,12 +1,14 @@
 """The operators against brute force on small inputs, and their defined results on odd ones."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import tokenizers
 import xxhash
 from llm.conftest import SCHEMA, brute_components
 
@@ -97,6 +99,18 @@ def test_mixing_targets_and_limits(docs, odd, empty):
 # 3 rollups
 
 
+def test_counts_agree_with_the_library(monkeypatch):
+    library = tokenizers.Tokenizer.from_file(vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    with open(vocabulary(), encoding="utf-8") as f:
+        coder = bpe.WordTokens(json.load(f))
+    monkeypatch.setattr(bpe, "KEPT_COUNTS", 2)  # known counts leave all the time
+    blocks = [["", " ", "it's 12,34 ''re"], ["héllo wörld <unk> ÀÉ", "中文字 a\x07b ünï!!"], ["it's it's", "x" * 300, "don't'll've"]] * 2
+    for block in blocks:
+        assert coder.count_texts(block) == [len(library.encode(t, add_special_tokens=False).ids) for t in block]
+
+
 def test_rollup_is_idempotent_and_signed(spark, docs, empty, tmp_path):
     words, tokens = rollups.token_counts(docs), rollups.token_counts(docs, vocabulary(), "bpe")
     book = rollups.TokenRollup(spark, str(tmp_path / "r"))
