@@ -163,10 +163,10 @@ def rewrite(text: str, changes: list[tuple[int, int, str]]) -> tuple[str, list[i
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base, all) spans as (kind, start, end), sorted; the disguised ones that touch no base span are added."""
+    """(base, all) spans as (kind, start, end), sorted; the disguised ones that no base span of their kind holds are added."""
     text = text or ""
     base = sorted(identifiers(text))
-    more = [s for s in disguised(text) if all(s[2] <= a or b <= s[1] for _, a, b in base)]
+    more = [s for s in disguised(text) if not any(k == s[0] and a <= s[1] and s[2] <= b for k, a, b in base)]
     return base, sorted({*base, *more})
 
 
@@ -186,9 +186,9 @@ def find_pii(docs: DataFrame, mask: bool = False, id_col: str = "doc_id", text:
 
     Base spans are those the plain rules find in the text as it is. Then transducers rewrite
     look-alike letters, hidden signs, spelled digits and at/dot disguises; what the rules find in the
-    rewritten text is mapped back and added where no base span is touched. A null text counts as
-    empty (its masked form stays null), repeated rows give repeated results, other columns are left
-    out, an empty table gives an empty one. Nothing is shuffled; each row is worked on by itself.
+    rewritten text is mapped back and added unless a base span of its kind holds it; so an identifier
+    of which the plain rules see a fragment has both spans. A null text counts as (its masked form stays null), repeated rows give repeated results, other columns are left out, an
+    empty table gives an empty one. Nothing is shuffled; each row is worked on by itself.
     """
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

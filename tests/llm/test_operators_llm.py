@@ -327,6 +327,21 @@ def test_pii_disguises(text, kind, span):
     assert span not in pii.masked(text, found)
 
 
+@pytest.mark.parametrize("whole,kind,fragment", [
+    ("j\u043ehn.doe@example.com", "email", "hn.doe@example.com"),
+    ("john.doe@example.c\u043em", "email", "john.doe@example.c"),
+    ("jo\u200bhn@example.com", "email", "hn@example.com"),
+    ("192.168.1.1\uff10", "ip", "192.168.1.1"),
+    ("1.2.3.4@ex\u0430mple.com", "email", "1.2.3.4"),
+])
+def test_pii_disguise_around_a_fragment(whole, kind, fragment):
+    text = f"to {whole} now"
+    base, found = pii.spans(text)
+    assert [text[a:b] for _, a, b in base] == [fragment]
+    assert (pii.KINDS.index(kind), 3, 3 + len(whole)) in found and set(base) <= set(found)
+    assert pii.masked(text, found) == f"to <{kind}> now"
+
+
 def test_pii_leaves_plain_text_alone(spark, docs, odd, empty):
     for t in ("look at the dot on it", "one at a time", "meet me at noon dot dot", "two or three of them"):
         assert pii.spans(t) == ([], [])
