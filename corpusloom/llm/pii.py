@@ -37,9 +37,12 @@ ODD = re.compile("[" + "".join(map(re.escape, map(chr, LETTERS))) + HIDDEN + "]"
 _DIGIT = "|".join(sorted(DIGITS, key=len, reverse=True))
 SPELLED = re.compile(rf"\b(?:{_DIGIT})(?:[ \t,-]{{1,2}}(?:{_DIGIT}|[0-9]))+\b", re.IGNORECASE)
 ONE = re.compile(rf"({_DIGIT})|[0-9]", re.IGNORECASE)
+#: Numbers and spelled digits in a row, also across dots; in such a row a lone spelled digit counts as well.
+NUMBERS = re.compile(rf"(?:\b(?:{_DIGIT})|(?<![0-9])[0-9]++)(?:(?:[ \t,-]{{1,2}}|\x20dot\x20|\.|\x20?[\[({{<]\x20?dot\x20?[\])}}>]\x20?)(?:(?:{_DIGIT})\b|[0-9]++))++", re.IGNORECASE)
+LONE = re.compile(rf"\b(?:{_DIGIT})\b", re.IGNORECASE)
 # Endings that a domain given in bare words must have.
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|name|dev|app|io|ai|co|me|tv|uk|de|fr|es|it|nl|ch|at|eu|us|ca|au|jp|cn|in|br|ru|pl|se"
-#: Brackets around at or dot need no more proof; the bare words count only in a domain with a known ending.
+#: Brackets around at or dot need no more proof; the bare words count only in a domain with a known ending, and at only if a dot of that domain is disguised too.
 SIGNS = re.compile(r"\x20?[\[({<]\x20?(at|dot)\x20?[\])}>]\x20?", re.IGNORECASE)
 BARE = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:@|\x20at\x20)", re.IGNORECASE)
 BARE_DOT = re.compile(r"\x20dot\x20", re.IGNORECASE)
@@ -106,26 +109,37 @@ def stands_alone(low: str, word: str) -> bool:
     return False
 
 
-def edits(text: str) -> list[tuple[int, int, str]]:
-    """What the transducers rewrite in the source: (start, end, replacement), in order and without overlap."""
+def signs(text: str) -> list[tuple[int, int, str]]:
+    """Look-alikes and hidden signs of the source: (start, end, replacement), in order."""
+    if not may_hold_odd(text):
+        return []
+    return [(m.start(), m.end(), "" if m[0] in HIDDEN else m[0].translate(LETTERS)) for m in ODD.finditer(text)]
+
+
+def words(text: str, real_dot) -> list[tuple[int, int, str]]:
+    """Spelled digits and at/dot disguises: (start, end, replacement), in order and without overlap.
+
+    ``real_dot`` tells of a place whether its dot is one of the source.
+    """
     low, found = text.lower(), []
-    if len(low) != len(text):
-        low = text
-    if may_hold_odd(text):
-        found += [(m.start(), m.end(), text[m.start()].translate(LETTERS) if m[0] not in HIDDEN else "") for m in ODD.finditer(text)]
     if any(stands_alone(low, d) for d in DIGITS):
         for m in SPELLED.finditer(text):
             found.append((m.start(), m.end(), "".join(DIGITS.get(d[0].lower(), d[0]) for d in ONE.finditer(m[0]))))
+        for run in NUMBERS.finditer(text):
+            found += [(m.start(), m.end(), DIGITS[low_word]) for m in LONE.finditer(text, *run.span()) if (low_word := m[0].lower()) in DIGITS]
     if any(c in text for c in "])}>"):
         found += [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in SIGNS.finditer(text)]
-    if " dot " in low:
+    dots = " dot " in low
+    if dots:
         found += [(m.start(), m.end(), ".") for m in IP_DOT.finditer(text)]
+    if " at " in low or dots and "@" in low:
         for m in BARE.finditer(text):
-            if run := DOTTED.match(text, m.end()):
+            run = DOTTED.match(text, m.end())
+            if run and (m[0] == "@" or BARE_DOT.search(run[0]) or any(c == "." and not real_dot(i) for i, c in enumerate(run[0], m.end()))):
                 found += [(m.start(), m.end(), "@")] if m[0] != "@" else []
                 found += [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(text, m.end(), run.end())]
     out, done = [], 0
-    for a, b, new in sorted(found):
+    for a, b, new in sorted(found, key=lambda f: (f[0], -f[1])):
         if a >= done:
             out.append((a, b, new))
             done = b
@@ -133,20 +147,25 @@ def edits(text: str) -> list[tuple[int, int, str]]:
 
 
 def disguised(text: str) -> list[tuple[int, int, int]]:
-    """Identifiers of the rewritten text as spans of the source: from the first rewritten sign's start to the last one's end."""
-    changes = edits(text)
-    if not changes:
-        return []
-    if any(new == "" or len(new) == 1 and b - a == 1 for a, b, new in changes):
-        # signs for signs first, then the disguises that they may have hidden
-        small = [(a, b, new) for a, b, new in changes if b - a == 1 and len(new) <= 1]
-        plain, starts, ends = rewrite(text, small)
-        more = edits(plain)
-        again, starts2, ends2 = rewrite(plain, more)
-        starts, ends = [starts[i] for i in starts2], [ends[i - 1] if i else 0 for i in ends2]
-    else:
-        again, starts, ends = rewrite(text, changes)
-    return [(k, starts[a], ends[b - 1]) for k, a, b in identifiers(again)]
+    """Identifiers of the rewritten texts as spans of the source: from the first rewritten sign's start to the last one's end.
+
+    Signs are rewritten first, then words until nothing changes. Every step's identifiers count, as
+    a later one may run on into what follows; those that another one of their kind holds are left out.
+    """
+    found, changes, spelled = set(), signs(text), False
+    plain, starts, ends = text, range(len(text)), range(1, len(text) + 1)
+    while changes or not spelled:
+        if changes:
+            plain, first, last = rewrite(plain, changes)
+            starts, ends = [starts[i] for i in first], [ends[i - 1] for i in last]
+            found |= {(k, starts[a], ends[b - 1]) for k, a, b in identifiers(plain)}
+        changes, spelled = words(plain, lambda i: text[starts[i]] == "."), True
+    out, reach = [], [-1] * len(KINDS)
+    for k, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
+        if b > reach[k]:
+            out.append((k, a, b))
+            reach[k] = b
+    return out
 
 
 def rewrite(text: str, changes: list[tuple[int, int, str]]) -> tuple[str, list[int], list[int]]:
@@ -187,7 +206,12 @@ def find_pii(docs: DataFrame, mask: bool = False, id_col: str = "doc_id", text:
     Base spans are those the plain rules find in the text as it is. Then transducers rewrite
     look-alike letters, hidden signs, spelled digits and at/dot disguises; what the rules find in the
     rewritten text is mapped back and added unless a base span of its kind holds it; so an identifier
-    of which the plain rules see a fragment has both spans. A null text counts as (its masked form stays null), repeated rows give repeated results, other columns are left out, an
+    of which the plain rules see a fragment has both spans. Words are rewritten until nothing changes,
+    so combined disguises count. Out of bounds in all texts alike: a bare ' at ' before a domain with
+    none but real dots ('john at example.com', as pages are named like that too: 'look at
+    example.com'), bare words with a domain ending that is not one of ``ENDINGS``, spelled numbers from
+    ten on, and a spelled digit with no number or spelled digit beside it. A null text counts as empty
+    (its masked form stays null), repeated rows give repeated results, other columns are left out, an
     empty table gives an empty one. Nothing is shuffled; each row is worked on by itself.
     """
     item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -342,6 +342,29 @@ def test_pii_disguise_around_a_fragment(whole, kind, fragment):
     assert pii.masked(text, found) == f"to <{kind}> now"
 
 
+@pytest.mark.parametrize("whole,kind", [
+    ("john at example (dot) com", "email"),
+    ("john at example\u2024com", "email"),
+    ("bob (at) mail dot example [dot] com", "email"),
+    ("one nine two dot one six eight dot one dot one", "ip"),
+    ("192 [dot] one six eight [dot] 1 [dot] one", "ip"),
+    ("4111 1111 1111 111 one", "card"),
+    ("\uff14111 1111 1111 111 \u043ene", "card"),
+])
+def test_pii_combined_disguises(whole, kind):
+    text = f"to {whole} now"
+    base, found = pii.spans(text)
+    assert base == [] and found == [(pii.KINDS.index(kind), 3, 3 + len(whole))]
+
+
+def test_pii_at_does_not_depend_on_other_words():
+    for t in ("john at example.com", "look at www.example.com", "a dot on it"):
+        assert pii.spans(t) == pii.spans(t + " and a dot on it") == ([], [])
+    # a later step runs on into the next number; what an earlier one found stays
+    assert pii.spans("\uff14111 1111 1111 1111 one of")[1] == [(2, 0, 19)]
+    assert pii.spans("\u017feven one \u0130 two dot one")[0] == [] and pii.spans("1" * 200_000 + " one")[1] == []
+
+
 def test_pii_leaves_plain_text_alone(spark, docs, odd, empty):
     for t in ("look at the dot on it", "one at a time", "meet me at noon dot dot", "two or three of them"):
         assert pii.spans(t) == ([], [])
