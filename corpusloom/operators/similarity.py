@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -135,15 +136,18 @@ def _blocked(q: DataFrame, c: DataFrame, k: int, same: Sequence[str], out: T.Str
 
 def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, same: Sequence[str], out: T.StructType,
           inner: str | None = None) -> DataFrame:
-    """Score the two sides of each key against each other; with ``inner``, only rows that also
-    agree on that column."""
+    """Score the two sides of each key against each other; with ``inner``, only rows where the
+    item's value of that column is in the query's list."""
 
     def pair(asked: pd.DataFrame, items: pd.DataFrame) -> list[pd.DataFrame]:
         rows, groups, ids = _unit_rows(asked["query_vec"]), _groups(asked, same), asked["query_id"].to_numpy()
         found = []
         for start in range(0, len(items), BLOCK_ROWS):
-            at, item, value = _best(rows, groups, items.iloc[start:start + BLOCK_ROWS], same, k)
-            found.append(pd.DataFrame({"query_id": ids[at], "item_id": item, "score": value}))
+            block = items.iloc[start:start + BLOCK_ROWS]
+            for first in range(0, len(rows), BLOCK_ROWS):
+                part = slice(first, first + BLOCK_ROWS)
+                at, item, value = _best(rows[part], groups[part], block, same, k)
+                found.append(pd.DataFrame({"query_id": ids[part][at], "item_id": item, "score": value}))
         return found
 
     def score(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
@@ -152,10 +156,15 @@ def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, same:
             if len(asked) and len(items):
                 found = pair(asked, items)
         else:
+            wanted = asked[inner].explode()
             parts = dict(list(items.groupby(inner, sort=False)))
-            for value, group in asked.groupby(inner, sort=False):
+            for value, places in wanted.groupby(wanted, sort=False).groups.items():
                 if value in parts:
-                    found += pair(group, parts[value])
+                    found += pair(asked.loc[places], parts[value])
+            if found:
+                found = [pd.concat(found, ignore_index=True).sort_values(
+                    ["query_id", "score", "item_id"], ascending=[True, False, True], kind="stable").drop_duplicates(
+                        ["query_id", "item_id"]).groupby("query_id", sort=False).head(k)]
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"query_id": [], "item_id": [], "score": []})
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, out)
@@ -164,8 +173,12 @@ def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, same:
 def vector_topk_approx(queries: DataFrame, corpus: DataFrame, k: int = 8, tables: int = 8, bits: int = 6,
                        width: int = 64, query_id: str = "query_id", item_id: str = "item_id",
                        query_vec: str = "embedding", item_vec: str = "embedding", seed: int = 7,
-                       rows_per_task: int = 20_000) -> DataFrame:
-    """Approximate top-k: items that share a sign code with the query in any table, ranked exactly.
+                       rows_per_task: int = 20_000, probes: int = 10) -> DataFrame:
+    """Approximate top-k: items whose sign code is one of the query's in any table, ranked exactly.
+
+    A query looks at ``probes`` codes per table: its own, then those with one or two signs turned,
+    the products nearest to zero first. On vectors without any clusters more probes or tables are
+    the only way to a higher recall.
 
     Codes are signs of products with ``tables * bits`` fixed random directions. Codes are counted
     first (at most ``tables * 2**bits`` figures): a crowded code is dealt over as many salts as it
@@ -174,26 +187,42 @@ def vector_topk_approx(queries: DataFrame, corpus: DataFrame, k: int = 8, tables
     """
     directions = np.random.default_rng(seed).standard_normal((width, tables * bits))
 
-    @F.pandas_udf("array<long>")
-    def codes(vectors: pd.Series) -> pd.Series:
-        signs = (np.asarray([np.asarray(v, dtype=np.float64) for v in vectors]).reshape(len(vectors), width) @ directions) > 0
-        packed = signs.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits))
-        return pd.Series(list(packed.astype(np.int64)))
-
-    def coded(df: DataFrame, key: str, vec: str, id_name: str, vec_name: str) -> DataFrame:
+    turned = [(), *((a,) for a in range(bits)), *combinations(range(bits), 2)]
+    flips = np.array([[b in turn for b in range(bits)] for turn in turned], dtype=np.int64)
+    values = 1 << np.arange(bits)
+
+    def coded(df: DataFrame, key: str, vec: str, id_name: str, vec_name: str, per_table: int) -> DataFrame:
+        @F.pandas_udf("array<long>")
+        def codes(vectors: pd.Series) -> pd.Series:
+            product = (np.asarray([np.asarray(v, dtype=np.float64) for v in vectors]).reshape(len(vectors), width) @ directions)
+            product = product.reshape(len(vectors), tables, bits)
+            own = ((product > 0) @ values)[:, :, None]
+            if per_table > 1:
+                nearest = np.argsort((product * product) @ flips.T, axis=2, kind="stable")[:, :, :per_table]
+                own = own ^ (flips @ values)[nearest]
+            return pd.Series(list(own.reshape(len(vectors), -1).astype(np.int64)))
+
+        at = F.posexplode("codes").alias("at", "code")
         return df.select(F.col(key).alias(id_name), F.col(vec).alias(vec_name), codes(F.col(vec)).alias("codes")).select(
-            id_name, vec_name, F.posexplode("codes").alias("hash_table", "code"))
+            id_name, vec_name, at).select(id_name, vec_name, F.floor(F.col("at") / per_table).cast("int").alias("hash_table"), "code")
 
-    items = coded(spread(corpus), item_id, item_vec, "item_id", "item_vec")
+    looked_at = max(1, min(probes, len(turned)))
+    items = coded(spread(corpus), item_id, item_vec, "item_id", "item_vec", 1)
     slots = max(1, math.ceil(corpus.count() / rows_per_task))
-    sizes = items.groupBy("hash_table", "code").agg(F.ceil(F.count(F.lit(1)) / rows_per_task).cast("int").alias("salts"))
-    left = coded(queries, query_id, query_vec, "query_id", "query_vec").join(sizes, ["hash_table", "code"]).withColumn(
+    counted = items.groupBy("hash_table", "code").agg(F.ceil(F.count(F.lit(1)) / rows_per_task).cast("int").alias("salts"))
+    # At most tables * 2**bits rows, so they are shared and no vector is shuffled for this join.
+    sizes = F.broadcast(counted)
+    left = coded(queries, query_id, query_vec, "query_id", "query_vec", looked_at).join(sizes, ["hash_table", "code"]).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     right = items.join(sizes, ["hash_table", "code"]).withColumn("salt", F.pmod(F.xxhash64("item_id"), F.col("salts")).cast("int"))
     slot = F.pmod(F.xxhash64("code", "salt"), F.lit(slots)).cast("int")
     bucket = (F.col("code") * 1_000_000 + F.col("salt")).alias("bucket")
     out = _output_type(queries, corpus, query_id, item_id)
-    local = _meet(left.select("query_id", "query_vec", "hash_table", bucket, slot.alias("slot")),
+    # A query meets many buckets of a task, so its vector goes there once, with their list.
+    asked = left.select("query_id", "hash_table", bucket, slot.alias("slot")).groupBy("query_id", "hash_table", "slot").agg(
+        F.collect_list("bucket").alias("bucket"))
+    asked = asked.join(queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec")), "query_id")
+    local = _meet(asked.select("query_id", "query_vec", "hash_table", "bucket", "slot"),
                   right.select("item_id", "item_vec", "hash_table", bucket, slot.alias("slot")),
                   ["hash_table", "slot"], k, (), out, inner="bucket")
     once = local.groupBy("query_id", "item_id").agg(F.max("score").alias("score"))

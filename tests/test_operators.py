@@ -188,6 +188,14 @@ def test_approximate_topk_recall_and_salting(spark, tables):
     assert sorted(map(tuple, approx.collect())) == sorted(map(tuple, salted.collect()))
 
 
+def test_approximate_topk_recall_of_the_query(spark, tables):
+    exact = similarity.vector_topk(tables.cache_lookups, tables.embeddings, 8, item_id="vec_id").select("query_id", "item_id")
+    approx = similarity.vector_topk_approx(tables.cache_lookups, tables.embeddings, 8, item_id="vec_id").select("query_id", "item_id")
+    for part in (F.lit(True), F.col("query_id") % 3 == 2):
+        asked = exact.filter(part)
+        assert asked.intersect(approx).count() >= 0.9 * asked.count()
+
+
 def test_cache_cases(spark):
     base = [1.0, 0.0, 0.0, 0.0, 0.0]
     cache = spark.createDataFrame([(1, "en", base)], "entry_id long, lang string, embedding array<double>")
