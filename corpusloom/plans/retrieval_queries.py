@@ -80,7 +80,20 @@ LEFT JOIN (SELECT lower(alias) AS low, max(canonical_name) AS canonical FROM (
   SELECT unnest(['nation_' || n_nationkey, 'Red Widget']) AS alias, unnest(['Realm ' || n_nationkey, 'Widget']) AS canonical_name FROM nation
   WHERE n_regionkey < 3) GROUP BY 1) a ON lower(name) = low""", ["questions"])
 def j01(t):
-    known = t.nation.filter("n_regionkey < 3").select(F.explode(F.array(
+    return _resolved_names(t, t.nation.filter("n_regionkey < 3"))
+
+
+@query("J01_alias_resolution_all_nations", """
+SELECT question_id, name, coalesce(canonical, name) AS canonical FROM (SELECT question_id, unnest(entities) AS name FROM questions) q
+LEFT JOIN (SELECT lower(alias) AS low, max(canonical_name) AS canonical FROM (
+  SELECT unnest(['nation_' || n_nationkey, 'Red Widget']) AS alias, unnest(['Realm ' || n_nationkey, 'Widget']) AS canonical_name FROM nation) GROUP BY 1) a
+  ON lower(name) = low""", ["questions"])
+def j01_all(t):
+    return _resolved_names(t, t.nation)
+
+
+def _resolved_names(t, nations):
+    known = nations.select(F.explode(F.array(
         F.struct(F.expr("'nation_' || n_nationkey").alias("alias"), F.expr("'Realm ' || n_nationkey").alias("canonical_name")),
         F.struct(F.lit("Red Widget").alias("alias"), F.lit("Widget").alias("canonical_name")))).alias("a")).select("a.*")
     asked = t.questions.select("question_id", F.explode("entities").alias("name"))
@@ -535,14 +548,14 @@ def d07_message(t):
 
 @query("D08_retrieve")
 def d08(t):
-    """Whole retrieval for all questions: vectors, graph, paths, reranking, budgets, context."""
+    """Whole retrieval for all questions on the whole graph, as configured by default: vectors, graph, paths, reranking, budgets, context."""
     passages = t.documents.select(
         F.col("doc_id").alias("item_id"), F.col("doc_id"), F.expr("'Page ' || doc_id").alias("title"), F.lit("").alias("section_title"),
         F.expr("'https://h.example/' || doc_id").alias("source_url"), F.col("text").alias("full_text"))
     stores = Stores(vectors=t.embeddings.select(F.col("vec_id").alias("item_id"), "embedding"), passages=passages,
-                    nodes=t.kg_nodes, edges=t.core_edges)
+                    nodes=t.kg_nodes, edges=t.kg_edges)
     asked = _with_vectors(t).select("question_id", "question", "entities", "embedding")
-    result = retrieve(asked, stores, RetrievalConfig(max_hops=3, adaptive_depth=False))
+    result = retrieve(asked, stores, RetrievalConfig())
     return result.select("question_id", "query_type", "graph_tokens", "text_tokens", "total_tokens",
                          F.md5(F.col("full_context").cast("binary")).alias("digest"))
 

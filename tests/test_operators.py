@@ -479,3 +479,20 @@ def test_passage_scores_from_figures_equal_the_direct_score(spark):
     direct = found.join(texts, "item_id").join(asked, "question_id").select("question_id", "item_id", scoring.passage_score(
         F.col("score"), F.col("full_text"), F.col("title"), F.col("section_title"), F.col("entities"), F.col("query_type")).alias("rerank_score"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_whole_retrieval_reads_the_whole_graph(tables, monkeypatch):
+    from corpusloom.plans import retrieval_queries
+    from corpusloom.plans.retrieve import RetrievalConfig
+
+    class Seen(Exception):
+        pass
+
+    def look(asked, stores, config):
+        raise Seen(stores, config)
+
+    monkeypatch.setattr(retrieval_queries, "retrieve", look)
+    with pytest.raises(Seen) as seen:
+        retrieval_queries.d08(tables)
+    stores, config = seen.value.args
+    assert config == RetrievalConfig() and stores.edges.count() == tables.kg_edges.count() > tables.core_edges.count()
