@@ -37,14 +37,20 @@ def basis(vectors: DataFrame) -> dict[int, np.ndarray]:
                 u = unit(np.array(some.column(1).to_pylist()))
                 sums[dim] = sums.get(dim, 0) + u.T @ u
         for dim, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([s.ravel().tolist()], pa.list_(pa.float64()))], names=["dim", "s"])
+            columns = [pa.array([dim] * dim, pa.int32()), pa.array(range(dim), pa.int32()), pa.array(s.tolist(), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["dim", "at", "s"])
 
-    parts = vectors.select("dim", "v").mapInArrow(run, "dim int, s array<double>")
-    sums = parts.select("dim", F.posexplode("s")).groupBy("dim", "pos").agg(F.sum("col").alias("s")).orderBy("dim", "pos").collect()
-    out: dict[int, list[float]] = {}
+    def add(group: pa.Table) -> pa.Table:
+        dim = group.column("dim")[0].as_py()
+        total = sum(c.values.to_numpy().reshape(-1, dim).sum(axis=0) for c in group.column("s").chunks if len(c))
+        return pa.Table.from_arrays([*(group.column(n).slice(0, 1) for n in ("dim", "at")), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["dim", "at", "s"])
+
+    parts = vectors.select("dim", "v").mapInArrow(run, "dim int, at int, s array<double>")
+    sums = parts.groupBy("dim", "at").applyInArrow(add, "dim int, at int, s array<double>").orderBy("dim", "at").collect()  # one row per dimension
+    out: dict[int, list[list[float]]] = {}
     for r in sums:
         out.setdefault(r.dim, []).append(r.s)
-    return {d: np.linalg.eigh(np.array(s).reshape(d, d))[1][:, ::-1] for d, s in out.items()}
+    return {d: np.linalg.eigh(np.array(s))[1][:, ::-1] for d, s in out.items()}
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, ya: np.ndarray, yb: np.ndarray, may: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +127,8 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, tile: int = TILE, i
     So a crowded label gives more tile pairs, not larger tasks.
 
     Rows with a null id, label or vector, with null or non-finite components or of length zero link
-    with nothing and are their own component. Repeated rows are other vectors to each other. Vectors of different dimension do not
-    link. Other columns are left out; an empty table gives an empty one.
+    with nothing and are their own component. Repeated rows are other vectors to each other, and so are different
+    vectors under one id, each with its own links. Vectors of different dimension do not link. Other columns are left out; an empty table gives an empty one.
     """
     v = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), v.alias("v"))
@@ -132,10 +138,12 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, tile: int = TILE, i
     rows = rows.withColumn("usable", usable)
     member = stored(rows.select("vec_id", *key))
     same = rows.filter("usable").select("vec_id", "label", "v", *key)
-    classes = same.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    classes = stored(classes)
-    held = same.join(classes.select("id", "n", F.col("k1").alias("c1"), F.col("k2").alias("c2")), (F.col("vec_id") == F.col("id")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
-    held = stored(held.dropDuplicates(["id"]).select("id", "n", F.xxhash64("label").alias("label"), F.size("v").alias("dim"), "v"))
+    classes = stored(same.groupBy("k1", "k2").agg(F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("n")))
+    first = classes.select("name", "n", F.col("k1").alias("c1"), F.col("k2").alias("c2"))
+    held = same.join(first, (F.col("vec_id") == F.col("name")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).dropDuplicates(["k1", "k2"])
+    held = held.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "name", "n", F.xxhash64("label").alias("label"), F.size("v").alias("dim"), "v")
+    held = stored(held)  # from here on a class goes by its own number, as an id may stand at several vectors
+    classes, held = held.select("id", "k1", "k2", "name", "n"), held.select("id", "n", "label", "dim", "v")
     axes = basis(held)
     shared = vectors.sparkSession.sparkContext.broadcast(axes)  # dim * dim numbers
 
@@ -163,7 +171,9 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, tile: int = TILE, i
     linked = found.filter("w is null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("links"))
     roots = components(found.filter("w is not null"), "u", "w")
     facts = classes.join(linked, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    facts = facts.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    facts = facts.withColumn("root", F.coalesce("root", "id"))
+    smallest = facts.groupBy("root").agg(F.min("name").alias("component_id"))
+    facts = facts.join(smallest, "root").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = member.join(facts, ["k1", "k2"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
