@@ -41,8 +41,9 @@ def offset(seed: str):
 
 
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, seed: str = "mix",
-        id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, copies, size, source_size, target, taken) of every row of ``docs``.
+        id_col: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
+    """(doc_id, source, copies, size, source_size, target, taken) of every row of ``docs``, and its number ``row`` where a
+    column of row numbers is named.
 
     A row's size is its number of words. Within a source every document is expected target / size of
     the source times. Documents stand in order of size, then id; their expected copies are summed up
@@ -55,8 +56,9 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     of rows that tie in size, id and text do not differ either). Other columns are left out; an empty table gives an empty one.
     """
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size")))
-    placed = ordered(sized, [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id")])
+    number = [F.col(row).alias("row")] if row else []
+    sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), *number))
+    placed = ordered(sized, [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id"), *(["row"] if row else [])])
     per_source = placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("idx").alias("first"))
     goal = targets(per_source, share, most, weights)
     known = placed.join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
@@ -64,4 +66,4 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     place, shift = (F.col("idx") - F.col("first")).cast("double"), offset(seed)
     copies = (F.floor((place + 1) * each + shift) - F.floor(place * each + shift)).cast("int")
     known = known.withColumn("copies", copies)
-    return known.select("doc_id", "source", "copies", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return known.select("doc_id", "source", "copies", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if row else []))

@@ -8,6 +8,8 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from corpusloom.llm.shared import map_rows
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Letters of other scripts that look like a Latin letter or a sign of an identifier.
@@ -246,4 +248,4 @@ def without_pii(docs: DataFrame, text: str = "text", length: str = "n_chars") ->
             columns[size] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.types[size])
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.shared import map_rows
+
 #: Bounds of the sample the classifier is fitted on: trusted positives, and documents without regard to a label.
 POSITIVES, UNLABELLED = 6000, 12000
 #: Steps, step size, hidden units and weight decay of the fit.
@@ -165,4 +167,4 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col:
             x = np.array([features(t.as_py()) for t in batch.column(at)]).reshape(-1, FEATURES)
             yield batch.filter(pa.array(model.value.score(x) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -26,6 +26,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, str, list[Column]]:
+    """``df`` stored with a number per row, the name of that column (none that ``df`` has) and the columns of ``df``."""
+    name = "__row"
+    while name in (c.lower() for c in df.columns):
+        name += "_"
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return stored(df.select(*own, F.monotonically_increasing_id().alias(name))), name, own
+
+
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """``df.mapInArrow`` with the columns of ``df`` in and out, by position, so that any column names will do."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def ordered(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` with ``idx``: the row's position 0, 1, 2, ... in the given order over all rows.
 
