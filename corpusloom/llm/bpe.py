@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Distinct chunks (in each of two generations) and token pairs that a Python worker keeps between blocks; more are worked out again.
+#: Distinct chunks (in each of two generations) and token pairs that a task keeps between its blocks; more are worked out again.
 KEPT_CHUNKS, KEPT_PAIRS, BLOCK_ROWS = 110_000, 300_000, 512
 #: The same where only counts are wanted: a number takes less room than ids and tokens.
 KEPT_COUNTS = 250_000
@@ -39,12 +39,21 @@ NEW = """
     1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f
     2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
 """
+# Capitals that the vocabulary's library lower-cases and Python's own tables do not know yet, as first, last, lower case of the first.
+NEW_CAPITALS = """
+    1c89-1c89-1c8a a7cb-a7cb-264 a7cc-a7cc-a7cd a7ce-a7ce-a7cf a7d2-a7d2-a7d3 a7d4-a7d4-a7d5
+    a7da-a7da-a7db a7dc-a7dc-19b 10d50-10d65-10d70 16ea0-16eb8-16ebb
+"""
 BLANKS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BETWEEN = re.compile(f"[{BLANKS}]+")
 NOT_BLANK = re.compile("[\x1c-\x1f]")  # str.split() parts at these, the vocabulary's pattern doesn't
 
 NEW_CLASS = re.sub(r"(\w+)-(\w+)\s+", lambda m: rf"\U{m[1]:0>8}-\U{m[2]:0>8}", NEW.strip() + "\n")
 
+CAPITAL_RANGES = [[int(x, 16) for x in r.split("-")] for r in NEW_CAPITALS.split()]
+LOWER = {c: low + c - first for first, last, low in CAPITAL_RANGES for c in range(first, last + 1)}
+HAS_NEW_CAPITAL = re.compile("[" + "".join(map(chr, LOWER)) + "]")
+
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CODES = "doc_id long, ids array<int>, decoded string"
 
@@ -75,6 +84,11 @@ class WordTokens:
         self.sizes: dict[str, int] = {}
         self.older_sizes: dict[str, int] = {}
 
+    def forget(self) -> None:
+        """Empty all caches; the vocabulary stays."""
+        for known in (self.fits, self.chunks, self.older, self.sizes, self.older_sizes):
+            known.clear()
+
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain merging of a few symbols: the lowest rank first, from the left."""
         while len(symbols) > 1:
@@ -202,6 +216,8 @@ class WordTokens:
 
 def lowered(text: str) -> str:
     """Lower case letter by letter: a final sigma is not treated apart."""
+    if not text.isascii() and HAS_NEW_CAPITAL.search(text):
+        text = text.translate(LOWER)
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
@@ -223,23 +239,26 @@ def encoded(docs: DataFrame, vocabulary: str, digests: bool = False, id_col: str
 
     def run(batches):
         coder = words_of(spec.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                block = batch.slice(at, BLOCK_ROWS)
-                pairs = list(coder.encode_texts([t or "" for t in block.column(1).to_pylist()]))
-                if digests:
-                    columns = [
-                        pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in pairs], pa.int64()),
-                        pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in pairs], pa.string()),
-                        pa.array([hashlib.sha256(text.encode()).hexdigest() for _, text in pairs], pa.string()),
-                    ]
-                else:
-                    columns = [
-                        pa.array([[int(i) for i in ids.split()] for ids, _ in pairs], pa.list_(pa.int32())),
-                        pa.array([text for _, text in pairs], pa.string()),
-                    ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays([block.column(0), *columns], names=names)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK_ROWS):
+                    block = batch.slice(at, BLOCK_ROWS)
+                    pairs = list(coder.encode_texts([t or "" for t in block.column(1).to_pylist()]))
+                    if digests:
+                        columns = [
+                            pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in pairs], pa.int64()),
+                            pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in pairs], pa.string()),
+                            pa.array([hashlib.sha256(text.encode()).hexdigest() for _, text in pairs], pa.string()),
+                        ]
+                    else:
+                        columns = [
+                            pa.array([[int(i) for i in ids.split()] for ids, _ in pairs], pa.list_(pa.int32())),
+                            pa.array([text for _, text in pairs], pa.string()),
+                        ]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "ids", "decoded"]
+                    yield pa.RecordBatch.from_arrays([block.column(0), *columns], names=names)
+        finally:
+            coder.forget()  # an idle worker holds nothing but the vocabulary
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text}` text").mapInArrow(run, DIGESTS if digests else CODES)
 

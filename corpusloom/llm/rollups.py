@@ -29,12 +29,15 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, version: str =
 
     def run(batches):
         coder = words_of(spec.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                block = batch.slice(at, BLOCK_ROWS)
-                counts = coder.count_texts([t or "" for t in block.column(3).to_pylist()])
-                columns = [*block.columns[:3], pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "lang", "version", "tokens"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, BLOCK_ROWS):
+                    block = batch.slice(at, BLOCK_ROWS)
+                    counts = coder.count_texts([t or "" for t in block.column(3).to_pylist()])
+                    columns = [*block.columns[:3], pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "lang", "version", "tokens"])
+        finally:
+            coder.forget()
 
     return given.mapInArrow(run, STATE)
 
