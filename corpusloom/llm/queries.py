@@ -204,3 +204,81 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     later = tokens.filter("doc_id is not null").join(firsts, "doc_id", "left_anti")  # joined by id, so copies don't meet in one task
     rollup.commit("3-delete", deleted(later))
     return rollup.totals()
+
+
+@query("op11_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusloom.llm.runs import find_runs
+
+    return find_runs(table(spark, folder, "documents"), periodic=True, digests=True)
+
+
+def manifest_sql(levels: int = 8, top_levels: int = 4) -> str:
+    """Trees of up to 8 ** levels documents per language and 8 ** top_levels languages."""
+
+    def framed(value: str) -> str:
+        return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+    def climb(name: str, rounds: int) -> str:
+        steps = []
+        for k in range(rounds):
+            steps.append(f"""{name}{k + 1} AS MATERIALIZED (
+              SELECT tree, place // 8 AS place, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY place)) ELSE any_value(h) END AS h, (any_value(n) + 7) // 8 AS n
+              FROM {name}{k} GROUP BY tree, place // 8),
+            {name}_steps{k} AS MATERIALIZED (
+              SELECT tree, place, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER before, '') END AS l, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER behind, '') END AS r FROM {name}{k}
+              WINDOW before AS (PARTITION BY tree, place // 8 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                     behind AS (PARTITION BY tree, place // 8 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))""")
+        return ", ".join(steps)
+
+    def fold(name: str, rounds: int, tree: str, place: str, start: str) -> str:
+        """CTEs that carry every row up one level at a time: its digest so far and its proof so far."""
+        steps = []
+        for k in range(rounds):
+            steps.append(f"""{name}_fold{k + 1} AS MATERIALIZED (
+              SELECT f.* EXCLUDE (f, proof), CASE WHEN s.l IS NOT NULL THEN sha256(s.l || f.f || s.r) ELSE f.f END AS f, f.proof || coalesce(s.l || s.r, '') AS proof
+              FROM {start if k == 0 else f'{name}_fold{k}'} f JOIN {name}_steps{k} s ON s.tree = f.{tree} AND s.place = f.{place} // {8**k})""")
+        return ", ".join(steps)
+
+    leaf = " || ".join(framed(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    WITH crc_table AS (
+      SELECT list(list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+    summed AS (
+      SELECT d.*, xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+      FROM documents d, crc_table),
+    leaves AS (
+      SELECT doc_id, lang, sha256({leaf} || {framed('text')}) AS leaf, CASE WHEN crc % 3 = 0 THEN sha256({leaf} || {framed(lower)}) END AS changed FROM summed),
+    placed AS MATERIALIZED (
+      SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+    node0 AS (SELECT tree, place, leaf AS h, n FROM placed),
+    {climb('node', levels)},
+    top0 AS (SELECT 0 AS tree, tree AS place, h, count(*) OVER () AS n FROM node{levels}),
+    {climb('top', top_levels)},
+    start AS (SELECT doc_id, leaf, tree, place, 0 AS zero, coalesce(changed, leaf) AS f, '' AS proof FROM placed),
+    {fold('node', levels, 'tree', 'place', 'start')},
+    {fold('top', top_levels, 'zero', 'tree', f'node_fold{levels}')}
+    SELECT w.doc_id, w.leaf, s.h AS subroot, r.h AS root, sha256(w.proof) AS proof_sha256, w.f AS folded_root, w.f = r.h AS verified
+    FROM top_fold{top_levels} w JOIN node{levels} s ON s.tree = w.tree CROSS JOIN top{top_levels} r"""
+
+
+@query("op12_manifest", manifest_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusloom.llm.manifest import verified_documents
+
+    return verified_documents(table(spark, folder, "documents"))
+
+
+def piece_model() -> str:
+    """Path of the SentencePiece model that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op13_pieces")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from corpusloom.llm.pieces import encoded
+
+    return encoded(table(spark, folder, "documents"), piece_model(), digests=True)

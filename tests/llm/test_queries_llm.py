@@ -54,5 +54,5 @@ def test_contract():
     import corpus_pipeline
 
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
