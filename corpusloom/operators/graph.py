@@ -197,6 +197,23 @@ def induced_subgraph(around: DataFrame, key: str = "question_id", first: int = 1
     return rows.distinct()
 
 
+def edges_among(questions: DataFrame, nodes: DataFrame, edges: DataFrame, key: str = "question_id") -> DataFrame:
+    """All edges of the graph with both ends among the entities of a question, without loops and repeats.
+
+    Entities are matched to nodes whatever their case. Edges are first cut to those whose two ends are
+    asked for at all, so of a hub only its edges to other asked nodes meet the questions.
+    """
+    asked = questions.select(key, F.explode("entities").alias("__asked")).select(key, F.lower("__asked").alias("__low")).distinct()
+    named = nodes.select(F.col("name").alias("member"), F.lower("name").alias("__low"))
+    members = asked.join(named, "__low").select(key, "member").distinct()
+    wanted = members.select("member").distinct()
+    rows = edges.select(F.col("head").alias("source"), "relation", F.col("tail").alias("target")).filter(F.col("source") != F.col("target")).distinct()
+    for end in ("source", "target"):
+        rows = rows.join(wanted.withColumnRenamed("member", end), end, "left_semi")
+    rows = rows.join(members.withColumnRenamed("member", "source"), "source")
+    return rows.join(members.withColumnRenamed("member", "target"), [key, "target"], "left_semi").select(key, "source", "relation", "target")
+
+
 def entity_text(nodes: DataFrame, limit: int = 200) -> Column:
     text = F.col("description")
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("..."))).otherwise(text)
@@ -205,5 +222,5 @@ def entity_text(nodes: DataFrame, limit: int = 200) -> Column:
 __all__: Sequence[str] = [
     "dedup_entities", "upsert_nodes", "upsert_edges", "existing_edges", "entity_table", "retype_edges",
     "graph_counts", "export_graph", "degrees", "symmetric_aliases", "neighbors", "neighbors_many",
-    "rank_relations", "induced_subgraph", "edge_load_report", "complete_triple", "EDGE_KEY", "C",
+    "rank_relations", "induced_subgraph", "edges_among", "edge_load_report", "complete_triple", "EDGE_KEY", "C",
 ]

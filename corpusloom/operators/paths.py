@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.scoring import path_steps
 from corpusloom.operators.ranking import top_per_key
-from corpusloom.session import cut_lineage
+from corpusloom.session import written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -27,72 +27,125 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     )
 
 
-def _walks(starts: DataFrame, steps: DataFrame, hops: int, keep) -> list[DataFrame]:
-    """Walks of 0..hops edges from each start, no edge twice: (start, end, nodes, hops)."""
-    hop_type = steps.schema["hop"].dataType
-    level = starts.select(F.col("name").alias("start"), F.col("name").alias("end"), F.array("name").alias("nodes"),
-                          F.array().cast(f"array<{hop_type.simpleString()}>").alias("hops"))
-    levels = [level]
-    for _ in range(hops):
-        grown = level.join(steps, level["end"] == steps["a"]).filter(
-            ~F.exists("hops", lambda h: h["key"] == F.col("hop")["key"]))
-        level = keep(grown.select(
-            "start", F.col("b").alias("end"),
-            F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("hops", F.col("hop")).alias("hops")))
-        levels.append(level)
-    return levels
-
-
-def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 3, max_paths: int = 3,
-          key: str = "pair_id", stop_early: bool | None = None) -> DataFrame:
+class _Frontiers:
+    """Nodes that a walk of exactly 0, 1, 2, ... edges reaches from each start: (start, node), each node once per start."""
+
+    def __init__(self, starts: DataFrame, links: DataFrame):
+        self.links = links
+        self.levels = [starts.select(F.col("name").alias("start"), F.col("name").alias("node")).distinct()]
+
+    def extend(self, size: int, starts: DataFrame) -> None:
+        """Make sure of the level of this number; new levels are for the given starts only."""
+        while len(self.levels) <= size:
+            last = self.levels[-1].join(starts.select(F.col("name").alias("start")).distinct(), "start", "left_semi")
+            grown = last.join(self.links, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
+            self.levels.append(written(grown))
+
+
+def _layers(mids: DataFrame, ahead: _Frontiers, behind: _Frontiers, links: DataFrame, length: int) -> list[DataFrame]:
+    """For each step of a walk of this length the edges (source, target, v, w) that lead from source to target in it.
+
+    ``mids`` are the nodes where walks of half the length from both ends meet. From there the layers
+    are swept back to the source and on to the target, so each edge left is part of a whole walk.
+    """
+    half, out = (length + 1) // 2, [None] * length
+    upper = mids
+    for i in range(half - 1, -1, -1):
+        reached = ahead.levels[i].select(F.col("start").alias("source"), F.col("node").alias("a"))
+        found = upper.join(links, F.col("node") == F.col("b")).join(reached, ["source", "a"], "left_semi")
+        found = found.select("source", "target", F.col("a").alias("v"), F.col("b").alias("w"))
+        out[i] = written(found) if i else found
+        upper = out[i].select("source", "target", F.col("v").alias("node")).distinct()
+    lower = mids
+    for j in range(length - half - 1, -1, -1):
+        reached = behind.levels[j].select(F.col("start").alias("target"), F.col("node").alias("b"))
+        found = lower.join(links, F.col("node") == F.col("a")).join(reached, ["target", "b"], "left_semi")
+        found = found.select("source", "target", F.col("a").alias("v"), F.col("b").alias("w"))
+        out[length - 1 - j] = written(found) if j else found
+        lower = out[length - 1 - j].select("source", "target", F.col("w").alias("node")).distinct()
+    return out
+
+
+_ORDER = ["nodes", "relations", "forward"]
+
+
+def _grow(ends: DataFrame, layers: list[DataFrame], steps: DataFrame, keep: int | None) -> DataFrame:
+    """Walks along the layers for each (source, target), no edge twice; of those at one node only the first ``keep`` go on."""
+    kinds = {f.name: f.dataType.simpleString() for f in steps.schema["hop"].dataType.fields}
+    none = {name: F.array().cast(f"array<{kind}>") for name, kind in kinds.items()}
+    level = ends.select("source", "target", F.col("source").alias("v"), F.array("source").alias("nodes"), none["relation"].alias("relations"),
+                        none["forward"].alias("forward"), none["evidence"].alias("evidences"), none["key"].alias("used"))
+    hops = steps.select(F.col("a").alias("v"), F.col("b").alias("w"), "hop")
+    for layer in layers:
+        taken = level.join(layer, ["source", "target", "v"]).join(hops, ["v", "w"]).filter(~F.array_contains("used", F.col("hop.key")))
+        level = taken.select(
+            "source", "target", F.col("w").alias("v"), F.array_append("nodes", F.col("w")).alias("nodes"),
+            F.array_append("relations", F.col("hop.relation")).alias("relations"), F.array_append("forward", F.col("hop.forward")).alias("forward"),
+            F.array_append("evidences", F.nullif(F.col("hop.evidence"), F.lit(""))).alias("evidences"), F.array_append("used", F.col("hop.key")).alias("used"))
+        if keep is not None:
+            level = top_per_key(level, ["source", "target", "v"], _ORDER, keep)
+    return level.select("source", "target", F.size("relations").alias("path_length"), "nodes", "relations", F.array_compact("evidences").alias("evidences"), "forward")
+
+
+def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 3, max_paths: int = 3, key: str = "pair_id") -> DataFrame:
     """The ``max_paths`` shortest undirected paths per pair, edges used once.
 
-    ``pairs`` holds (key, source, target) and may hold ``hops``, a bound of its own. Walks grow
-    from distinct sources and distinct targets and meet in the middle, so no walk is longer than
-    half the bound, and a path is found once because the meeting point is fixed by its length.
-    With ``stop_early`` each length is materialised and pairs that already have enough shorter
-    paths are left out of the longer ones; that is exact, since shorter paths rank first.
+    ``pairs`` holds (key, source, target) and may hold ``hops``, a bound of its own. Pairs with the
+    same two ends share a search. Lengths are taken in turn, and ends that have enough paths leave, which is exact as
+    shorter paths rank first.
+
+    For each length the nodes in the middle come from frontiers of both ends, and only edges that lead
+    over one of them to the other end are walked at all. A walk at most one edge longer than the
+    shortest cannot use an edge twice (without the part in between it would be shorter by two), so there only
+    the first ``max_paths`` walks to a node need to go on: for the same rest of the way the order of walks
+    is the order of their beginnings. So hubs cost their edges once per pair, not once per walk. Longer walks (asked for
+    only where the two shortest lengths do not give enough paths) are followed in full.
     """
-    stop_early = max_hops > 3 if stop_early is None else stop_early
-    keep = cut_lineage if stop_early else (lambda df: df)
     names = nodes.select("name", F.lower("name").alias("__low"))
     todo = pairs
     for col in ("source", "target"):
         other = names.withColumnRenamed("name", f"__{col}")
         todo = todo.join(other, F.lower(F.col(col)) == F.col("__low")).drop("__low")
-    todo = todo.select(key, F.col("__source").alias("source"), F.col("__target").alias("target"),
-                       *(["hops"] if "hops" in pairs.columns else []))
-    if "hops" in todo.columns:
-        todo = todo.withColumnRenamed("hops", "__bound")
-    steps = keep(_both_ways(edges))
-    ahead = _walks(todo.select(F.col("source").alias("name")).distinct(), steps, (max_hops + 1) // 2, keep)
-    behind = _walks(todo.select(F.col("target").alias("name")).distinct(), steps, max_hops // 2, keep)
+    bound = F.least(F.col("hops"), F.lit(max_hops)) if "hops" in pairs.columns else F.lit(max_hops)
+    todo = written(todo.select(key, F.col("__source").alias("source"), F.col("__target").alias("target"), bound.alias("bound")))
+    # near: the length of the shortest walk, once it is known
+    near = F.when(F.col("source") == F.col("target"), 0)
+    left = todo.groupBy("source", "target").agg(F.max("bound").alias("bound")).withColumn("near", near)
+    steps = written(_both_ways(edges))
+    links = written(steps.select("a", "b").distinct())
+    ahead = _Frontiers(left.select(F.col("source").alias("name")), links)
+    behind = _Frontiers(left.select(F.col("target").alias("name")), links)
 
     result = None
     for length in range(1, max_hops + 1):
-        left = ahead[(length + 1) // 2].select(
-            F.col("start").alias("source"), F.col("end").alias("mid"), F.col("nodes").alias("n1"), F.col("hops").alias("h1"))
-        right = behind[length // 2].select(
-            F.col("start").alias("target"), F.col("end").alias("mid"), F.col("nodes").alias("n2"), F.col("hops").alias("h2"))
-        open_pairs = todo.filter(F.col("__bound") >= length) if "__bound" in todo.columns else todo
-        met = open_pairs.join(left, "source").join(right, ["target", "mid"])
-        met = met.filter(~F.exists("h1", lambda a: F.exists("h2", lambda b: a["key"] == b["key"])))
-        # The second half was walked from the target, so it is turned round.
-        turned = F.transform(F.reverse("h2"), lambda h: h.withField("forward", ~h["forward"]))
-        hops = F.concat("h1", turned)
-        rows = met.select(
-            key, F.lit(length).alias("path_length"),
-            F.concat("n1", F.reverse(F.slice("n2", 1, F.size("n2") - 1))).alias("nodes"),
-            F.transform(hops, lambda h: h["relation"]).alias("relations"),
-            F.array_compact(F.transform(hops, lambda h: F.when(h["evidence"] != "", h["evidence"]))).alias("evidences"),
-            F.transform(hops, lambda h: h["forward"]).alias("forward"),
-        )
-        rows = top_per_key(rows, [key], ["nodes", "relations", "forward"], max_paths)
-        if stop_early and length < max_hops:
-            rows = keep(rows)
-        result = rows if length == 1 else result.unionByName(rows)
-        if stop_early:
-            served = result.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max_paths)
-            todo = todo.join(served, key, "left_anti")
-    ranked = top_per_key(result, [key], ["path_length", "nodes", "relations", "forward"], max_paths, "path_rank")
+        left = left.filter(F.col("bound") >= length)
+        half = (length + 1) // 2
+        ahead.extend(half, left.select(F.col("source").alias("name")))
+        behind.extend(length - half, left.select(F.col("target").alias("name")))
+        mids = left.join(ahead.levels[half].withColumnRenamed("start", "source"), "source")
+        mids = mids.join(behind.levels[length - half].withColumnRenamed("start", "target"), ["target", "node"])
+        mids = written(mids.select("source", "target", "node", F.coalesce("near", F.lit(length)).alias("near")))
+        ends = mids.groupBy("source", "target").agg(F.min("near").alias("near"))
+        tight, loose = ends.agg(F.count_if(F.col("near") + 1 >= length), F.count_if(F.col("near") + 1 < length)).first()
+        if not tight + loose:
+            continue
+        layers = _layers(mids.select("source", "target", "node"), ahead, behind, links, length)
+        grown = []
+        if tight:
+            grown.append(_grow(ends.filter(F.col("near") + 1 >= length), layers, steps, max_paths))
+        if loose:
+            grown.append(_grow(ends.filter(F.col("near") + 1 < length), layers, steps, None))
+        found = grown[0] if len(grown) == 1 else grown[0].unionByName(grown[1])
+        found = written(top_per_key(found, ["source", "target"], _ORDER, max_paths))
+        result = found if result is None else result.unionByName(found)
+        if length < max_hops:
+            served = result.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max_paths)
+            known = ends.withColumnRenamed("near", "found")
+            left = left.join(known, ["source", "target"], "left").withColumn("near", F.coalesce("near", "found")).drop("found")
+            left = written(left.join(served, ["source", "target"], "left_anti"))
+    if result is None:
+        ends = left.limit(0)
+        result = _grow(ends, [], steps, None)
+    joined = todo.join(result, ["source", "target"]).filter(F.col("path_length") <= F.col("bound")).select(key, "path_length", "nodes", "relations", "evidences", "forward")
+    ranked = top_per_key(joined, [key], ["path_length", *_ORDER], max_paths, "path_rank")
     return ranked.withColumn("path_steps", path_steps(F.col("nodes"), F.col("relations")))

@@ -235,6 +235,22 @@ def j14(t):
     return graph.induced_subgraph(graph.rank_relations(around, asked), first=every)
 
 
+_ALL_Q = """(SELECT 'C' || c_custkey AS question_id, [c_name, 'NATION_' || c_nationkey, upper('Supplier#' || lpad(CAST(c_custkey % (SELECT count(*) FROM supplier) AS STRING), 9, '0')),
+  'Nobody'] AS entities FROM customer)"""
+
+
+@query("J14_whole_graph", f"""
+WITH q AS {_ALL_Q}, m AS (SELECT DISTINCT question_id, n.name FROM (SELECT question_id, unnest(entities) AS asked FROM q) JOIN kg_nodes n ON lower(n.name) = lower(asked))
+SELECT DISTINCT a.question_id, e.head AS source, e.relation, e.tail AS target FROM kg_edges e
+JOIN m a ON a.name = e.head JOIN m b ON b.name = e.tail AND b.question_id = a.question_id WHERE e.head <> e.tail""", ["kg_edges", "kg_nodes"])
+def j14_whole(t):
+    """Edges among a customer, its nation and a supplier, for all customers, on the whole graph."""
+    supplier = F.concat(F.lit("SUPPLIER#"), F.lpad((F.col("c_custkey") % t.supplier.count()).cast("string"), 9, "0"))
+    asked = t.customer.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("question_id"),
+                              F.array("c_name", F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")), supplier, F.lit("Nobody")).alias("entities"))
+    return graph.edges_among(asked, t.kg_nodes, t.kg_edges)
+
+
 @query("J17_retyped_edges", """
 SELECT e.head, coalesce(d.new_relation, e.relation) AS relation, e.tail, e.evidence, e.source_doc_id FROM kg_edges e
 LEFT JOIN (SELECT head, tail, evidence, CASE WHEN length(evidence) > 40 THEN 'ALLY_OF' ELSE 'MEMBER_OF' END AS new_relation
@@ -270,8 +286,8 @@ def a11(t):
 
 _WALK = """
 WITH RECURSIVE sym AS (
-  SELECT head AS a, tail AS b, relation, evidence, head || '|' || relation || '|' || tail AS k, true AS forward FROM core_edges
-  UNION ALL SELECT tail, head, relation, evidence, head || '|' || relation || '|' || tail, false FROM core_edges WHERE head <> tail),
+  SELECT head AS a, tail AS b, relation, evidence, head || '|' || relation || '|' || tail AS k, true AS forward FROM {edges}
+  UNION ALL SELECT tail, head, relation, evidence, head || '|' || relation || '|' || tail, false FROM {edges} WHERE head <> tail),
 pairs AS (SELECT s_suppkey AS pair_id, s_name AS source,
   'Supplier#' || lpad(CAST((s_suppkey + 10) % (SELECT count(*) FROM supplier) AS STRING), 9, '0') AS target FROM supplier),
 walk AS (
@@ -304,17 +320,33 @@ def _flat(found, *more):
                         F.array_join("relations", "|").alias("relations"), "path_rank", *more)
 
 
-@query("J07_paths", _WALK.format(hops=3, keep=5, extra=""), ["core_edges"])
+@query("J07_paths", _WALK.format(edges="core_edges", hops=3, keep=5, extra=""), ["core_edges"])
 def j07(t):
     return _flat(paths.paths(_pairs(t), _core_nodes(t), t.core_edges, max_hops=3, max_paths=5))
 
 
-@query("J07_paths_four_hops", _WALK.format(hops=4, keep=3, extra=""), ["core_edges"])
+@query("J07_paths_four_hops", _WALK.format(edges="core_edges", hops=4, keep=3, extra=""), ["core_edges"])
 def j07_four(t):
     return _flat(paths.paths(_pairs(t), _core_nodes(t), t.core_edges, max_hops=4, max_paths=3))
 
 
-@query("X09_path_steps", _WALK.format(hops=2, keep=10, extra=_STEPS), ["core_edges"])
+@query("X09_path_steps", _WALK.format(edges="core_edges", hops=2, keep=10, extra=_STEPS), ["core_edges"])
 def x09(t):
     found = paths.paths(_pairs(t), _core_nodes(t), t.core_edges, max_hops=2, max_paths=10)
     return _flat(found, F.array_join("path_steps", "; ").alias("steps"), F.array_join("evidences", "; ").alias("evidences"))
+
+
+@query("J07_whole_graph", _WALK.format(edges="kg_edges", hops=3, keep=5, extra=""), ["kg_edges"])
+def j07_whole(t):
+    return _flat(paths.paths(_pairs(t), t.kg_nodes, t.kg_edges, max_hops=3, max_paths=5))
+
+
+@query("J07_whole_graph_four_hops", _WALK.format(edges="kg_edges", hops=4, keep=3, extra=""), ["kg_edges"])
+def j07_whole_four(t):
+    return _flat(paths.paths(_pairs(t), t.kg_nodes, t.kg_edges, max_hops=4, max_paths=3))
+
+
+@query("X09_whole_graph", _WALK.format(edges="kg_edges", hops=3, keep=10, extra=_STEPS), ["kg_edges"])
+def x09_whole(t):
+    found = paths.paths(_pairs(t), t.kg_nodes, t.kg_edges, max_hops=3, max_paths=10)
+    return _flat(found, F.array_join("path_steps", "; ").alias("steps"), F.array_join("evidences", "; ").alias("evidences"))

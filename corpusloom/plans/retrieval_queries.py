@@ -10,7 +10,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import aliases, context, fetching, mentions, ranking, reports, similarity
 from corpusloom.plans import graph_queries as G
 from corpusloom.plans.catalog import d_quote, query
-from corpusloom.plans.retrieve import RetrievalConfig, Stores, retrieve
+from corpusloom.plans.retrieve import RetrievalConfig, Stores, question_paths, retrieve
 from corpusloom.plans.text_queries import d_valid_alias
 
 # ---------------------------------------------------------------- aliases
@@ -530,6 +530,39 @@ def u04(t):
     return rows.select("question_id", "part", "item_no", "item", "block")
 
 
+_PATH_PARTS = f"""
+  SELECT question_id, 'path', r, array_to_string(list_transform(generate_series(1, n), lambda i: nodes[i] || ' -[' || rels[i] || ']-> ' || nodes[i + 1]), '; '), CASE query_type WHEN 'RELATIONSHIP' THEN 1 ELSE 2 END
+  FROM asked JOIN (
+    SELECT source, target, n, nodes, rels, row_number() OVER (PARTITION BY source, target ORDER BY n, nodes, rels, dirs) AS r
+    FROM (SELECT DISTINCT source, target FROM asked) JOIN walk ON start = source AND here = target WHERE n >= 1) p USING (source, target) WHERE r <= 3"""
+
+
+@query("U04_hybrid_with_paths", f"""
+WITH RECURSIVE asked AS (
+  SELECT question_id, entities[1] AS source, entities[2] AS target, {_classify_sql()} AS query_type FROM questions WHERE len(entities) >= 2 AND {_classify_sql()} IN ('RELATIONSHIP', 'MULTI_HOP')),
+sym AS MATERIALIZED (
+  SELECT head AS a, tail AS b, relation, head || '|' || relation || '|' || tail AS k, true AS forward FROM kg_edges
+  UNION ALL SELECT tail, head, relation, head || '|' || relation || '|' || tail, false FROM kg_edges WHERE head <> tail),
+walk AS (
+  SELECT source AS start, source AS here, [source] AS nodes, CAST([] AS VARCHAR[]) AS rels, CAST([] AS VARCHAR[]) AS ks, CAST([] AS BOOLEAN[]) AS dirs, 0 AS n FROM (SELECT DISTINCT source FROM asked)
+  UNION ALL
+  SELECT start, b, list_append(nodes, b), list_append(rels, relation), list_append(ks, k), list_append(dirs, forward), n + 1
+  FROM walk JOIN sym ON a = here WHERE n < 3 AND NOT list_contains(ks, k))
+SELECT question_id, part, CAST(item_no AS INT) AS item_no, item, block FROM (
+  SELECT question_id, 'text' AS part, place AS item_no, CAST(doc_id AS STRING) AS item, CASE query_type WHEN 'RELATIONSHIP' THEN 3 ELSE 1 END AS block FROM ({_RERANKED})
+  UNION ALL
+  SELECT r.question_id, 'graph', entity_no * 1000 + place, entity || ' ' || direction || ' ' || relation || ' ' || other, CASE {_classify_sql()} WHEN 'RELATIONSHIP' THEN 2 ELSE 3 END
+  FROM ({G.RANKED_SQL}) r JOIN questions q ON q.question_id = r.question_id
+  UNION ALL {_PATH_PARTS})""", ["questions", "kg_edges", "kg_nodes"])
+def u04_paths(t):
+    """Passages, relations and real paths (whole graph, three hops) of every question."""
+    typed = _typed(t)
+    stores = Stores(vectors=t.embeddings, passages=t.documents, nodes=t.kg_nodes, edges=t.kg_edges)
+    found = question_paths(typed, stores, RetrievalConfig(adaptive_depth=False))
+    rows = context.hybrid_rows(_reranked(t).withColumn("doc_id", F.col("item_id")), G.ranked(t), found, typed)
+    return rows.select("question_id", "part", "item_no", "item", "block")
+
+
 @query("D07_judge_blocks", """
 SELECT question_id, array_to_string(list_transform(key_facts, lambda f, i: '[' || (i - 1) || '] ' || f.fact), chr(10)) AS facts_block,
   CASE WHEN len(hallucination_traps) = 0 THEN '(none defined)' ELSE array_to_string(list_transform(hallucination_traps, lambda x, i:

@@ -67,7 +67,7 @@ def _relations(questions: DataFrame, stores: Stores, config: RetrievalConfig) ->
     return around, ranked
 
 
-def _paths(questions: DataFrame, stores: Stores, config: RetrievalConfig) -> DataFrame:
+def question_paths(questions: DataFrame, stores: Stores, config: RetrievalConfig) -> DataFrame:
     """Paths between the first two entities. Questions about the same two entities share a search."""
     kinds = ["RELATIONSHIP", "MULTI_HOP"]
     asked = questions.filter(F.col("query_type").isin(kinds) & (F.size("entities") >= 2)).select(
@@ -101,7 +101,7 @@ def retrieve(questions: DataFrame, stores: Stores, config: RetrievalConfig = Ret
     if config.use_graph:
         blocks = None
         if config.use_paths:
-            best = _paths(typed, stores, config).filter(F.col("path_rank") == 1)
+            best = question_paths(typed, stores, config).filter(F.col("path_rank") == 1)
             blocks = context.path_block(best.withColumnRenamed("source", "entity1").withColumnRenamed("target", "entity2"))
         around, ranked = _relations(typed, stores, config)
         lines = context.pack_graph_context(ranked, blocks, config.graph_budget, around=around)

@@ -1,6 +1,7 @@
 """Hand-made cases and invariants of operators that SQL cannot check as a whole."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -232,13 +233,39 @@ def test_paths_equal_brute_force(spark):
         return sorted(found, key=lambda p: (len(p[1]), p[0], p[1]))
 
     pairs = spark.createDataFrame([(1, "A", "d"), (2, "a", "c"), (3, "d", "b")], "pair_id long, source string, target string")
-    for hops in (1, 2, 3, 4, 5):
-        for early in (False, True):
-            got = {}
-            for r in paths.paths(pairs, nodes, edges, hops, 4, stop_early=early).orderBy("pair_id", "path_rank").collect():
-                got.setdefault(r.pair_id, []).append((r.nodes, r.relations))
-            expected = {i: p[:4] for i, (s, e) in {1: ("a", "d"), 2: ("a", "c"), 3: ("d", "b")}.items() if (p := brute(s, e, hops))}
-            assert got == expected, (hops, early)
+    for hops in (1, 2, 5):
+        got = {}
+        for r in paths.paths(pairs, nodes, edges, hops, 4).orderBy("pair_id", "path_rank").collect():
+            got.setdefault(r.pair_id, []).append((r.nodes, r.relations))
+        expected = {i: p[:4] for i, (s, e) in {1: ("a", "d"), 2: ("a", "c"), 3: ("d", "b")}.items() if (p := brute(s, e, hops))}
+        assert got == expected, hops
+
+
+@pytest.mark.parametrize("seed, keep", [(1, 3), (2, 12), (3, 1)])
+def test_paths_on_random_graphs(spark, seed, keep):
+    """A hub, double edges, loops, ends that are the same node and pairs that share their ends."""
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(14)]
+    rows = {(rng.choice(names), rng.choice("RS"), rng.choice(names)) for _ in range(18)} | {("n0", "H", n) for n in names[5:]}
+    edges = spark.createDataFrame([(*r, "e" + r[2]) for r in sorted(rows)], "head string, relation string, tail string, evidence string")
+    wanted = [(i, rng.choice(names), rng.choice(names), rng.randrange(1, 6)) for i in range(25)] + [(90, "n1", "n1", 4), (91, "n0", "n6", 2), (92, "n0", "n6", 5)]
+
+    def brute(start, end, hops):
+        found, frontier = [], [([start], [], [], [], [])]
+        for _ in range(hops):
+            frontier = [
+                (n + [y], rel + [r], fwd + [(h, t) == (x, y)], ev + ["e" + t], used + [(h, r, t)])
+                for n, rel, fwd, ev, used in frontier for h, r, t in rows for x, y in {(h, t), (t, h)} if x == n[-1] and (h, r, t) not in used
+            ]
+            found += [(len(rel), n, rel, fwd, ev) for n, rel, fwd, ev, _ in frontier if n[-1] == end]
+        return sorted(found)[:keep]
+
+    got = {i: [] for i, *_ in wanted}
+    nodes = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = spark.createDataFrame(wanted, "pair_id long, source string, target string, hops int")
+    for r in paths.paths(pairs, nodes, edges, 5, keep).orderBy("pair_id", "path_rank").collect():
+        got[r.pair_id].append((r.path_length, r.nodes, r.relations, r.forward, r.evidences))
+    assert got == {i: brute(s, t, h) for i, s, t, h in wanted}
 
 
 def test_path_bound_per_pair(spark):
