@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom import constants as C
 from corpusloom.functions import labels, text as X
 from corpusloom.operators.ranking import top_per_key
+from corpusloom.session import written
 
 
 def pair_turns(messages: DataFrame) -> DataFrame:
@@ -61,35 +62,89 @@ def session_sizes(turns: DataFrame, min_turns: int = C.COMPRESS_MIN_TURNS, min_c
     return sized.withColumn("compress", (F.col("turns") >= min_turns) & (F.col("chars") >= min_chars))
 
 
-def _remembered(mentions: Column, cap: int) -> Column:
-    """Mentions in order folded to the entities still known: a new one goes last and the oldest beyond ``cap`` goes;
-    one that went is new again."""
-    none = F.array().cast("array<string>")
+#: Turns of a session that are folded in one piece.
+SLOT_TURNS = 64
+_NAMES = "array<string>"
 
-    def step(known, entity):
-        longer = F.concat(known, F.array(entity))
-        return F.when(F.array_contains(known, entity), known).otherwise(F.slice(longer, F.greatest(F.lit(1), F.size(longer) - cap + 1), cap))
 
-    return F.aggregate(F.array_compact(mentions), none, step)
+def _none() -> Column:
+    return F.array().cast(_NAMES)
 
 
-def accumulated_entities(turns: DataFrame, cap: int = C.ENTITY_CAP) -> DataFrame:
+def _remember(known: Column, named: Column, cap: int) -> Column:
+    """Entities known after a turn: the new ones of the turn go last, and the oldest beyond ``cap`` go once the turn is over."""
+    longer = F.concat(known, F.array_except(named, known))
+    return F.slice(longer, F.greatest(F.lit(1), F.size(longer) - cap + 1), cap)
+
+
+def _slots(turns: DataFrame, cap: int, slot_turns: int) -> DataFrame:
+    """(session_id, slot, said, entry): the turns of each slot of a session and the entities known before the slot.
+
+    What is known depends on all earlier turns, but only through at most ``cap`` names. So a session is cut
+    into slots, and slots are folded at the same time, each from a guess: the last names first said in earlier
+    slots, which is right as long as no name was ever dropped. Slots whose guess differs from what the slot
+    before ends with are folded again from there, until none differs. No group is larger than a slot, and
+    a round costs only the slots that changed.
+    """
+    named = F.array_compact(F.coalesce("entities", _none()))
+    rows = turns.select("session_id", "turn_no", F.floor(F.col("turn_no") / slot_turns).alias("slot"), named.alias("named"))
+    said = rows.groupBy("session_id", "slot").agg(F.array_sort(F.collect_list(F.struct("turn_no", "named"))).alias("said"))
+    said = written(said)
+    by_slot = Window.partitionBy("session_id").orderBy("slot")
+
+    names = said.select("session_id", "slot", F.posexplode(F.array_distinct(F.flatten(F.transform("said", lambda t: t["named"])))).alias("at", "name"))
+    first = names.groupBy("session_id", "name").agg(F.min(F.struct("slot", "at")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("session_id", F.col("first.slot")).orderBy(F.desc("first.at")))
+    newest = first.withColumn("__place", place).filter(F.col("__place") <= cap)
+    fresh = newest.groupBy("session_id", F.col("first.slot").alias("slot")).agg(F.array_sort(F.collect_list(F.struct(F.col("first.at").alias("at"), "name"))).alias("new"))
+    recent = F.flatten(F.collect_list(F.transform("new", lambda n: n["name"])).over(by_slot.rowsBetween(-cap, 0)))
+    after = fresh.select("session_id", "slot", F.slice(recent, F.greatest(F.lit(1), F.size(recent) - cap + 1), cap).alias("after"))
+    guess = F.last("after", ignorenulls=True).over(by_slot.rowsBetween(Window.unboundedPreceding, -1))
+    state = said.join(after, ["session_id", "slot"], "left").select("session_id", "slot", "said", F.coalesce(guess, _none()).alias("entry"))
+
+    def folded(df: DataFrame) -> DataFrame:
+        end = F.aggregate("said", F.col("entry"), lambda known, turn: _remember(known, turn["named"], cap))
+        return df.select("session_id", "slot", "entry", end.alias("end"))
+
+    state = written(folded(state))
+    while True:
+        before = F.coalesce(F.lag("end").over(by_slot), _none())
+        checked = state.withColumn("before", before)
+        wrong = checked.filter(F.col("entry") != F.col("before")).select("session_id", "slot", F.col("before").alias("entry"))
+        if wrong.isEmpty():
+            return said.join(state, ["session_id", "slot"])
+        again = folded(said.join(wrong, ["session_id", "slot"]))
+        state = written(state.join(wrong, ["session_id", "slot"], "left_anti").unionByName(again))
+
+
+def accumulated_entities(turns: DataFrame, cap: int = C.ENTITY_CAP, slot_turns: int = SLOT_TURNS) -> DataFrame:
     """Entities that a session still knows after its last turn, in the order they came in, at most ``cap`` of them."""
-    said = turns.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn_no", "entities"))).alias("said"))
-    known = said.select("session_id", _remembered(F.flatten(F.transform("said", lambda t: F.coalesce(t.entities, F.array().cast("array<string>")))), cap).alias("known"))
+    known = _slots(turns, cap, slot_turns).groupBy("session_id").agg(F.max_by("end", "slot").alias("known"))
     return known.select("session_id", F.posexplode("known").alias("p", "entity")).select("session_id", (F.col("p") + 1).alias("place"), "entity")
 
 
-def entities_before(turns: DataFrame, cap: int = C.ENTITY_CAP) -> DataFrame:
-    """Adds ``known``: the entities that the session knows before each turn, in the order they came in."""
-    before = Window.partitionBy("session_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)
-    return turns.withColumn("known", _remembered(F.flatten(F.collect_list("entities").over(before)), cap))
+def entities_before(turns: DataFrame, cap: int = C.ENTITY_CAP, slot_turns: int = SLOT_TURNS) -> DataFrame:
+    """Adds ``known``, the entities that the session knows before each turn, in the order they came in, and ``last_entities``,
+    those of the turn before (null in the first turn). Turns of a session have numbers of their own."""
+    slots = _slots(turns, cap, slot_turns)
+    start = F.struct(F.col("entry").alias("now"), F.array().cast(f"array<{_NAMES}>").alias("seen"))
+
+    def step(acc: Column, turn: Column) -> Column:
+        return F.struct(_remember(acc["now"], turn["named"], cap).alias("now"), F.array_append(acc["seen"], acc["now"]).alias("seen"))
+
+    seen = F.aggregate("said", start, step)["seen"]
+    last = F.get("said", F.size("said") - 1)["named"]
+    carried = F.lag(last).over(Window.partitionBy("session_id").orderBy("slot"))
+    slots = slots.select("session_id", "said", seen.alias("seen"), carried.alias("carried"))
+    rows = slots.select("session_id", "said", "carried", F.posexplode("seen").alias("p", "known"))
+    previous = F.when(F.col("p") > 0, F.get("said", F.col("p") - 1)["named"]).otherwise(F.col("carried"))
+    rows = rows.select("session_id", F.get("said", F.col("p"))["turn_no"].alias("turn_no"), "known", previous.alias("last_entities"))
+    return turns.join(rows, ["session_id", "turn_no"])
 
 
-def resolve_coreference(turns: DataFrame, words=C.REFERRING_WORDS) -> DataFrame:
+def resolve_coreference(turns: DataFrame, words=C.REFERRING_WORDS, cap: int = C.ENTITY_CAP) -> DataFrame:
     """Questions that refer back get the last turn's first entity as a prefix."""
-    order = Window.partitionBy("session_id").orderBy("turn_no")
-    rows = entities_before(turns).withColumn("last_entities", F.lag("entities").over(order))
+    rows = entities_before(turns, cap)
     pattern = r"(?iu)\b(?:" + "|".join(words) + r")\b"
     question = F.lower("question")
     recent = F.slice("known", F.greatest(F.lit(1), F.size("known") - 4), 5)

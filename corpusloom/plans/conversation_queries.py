@@ -46,16 +46,31 @@ def w05(t):
     return K.recent_turns(t.turns, 2).select("session_id", "turn_no")
 
 
-@query("W06_accumulated_entities", """
+def _fold_sql(said: str, cap: int) -> str:
+    """Entities known after a list of turns: the new ones of a turn go last, then the list is cut to its last ``cap``."""
+    return f"""list_reduce({said}, lambda known, named: list_reverse(list_slice(list_reverse(
+      known || list_filter(named, lambda e, i: NOT list_contains(known, e) AND list_position(named, e) = i)), 1, {cap})), []::VARCHAR[])"""
+
+
+@query("W06_accumulated_entities", f"""
 SELECT session_id, CAST(place AS INT) AS place, known[place] AS entity FROM (
   SELECT session_id, known, unnest(range(1, len(known) + 1)) AS place FROM (
-    SELECT session_id, list_reduce(list([entity] ORDER BY turn_no, i), lambda known, new:
-        CASE WHEN list_contains(known, new[1]) THEN known ELSE list_slice(known || new, greatest(len(known), 1), len(known) + 1) END, []::VARCHAR[]) AS known
-    FROM (SELECT session_id, turn_no, unnest(entities) AS entity, generate_subscripts(entities, 1) AS i FROM turns) GROUP BY session_id))""", ["turns"])
+    SELECT session_id, {_fold_sql("list(entities ORDER BY turn_no)", 2)} AS known FROM turns GROUP BY session_id))""", ["turns"])
 def w06(t):
     return K.accumulated_entities(t.turns, 2)
 
 
+@query("X06_coreference_small_cap", rf"""
+SELECT session_id, turn_no, CASE WHEN regexp_matches(question, '(?i)\b(he|she|they|it|him|her|them|this|that|those|these|the same|their|his|hers)\b')
+    AND coalesce(len(last), 0) > 0 AND len(list_filter(known, lambda e: contains(lower(question), lower(e)))) = 0
+  THEN '[Referring to ' || last[1] || '] ' || question ELSE question END AS resolved
+FROM (SELECT session_id, turn_no, question, lag(entities) OVER w AS last, {_fold_sql("coalesce(list(entities) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), [])", 2)} AS known
+  FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY turn_no))""", ["turns"])
+def x06_small(t):
+    """Sessions that remember two names only, so that most of them pass the cap."""
+    return K.resolve_coreference(t.turns, cap=2).select("session_id", "turn_no", "resolved")
+
+
 @query("X06_coreference", r"""
 SELECT session_id, turn_no, CASE WHEN regexp_matches(question, '(?i)\b(he|she|they|it|him|her|them|this|that|those|these|the same|their|his|hers)\b')
     AND coalesce(len(last), 0) > 0 AND len(list_filter(list_slice(known, greatest(len(known) - 4, 1), len(known)), lambda e: contains(lower(question), lower(e)))) = 0

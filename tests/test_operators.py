@@ -15,6 +15,7 @@ from corpusloom.functions import text as X
 from corpusloom.functions.jsonfix import repair, salvage_json
 from corpusloom.operators import aliases, chunking, context, conversations, evaluation, fetching, filtering, graph, mentions, models, paths, ranking, reports, similarity
 from corpusloom.sources import readers, writers
+from corpusloom.streaming.sessions import fold_session
 
 
 def one(df):
@@ -352,6 +353,31 @@ def test_evicted_entities_come_back(spark):
     assert before["t", 55] == ["A", "B"] and before["s", 0] == []
 
 
+@pytest.mark.parametrize("cap, slot_turns", [(3, 4), (3, 64), (30, 7)])
+def test_sessions_fold_like_the_stream(spark, cap, slot_turns):
+    """Turns that drop names and name them again, over many slots; one session has a third of all turns."""
+    rng = random.Random(cap + slot_turns)
+    sizes = {"long": 150, "none": 3, **{f"s{i}": rng.randrange(1, 40) for i in range(14)}}
+    draw = lambda s: None if s == "none" else [f"e{rng.randrange(7 if cap == 3 else 45)}" for _ in range(rng.randrange(4))]
+    turns = [(s, i, draw(s)) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame([(*t, "q", "a") for t in turns], "session_id string, turn_no int, entities array<string>, question string, answer string")
+    known, before, last = {}, {}, {}
+    for s, i, named in turns:
+        before[s, i] = (known.get(s, []), last.get(s))
+        known[s], last[s] = fold_session(([], known.get(s, [])), [(0, named or [])], entity_cap=cap)[1], named or []
+    got = {(r.session_id, r.turn_no): (r.known, r.last_entities) for r in conversations.entities_before(df, cap, slot_turns).collect()}
+    assert got == before
+    ends = {}
+    for r in conversations.accumulated_entities(df, cap, slot_turns).orderBy("session_id", "place").collect():
+        ends.setdefault(r.session_id, []).append(r.entity)
+    assert ends == {s: k for s, k in known.items() if k}
+
+
+def test_a_turn_may_drop_a_name_and_say_another_again(spark):
+    df = spark.createDataFrame([("s", 0, ["a", "b", "c"]), ("s", 1, ["d", "a"])], "session_id string, turn_no int, entities array<string>")
+    assert [r.entity for r in conversations.accumulated_entities(df, 3).orderBy("place").collect()] == ["b", "c", "d"]
+
+
 @pytest.mark.parametrize("reply,expected", [
     ('```json\n{"a": [1, 2]}\n```', {"a": [1, 2]}),
     ('{"a": [1, 2,], }', {"a": [1, 2]}),
