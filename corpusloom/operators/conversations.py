@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,29 +248,104 @@ def failure_streaks(calls: DataFrame, threshold: int = 3, service: str = "user_i
     ).filter(F.col("failures") >= threshold).drop("__good")
 
 
+#: State of a service between calls: failures in a row, time of the last one in microseconds, open or not.
+_STATE = "struct<failures:int,last:bigint,open:boolean>"
+
+
+def segment(at: list[int], failed: list[bool], threshold: int, recovery: int) -> tuple[list[tuple], list[int], list[tuple]]:
+    """What a stretch of calls does to any state: the end state for each number of failures before it while closed, and for
+    an open state the end states by the time it may be tried again (first ``until`` that is not before it; none: it stays open).
+
+    It is found from the last call backwards. An open state only decides which call is let through first, so
+    times with the same end are one entry.
+    """
+    n = len(at)
+    following = np.searchsorted(np.asarray(at, np.int64), np.asarray(at, np.int64) + recovery).tolist()
+    closed: list[tuple] = [(f, 0, False) for f in range(threshold)]
+    tried: list[tuple] = [()] * n
+    for i in range(n - 1, -1, -1):
+        if failed[i]:
+            opened = tried[following[i]] if following[i] < n else (threshold, at[i], True)
+            closed = [opened if f + 1 >= threshold else closed[f + 1] for f in range(threshold)]
+            tried[i] = opened
+        else:
+            closed = [closed[0]] * threshold
+            tried[i] = closed[0]
+    until, ends = [], []
+    for i in range(min(n, following[0] + 1)):
+        if ends and ends[-1] == tried[i]:
+            until[-1] = at[i]
+        else:
+            until.append(at[i])
+            ends.append(tried[i])
+    return closed, until, ends
+
+
+def _carried(pieces: pd.DataFrame, recovery: int) -> list[tuple]:
+    """The state in which each stretch of a service begins, from what the stretches do."""
+    state, out = (0, 0, False), []
+    fixed = lambda s: (int(s["failures"]), int(s["last"]), bool(s["open"]))
+    for closed, until, ends in pieces[["closed", "until", "ends"]].itertuples(index=False):
+        out.append(state)
+        if not state[2]:
+            state = fixed(closed[state[0]])
+        else:
+            k = int(np.searchsorted(np.asarray(until, np.int64), state[1] + recovery))
+            state = fixed(ends[k]) if k < len(ends) else state
+    return out
+
+
 def availability(calls: DataFrame, threshold: int = 3, recovery_s: float = 60.0, service: str = "user_id",
-                 ts: str = "ts", tie: str = "event_id", failed: Column | None = None) -> DataFrame:
+                 ts: str = "ts", tie: str = "event_id", failed: Column | None = None, parts: int | None = None) -> DataFrame:
     """State before and after each call of a service: closed, open or half_open; calls that meet
     an open state are rejected.
 
-    The state depends on every earlier call, so calls are dealt by service, ordered inside the
-    partition by Spark, and read as a stream with one small state per service; no group is ever
-    held in memory as a whole.
+    The state depends on every earlier call. Calls are dealt out by range of (service, time), so a busy
+    service lies in several stretches. What a stretch does to any state it may begin in is a small table
+    (``segment``); the tables of a service are applied one after the other, and then all stretches are
+    read at the same time, each from the state it really begins in, with one small state in memory.
+    ``parts`` sets the number of ranges (Spark's own choice by default).
     """
     failed = F.col("event_type") == "error" if failed is None else failed
+    recovery = round(recovery_s * 1_000_000)
     rows = calls.select(F.col(service).alias("service"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
                         F.col(tie).alias("call_id"), failed.alias("failed"))
-    ordered = rows.repartition("service").sortWithinPartitions("service", "at", "call_id")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    order = ["service", "at", "call_id"]
+    dealt = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    placed = written(dealt.withColumn("part", F.spark_partition_id()))
+    pieces = placed.groupBy("service", "part").agg(F.count(F.lit(1)).alias("n"))
+    several = pieces.groupBy("service").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("service")
+
+    def summary(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("at", "ascending"), ("call_id", "ascending")])
+        figures = segment(group.column("at").to_pylist(), group.column("failed").to_pylist(), threshold, recovery)
+        states = pa.list_(pa.struct([("failures", pa.int32()), ("last", pa.int64()), ("open", pa.bool_())]))
+        named = [pa.array([x], t) for x, t in zip(figures, (states, pa.list_(pa.int64()), states))]
+        return pa.Table.from_arrays([group.column("service").slice(0, 1), group.column("part").slice(0, 1), *named], names=["service", "part", "closed", "until", "ends"])
+
+    shared = placed.join(several, "service", "left_semi").groupBy("service", "part")
+    tables = shared.applyInArrow(summary, f"service {kinds['service']}, part int, closed array<{_STATE}>, until array<bigint>, ends array<{_STATE}>")
+
+    def begin(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("part")
+        states = _carried(group, recovery)
+        return pd.DataFrame({"service": group["service"].values, "part": group["part"].values, "failures": [s[0] for s in states],
+                             "last": [s[1] for s in states], "open": [s[2] for s in states]})
+
+    entries = tables.groupBy("service").applyInPandas(begin, f"service {kinds['service']}, part int, failures int, last bigint, open boolean")
+    known = placed.join(entries, ["service", "part"], "left").fillna({"failures": 0, "last": 0, "open": False})
+    ordered = known.repartition("service", "part").sortWithinPartitions("service", "part", "at", "call_id")
+    ordered = ordered.select("service", "part", "at", "call_id", "failed", "failures", "last", "open")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        service_now, breaker = None, Breaker(threshold, recovery_s)
+        now, breaker = None, Breaker(threshold, recovery)
         for batch in batches:
             out = []
-            for name, at, call_id, bad in batch.itertuples(index=False):
-                if name != service_now:
-                    service_now, breaker = name, Breaker(threshold, recovery_s)
-                out.append((name, call_id, *breaker.call(at / 1e6, bad)))
+            for name, part, at, call_id, bad, failures, last, is_open in batch.itertuples(index=False):
+                if (name, part) != now:
+                    now, breaker = (name, part), Breaker(threshold, recovery, int(failures), int(last), bool(is_open))
+                out.append((name, call_id, *breaker.call(at, bad)))
             yield pd.DataFrame(out, columns=["service", "call_id", "before", "after", "rejected"])
 
     return ordered.mapInPandas(
@@ -276,7 +353,7 @@ def availability(calls: DataFrame, threshold: int = 3, recovery_s: float = 60.0,
 
 
 class Breaker:
-    """State of one service: failures in a row and the time of the last one."""
+    """State of one service: failures in a row and the time of the last one, in the unit of ``recovery_s``."""
 
     def __init__(self, threshold: int = 3, recovery_s: float = 60.0, failures: int = 0, last_failure: float = 0.0, is_open: bool = False):
         self.threshold, self.recovery_s = threshold, recovery_s

@@ -2,6 +2,7 @@
 
 import json
 import random
+from datetime import datetime, timezone
 
 import numpy as np
 import pytest
@@ -373,6 +374,43 @@ def test_sessions_fold_like_the_stream(spark, cap, slot_turns):
     assert ends == {s: k for s, k in known.items() if k}
 
 
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_availability_of_a_service_in_many_parts(spark, parts):
+    """One service has half of all calls, with ties in time, over as many ranges as asked for."""
+    rng = random.Random(parts)
+    calls, now = [], 1_700_000_000
+    for i in range(1200):
+        now += rng.choice([0, 1, 5, 20, 59, 60, 61, 200]) if i % 3 else rng.choice([0, 1])
+        calls.append((0 if rng.random() < 0.5 else rng.randrange(1, 9), i, now, rng.random() < 0.6))
+    df = spark.createDataFrame([(u, i, datetime.fromtimestamp(t, timezone.utc), bad) for u, i, t, bad in calls], "user_id long, event_id long, ts timestamp, bad boolean")
+    want, breakers = {}, {}
+    for u, i, t, bad in calls:
+        want[i] = (u, *breakers.setdefault(u, conversations.Breaker()).call(t, bad))
+    got = conversations.availability(df, failed=F.col("bad"), parts=parts).collect()
+    assert {r.call_id: (r.service, r.before, r.after, r.rejected) for r in got} == want and len(got) == len(want)
+
+
+def test_segments_agree_with_the_calls_one_by_one():
+    rng = random.Random(12)
+    for _ in range(400):
+        at, t = [], 0
+        for _ in range(rng.randrange(1, 25)):
+            t += rng.choice([0, 1, 3, 10, 30])
+            at.append(t)
+        bad = [rng.random() < 0.6 for _ in at]
+        closed, until, ends = conversations.segment(at, bad, 3, 10)
+        for start in [(f, 0, False) for f in range(3)] + [(3, t - 10, True) for t in range(-12, 12) if t - 10 <= at[0]]:
+            breaker = conversations.Breaker(3, 10, *start)
+            for when, fails in zip(at, bad):
+                breaker.call(when, fails)
+            if start[2]:
+                k = next((k for k, u in enumerate(until) if u >= start[1] + 10), None)
+                found = start if k is None else ends[k]
+            else:
+                found = closed[start[0]]
+            assert found[2] == breaker.is_open and (found[1] == breaker.last_failure if found[2] else found[0] == breaker.failures)
+
+
 def test_a_turn_may_drop_a_name_and_say_another_again(spark):
     df = spark.createDataFrame([("s", 0, ["a", "b", "c"]), ("s", 1, ["d", "a"])], "session_id string, turn_no int, entities array<string>")
     assert [r.entity for r in conversations.accumulated_entities(df, 3).orderBy("place").collect()] == ["b", "c", "d"]
