@@ -6,12 +6,9 @@ replaces its own output and nothing else.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,8 +16,9 @@ from corpusloom import constants as C
 from corpusloom.functions import text as X
 from corpusloom.operators import graph
 from corpusloom.operators.parsing import with_hash
-from corpusloom.operators.ranking import cap_newest, first_per_key
+from corpusloom.operators.ranking import cap_newest, first_per_key, top_per_key
 from corpusloom.operators.similarity import cache_lookup
+from corpusloom.session import written
 from corpusloom.sources.writers import latest_version
 
 
@@ -145,36 +143,102 @@ def incremental_graph(stream: DataFrame, store: GraphStore, checkpoint: str, onc
 CACHE_SCHEMA = "entry_id long, lang string, embedding array<double>, ts_s long"
 
 
-def store_misses(misses: DataFrame, cache: DataFrame, threshold: float = C.CACHE_THRESHOLD, size: int = C.CACHE_SIZE) -> DataFrame:
-    """Questions that are stored one after the other unless a similar one is cached by then.
+#: Misses that one task decides on in order, from the vectors held before them.
+STRETCH = 512
+
+
+def unit_rows(vectors: list) -> np.ndarray:
+    """Vectors scaled to length one; those without length stay as they are."""
+    rows = np.array(vectors, dtype=np.float64)
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(length > 0, length, 1.0)
+
+
+def decide(held: list, vectors: list, threshold: float, size: int) -> list[bool]:
+    """Which vectors are stored, one after the other: those not similar to any of the ``size`` newest held by then."""
+    if not vectors:
+        return []
+    rows = unit_rows([*held, *vectors])
+    kept, out = list(range(len(held)))[-size:], []
+    for i in range(len(held), len(rows)):
+        fresh = not kept or float((rows[kept] @ rows[i]).max()) < threshold
+        out.append(fresh)
+        if fresh:
+            kept = [*kept, i][-size:]
+    return out
+
+
+def store_misses(misses: DataFrame, cache: DataFrame, threshold: float = C.CACHE_THRESHOLD, size: int = C.CACHE_SIZE, stretch: int = STRETCH) -> DataFrame:
+    """Questions that are stored one after the other unless a similar one of their language is among the ``size`` newest by then.
 
-    Each decision depends on the ones before it, so this part is a single ordered pass per
-    language with the newest ``size`` vectors in memory. It only gets the questions that missed
-    the snapshot; exact repeats among them are dropped beforehand.
+    Each decision depends on those before it, but only through the vectors that are held. So misses are cut by range of
+    (language, time) into stretches of about ``stretch`` rows that are decided at the same time, at first from the
+    cache alone. Then each stretch is given the ``size`` vectors held before it by these decisions, and stretches that
+    are given others than before decide again, until none is. The first stretch that is wrong comes right in every
+    round, so the result is that of the sequential pass. A task holds a stretch and ``size`` vectors,
+    never a language, and a round sends ``size`` vectors per stretch that decides.
     """
-    once = first_per_key(misses, ["lang", "embedding"], ["ts_s", "query_id"])
-    old = cache.select(F.col("entry_id").alias("query_id"), "lang", "embedding", "ts_s", F.lit(0).alias("fresh"))
-    rows = old.unionByName(once.select("query_id", "lang", "embedding", "ts_s", F.lit(1).alias("fresh")))
-    ordered = rows.repartition("lang").sortWithinPartitions("lang", "fresh", "ts_s", "query_id")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lang_now, held = None, []
-        for frame in batches:
-            kept = []
-            for query_id, lang, vector, ts_s, fresh in frame.itertuples(index=False):
-                if lang != lang_now:
-                    lang_now, held = lang, []
-                unit = np.asarray(vector, dtype=np.float64)
-                length = math.sqrt(float(unit @ unit))
-                unit = unit / length if length > 0 else unit
-                if fresh and held and float(np.max(np.stack(held) @ unit)) >= threshold:
-                    continue
-                held = [*held, unit][-size:]
-                if fresh:
-                    kept.append((query_id, lang, list(vector), ts_s))
-            yield pd.DataFrame(kept, columns=["entry_id", "lang", "embedding", "ts_s"])
-
-    return ordered.mapInPandas(walk, CACHE_SCHEMA)
+    key = F.coalesce(F.concat(F.lit("+"), F.col("lang").cast("string")), F.lit("-")).alias("lang")  # no language is one of its own
+    rows = misses.select("query_id", F.col("lang").alias("language"), key, "embedding", "ts_s")
+    parts = max(1, -(-rows.count() // stretch))
+    order = ["lang", "ts_s", "query_id"]
+    placed = written(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("lang", "part").orderBy("ts_s", "query_id"))
+    placed = written(placed.withColumn("place", place))
+    old = cache.select(F.col("entry_id").alias("query_id"), key, "embedding", "ts_s")
+    old = top_per_key(old, ["lang"], [F.desc("ts_s"), F.desc("query_id")], size, "__age")
+    # ranks of the entries from before end at 0; those stored now go on from there
+    old = written(old.select("lang", "query_id", "embedding", (F.lit(1) - F.col("__age")).cast("long").alias("rank")))
+    stretches = placed.select("lang", "part").distinct()
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+
+    def run(fresh: pa.Table, held: pa.Table) -> pa.Table:
+        fresh, held = fresh.sort_by("place"), held.sort_by("rank")
+        kept = decide(held.column("embedding").to_pylist(), fresh.column("embedding").to_pylist(), threshold, size)
+        return fresh.select(["lang", "part", "place"]).append_column("kept", pa.array(kept, pa.bool_()))
+
+    def decided(given: DataFrame, held: DataFrame) -> DataFrame:
+        found = given.groupBy("lang", "part").cogroup(held.groupBy("lang", "part")).applyInArrow(
+            run, f"lang {kinds['lang']}, part int, place int, kept boolean")
+        return written(found)
+
+    def given_to(held: DataFrame) -> DataFrame:
+        """For each stretch a digest of the vectors it is given."""
+        seen = held.groupBy("lang", "part").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "query_id"))).cast("array<string>"), ",").cast("binary")).alias("given"))
+        return stretches.join(seen, ["lang", "part"], "left").fillna({"given": ""})
+
+    held = written(stretches.join(old, "lang").select("lang", "part", "query_id", "embedding", "rank"))  # the cache, for every stretch
+    known = decided(placed, held)
+    given = written(given_to(held))
+    while parts > 1:
+        kept = known.filter("kept")
+        within = F.row_number().over(Window.partitionBy("lang", "part").orderBy("place"))
+        counts = kept.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"))
+        before = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+        starts = stretches.join(counts, ["lang", "part"], "left").select("lang", "part", F.coalesce(before, F.lit(0)).alias("before"))
+        new = kept.withColumn("within", within).join(starts, ["lang", "part"]).join(placed.select("lang", "part", "place", "query_id"), ["lang", "part", "place"])
+        new = new.select("lang", (F.col("before") + F.col("within")).alias("rank"), "query_id", F.col("part").alias("from"), "place")
+        ranked = new.unionByName(old.select("lang", "rank", "query_id", F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("place")))
+        # a stretch is given ranks above before - size up to before; both lie in two neighbouring bands of that width
+        band = F.floor(F.col("before") / size)
+        wanted = starts.select("lang", "part", "before", F.explode(F.array(band, band - 1)).alias("band"))
+        held = wanted.join(ranked.withColumn("band", F.floor(F.col("rank") / size)), ["lang", "band"])
+        held = written(held.filter((F.col("rank") <= F.col("before")) & (F.col("rank") > F.col("before") - size)).drop("band", "before"))
+        now = written(given_to(held))
+        changed = now.join(given.withColumnRenamed("given", "was"), ["lang", "part"]).filter("given <> was").select("lang", "part")
+        if changed.isEmpty():
+            break
+        held = held.join(changed, ["lang", "part"], "left_semi")
+        vectors = placed.select("lang", F.col("part").alias("from"), "place", "embedding")
+        stored_now = held.filter(F.col("from").isNotNull()).join(vectors, ["lang", "from", "place"])
+        from_before = held.filter(F.col("from").isNull()).join(old.select("lang", "rank", F.col("embedding")), ["lang", "rank"])
+        columns = ["lang", "part", "query_id", "embedding", "rank"]
+        held = written(stored_now.select(*columns).unionByName(from_before.select(*columns)))
+        again = decided(placed.join(changed, ["lang", "part"], "left_semi"), held)
+        known = written(known.join(changed, ["lang", "part"], "left_anti").unionByName(again))
+        given = now
+    stored = placed.join(known.filter("kept").select("lang", "part", "place"), ["lang", "part", "place"], "left_semi")
+    return stored.select(F.col("query_id").alias("entry_id"), F.col("language").alias("lang"), "embedding", "ts_s")
 
 
 def cache_batch(batch: DataFrame, cache: DataFrame, threshold: float = C.CACHE_THRESHOLD, size: int = C.CACHE_SIZE) -> tuple[DataFrame, DataFrame]:

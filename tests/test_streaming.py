@@ -1,5 +1,6 @@
 """Streams against their batch twins and against hand-made cases."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.operators import conversations as K
@@ -109,6 +110,47 @@ def test_incremental_graph_matches_batch(spark, tables, tmp_path):
     assert contents() == expected
 
 
+def in_turn(held, fresh, threshold, size):
+    """The plain sequential pass over (id, vector), from the vectors held before it."""
+    out, held = [], [np.array(v) for v in held][-size:]
+    for i, v in fresh:
+        cosines = [float(np.dot(v, h) / ((np.linalg.norm(v) * np.linalg.norm(h)) or 1)) for h in held]
+        if not any(c >= threshold for c in cosines):
+            out.append(i)
+            held = [*held, np.array(v)][-size:]
+    return out
+
+
+def test_stored_misses_equal_the_sequential_pass(spark):
+    """Many random orders at once, one per language; stretches are shorter than a language, and vectors leave the cache."""
+    rng = np.random.default_rng(5)
+    angles = np.cumsum(rng.normal(0, 0.12, 40))  # neighbours are alike, so decisions hang on one another
+    shapes = [[float(np.cos(a)), float(np.sin(a)), 0.0] for a in angles] + [[0.0, 0.0, 0.0]] * 2
+    cache, misses, want = [], [], set()
+    for k in range(50):
+        lang = None if k == 0 else f"l{k:03d}"
+        held = [shapes[i] for i in rng.integers(0, 40, k % 4)]
+        cache += [(-100 * k - i, lang, v, i) for i, v in enumerate(held)]
+        fresh = [(1000 * k + n, shapes[i]) for n, i in enumerate(rng.permutation(np.arange(42)).tolist())]
+        misses += [(i, lang, v, 100 + i // 2) for i, v in fresh]
+        want |= set(in_turn(held, fresh, 0.95, 6))
+    schema = "query_id long, lang string, embedding array<double>, ts_s long"
+    given = spark.createDataFrame(cache, schema.replace("query_id", "entry_id"))
+    got = I.store_misses(spark.createDataFrame(misses, schema), given, 0.95, 6, stretch=20).collect()
+    assert {r.entry_id for r in got} == want and len(got) == len(want) > 100
+    assert {r.lang for r in got if r.entry_id < 1000} == {None}
+
+
+def test_one_long_chain_of_misses(spark):
+    """Each question is like the one before it only, over twenty stretches of one language."""
+    steps = [[float(np.cos(0.3 * i)), float(np.sin(0.3 * i))] for i in range(10)]
+    chain = [(i, "en", [*([0.0] * (2 * (i // 10))), *steps[i % 10], *([0.0] * (40 - 2 * (i // 10)))], i) for i in range(200)]
+    schema = "query_id long, lang string, embedding array<double>, ts_s long"
+    none = spark.createDataFrame([], schema.replace("query_id", "entry_id"))
+    got = I.store_misses(spark.createDataFrame(chain, schema), none, 0.95, 500, stretch=10)
+    assert sorted(r.entry_id for r in got.collect()) == in_turn([], [(i, v) for i, _, v, _ in chain], 0.95, 500)
+
+
 def test_incremental_cache(spark, tables, tmp_path):
     base = [1.0, 0.0, 0.0, 0.0, 0.0]
     rows = [(1, "en", base, 1), (2, "en", [0.99, 0.1, 0.0, 0.0, 0.0], 2), (3, "en", [0.0, 1.0, 0.0, 0.0, 0.0], 3),
