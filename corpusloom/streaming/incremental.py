@@ -20,6 +20,7 @@ from corpusloom.operators.ranking import cap_newest, first_per_key, top_per_key
 from corpusloom.operators.similarity import cache_lookup
 from corpusloom.session import written
 from corpusloom.sources.writers import latest_version
+from corpusloom.streaming.keys import KeyStore
 
 
 def _batch_folder(path: str, batch_id: int) -> str:
@@ -53,17 +54,24 @@ CLEAN_SCHEMA = "doc_id long, content string, content_hash string"
 def clean_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     """Unseen documents of a batch: first per hash, not stored by an earlier batch, long enough.
 
-    Hashes seen before live in the written table, not in operator state, so the memory of the
-    stream does not grow with the corpus. Short documents are stored with an empty content, as
-    their hash counts as seen.
+    Hashes seen before live in a key store beside the table, not in operator state: neither the memory
+    of the stream nor what a batch reads grows with the corpus. Short documents are stored with an empty
+    content, as their hash counts as seen.
     """
-    spark = batch.sparkSession
-    hashed = first_per_key(with_hash(batch.select("doc_id", F.col("text").alias("content"))), ["content_hash"], ["doc_id"])
-    seen = read_batches(spark, path, CLEAN_SCHEMA, before=batch_id).select("content_hash")
+    store = seen_hashes(batch.sparkSession, path)
+    hashed = written(first_per_key(with_hash(batch.select("doc_id", F.col("text").alias("content"))), ["content_hash"], ["doc_id"]))
+    keys = hashed.select(F.col("content_hash").alias("key"))
+    seen = store.held(keys, before=batch_id).withColumnRenamed("key", "content_hash")
     fresh = hashed.join(seen, "content_hash", "left_anti").withColumn("content", X.normalize_text(F.col("content")))
     short = F.length("content") < C.MIN_CONTENT_CHARS
     kept = fresh.withColumn("content", F.when(short, F.lit(None)).otherwise(F.col("content")))
     kept.select("doc_id", "content", "content_hash").write.mode("overwrite").parquet(_batch_folder(path, batch_id))
+    store.add(keys, batch_id)
+
+
+def seen_hashes(spark: SparkSession, path: str) -> KeyStore:
+    """Hashes of all documents that a clean table has met; ``compact`` it now and then."""
+    return KeyStore(spark, f"{path}_seen")
 
 
 def incremental_clean(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -92,6 +100,7 @@ class GraphStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.names = KeyStore(spark, f"{path}/names")
 
     def _rows(self, kind: str, schema: str, before: int | None) -> DataFrame:
         base = latest_version(self.spark, f"{self.path}/{kind}_base")
@@ -113,10 +122,15 @@ class GraphStore:
         return first_per_key(self._rows("edges", EDGE_SCHEMA, before), graph.EDGE_KEY, ["batch", "pos"])
 
     def add(self, mentions: DataFrame, triples: DataFrame, batch_id: int) -> None:
-        """Store a batch. Triples with a blank part or an end that is unknown by now are left out."""
+        """Store a batch. Triples with a blank part or an end that is unknown by now are left out.
+
+        Known names are asked of a key store, so a batch reads the parts that may hold its own ends and not all nodes.
+        """
         graph.dedup_entities(mentions).select("name", "type", "description", "source_doc_id", "source_title", "pos").write.mode(
             "overwrite").parquet(_batch_folder(f"{self.path}/nodes", batch_id))
-        known = self._rows("nodes", NODE_SCHEMA, batch_id + 1).select("name").distinct()
+        self.names.add(mentions.select(F.col("name").alias("key")), batch_id)
+        ends = triples.select(F.explode(F.array("head", "tail")).alias("key"))
+        known = self.names.held(ends, batch_id + 1).withColumnRenamed("key", "name")
         fresh = first_per_key(graph.existing_edges(triples.filter(graph.complete_triple()), known), graph.EDGE_KEY, ["pos"])
         fresh.select("head", "relation", "tail", "evidence", "source_doc_id", "pos").write.mode("overwrite").parquet(
             _batch_folder(f"{self.path}/edges", batch_id))
@@ -125,6 +139,7 @@ class GraphStore:
         """Fold all batches up to a number into a new base; readers switch once it is complete."""
         for kind, rows in (("nodes", self.nodes(upto + 1)), ("edges", self.edges(upto + 1))):
             rows.write.mode("overwrite").parquet(f"{self.path}/{kind}_base/v={upto:06d}")
+        self.names.compact(upto)
 
 
 def incremental_graph(stream: DataFrame, store: GraphStore, checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -9,6 +9,7 @@ from corpusloom.operators.cleaning import clean_counters
 from corpusloom.operators.parsing import with_hash
 from corpusloom.streaming import incremental as I
 from corpusloom.streaming.availability import availability_stream
+from corpusloom.streaming.keys import KeyStore
 from corpusloom.streaming.sessions import fold_session, session_state, sessionize_stream
 
 
@@ -110,6 +111,28 @@ def test_incremental_graph_matches_batch(spark, tables, tmp_path):
     assert contents() == expected
 
 
+def test_key_store_reads_little_and_exactly(spark, tmp_path):
+    """Over many batches new keys open next to no part, old ones only their own; a retry and a base change nothing."""
+    store, keys = KeyStore(spark, str(tmp_path / "keys"), parts=8), lambda names: spark.createDataFrame([(n,) for n in names], "key string")
+    names = lambda b: [f"{b}-{i}" for i in range(60)]
+    opened = []
+    for b in range(12):
+        fresh = names(b) + names(b)[:5] + [None]
+        opened.append(store.candidates(keys(fresh), b).select("part", "batch").distinct().count())
+        assert store.held(keys(fresh), b).count() == 0
+        store.add(keys(fresh), b)
+    assert max(opened) <= 8  # of up to 88 folders
+    mixed = names(3)[:7] + names(50) + names(9)[-2:]
+    want = sorted(names(3)[:7] + names(9)[-2:])
+    found = lambda before=None: sorted(r.key for r in store.held(keys(mixed), before).collect())
+    assert found() == want and found(9) == sorted(names(3)[:7]) and found(3) == []
+    store.add(keys(names(9)), 9)
+    store.compact(8)
+    assert found() == want and found(9) == sorted(names(3)[:7]) and found(5) == sorted(names(3)[:7])
+    store.compact(11)
+    assert found() == want and store.candidates(keys(names(3)), None).filter("batch >= 0").count() == 0
+
+
 def in_turn(held, fresh, threshold, size):
     """The plain sequential pass over (id, vector), from the vectors held before it."""
     out, held = [], [np.array(v) for v in held][-size:]
