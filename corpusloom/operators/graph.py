@@ -143,11 +143,13 @@ def symmetric_aliases(edges: DataFrame, relation: str = "TRANSFORMED_INTO") -> D
     return pairs.select(both.alias("p")).select("p.*").distinct()
 
 
-def neighbors(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 20) -> DataFrame:
+def neighbors(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 20, salts: int = 16) -> DataFrame:
     """Outgoing and incoming edges of named entities, at most ``limit`` per direction.
 
     Seeds are reduced to distinct names first, so a name asked for a million times is looked up
-    once; the rank filter trims hub nodes before the shuffle.
+    once. The edges of a node are dealt over ``salts`` parts by their other end; each part is cut to its first
+    ``limit`` edges and these to the first ``limit`` of the node before anything is joined to them, so a
+    hub with most edges is neither matched nor ranked in one task.
     """
     wanted = seeds.select(F.lower("name").alias("__key")).distinct()
     found = nodes.join(wanted, F.lower(nodes["name"]) == F.col("__key"), "left_semi").select(
@@ -156,8 +158,11 @@ def neighbors(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int =
         F.struct(F.col("head").alias("entity"), F.lit("outgoing").alias("direction"), F.col("tail").alias("other")),
         F.struct(F.col("tail").alias("entity"), F.lit("incoming").alias("direction"), F.col("head").alias("other"))))
     touching = edges.select(ends.alias("e"), "relation", "evidence").select("e.*", "relation", "evidence")
-    kept = top_per_key(touching.join(found, "entity", "right"), ["entity", "direction"], ["other", "relation"], limit, "rank")
-    kept = kept.withColumn("rank", F.when(F.col("relation").isNotNull(), F.col("rank")))
+    touching = touching.withColumn("__salt", F.pmod(F.xxhash64("other", "relation"), F.lit(salts)).cast("int"))
+    asked = found.select("entity", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    parts = top_per_key(touching.join(asked, ["entity", "__salt"], "left_semi"), ["entity", "__salt", "direction"], ["other", "relation"], limit)
+    kept = top_per_key(parts.drop("__salt"), ["entity", "direction"], ["other", "relation"], limit, "rank")
+    kept = kept.join(found, "entity", "right")
     # Stored edges have existing ends, so only the types of the kept ones are looked up.
     return kept.join(nodes.select(F.col("name").alias("other"), F.col("type").alias("other_type")), "other", "left")
 

@@ -14,7 +14,7 @@ from corpusloom import constants as C
 from corpusloom.functions import labels, scoring
 from corpusloom.functions import text as X
 from corpusloom.functions.jsonfix import repair, salvage_json
-from corpusloom.operators import aliases, chunking, context, conversations, evaluation, fetching, filtering, graph, mentions, models, paths, ranking, reports, similarity
+from corpusloom.operators import aliases, chunking, context, conversations, evaluation, fetching, filtering, graph, mentions, models, paths, ranking, reports, similarity, vector_index
 from corpusloom.sources import readers, writers
 from corpusloom.streaming.sessions import fold_session
 
@@ -287,6 +287,24 @@ def test_neighbours_limit_is_per_direction(spark):
     assert len(rows) == 6 and {r.direction for r in rows} == {"outgoing", "incoming"} and {r.entity for r in rows} == {"n0"}
 
 
+def test_neighbours_of_a_hub(spark):
+    """A hub with most edges: the same rows for any number of salts, and the rank limit comes before the join."""
+    rng = random.Random(2)
+    nodes = spark.createDataFrame([(f"n{i}", "T", "d") for i in range(200)] + [("alone", "T", "d")], "name string, type string, description string")
+    rows = {("n0", rng.choice("RS"), f"n{rng.randrange(200)}") for _ in range(300)} | {(f"n{rng.randrange(200)}", "Q", f"n{rng.randrange(200)}") for _ in range(200)}
+    edges = spark.createDataFrame([(*r, None) for r in rows], "head string, relation string, tail string, evidence string")
+    seeds = spark.createDataFrame([("N0",), ("n7",), ("alone",)], "name string")
+    want = set()
+    for name in ("n0", "n7"):
+        out, into = sorted((t, r) for h, r, t in rows if h == name), sorted((h, r) for h, r, t in rows if t == name)
+        want |= {(name, d, o, r, k + 1) for d, some in (("outgoing", out), ("incoming", into)) for k, (o, r) in enumerate(some[:5])}
+    for salts in (1, 16):
+        found = graph.neighbors(seeds, nodes, edges, 5, salts)
+        assert {(r.entity, r.direction, r.other, r.relation, r["rank"]) for r in found.collect()} == want | {("alone", None, None, None, None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join RightOuter") < plan.index("WindowGroupLimit") < plan.index("Join LeftSemi")
+
+
 def test_alias_direction_is_reversed(spark):
     pairs = [("A", "B"), ("B", "x"), ("B", "y"), ("C", "x")]
     got = {r.alias: (r.canonical_name, r.alias_count) for r in aliases.resolve_alias_conflicts(
@@ -411,6 +429,24 @@ def test_segments_agree_with_the_calls_one_by_one():
             assert found[2] == breaker.is_open and (found[1] == breaker.last_failure if found[2] else found[0] == breaker.failures)
 
 
+def test_inverted_lists(spark, tables, tmp_path):
+    """Clustered vectors: at most a quarter of the pairs for a recall of 0.9, every row in one list, long lists over several tasks."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(30, 24))
+    rows = [(i, (middles[i % 30 if i % 3 else 0] + rng.normal(scale=0.35, size=24)).tolist()) for i in range(1500)] + [(1500, [0.0] * 24), (1501, None)]
+    corpus = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, (np.array(rows[i][1]) + rng.normal(scale=0.1, size=24)).tolist()) for i in range(0, 1500, 20)], "query_id long, embedding array<double>")
+    index = vector_index.VectorIndex(spark, str(tmp_path / "index")).build(corpus, lists=40, sample=800)
+    assert spark.read.parquet(str(tmp_path / "index/lists")).count() == 1501
+    exact = {(r.query_id, r.item_id) for r in similarity.vector_topk(asked, corpus.filter("embedding is not null"), 8).collect()}
+    for task_rows in (20_000, 50):
+        found = index.topk(asked, 8, 6, task_rows=task_rows).collect()
+        assert len({(r.query_id, r.item_id) for r in found} & exact) >= 0.9 * len(exact) and len(found) == len(exact)
+    assert index.share(asked, 6) <= 0.25
+    everything = {(r.query_id, r.item_id, r["rank"]) for r in index.topk(asked, 8, 40).collect()}
+    assert everything == {(r.query_id, r.item_id, r["rank"]) for r in similarity.vector_topk(asked, corpus.filter("embedding is not null"), 8).collect()}
+
+
 def test_a_turn_may_drop_a_name_and_say_another_again(spark):
     df = spark.createDataFrame([("s", 0, ["a", "b", "c"]), ("s", 1, ["d", "a"])], "session_id string, turn_no int, entities array<string>")
     assert [r.entity for r in conversations.accumulated_entities(df, 3).orderBy("place").collect()] == ["b", "c", "d"]
