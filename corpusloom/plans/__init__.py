@@ -7,6 +7,6 @@ def all_queries():
 
     from corpusloom.plans.catalog import CATALOG
 
-    for module in ("text_queries", "graph_queries", "retrieval_queries", "evaluation_queries", "conversation_queries"):
+    for module in ("text_queries", "graph_queries", "retrieval_queries", "evaluation_queries", "conversation_queries", "storage_queries"):
         importlib.import_module(f"corpusloom.plans.{module}")
     return CATALOG

@@ -255,6 +255,35 @@ def a14_wiki(t):
     return _profiled(t.wiki.select(*_WIKI), "doc_id")
 
 
+_SKETCHED = {"documents": ("doc_id", _DOCS), "customer": ("c_custkey", _CUSTOMERS), "pages": ("page_id", _PAGES), "wiki": ("doc_id", _WIKI)}
+
+
+def _hints_sql(table: str, columns: dict[str, str]) -> str:
+    def one(name: str, kind: str) -> str:
+        value = f"nullif({name}, '')" if kind == "string" else f"CAST({name} AS STRING)"
+        size = "length(v)" if kind == "string" else "CAST(NULL AS INT)"
+        hint = lambda test: f"bool_or({test}) FILTER (v IS NOT NULL)" if kind == "string" else "CAST(NULL AS BOOLEAN)"
+        return f"""SELECT '{table}' AS table_name, '{name}' AS field_name, CASE WHEN count(v) > 0 THEN '{kind}' ELSE 'null' END AS primary_type, count(*) AS total_count,
+  count(v) AS non_null_count, count(*) FILTER (raw_null) AS null_count, round(1 - count(v) / count(*), 4) AS null_rate,
+  CAST(min({size}) AS INT) AS min_length, CAST(max({size}) AS INT) AS max_length, round(avg({size}), 1) AS avg_length,
+  CASE WHEN count(DISTINCT v) <= 30 THEN string_agg(DISTINCT v, '|' ORDER BY v) END AS unique_values,
+  {hint("contains(v, '<') AND contains(v, '>')")} AS contains_html, {hint("contains(v, '#') OR contains(v, '[[') OR contains(v, '**')")} AS contains_markdown,
+  {hint("contains(v, '{{') OR contains(v, '[[')")} AS contains_wikitext FROM (SELECT {name} IS NULL AS raw_null, {value} AS v FROM {table})"""
+
+    return " UNION ALL ".join(one(name, kind) for name, kind in columns.items())
+
+
+@query("A14_profile_sketched", " UNION ALL ".join(_hints_sql(table, columns) for table, (_, columns) in _SKETCHED.items()), ["wiki"])
+def a14_sketched(t):
+    """Profiles of four tables from sketches: what they give exactly, format hints over all values included."""
+    result = None
+    for table, (order, columns) in _SKETCHED.items():
+        rows = profiling.profile_sketched(getattr(t, table).select(*columns), order).drop("frequent", "examples", "unique_count", "median_length")
+        rows = rows.withColumn("table_name", F.lit(table))
+        result = rows if result is None else result.unionByName(rows)
+    return result
+
+
 def _roles_sql(table: str, order: str, columns: dict[str, str]) -> str:
     return f"""
 WITH p AS ({_profile_sql(table, order, columns)})

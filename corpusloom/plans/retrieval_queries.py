@@ -236,13 +236,17 @@ new AS (SELECT strip_accents('é' || 'v')[2:] || (vec_id + 100) AS chunk_id, lef
 SELECT chunk_id, text, written, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY written DESC) AS r
   FROM (SELECT * FROM old UNION ALL SELECT * FROM new)) WHERE r = 1""")
 def s07(t):
+    return similarity.upsert_vectors(*vector_loads(t))
+
+
+def vector_loads(t):
+    """Vectors held and vectors that come in, every id of the old ones but a few among them."""
     old = t.embeddings.select(F.expr("'v' || vec_id").alias("chunk_id"), F.expr("'old ' || vec_id").alias("text"),
                               F.lit(1).cast("long").alias("written"), "vec_id")
     # Ids are folded to ASCII before they are compared.
     new = t.embeddings.select(X.ascii_id(F.expr("' v' || (vec_id + 100)")).alias("raw"), F.expr("repeat('new ' || vec_id || ' ', 200)").alias("text"),
                               F.expr("2 + vec_id % 2").cast("long").alias("written"), "vec_id")
-    new = new.withColumn("chunk_id", X.strip(F.col("raw"))).drop("raw")
-    return similarity.upsert_vectors(old, new)
+    return old, new.withColumn("chunk_id", X.strip(F.col("raw"))).drop("raw").select(*old.columns)
 
 
 @query("W09_newest_entries", "SELECT event_id, ts_text FROM (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text FROM events ORDER BY ts DESC, event_id DESC LIMIT 500)")

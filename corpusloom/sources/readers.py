@@ -19,7 +19,8 @@ def read_mixed_json(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Lines of differing shapes as variants with their origin; a top-level array becomes
     ``{"turns": [...]}`` and lines that are neither object nor array are dropped.
 
-    Source type and language come from file names such as ``talk_npc_EN.jsonl``.
+    Source type and language come from file names such as ``talk_npc_EN.jsonl``, or from the name of a
+    folder of part files.
     """
     lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("source_file"), F.col("value"))
     parsed = lines.withColumn("line", F.try_parse_json("value"))
@@ -28,7 +29,7 @@ def read_mixed_json(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         F.startswith(shape, F.lit("ARRAY")),
         F.try_parse_json(F.concat(F.lit('{"turns": '), "value", F.lit("}"))),
     ).when(F.startswith(shape, F.lit("OBJECT")), F.col("line"))
-    stem = F.regexp_extract("source_file", r"([^/]+)\.jsonl?$", 1)
+    stem = F.regexp_extract("source_file", r"([^/]+)\.jsonl?(?:/[^/]*)?$", 1)
     return parsed.select(
         "source_file",
         F.regexp_extract(stem, r"^(.*)_[^_]+$", 1).alias("source_type"),

@@ -11,7 +11,7 @@ from corpusloom.session import written
 from corpusloom.sources.writers import latest_version
 
 #: Parts that keys are dealt over by hash; bits and probes per key of the filters.
-PARTS, BITS, PROBES = 256, 12, 6
+PARTS, BITS, PROBES = 64, 12, 6
 FILTER = "part int, n long, bits binary"
 
 

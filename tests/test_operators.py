@@ -14,8 +14,9 @@ from corpusloom import constants as C
 from corpusloom.functions import labels, scoring
 from corpusloom.functions import text as X
 from corpusloom.functions.jsonfix import repair, salvage_json
-from corpusloom.operators import aliases, chunking, context, conversations, evaluation, fetching, filtering, graph, mentions, models, paths, ranking, reports, similarity, vector_index
+from corpusloom.operators import aliases, chunking, context, conversations, evaluation, fetching, filtering, graph, mentions, models, paths, profiling, ranking, reports, similarity, vector_index
 from corpusloom.sources import readers, writers
+from corpusloom.sources.parted import PartedTable
 from corpusloom.streaming.sessions import fold_session
 
 
@@ -429,6 +430,48 @@ def test_segments_agree_with_the_calls_one_by_one():
             assert found[2] == breaker.is_open and (found[1] == breaker.last_failure if found[2] else found[0] == breaker.failures)
 
 
+def test_upserts_leave_other_parts_alone(spark, tmp_path):
+    """Untouched parts keep their files; a part may come to be empty; a lost writer's files are not read."""
+    table = PartedTable(spark, str(tmp_path / "t"), "key string, n long", ["key"], parts=8)
+    rows = lambda *names, n=0: spark.createDataFrame([(k, n) for k in names], "key string, n long")
+    assert table.read().count() == 0 and table.upsert(rows(), lambda old, new: new) == []
+    newest = lambda old, new: ranking.first_per_key(old.unionByName(new), ["key"], [F.desc("n")])
+    table.upsert(rows(*(f"k{i}" for i in range(60))), newest)
+    files = lambda: {f.split("/t/")[1] for f in table.read().inputFiles()}
+    before = files()
+    touched = table.upsert(rows("k3", "fresh", n=5), newest)
+    assert 1 <= len(touched) <= 2
+    kept = {f for f in before if not any(f"part={p}/" in f for p in touched)}
+    assert kept == files() & before and len(kept) >= 6
+    assert {r.key: r.n for r in table.read().collect()} == {**{f"k{i}": 0 for i in range(60)}, "k3": 5, "fresh": 5}
+    (tmp_path / "t/rows/v=000009/part=0").mkdir(parents=True)
+    gone = table.upsert(rows("k3"), lambda old, new: old.filter("key <> 'k3' and key <> 'fresh'"))
+    left = {r.key for r in table.read().collect()}
+    assert left - {"fresh"} == {f"k{i}" for i in range(60)} - {"k3"}
+    assert table.read(gone).filter("key = 'k3'").count() == 0
+
+
+def test_sketched_profile(spark):
+    """Figures that are exact, errors of those that are not, odd column names, and one exchange only."""
+    rows = [(i, f"v{i % 5000}" if i % 10 else None, "x" * (i % 101), ["a"] * (i % 3), i % 7 == 0, "c" + str(i % 30), "<b>" if i == 29_999 else "t") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "id long, `a.b` string, text string, tags array<string>, flag boolean, few string, late string").repartition(4)
+    found = profiling.profile_sketched(df, "id")
+    got = {r.field_name: r for r in found.collect()}
+    exact = {r.field_name: r for r in profiling.profile(df.drop("a.b"), "id").collect()}
+    same = ["primary_type", "total_count", "non_null_count", "null_count", "null_rate", "min_length", "max_length", "avg_length"]
+    for name, r in exact.items():
+        assert [got[name][c] for c in same] == [r[c] for c in same], name
+        if r.unique_count is not None:
+            assert abs(got[name].unique_count - r.unique_count) <= 0.03 * r.unique_count
+        if r.unique_values is not None:
+            assert got[name].unique_values == r.unique_values
+    assert abs(got["a.b"].unique_count - 4500) <= 135 and got["a.b"].null_count == 3000
+    assert abs(got["text"].median_length - exact["text"].median_length) <= 3
+    assert got["late"].contains_html and not got["text"].contains_markdown and got["id"].contains_html is None
+    assert len(set(got["few"].examples)) == 3 and len(got["late"].examples) == 2
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Aggregate") == 2
+
+
 def test_inverted_lists(spark, tables, tmp_path):
     """Clustered vectors: at most a quarter of the pairs for a recall of 0.9, every row in one list, long lists over several tasks."""
     rng = np.random.default_rng(3)
