@@ -85,9 +85,12 @@ def layer_semantic(questions: DataFrame, vectors: DataFrame, held: DataFrame, k:
 def comention_scores(pairs: DataFrame, docs: DataFrame, depth: int = 1, id_col: str = "doc_id") -> DataFrame:
     """Best ``depth`` documents that mention both names of a pair: (a, b, doc_id, score, rank).
 
-    ``pairs`` holds lower-cased names a, b. Counting starts from the rarer name of a pair, so a
-    name found in a third of all documents is only met through its partner's documents.
+    ``pairs`` holds lower-cased names a, b and may hold ``depth``, a number of its own for each pair up to the common one.
+    Counting starts from the rarer name of a pair, so a name found in a third of all documents is only met through its
+    partner's documents.
     """
+    own = pairs.groupBy("a", "b").agg(F.max("depth").alias("depth")) if "depth" in pairs.columns else None
+    pairs = pairs.select("a", "b")
     names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     counts = mention_counts(docs, names, key=id_col)
     spread_of = counts.groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
@@ -102,7 +105,8 @@ def comention_scores(pairs: DataFrame, docs: DataFrame, depth: int = 1, id_col:
     both = driven.join(first, "rare").join(second, ["common", id_col])
     boosted = docs.select(id_col, F.when(F.col("entity_type").isin(C.CO_MENTION_BOOST_TYPES), 10).otherwise(0).alias("boost"))
     scored = both.join(boosted, id_col).select("a", "b", id_col, (F.col("n1") + F.col("n2") + F.col("boost")).alias("score"))
-    return top_per_key(scored, ["a", "b"], [F.desc("score"), F.col(id_col)], depth, "rank")
+    best = top_per_key(scored, ["a", "b"], [F.desc("score"), F.col(id_col)], depth, "rank")
+    return best if own is None else best.join(own, ["a", "b"]).filter(F.col("rank") <= F.col("depth")).drop("depth")
 
 
 def entity_pairs(questions: DataFrame, entities: int = 6, key: str = "question_id") -> DataFrame:
@@ -117,11 +121,17 @@ def entity_pairs(questions: DataFrame, entities: int = 6, key: str = "question_i
 def layer_comention(questions: DataFrame, docs: DataFrame, held: DataFrame, entities: int = 6, keep: int = 6,
                     key: str = "question_id", id_col: str = "doc_id") -> DataFrame:
     """Layer C: for each entity pair in order the best document with both that is not held or
-    taken by an earlier pair, until ``keep`` documents are found."""
+    taken by an earlier pair, until ``keep`` documents are found.
+
+    A pair is offered as many documents as its own questions may have to pass over: those a question holds and one for
+    each earlier pair. A question that holds many documents deepens its own pairs only.
+    """
     pairs = entity_pairs(questions, entities, key)
-    most = held.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
-    # Enough candidates that one is left even if all held and earlier documents rank before it.
-    best = comention_scores(pairs.select("a", "b"), docs, int(most) + keep, id_col)
+    holds = held.groupBy(key).agg(F.count_distinct(id_col).alias("held"))
+    needs = pairs.join(holds, key, "left").withColumn("depth", F.coalesce("held", F.lit(0)) + F.least(F.col("pair_no"), F.lit(keep - 1)) + 1)
+    # The greatest need only trims what a task hands on; each pair is then cut to its own.
+    most = needs.agg(F.coalesce(F.max("depth"), F.lit(1)).alias("n")).first()["n"]
+    best = comention_scores(needs.select("a", "b", "depth"), docs, int(most), id_col)
     ranked = best.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("rank", id_col))).alias("candidates"))
     taken = held.groupBy(key).agg(F.collect_set(id_col).alias("held"))
     offers = pairs.join(ranked, ["a", "b"]).groupBy(key).agg(

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.tables import fits_in_rows, spread
+from corpusloom.tables import spread
 
 _WORD = re.compile(r"[^\W_]+")
 SLICE_NAMES = 20_000    # names counted in one pass over the texts
-SHARED_NAMES = 200_000  # names that may be shared with every task for the look-up
+SIEVE_BITS = 1 << 25    # of the fixed-size table that tells runs of words which cannot be a name
 
 
 def _resolve(candidates: list[tuple[int, int, str]]) -> list[tuple[str, int]]:
@@ -41,7 +42,7 @@ def _stands_free(text: str, low: str, start: int) -> bool:
 
 
 def _shared_finder(dictionary: DataFrame):
-    """UDF from a text to its mentions, for a dictionary of checked size."""
+    """UDF from a text to its mentions, for a dictionary that its caller knows to be small."""
     by_core: dict[str, list[tuple[str, str, int]]] = {}
     lengths: dict[str, set[int]] = {}
     for row in dictionary.collect():
@@ -70,18 +71,46 @@ def _shared_finder(dictionary: DataFrame):
     return find
 
 
+def _sieve(dictionary: DataFrame) -> tuple[int, bytes]:
+    """Words of the longest core, and one bit for the checksum of each core and of its first word.
+
+    The table has the same size for any dictionary: its tasks build blocks of 32,768 bits, and only the
+    ``SIEVE_BITS / 32768`` blocks reach the driver.
+    """
+    entry = F.explode(F.array(F.concat(F.lit("="), F.col("core")), F.concat(F.lit("^"), F.regexp_extract("core", r"^[\p{L}\p{N}]+", 0))))
+    places = dictionary.select("words", entry.alias("entry")).withColumn("at", F.pmod(F.crc32(F.col("entry").cast("binary")), F.lit(SIEVE_BITS)))
+    blocks = places.groupBy(F.floor(F.col("at") / 32768).alias("block")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"), F.max("words").alias("words")).collect()
+    table = bytearray(SIEVE_BITS // 8)
+    for r in blocks:
+        table[r["block"] * 4096 : (r["block"] + 1) * 4096] = r["bits"]
+    return max((r["words"] for r in blocks), default=1), bytes(table)
+
+
 def _joined_candidates(lowered: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Candidates (text_id, name, start, end) from a hash join of word runs and name cores."""
-    longest = dictionary.agg(F.coalesce(F.max("words"), F.lit(1)).alias("m")).first()["m"]
+    """Candidates (text_id, name, start, end) from a hash join of word runs and name cores.
+
+    A text hands in only runs that start like a name and whose checksum is that of a name; next to none of them miss.
+    """
+    longest, table = _sieve(dictionary)
+    shared = lowered.sparkSession.sparkContext.broadcast(table)  # SIEVE_BITS / 8 bytes
 
     @F.pandas_udf("array<struct<start:int,run:string>>")
     def runs(texts: pd.Series) -> pd.Series:
+        bits, size, crc = shared.value, SIEVE_BITS, zlib.crc32
+        hat, is_core = crc(b"^"), crc(b"=")
+
         def one(text: str):
-            spans = [m.span() for m in _WORD.finditer(text)]
-            return [
-                (spans[i][0], text[spans[i][0]:spans[j][1]])
-                for i in range(len(spans)) for j in range(i, min(i + longest, len(spans)))
-            ]
+            spans, found = [m.span() for m in _WORD.finditer(text)], []
+            for i, (start, end) in enumerate(spans):
+                at = crc(text[start:end].encode(), hat) % size
+                if bits[at >> 3] >> (at & 7) & 1:
+                    for j in range(i, min(i + longest, len(spans))):
+                        run = text[start : spans[j][1]]
+                        at = crc(run.encode(), is_core) % size
+                        if bits[at >> 3] >> (at & 7) & 1:
+                            found.append((start, run))
+            return found
+
         return texts.map(lambda t: [] if t is None else one(t))
 
     found = lowered.select("text_id", F.explode(runs("low_text")).alias("r")).select(
@@ -104,14 +133,14 @@ def _joined_candidates(lowered: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def find_mentions(texts: DataFrame, names: DataFrame, text_col: str = "text", key: str = "text_id",
-                  shared_names: int = SHARED_NAMES) -> DataFrame:
+                  share: bool = False) -> DataFrame:
     """Names found in texts: whole words, case ignored, longest first, no overlaps; first
     occurrence of each name: (key, name, start).
 
-    A name is looked up by its core (first to last letter or digit) among the word runs of the
-    text. A dictionary of at most ``shared_names`` names, checked by counting, is shared with the
-    tasks; for a larger one every run of up to as many words as the longest name has goes into a
-    hash join, so no task ever holds the dictionary.
+    A name is looked up by its core (first to last letter or digit) among the word runs of the text. Texts are
+    read once; a table of fixed size, whatever the number of names, holds back runs that cannot be a name, and
+    what is left meets the dictionary in a hash join, so no task and no driver ever holds the dictionary. A caller
+    who knows that it is small can ``share`` it with the tasks instead. Both give the same rows.
     """
     dictionary = (
         names.select(F.col("name")).filter(F.col("name").rlike(r"[\p{L}\p{N}]"))
@@ -121,7 +150,7 @@ def find_mentions(texts: DataFrame, names: DataFrame, text_col: str = "text", ke
         .withColumn("lead", F.expr("locate(core, low) - 1"))
     )
     lowered = spread(texts.select(F.col(key).alias("text_id"), F.lower(text_col).alias("low_text")))
-    if fits_in_rows(dictionary, shared_names):
+    if share:
         found = lowered.select("text_id", F.explode(_shared_finder(dictionary)(F.col("low_text"))).alias("m"))
     else:
         @F.pandas_udf("array<struct<name:string,start:int>>")

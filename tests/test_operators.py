@@ -618,8 +618,8 @@ def test_mention_plans_agree(spark, tables):
     words = tables.benchmark.select(F.split("text", " ").alias("w"))
     pairs = F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
     words = words.select(F.explode(F.concat("w", pairs)).alias("name")).filter("name <> ''").distinct()
-    shared = mentions.find_mentions(texts, words)
-    joined = mentions.find_mentions(texts, words, shared_names=1)
+    shared = mentions.find_mentions(texts, words, share=True)
+    joined = mentions.find_mentions(texts, words)
     assert shared.count() > 0
     assert shared.exceptAll(joined).count() == 0 and joined.exceptAll(shared).count() == 0
     names = {}
@@ -630,6 +630,25 @@ def test_mention_plans_agree(spark, tables):
         assert got == {k.lower(): v for k, v in brute_mentions(row.text, list(names.values())).items()}
 
 
+def test_mentions_with_a_large_dictionary(spark):
+    """A hundred thousand names of one to four words, many with the same first word; punctuation, other scripts and overlaps."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)] + ["the", "von", "日本", "é'a", "n-1"]
+    names = {" ".join(rng.choice(["the", rng.choice(words)]) if k == 0 else rng.choice(words) for k in range(rng.randrange(1, 5))) for _ in range(100_000)}
+    names |= {"(The) Red.", "O'Neil", "W1 W2"}
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(12)] + ["I met (the) red. and o'neil; w1 w2 w3", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
+    table = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    got = {}
+    for r in mentions.find_mentions(df, table).collect():
+        got.setdefault(r.text_id, {})[r.name] = r.start
+    low = {}
+    for n in sorted(names):
+        low.setdefault(n.lower(), n)
+    kept = list(low.values())
+    assert got == {i: found for i, t in enumerate(texts) if t and (found := brute_mentions(t, [n for n in kept if n.lower() in t.lower()]))}
+
+
 @pytest.mark.parametrize("slot", [600, 86_400, 10**9])
 def test_sessions_do_not_depend_on_slots(spark, tables, slot):
     busy = tables.events.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 1).otherwise(F.col("user_id")))
