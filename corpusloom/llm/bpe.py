@@ -73,6 +73,9 @@ class WordTokens:
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+        self.halves = {a + b: (a, b) for a, b in reversed(self.ranks)}  # the two parts that a token is made of
+        self.rank_of = {t: self.ranks[p] for t, p in self.halves.items()}
+        self.one_way = len(self.halves) == len(self.ranks)  # no token is made in two ways
         self.longest = max(map(len, self.ids))
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -110,11 +113,33 @@ class WordTokens:
         return [*body[:-1], body[-1] + self.end]
 
     def may_follow(self, before: str, token: str) -> bool:
-        """Whether the two tokens, merged afresh, stay these two; an empty ``before`` asks for the token alone."""
+        """Whether the two tokens, merged afresh, stay these two; an empty ``before`` asks for the token alone.
+
+        Their merges are undone from the last one on. If by then the two signs at the border have a merge
+        that comes before the one undone (of equal ranks the left one comes first), they would not have stayed apart.
+        """
         if len(self.fits) >= KEPT_PAIRS:
             self.fits.clear()
-        tokens = self.merged([*self.symbols(before), *self.symbols(token)])
-        known = self.fits[before, token] = tokens == ([before, token] if before else [token])
+        if not before or not self.one_way:
+            tokens = self.merged([*self.symbols(before), *self.symbols(token)])
+            known = self.fits[before, token] = tokens == ([before, token] if before else [token])
+            return known
+        ranks, rank_of, halves = self.ranks, self.rank_of, self.halves
+        a, b, limit = before, token, len(ranks)
+        while True:
+            rank = ranks.get((a, b))
+            if rank is not None and rank < limit:
+                known = False
+                break
+            x, y = rank_of.get(a, -1), rank_of.get(b, -1)
+            if x > y:
+                limit, a = x, halves[a][1]
+            elif y >= 0:
+                limit, b = y + 1, halves[b][0]
+            else:
+                known = True
+                break
+        self.fits[before, token] = known
         return known
 
     def last_token(self, word: str, length: int, last: list[str], end: str) -> str:
@@ -153,6 +178,8 @@ class WordTokens:
 
     def parts_of(self, chunk: str) -> list[str]:
         """The words of a chunk, as byte letters."""
+        if HAS_NEW_CAPITAL.search(chunk):
+            chunk = chunk.translate(LOWER)
         return [m.encode().decode("latin-1").translate(self.letters) for m in self.pieces.findall(chunk)]
 
     def learn(self, chunks: set[str]) -> None:
@@ -215,9 +242,7 @@ class WordTokens:
 
 
 def lowered(text: str) -> str:
-    """Lower case letter by letter: a final sigma is not treated apart."""
-    if not text.isascii() and HAS_NEW_CAPITAL.search(text):
-        text = text.translate(LOWER)
+    """Lower case letter by letter: a final sigma is not treated apart. Capitals that Python does not know follow in the chunks."""
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
