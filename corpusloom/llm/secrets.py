@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,35 +22,93 @@ class Rule:
     group: int = 0
     least: int = 1
     base: bool = False
-    literals: tuple[tuple[str, ...], ...] = ()
 
 
-# The patterns of the base kinds and of further kinds by their public prefixes. ``literals`` names what each
-# match must contain, in lower case: one of every group of alternatives. A run of hex digits, or of what follows AKIA, is
-# taken whole, so asking for its least length in the pattern drops the same matches as a test afterwards.
+# The patterns of the base kinds and of further kinds by their public prefixes. A run of hex digits, or of what
+# follows AKIA, is taken whole, so asking for its least length in the pattern drops the same matches as a test afterwards.
 RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True, (("password", "passwd", "secret", "token", "apikey", "api_key"),)),
-    Rule("access", r"AKIA[A-Z0-9]{14,}", base=True, literals=(("akia",),)),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
+    Rule("access", r"AKIA[A-Z0-9]{14,}", base=True),
     Rule("hex", r"[0-9a-f]{16,}", base=True),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", literals=(("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
-    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}", literals=(("glpat-",),)),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", literals=(("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),)),
-    Rule("stripe", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", literals=(("k_live_", "k_test_"),)),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}", literals=(("aiza",),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", literals=(("eyj",), (".eyj",))),
-    Rule("key_block", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", literals=(("-----begin ",), ("private key-----",))),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("stripe", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("key_block", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
 )
 BASE = tuple(r.kind for r in RULES if r.base)
 
 
+#: Signs of a class, and alternatives of a literal, beyond which a place counts as anything.
+CLASS_SIGNS, ALTERNATIVES = 8, 64
+
+
+def spelled(items) -> set[str] | None:
+    """All strings, in lower case, that a part of a parsed pattern can match; None where they are too many."""
+    out = {""}
+    for kind, value in items:
+        if kind is parser.LITERAL:
+            one = {chr(value).lower()} if value < 128 else None
+        elif kind is parser.IN:
+            one = set()
+            for k, v in value:
+                signs = [v] if k is parser.LITERAL else range(v[0], v[1] + 1) if k is parser.RANGE else None
+                one = None if one is None or signs is None or len(signs) > CLASS_SIGNS or max(signs) > 127 else one | {chr(c).lower() for c in signs}
+            one = None if one is None or len(one) > CLASS_SIGNS else one
+        elif kind is parser.SUBPATTERN:
+            one = spelled(value[3])
+        elif kind is parser.BRANCH:
+            parts = [spelled(x) for x in value[1]]
+            one = None if any(x is None for x in parts) else set().union(*parts)
+        elif kind in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[1] <= 4:
+            part = spelled(value[2])
+            one = None if part is None else {"".join(x) for n in range(value[0], value[1] + 1) for x in product(part, repeat=n)}
+        else:
+            one = {""} if kind is parser.AT else None
+        out = None if one is None or len(out) * len(one) > ALTERNATIVES else {a + b for a in out for b in one}
+        if out is None:
+            return None
+    return out
+
+
+def literals(items) -> list[set[str]]:
+    """What every match of a parsed pattern holds: of each group of alternatives one.
+
+    Neighbouring parts that can be spelled out are joined as long as that gives few alternatives; a part that can
+    match too much stands between two groups, and its own groups count if it must occur.
+    """
+    groups, run = [], {""}
+    for item in items:
+        kind, value = item
+        one = spelled([item])
+        if one is not None and len(run) * len(one) <= ALTERNATIVES:
+            run = {a + b for a in run for b in one}
+            continue
+        groups.append(run)
+        run = one or {""}
+        if one is None:
+            inner = value[3] if kind is parser.SUBPATTERN else value[2] if kind in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] > 0 else []
+            groups += literals(inner)
+    return [*groups, run]
+
+
 def trigrams(literal: str) -> list[str]:
     return sorted({literal[i : i + 3] for i in range(len(literal) - 2)})
 
 
 def trigram_query(rule: Rule) -> list[list[list[str]]]:
-    """The rule as AND of ORs of ANDs of trigrams; empty if it has none that every match must hold."""
-    groups = [[trigrams(x) for x in group] for group in rule.literals]
-    return [g for g in groups if all(g)]
+    """The rule as AND of ORs of ANDs of trigrams, derived from its pattern; empty if it has none that every match must hold.
+
+    Alternatives that hold another one add nothing to it, and a group with an alternative of under three signs says nothing.
+    """
+    query = []
+    for group in literals(parser.parse(rule.pattern)):
+        least = sorted(x for x in group if not any(y != x and y in x for y in group))
+        if all(len(x) >= 3 for x in least) and [trigrams(x) for x in least] not in query:
+            query.append([trigrams(x) for x in least])
+    return query
 
 
 def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:

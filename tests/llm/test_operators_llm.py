@@ -172,6 +172,35 @@ def test_trigram_queries():
     assert secrets.trigrams("token") == ["ken", "oke", "tok"]
     assert secrets.trigram_query(secrets.RULES[2]) == []
     assert secrets.trigram_query(secrets.RULES[1]) == [[["aki", "kia"]]]
+    words = {"".join(x) for x in secrets.literals(secrets.parser.parse(secrets.RULES[0].pattern))[0]}
+    assert {"password", "passwd", "secret", "token", "apikey", "api_key"} <= words
+
+
+@pytest.mark.parametrize("pattern, query", [
+    (r"abc(?:de|fg)+hij", [["abc"], ["hij"]]),
+    (r"(?i:KEY)[0-9]{3}end?ing", [["key"], ["ending", "ening"]]),
+    (r"x(?:abc)?y", []),
+    (r"ab[^c]de.fgh\d*", [["fgh"]]),
+    (r"(?:tok_[a-z]+){2,9}", [["tok_"]]),
+    (r"(?:one|[a-z]+)three", [["three"]]),
+    (r"[xy]{2}z", [["xxz", "xyz", "yxz", "yyz"]]),
+    (r"a{40,}", []),
+    (r"^\bstart$", [["start"]]),
+])
+def test_queries_come_from_the_pattern(pattern, query):
+    rule = secrets.Rule("own", pattern)
+    assert secrets.trigram_query(rule) == [[secrets.trigrams(x) for x in group] for group in query]
+
+
+def test_no_match_fails_its_trigram_query():
+    rng = random.Random(11)
+    bits = ["password", "API_KEY", "apikey", "=", ":", " ", "'", "a" * 14, "AKIA" + "Z" * 14, "gho_" + "x" * 36, "xoxr-" + "1" * 10, "rk_test_" + "k" * 16,
+            "AIza" + "b" * 35, "eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8, "-----BEGIN EC PRIVATE KEY-----", "glpat-" + "d" * 20]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 9)))
+        for rule in secrets.RULES:
+            if re.search(rule.pattern, text):
+                assert all(any(all(t in text.lower() for t in literal) for literal in group) for group in secrets.trigram_query(rule))
 
 
 # 6 passages
