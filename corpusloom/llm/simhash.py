@@ -104,4 +104,5 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, seed: in
     found = named.join(smallest, "root").select(F.col("node").alias("fingerprint"), "component_id")
     found = classes.join(found, "fingerprint", "left")
     found = found.select("fingerprint", F.coalesce("component_id", "name").alias("component_id"))
+    found = stored(found)  # so that Spark may split the rows of a fingerprint that very many share
     return prints.join(found, "fingerprint").select("doc_id", "fingerprint", "component_id")
