@@ -185,8 +185,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_token_rollup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    """Word counts of all documents come in, are revised to tokens of a vocabulary, and later copies of a text go;
-    one batch is committed twice."""
+    """Word counts of all documents come in, are revised to tokens of a vocabulary, and later copies of a text go; one
+    batch is committed again after it was folded into the maintained totals."""
     import uuid
 
     from corpusloom.llm.rollups import TokenRollup, deleted, inserted, revised, token_counts
@@ -197,8 +197,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     words, tokens = stored(token_counts(docs)), stored(token_counts(docs, vocabulary(), "word_bpe_49k"))
     rollup = TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.commit("1-insert", inserted(words))
-    for _ in range(2):
-        rollup.commit("2-revise", revised(words, tokens))
+    rollup.commit("2-revise", revised(words, tokens))
+    rollup.fold()
+    rollup.commit("2-revise", revised(words, tokens))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     firsts = docs.groupBy(digest.alias("digest")).agg(F.min("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
     later = tokens.filter("doc_id is not null").join(firsts, "doc_id", "left_anti")  # joined by id, so copies don't meet in one task

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import time
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +12,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import BLOCK_ROWS, words_of
 from corpusloom.llm.shared import WORD
+from corpusloom.sources.writers import latest_version
 
 KEYS = ("source", "lang", "version")
+SUMS = "source string, lang string, version string, docs long, tokens long"
+LOG = "batch string, place string, at long"
 STATE = "doc_id long, source string, lang string, version string, tokens long"
 
 
@@ -60,23 +65,59 @@ def revised(before: DataFrame, after: DataFrame) -> DataFrame:
 class TokenRollup:
     """Additive totals by source, language and tokenizer version in a folder that all executors share.
 
-    Each batch of changes is summed up by key before it is written to a folder named by its id. A
-    batch that is committed again replaces itself, so a retry after a lost driver or executor counts
-    once; batches commute, so late ones may come in any order. Totals are the sums over all batches.
+    Each batch of changes is summed up by key, written to a folder of its own and then named in a log, so a batch counts
+    as a whole or not at all, and readers miss nothing while it is written again: of several entries of a batch the
+    newest counts. ``fold`` adds the open batches to the maintained totals, which keep the ids of the batches
+    they hold; a late retry of one of those is passed over. So totals read one row per key and what came since, however long
+    the history is. Batches commute, so late ones may come in any order. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, fold_after: int = 16):
+        self.spark, self.folder, self.fold_after = spark, folder.rstrip("/"), fold_after
 
     def commit(self, batch: str, changes: DataFrame) -> None:
+        """Add a batch, or put it in the place of an earlier try; folds once ``fold_after`` batches are open."""
         if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
             raise ValueError("a batch id has letters, digits, - and _ only")
         sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        place = f"{self.folder}/sums/{batch}-{uuid.uuid4().hex}"
+        sums.write.parquet(place)
+        entry = self.spark.createDataFrame([(batch, place, time.time_ns())], LOG)
+        entry.coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
+        if len(self.open_batches()) >= self.fold_after:
+            self.fold()
+
+    def base(self) -> int | None:
+        """Version of the maintained totals."""
+        return latest_version(self.spark, f"{self.folder}/base_ids")
+
+    def open_batches(self) -> dict[str, str]:
+        """Batches that the maintained totals do not hold, and where their sums are; fewer than ``fold_after`` in the long run."""
+        log, base = self.spark.read.schema(LOG).parquet(f"{self.folder}/log"), self.base()
+        newest = log.groupBy("batch").agg(F.max_by("place", "at").alias("place"))
+        if base is not None:
+            newest = newest.join(self.spark.read.schema("batch string").parquet(f"{self.folder}/base_ids/v={base:06d}"), "batch", "left_anti")
+        return {r.batch: r.place for r in newest.collect()}
+
+    def sums(self, places: list[str]) -> DataFrame:
+        base = self.base()
+        folders = places + ([] if base is None else [f"{self.folder}/base_sums/v={base:06d}"])
+        rows = self.spark.read.schema(SUMS).parquet(*folders) if folders else self.spark.createDataFrame([], SUMS)
+        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+
+    def fold(self) -> None:
+        """Add the open batches to the maintained totals; readers switch once the ids are written too."""
+        batches, base = self.open_batches(), self.base()
+        if not batches:
+            return
+        version = (base or 0) + 1
+        self.sums(list(batches.values())).filter("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(f"{self.folder}/base_sums/v={version:06d}")
+        ids = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        if base is not None:
+            ids = ids.unionByName(self.spark.read.schema("batch string").parquet(f"{self.folder}/base_ids/v={base:06d}"))
+        ids.write.mode("overwrite").parquet(f"{self.folder}/base_ids/v={version:06d}")
 
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens); keys whose documents are all gone are left out."""
-        schema = "source string, lang string, version string, docs long, tokens long, batch string"
-        sums = self.spark.read.schema(schema).parquet(self.folder).groupBy(*KEYS)
-        sums = sums.agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
+        sums = self.sums(list(self.open_batches().values())).withColumnsRenamed({"docs": "n_docs", "tokens": "n_tokens"})
         return sums.filter("n_docs <> 0 or n_tokens <> 0")

@@ -128,8 +128,32 @@ def test_rollup_is_idempotent_and_signed(spark, docs, empty, tmp_path):
         if r.doc_id % 4:
             want[r.source, r.lang, r.version] += r.tokens
             count[r.source, r.lang, r.version] += 1
-    got = {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in book.totals().collect()}
-    assert got == {k: (count[k], want[k]) for k in count}
+    got = lambda: {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in book.totals().collect()}
+    assert got() == {k: (count[k], want[k]) for k in count} and len(book.open_batches()) == 4
+    book.fold()
+    assert got() == {k: (count[k], want[k]) for k in count} and not book.open_batches()
+    book.commit("1", rollups.inserted(words))  # late retry of a folded batch
+    book.fold()
+    assert got() == {k: (count[k], want[k]) for k in count} and book.base() == 1
+    book.commit("5", rollups.deleted(tokens.filter("doc_id % 4 = 1")))
+    (tmp_path / "r/base_sums/v=000002").mkdir()  # a fold that was lost before its ids were written
+    kept = Counter()
+    for r in tokens.filter("doc_id % 4 > 1").collect():
+        kept[r.source, r.lang, r.version] += r.tokens
+    assert {k: n for k, (_, n) in got().items() if n} == {k: n for k, n in kept.items() if n}
+    book.fold()
+    assert {k: n for k, (_, n) in got().items() if n} == {k: n for k, n in kept.items() if n} and book.base() == 2
+
+
+def test_rollup_folds_by_itself_and_takes_odd_rows(spark, odd, tmp_path):
+    """Repeated ids and rows without id each count; many small batches leave few open."""
+    book = rollups.TokenRollup(spark, str(tmp_path / "r"), fold_after=3)
+    state = rollups.token_counts(odd)
+    for i in range(4):
+        book.commit(f"b{i}", rollups.inserted(state))
+        assert len(book.open_batches()) < 3
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in book.totals().collect()}
+    assert got == {(None, None): (16, 72), ("s", "en"): (12, 32)}
 
 
 # 4 embeddings

@@ -49,6 +49,24 @@ def test_pipeline(spark, tables):
         assert stage(spark, docs, DATA).columns == docs.columns, name
 
 
+def test_rollup_query_equals_a_recount(spark, tables):
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    seen, docs, tokens = set(), Counter(), Counter()
+    for r in tables.documents.orderBy("doc_id").collect():
+        if (r.text or "") not in seen:
+            seen.add(r.text or "")
+            docs[r.source, r.lang] += 1
+            tokens[r.source, r.lang] += len(library.encode(r.text or "", add_special_tokens=False).ids)
+    got = {(r.source, r.lang): (r.version, r.n_docs, r.n_tokens) for r in QUERIES["op3_token_rollup"](spark, DATA).collect()}
+    assert got == {k: ("word_bpe_49k", docs[k], tokens[k]) for k in docs}
+
+
 def test_contract():
     import __spark_entry__ as driver
     import corpus_pipeline
