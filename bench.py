@@ -27,6 +27,7 @@ HEADLINE = [
     "J10_semantic_layer", "J11_comention_scores", "U02_fetched_documents", "X03_passage_score", "W08_packed_passages",
     "W07_packed_graph_lines", "D08_retrieve", "A17_answer_scores", "A19_score_summary", "A21_usage_cost", "X11_salvaged_replies",
     "P19_citations", "X06_coreference", "R01_sessions", "R06_failure_streaks", "R06_availability_states",
+    "J07_whole_graph", "U04_hybrid_with_paths", "A14_profile_sketched", "T02_inverted_lists",
 ]
 
 

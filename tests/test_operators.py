@@ -685,3 +685,24 @@ def test_whole_retrieval_reads_the_whole_graph(tables, monkeypatch):
         retrieval_queries.d08(tables)
     stores, config = seen.value.args
     assert config == RetrievalConfig() and stores.edges.count() == tables.kg_edges.count() > tables.core_edges.count()
+
+
+def test_retrieval_of_many_questions_is_that_of_each(spark):
+    """A small graph: the context of each question is the same alone and among others, and holds the shortest path and the best texts."""
+    from corpusloom.plans.retrieve import Stores, retrieve
+
+    links = [("Ada", "ALLY_OF", "Bo"), ("Bo", "LOCATED_IN", "Town"), ("Cy", "LOCATED_IN", "Town"), ("Cy", "ENEMY_OF", "Di"), ("Ada", "KNOWS_OF", "Ed"), ("Ed", "KNOWS_OF", "Di")]
+    nodes = spark.createDataFrame([(n, "Character", f"{n} is told of") for n in ("Ada", "Bo", "Cy", "Di", "Ed")] + [("Town", "Location", None)], "name string, type string, description string")
+    edges = spark.createDataFrame([(*e, "seen") for e in links], "head string, relation string, tail string, evidence string")
+    vectors = [[1.0, 0.1 * i, 0.0] for i in range(6)]
+    items = [(i, i, f"Page {i}", "", f"https://h/{i}", f"Text {i} about " + ("Ada" if i % 2 else "Town")) for i in range(6)]
+    stores = Stores(spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "item_id long, embedding array<double>"),
+                    spark.createDataFrame(items, "item_id long, doc_id long, title string, section_title string, source_url string, full_text string"), nodes, edges)
+    asked = [("q1", "What is the relationship between Ada and Di?", ["Ada", "Di"], vectors[1]), ("q2", "Who is Bo?", ["Bo"], vectors[4])]
+    schema = "question_id string, question string, entities array<string>, embedding array<double>"
+    together = {r.question_id: r for r in retrieve(spark.createDataFrame(asked, schema), stores).collect()}
+    alone = retrieve(spark.createDataFrame(asked[:1], schema), stores).collect()
+    assert set(together) == {"q1", "q2"} and together["q1"] == alone[0]
+    text = together["q1"].full_context
+    assert "  1. Ada -[KNOWS_OF]-> Ed\n  2. Ed -[KNOWS_OF]-> Di" in text and "## Connection Path" not in together["q2"].full_context
+    assert all(f"Text {i} about" in text for i in range(6)) and "Bo —[LOCATED_IN]→ Town" in together["q2"].full_context
