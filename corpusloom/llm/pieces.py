@@ -8,12 +8,14 @@ left go out of the arrays; the rounds end when no pair is left.
 
 Merging all pairs of one rank at once equals merging them one after the other, leftmost first, as
 long as a merge makes no pair of the same or a smaller rank. Where it does (the vocabulary holds
-pieces that come before their own parts), a segment merges only up to that place in this round.
+pieces that come before their own parts, or equal to them), a segment merges only up to that place in this
+round; one that is held back in several rounds, such as a long run of blanks, is finished merge by merge.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -32,6 +34,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE = 2
 
 NEVER = np.int64(1) << 40  # rank of a pair that is no piece
+HELD_BACK = 8  # rounds in which a segment may be held back before it is finished merge by merge
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CODES = "doc_id long, ids array<int>, decoded string"
 
@@ -108,6 +111,7 @@ class PieceTokens:
         for i in ids.values():
             self.rank[i] = np.searchsorted(levels, -scores[i])
         made = {symbol[p[:k]] * self.count + symbol[p[k:]]: ids[p] for p in many for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol}
+        self.made = made
         self.keys = np.array(sorted(made), np.int64)
         self.makes = np.array([made[k] for k in self.keys.tolist()], np.int64)
         self.early = np.zeros(self.count, bool)  # pieces that some pair with them comes before, or along with
@@ -141,6 +145,7 @@ class PieceTokens:
         at, seg = at[~alone], seg[~alone]
         sym = out[at]
         rank, piece = np.full(len(at), NEVER, np.int64), np.zeros(len(at), np.int64)
+        back = np.zeros(seg[-1] + 1 if len(seg) else 0, np.int32)  # rounds in which a segment was held back
         inner = np.flatnonzero(seg[:-1] == seg[1:])
         rank[inner], piece[inner] = self.pairs(sym[inner], sym[inner + 1])
         while len(at):
@@ -160,7 +165,17 @@ class PieceTokens:
             run = np.arange(len(hits)) - np.maximum.accumulate(np.where(opens, np.arange(len(hits)), 0))
             hits = hits[run % 2 == 0]
             if self.early[piece[hits]].any():
-                hits = self.in_turn(hits, sym, seg, rank, piece)
+                every, hits = hits, self.in_turn(hits, sym, seg, rank, piece)
+                held = np.unique(seg[np.setdiff1d(every, hits, assume_unique=True)])
+                back[held] += 1
+                slow = held[back[held] > HELD_BACK]
+                if len(slow):
+                    stay = ~np.isin(seg, slow)
+                    for one in slow.tolist():
+                        a, b = np.searchsorted(seg, [one, one + 1])
+                        out[at[a:b]] = self.one_by_one(sym[a:b].tolist())
+                    at, seg, sym, rank, piece = at[stay], seg[stay], sym[stay], rank[stay], piece[stay]
+                    continue
             new = piece[hits]
             gone = np.zeros(len(at), bool)
             gone[hits + 1] = True
@@ -195,6 +210,33 @@ class PieceTokens:
         at_open = np.maximum.accumulate(np.where(opens, np.arange(len(hits)), 0))
         return hits[earlier == earlier[at_open]]
 
+    def one_by_one(self, sym: list[int]) -> list[int]:
+        """The symbols of a segment after all merges, the least rank and then the leftmost first; -2 where one went into its left neighbour."""
+        n, ranks, made, count = len(sym), self.rank, self.made, self.count
+        after, before = [*range(1, n), n], list(range(-1, n - 1))
+        queue: list[tuple[int, int, int, int]] = []
+
+        def offer(i: int, j: int) -> None:
+            piece = made.get(sym[i] * count + sym[j])
+            if piece is not None:
+                heapq.heappush(queue, (int(ranks[piece]), i, sym[i], sym[j]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while queue:
+            _, i, a, b = heapq.heappop(queue)
+            j = after[i]
+            if sym[i] != a or j >= n or sym[j] != b:
+                continue  # one of the two was merged meanwhile
+            sym[i], sym[j] = made[a * count + b], -2
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                offer(i, after[j])
+            if before[i] >= 0:
+                offer(before[i], i)
+        return sym
+
     def learn(self, words: set[str]) -> dict[str, tuple[str, str]]:
         """(ids joined by commas, decoded text) of each distinct word."""
         if not words:
