@@ -121,9 +121,9 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, tile: int = TILE, i
 
     Vectors with equal labels link where their cosine, in double precision, is ``least`` or more.
     Equal vectors under one label form a class, compared once. Classes are put in order of label,
-    dimension and place on the leading principal axis and cut into tiles of ``tile`` rows; two tiles are compared
-    only if they share a label and their ranges on that axis lie within sqrt(2 - 2 * least), the
-    farthest that linked unit vectors can be. A tile pair hands on counts and a spanning forest of its links, never the pairs.
+    dimension, cell on the leading principal axis and place on the second, and cut into tiles of ``tile`` rows. Linked unit
+    vectors are at most sqrt(2 - 2 * least) apart on any axis; cells are that wide, so two tiles are compared only
+    if they share a label, have rows in the same or neighbouring cells and their ranges there come that near on the second axis. A tile pair hands on counts and a spanning forest of its links, never the pairs.
     So a crowded label gives more tile pairs, not larger tasks.
 
     Rows with a null id, label or vector, with null or non-finite components or of length zero link
@@ -150,19 +150,23 @@ def near_embeddings(vectors: DataFrame, least: float = 0.98, tile: int = TILE, i
     def place(batches):
         for batch in batches:
             v, dims = batch.column(4), np.array(batch.column(3).to_pylist(), dtype=np.int64)
-            y = np.zeros(len(dims))
+            y = np.zeros((2, len(dims)))
             for dim in np.unique(dims).tolist():
-                y[dims == dim] = unit(np.array(v.filter(pa.array(dims == dim)).to_pylist())) @ shared.value[dim][:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y)], names=["id", "n", "label", "dim", "v", "y"])
+                axes = shared.value[dim][:, :2]
+                y[: axes.shape[1], dims == dim] = (unit(np.array(v.filter(pa.array(dims == dim)).to_pylist())) @ axes).T
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, y)], names=["id", "n", "label", "dim", "v", "x", "y"])
 
-    along = held.mapInArrow(place, "id long, n long, label long, dim int, v array<double>, y double")
-    along = ordered(along, [F.col("label"), F.col("dim"), F.col("y"), F.col("id")])
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+    along = held.mapInArrow(place, "id long, n long, label long, dim int, v array<double>, x double, y double")
+    along = along.withColumn("cell", F.floor(F.col("x") / reach))
+    along = ordered(along, [F.col("label"), F.col("dim"), F.col("cell"), F.col("y"), F.col("id")])
     along = along.withColumn("tile", F.floor(F.col("idx") / tile))
     tiles = stored(along.groupBy("tile").agg(F.collect_list(F.struct("id", "label", "dim", "n", "v")).alias("rows")))  # at most ``tile`` rows each
-    ranges = along.groupBy("label", "dim", "tile").agg(F.min("y").alias("low"), F.max("y").alias("high"))
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    other = ranges.select("label", "dim", F.col("tile").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = ranges.join(other, ["label", "dim"]).filter((F.col("tile") <= F.col("j")) & (F.col("low2") <= F.col("high") + reach) & (F.col("low") <= F.col("high2") + reach))
+    ranges = along.groupBy("label", "dim", "cell", "tile").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    # a cell is as wide as linked vectors can be apart, so they lie in the same or in neighbouring ones
+    beside = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")
+    other = ranges.select("label", "dim", beside, F.col("tile").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    pairs = ranges.join(other, ["label", "dim", "cell"]).filter((F.col("tile") <= F.col("j")) & (F.col("low2") <= F.col("high") + reach) & (F.col("low") <= F.col("high2") + reach))
     pairs = pairs.select(F.col("tile").alias("i"), "j").distinct()
     met = pairs.join(tiles.select(F.col("tile").alias("i"), F.col("rows").alias("a")), "i").join(tiles.select(F.col("tile").alias("j"), F.col("rows").alias("b")), "j")
     wide = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
