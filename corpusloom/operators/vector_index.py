@@ -110,7 +110,7 @@ class VectorIndex:
                 rows, ids = _unit_rows(left["query_vec"]), left["query_id"].to_numpy()
                 for a in range(0, len(rows), BLOCK_ROWS):
                     for b in range(0, len(right), BLOCK_ROWS):
-                        at, item, value = _best(rows[a : a + BLOCK_ROWS], np.zeros(0), right.iloc[b : b + BLOCK_ROWS], (), k)
+                        at, item, value = _best(rows[a : a + BLOCK_ROWS], np.zeros(len(rows[a : a + BLOCK_ROWS]), dtype=object), right.iloc[b : b + BLOCK_ROWS], (), k)
                         found.append(pd.DataFrame({"query_id": ids[a : a + BLOCK_ROWS][at], "item_id": item, "score": value}))
             return pd.concat(found[1:] or found, ignore_index=True)
 

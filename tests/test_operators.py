@@ -182,6 +182,20 @@ def test_topk_plans_agree_and_break_ties_by_id(spark):
     assert all(r.score == 0 for r in small if r.query_id == 11)
 
 
+def test_large_topk_shares_equal_vectors_and_copies_no_side_per_small_block(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((300, 8)).tolist()
+    items = spark.createDataFrame(list(enumerate(vectors)), "item_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, vectors[i % 150]) for i in range(600)], "query_id long, embedding array<double>")
+    met, meet = [], similarity._meet
+    monkeypatch.setattr(similarity, "_meet", lambda left, right, *more: met.append((left.count(), right.count())) or meet(left, right, *more))
+    large = similarity.vector_topk(asked, items, 5, query_limit=16).collect()
+    assert met == [(150, 300)]
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    order = np.argsort(-(unit[:150] @ unit.T), axis=1)[:, :5]
+    assert {(r.query_id, r["rank"]): r.item_id for r in large} == {(q, n + 1): order[q % 150, n] for q in range(600) for n in range(5)}
+
+
 def test_approximate_topk_recall_and_salting(spark, tables):
     asked = tables.cache_lookups.filter("query_id % 3 <> 2")
     exact = similarity.vector_topk(asked, tables.embeddings, 1, item_id="vec_id").select("query_id", "item_id")
