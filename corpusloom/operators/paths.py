@@ -9,6 +9,8 @@ from corpusloom.functions.scoring import path_steps
 from corpusloom.operators.ranking import top_per_key
 from corpusloom.session import written
 
+HUB_LINKS = 256  # a node with more neighbours is a hub: it is met, not walked through from one side
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     """Each edge walked forwards and, unless it is a loop, backwards."""
@@ -27,22 +29,98 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     )
 
 
+def _without_dead_ends(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """Edges without those to nodes that have no other edge and are no end of a pair: no path, which uses an edge once, gets past them."""
+    touched = edges.select(F.explode(F.array_distinct(F.array("head", "tail"))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    alive = written(touched.filter(F.col("n") > 1).select("name").unionByName(ends.select("name")).distinct())
+    for end in ("head", "tail"):
+        edges = edges.join(alive.withColumnRenamed("name", end), end, "left_semi")
+    return edges
+
+
+class _Links:
+    """Distinct (a, b) that an edge joins, apart for hubs, and those of hubs that more than one edge joins."""
+
+    def __init__(self, steps: DataFrame, hub_links: int):
+        counted = written(steps.groupBy("a", "b").agg(F.count_distinct("hop.key").alias("n")))
+        self.every = counted.select("a", "b")
+        self.hubs = written(counted.groupBy(F.col("a").alias("hub")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hub_links).select("hub"))
+        self.light = written(self.every.join(self.hubs, F.col("a") == F.col("hub"), "left_anti"))
+        around = written(counted.join(self.hubs, F.col("a") == F.col("hub")).select("hub", F.col("b").alias("node"), "n"))
+        self.of_hubs, self.doubled = around.select("hub", "node"), around.filter(F.col("n") > 1).select("hub", "node")
+
+
 class _Frontiers:
-    """Nodes that a walk of exactly 0, 1, 2, ... edges reaches from each start: (start, node), each node once per start."""
+    """Nodes that a walk of exactly 0, 1, 2, ... edges reaches from each start: (start, node), each node once per start.
+
+    ``levels`` hold every node. The last step of the walks that are met in the middle is not taken from hubs: a tip
+    holds the nodes one step beyond the light nodes of a level, and the hubs of that level by themselves.
+    """
 
-    def __init__(self, starts: DataFrame, links: DataFrame):
+    def __init__(self, starts: DataFrame, links: _Links):
         self.links = links
         self.levels = [starts.select(F.col("name").alias("start"), F.col("name").alias("node")).distinct()]
+        self.tips: dict[int, tuple[DataFrame, DataFrame | None]] = {0: (self.levels[0], None)}
 
-    def extend(self, size: int, starts: DataFrame) -> None:
-        """Make sure of the level of this number; new levels are for the given starts only."""
-        while len(self.levels) <= size:
-            last = self.levels[-1].join(starts.select(F.col("name").alias("start")).distinct(), "start", "left_semi")
-            grown = last.join(self.links, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
-            self.levels.append(written(grown))
+    def _step(self, level: DataFrame, starts: DataFrame, links: DataFrame) -> DataFrame:
+        last = level.join(starts.select(F.col("name").alias("start")).distinct(), "start", "left_semi")
+        return written(last.join(links, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct())
 
+    def tip(self, size: int, starts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """(start, node) one step beyond the light nodes of the level before, and (start, hub) of that level."""
+        if size not in self.tips:
+            while len(self.levels) < size:
+                self.levels.append(self._step(self.levels[-1], starts, self.links.every))
+            before = self.levels[size - 1]
+            hubs = before.join(self.links.hubs, F.col("node") == F.col("hub")).select("start", "hub")
+            self.tips[size] = self._step(before, starts, self.links.light), hubs
+        return self.tips[size]
 
-def _layers(mids: DataFrame, ahead: _Frontiers, behind: _Frontiers, links: DataFrame, length: int) -> list[DataFrame]:
+
+def _middles(left: DataFrame, ahead: tuple, behind: tuple, links: _Links) -> DataFrame:
+    """(source, target, node) where walks from both ends meet, for the pairs that are left.
+
+    Where a walk comes from a hub, the nodes of the other side are looked up among the hub's neighbours, so a hub costs
+    what lies on the other side and not its edges. Between two hubs the common neighbours count; of one and the same hub
+    only those that two edges join to it, as no path uses an edge twice.
+    """
+    pairs = left.select("source", "target")
+    (nodes_a, hubs_a), (nodes_b, hubs_b) = ahead, behind
+    nodes_a, nodes_b = nodes_a.withColumnRenamed("start", "source"), nodes_b.withColumnRenamed("start", "target")
+    fields = ["source", "target", "node"]
+    found = pairs.join(nodes_a, "source").join(nodes_b, ["target", "node"]).select(*fields)
+    if hubs_a is not None:
+        hubs_a = hubs_a.withColumnRenamed("start", "source")
+        near = nodes_b.join(links.of_hubs, "node").join(pairs, "target")
+        found = found.unionByName(near.join(hubs_a, ["source", "hub"], "left_semi").select(*fields))
+    if hubs_b is not None:
+        hubs_b = hubs_b.withColumnRenamed("start", "target")
+        near = nodes_a.join(links.of_hubs, "node").join(pairs, "source")
+        found = found.unionByName(near.join(hubs_b, ["target", "hub"], "left_semi").select(*fields))
+    if hubs_a is not None and hubs_b is not None:
+        met = pairs.join(hubs_a, "source").join(hubs_b.withColumnRenamed("hub", "other"), "target")
+        asked = met.filter(F.col("hub") != F.col("other")).select("hub", "other").distinct()
+        others = links.of_hubs.select(F.col("hub").alias("other"), "node")
+        shared = links.of_hubs.join(others, "node").join(asked, ["hub", "other"], "left_semi").select("hub", "other", "node")
+        shared = shared.unionByName(links.doubled.select("hub", F.col("hub").alias("other"), "node"))
+        found = found.unionByName(met.join(shared, ["hub", "other"]).select(*fields))
+    return found.distinct()
+
+
+def _sweep(upper: DataFrame, level: DataFrame, links: _Links, end: str) -> DataFrame:
+    """(source, target, node, before): each node of ``upper`` with its neighbours in the level of its ``end``.
+
+    Light nodes look at their neighbours; for a hub those of the level are looked at instead.
+    """
+    reached = level.select(F.col("start").alias(end), F.col("node").alias("before"))
+    near = upper.join(links.light, F.col("node") == F.col("a")).select("source", "target", "node", F.col("b").alias("before"))
+    near = near.join(reached, [end, "before"], "left_semi")
+    at_hubs = reached.join(links.of_hubs.withColumnRenamed("node", "before"), "before").withColumnRenamed("hub", "node")
+    return near.select("source", "target", "node", "before").unionByName(
+        upper.join(at_hubs, [end, "node"]).select("source", "target", "node", "before"))
+
+
+def _layers(mids: DataFrame, ahead: _Frontiers, behind: _Frontiers, links: _Links, length: int) -> list[DataFrame]:
     """For each step of a walk of this length the edges (source, target, v, w) that lead from source to target in it.
 
     ``mids`` are the nodes where walks of half the length from both ends meet. From there the layers
@@ -51,16 +129,12 @@ def _layers(mids: DataFrame, ahead: _Frontiers, behind: _Frontiers, links: DataF
     half, out = (length + 1) // 2, [None] * length
     upper = mids
     for i in range(half - 1, -1, -1):
-        reached = ahead.levels[i].select(F.col("start").alias("source"), F.col("node").alias("a"))
-        found = upper.join(links, F.col("node") == F.col("b")).join(reached, ["source", "a"], "left_semi")
-        found = found.select("source", "target", F.col("a").alias("v"), F.col("b").alias("w"))
+        found = _sweep(upper, ahead.levels[i], links, "source").select("source", "target", F.col("before").alias("v"), F.col("node").alias("w"))
         out[i] = written(found) if i else found
         upper = out[i].select("source", "target", F.col("v").alias("node")).distinct()
     lower = mids
     for j in range(length - half - 1, -1, -1):
-        reached = behind.levels[j].select(F.col("start").alias("target"), F.col("node").alias("b"))
-        found = lower.join(links, F.col("node") == F.col("a")).join(reached, ["target", "b"], "left_semi")
-        found = found.select("source", "target", F.col("a").alias("v"), F.col("b").alias("w"))
+        found = _sweep(lower, behind.levels[j], links, "target").select("source", "target", F.col("node").alias("v"), F.col("before").alias("w"))
         out[length - 1 - j] = written(found) if j else found
         lower = out[length - 1 - j].select("source", "target", F.col("w").alias("node")).distinct()
     return out
@@ -87,7 +161,8 @@ def _grow(ends: DataFrame, layers: list[DataFrame], steps: DataFrame, keep: int
     return level.select("source", "target", F.size("relations").alias("path_length"), "nodes", "relations", F.array_compact("evidences").alias("evidences"), "forward")
 
 
-def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 3, max_paths: int = 3, key: str = "pair_id") -> DataFrame:
+def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 3, max_paths: int = 3, key: str = "pair_id",
+          hub_links: int = HUB_LINKS) -> DataFrame:
     """The ``max_paths`` shortest undirected paths per pair, edges used once.
 
     ``pairs`` holds (key, source, target) and may hold ``hops``, a bound of its own. Pairs with the
@@ -98,8 +173,11 @@ def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int =
     over one of them to the other end are walked at all. A walk at most one edge longer than the
     shortest cannot use an edge twice (without the part in between it would be shorter by two), so there only
     the first ``max_paths`` walks to a node need to go on: for the same rest of the way the order of walks
-    is the order of their beginnings. So hubs cost their edges once per pair, not once per walk. Longer walks (asked for
+    is the order of their beginnings. Longer walks (asked for
     only where the two shortest lengths do not give enough paths) are followed in full.
+
+    Up to four edges a node with more than ``hub_links`` neighbours is never opened for each end that reaches it: the
+    other side's nodes are looked up among its neighbours. From five edges on the levels before the last open hubs.
     """
     names = nodes.select("name", F.lower("name").alias("__low"))
     todo = pairs
@@ -111,8 +189,9 @@ def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int =
     # near: the length of the shortest walk, once it is known
     near = F.when(F.col("source") == F.col("target"), 0)
     left = todo.groupBy("source", "target").agg(F.max("bound").alias("bound")).withColumn("near", near)
-    steps = written(_both_ways(edges))
-    links = written(steps.select("a", "b").distinct())
+    ends = left.select(F.explode(F.array("source", "target")).alias("name"))
+    steps = written(_both_ways(_without_dead_ends(edges, ends)))
+    links = _Links(steps, hub_links)
     ahead = _Frontiers(left.select(F.col("source").alias("name")), links)
     behind = _Frontiers(left.select(F.col("target").alias("name")), links)
 
@@ -120,10 +199,9 @@ def paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int =
     for length in range(1, max_hops + 1):
         left = left.filter(F.col("bound") >= length)
         half = (length + 1) // 2
-        ahead.extend(half, left.select(F.col("source").alias("name")))
-        behind.extend(length - half, left.select(F.col("target").alias("name")))
-        mids = left.join(ahead.levels[half].withColumnRenamed("start", "source"), "source")
-        mids = mids.join(behind.levels[length - half].withColumnRenamed("start", "target"), ["target", "node"])
+        tips = (ahead.tip(half, left.select(F.col("source").alias("name"))),
+                behind.tip(length - half, left.select(F.col("target").alias("name"))))
+        mids = _middles(left, *tips, links).join(left.select("source", "target", "near"), ["source", "target"])
         mids = written(mids.select("source", "target", "node", F.coalesce("near", F.lit(length)).alias("near")))
         ends = mids.groupBy("source", "target").agg(F.min("near").alias("near"))
         tight, loose = ends.agg(F.count_if(F.col("near") + 1 >= length), F.count_if(F.col("near") + 1 < length)).first()

@@ -285,6 +285,51 @@ def test_paths_on_random_graphs(spark, seed, keep):
     assert got == {i: brute(s, t, h) for i, s, t, h in wanted}
 
 
+@pytest.mark.parametrize("seed, keep", [(1, 3), (2, 12), (5, 2)])
+def test_paths_through_hubs_on_random_graphs(spark, seed, keep):
+    """As above with several nodes taken for hubs: a hub, double edges, loops, ends that are the same node and pairs that share their ends."""
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(14)]
+    rows = {(rng.choice(names), rng.choice("RS"), rng.choice(names)) for _ in range(18)} | {("n0", "H", n) for n in names[5:]}
+    edges = spark.createDataFrame([(*r, "e" + r[2]) for r in sorted(rows)], "head string, relation string, tail string, evidence string")
+    wanted = [(i, rng.choice(names), rng.choice(names), rng.randrange(1, 6)) for i in range(25)] + [(90, "n1", "n1", 4), (91, "n0", "n6", 2), (92, "n0", "n6", 5)]
+
+    def brute(start, end, hops):
+        found, frontier = [], [([start], [], [], [], [])]
+        for _ in range(hops):
+            frontier = [
+                (n + [y], rel + [r], fwd + [(h, t) == (x, y)], ev + ["e" + t], used + [(h, r, t)])
+                for n, rel, fwd, ev, used in frontier for h, r, t in rows for x, y in {(h, t), (t, h)} if x == n[-1] and (h, r, t) not in used
+            ]
+            found += [(len(rel), n, rel, fwd, ev) for n, rel, fwd, ev, _ in frontier if n[-1] == end]
+        return sorted(found)[:keep]
+
+    got = {i: [] for i, *_ in wanted}
+    nodes = spark.createDataFrame([(n,) for n in names], "name string")
+    pairs = spark.createDataFrame(wanted, "pair_id long, source string, target string, hops int")
+    for r in paths.paths(pairs, nodes, edges, 5, keep, hub_links=3).orderBy("pair_id", "path_rank").collect():
+        got[r.pair_id].append((r.path_length, r.nodes, r.relations, r.forward, r.evidences))
+    assert got == {i: brute(s, t, h) for i, s, t, h in wanted}
+
+
+def test_paths_do_not_open_a_hub_for_each_end(spark, monkeypatch):
+    n, sizes, store = 400, [], paths.written
+
+    def counted(df):
+        out = store(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(paths, "written", counted)
+    rows = [(f"s{i}", "IN", "hub", None) for i in range(n)] + [(f"s{i}", "BY", f"s{(i + 1) % n}", None) for i in range(n)]
+    edges = spark.createDataFrame(rows, "head string, relation string, tail string, evidence string")
+    nodes = spark.createDataFrame([(f"s{i}",) for i in range(n)] + [("hub",)], "name string")
+    pairs = spark.createDataFrame([(i, f"s{i}", f"s{(i + 10) % n}") for i in range(n)], "pair_id long, source string, target string")
+    found = paths.paths(pairs, nodes, edges, 4, 3).collect()
+    assert sum(r.nodes == [f"s{r.pair_id}", "hub", f"s{(r.pair_id + 10) % n}"] and r.path_rank == 1 for r in found) == n and len(found) == 3 * n
+    assert max(sizes) < 30 * n
+
+
 def test_path_bound_per_pair(spark):
     edges = spark.createDataFrame([("a", "R", "b", "x"), ("b", "R", "c", None)], "head string, relation string, tail string, evidence string")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
