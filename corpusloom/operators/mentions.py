@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from corpusloom.tables import spread
 
 _WORD = re.compile(r"[^\W_]+")
 SLICE_NAMES = 20_000    # names counted in one pass over the texts
+BLOCK_CHARS = 1 << 22   # of the texts that one task looks through together
 SIEVE_BITS = 1 << 25    # of the fixed-size table that tells runs of words which cannot be a name
 
 
@@ -41,32 +42,40 @@ def _stands_free(text: str, low: str, start: int) -> bool:
     )
 
 
+class _Names:
+    """Dictionary entries by core, and the word counts of the cores that start with a word."""
+
+    def __init__(self, rows: Iterable[tuple[str, str, str, int, int]]):
+        self.by_core: dict[str, list[tuple[str, str, int]]] = {}
+        self.lengths: dict[str, set[int]] = {}
+        for core, name, low, lead, words in rows:
+            self.by_core.setdefault(core, []).append((name, low, lead))
+            self.lengths.setdefault(_WORD.search(core).group(), set()).add(words)
+
+    def find(self, text: str) -> list[tuple[str, int]]:
+        spans = [m.span() for m in _WORD.finditer(text)]
+        hits = []
+        for i, (start, end) in enumerate(spans):
+            for words in self.lengths.get(text[start:end], ()):
+                if i + words > len(spans):
+                    continue
+                for name, low, lead in self.by_core.get(text[start:spans[i + words - 1][1]], ()):
+                    if _stands_free(text, low, start - lead):
+                        hits.append((start - lead, start - lead + len(low), name))
+        return _resolve(hits)
+
+
+_ENTRY = ["core", "name", "low", "lead", "words"]
+
+
 def _shared_finder(dictionary: DataFrame):
     """UDF from a text to its mentions, for a dictionary that its caller knows to be small."""
-    by_core: dict[str, list[tuple[str, str, int]]] = {}
-    lengths: dict[str, set[int]] = {}
-    for row in dictionary.collect():
-        by_core.setdefault(row["core"], []).append((row["name"], row["low"], row["lead"]))
-        lengths.setdefault(_WORD.search(row["core"]).group(), set()).add(row["words"])
-    shared = dictionary.sparkSession.sparkContext.broadcast((by_core, lengths))
+    shared = dictionary.sparkSession.sparkContext.broadcast(_Names(tuple(r) for r in dictionary.select(*_ENTRY).collect()))
 
     @F.pandas_udf("array<struct<name:string,start:int>>")
     def find(lowered: pd.Series) -> pd.Series:
-        known, by_first = shared.value
-
-        def one(text: str):
-            spans = [m.span() for m in _WORD.finditer(text)]
-            hits = []
-            for i, (start, end) in enumerate(spans):
-                for words in by_first.get(text[start:end], ()):
-                    if i + words > len(spans):
-                        continue
-                    for name, low, lead in known.get(text[start:spans[i + words - 1][1]], ()):
-                        if _stands_free(text, low, start - lead):
-                            hits.append((start - lead, start - lead + len(low), name))
-            return _resolve(hits)
-
-        return lowered.map(lambda t: [] if t is None else one(t))
+        known = shared.value
+        return lowered.map(lambda t: [] if t is None else known.find(t))
 
     return find
 
@@ -86,50 +95,44 @@ def _sieve(dictionary: DataFrame) -> tuple[int, bytes]:
     return max((r["words"] for r in blocks), default=1), bytes(table)
 
 
-def _joined_candidates(lowered: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Candidates (text_id, name, start, end) from a hash join of word runs and name cores.
+def _found_in_blocks(lowered: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Mentions (text_id, name, start) of texts dealt over blocks, each with the dictionary entries that occur in it.
 
-    A text hands in only runs that start like a name and whose checksum is that of a name; next to none of them miss.
+    A block hands in each run of words once, and only runs that start like a name and whose checksum is that of a name;
+    next to none of them miss. So what meets the dictionary grows with blocks and their distinct words, not with every
+    place where a frequent word stands, and a task holds one block and the entries found in it.
     """
     longest, table = _sieve(dictionary)
     shared = lowered.sparkSession.sparkContext.broadcast(table)  # SIEVE_BITS / 8 bytes
+    chars = lowered.agg(F.coalesce(F.sum(F.length("low_text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(lowered.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / BLOCK_CHARS))
+    dealt = lowered.filter(F.col("low_text").isNotNull()).withColumn("block", F.pmod(F.xxhash64("text_id"), F.lit(blocks)).cast("int"))
 
-    @F.pandas_udf("array<struct<start:int,run:string>>")
-    def runs(texts: pd.Series) -> pd.Series:
+    def runs(texts: pd.DataFrame) -> pd.DataFrame:
         bits, size, crc = shared.value, SIEVE_BITS, zlib.crc32
-        hat, is_core = crc(b"^"), crc(b"=")
-
-        def one(text: str):
-            spans, found = [m.span() for m in _WORD.finditer(text)], []
+        hat, is_core, found = crc(b"^"), crc(b"="), set()
+        for text in texts["low_text"]:
+            spans = [m.span() for m in _WORD.finditer(text)]
             for i, (start, end) in enumerate(spans):
                 at = crc(text[start:end].encode(), hat) % size
                 if bits[at >> 3] >> (at & 7) & 1:
                     for j in range(i, min(i + longest, len(spans))):
                         run = text[start : spans[j][1]]
-                        at = crc(run.encode(), is_core) % size
-                        if bits[at >> 3] >> (at & 7) & 1:
-                            found.append((start, run))
-            return found
-
-        return texts.map(lambda t: [] if t is None else one(t))
-
-    found = lowered.select("text_id", F.explode(runs("low_text")).alias("r")).select(
-        "text_id", F.col("r.start").alias("core_start"), F.col("r.run").alias("core"))
-    hits = found.join(dictionary, "core").withColumn("start", F.col("core_start") - F.col("lead"))
-    hits = hits.select("text_id", "name", "low", "start", (F.col("start") + F.length("low")).alias("end"))
-    is_plain = F.col("low").rlike(r"^[\p{L}\p{N}](?s:.*[\p{L}\p{N}])?$")
-    dressed = hits.filter(~is_plain).join(lowered, "text_id")
-
-    def char(at):
-        return F.substring(F.col("low_text"), at, F.lit(1))
-
-    fits = (
-        (F.col("start") >= 0)
-        & (F.substring(F.col("low_text"), F.col("start") + 1, F.length("low")) == F.col("low"))
-        & ((F.col("start") == 0) | ~char(F.col("start")).rlike(r"[\p{L}\p{N}]"))
-        & ~char(F.col("end") + 1).rlike(r"[\p{L}\p{N}]")
-    )
-    return hits.filter(is_plain).unionByName(dressed.filter(fits).drop("low_text")).drop("low")
+                        if run not in found:
+                            at = crc(run.encode(), is_core) % size
+                            if bits[at >> 3] >> (at & 7) & 1:
+                                found.add(run)
+        return pd.DataFrame({"block": texts["block"].iloc[0], "core": sorted(found)})
+
+    def find(texts: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        known = _Names(entries[_ENTRY].itertuples(index=False, name=None))
+        rows = [(key, name, start) for key, text in zip(texts["text_id"], texts["low_text"]) for name, start in known.find(text)]
+        return pd.DataFrame(rows, columns=["text_id", "name", "start"])
+
+    seen = dealt.select("block", "low_text").groupBy("block").applyInPandas(runs, "block int, core string")
+    met = seen.join(dictionary, "core").select("block", *_ENTRY)
+    out = f"text_id {lowered.schema['text_id'].dataType.simpleString()}, name string, start int"
+    return dealt.groupBy("block").cogroup(met.groupBy("block")).applyInPandas(find, out)
 
 
 def find_mentions(texts: DataFrame, names: DataFrame, text_col: str = "text", key: str = "text_id",
@@ -137,9 +140,9 @@ def find_mentions(texts: DataFrame, names: DataFrame, text_col: str = "text", ke
     """Names found in texts: whole words, case ignored, longest first, no overlaps; first
     occurrence of each name: (key, name, start).
 
-    A name is looked up by its core (first to last letter or digit) among the word runs of the text. Texts are
-    read once; a table of fixed size, whatever the number of names, holds back runs that cannot be a name, and
-    what is left meets the dictionary in a hash join, so no task and no driver ever holds the dictionary. A caller
+    A name is looked up by its core (first to last letter or digit) among the word runs of the text. A table of fixed
+    size, whatever the number of names, holds back runs that cannot be a name, and what is left of a block of texts, each run
+    once, meets the dictionary in a hash join, so no task and no driver ever holds the dictionary. A caller
     who knows that it is small can ``share`` it with the tasks instead. Both give the same rows.
     """
     dictionary = (
@@ -149,18 +152,13 @@ def find_mentions(texts: DataFrame, names: DataFrame, text_col: str = "text", ke
         .withColumn("words", F.size(F.regexp_extract_all("core", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))))
         .withColumn("lead", F.expr("locate(core, low) - 1"))
     )
-    lowered = spread(texts.select(F.col(key).alias("text_id"), F.lower(text_col).alias("low_text")))
+    lowered = texts.select(F.col(key).alias("text_id"), F.lower(text_col).alias("low_text"))
     if share:
-        found = lowered.select("text_id", F.explode(_shared_finder(dictionary)(F.col("low_text"))).alias("m"))
+        found = spread(lowered).select("text_id", F.explode(_shared_finder(dictionary)(F.col("low_text"))).alias("m"))
+        found = found.select("text_id", "m.name", "m.start")
     else:
-        @F.pandas_udf("array<struct<name:string,start:int>>")
-        def resolve(candidates: pd.Series) -> pd.Series:
-            return candidates.map(lambda rows: _resolve([(r["start"], r["end"], r["name"]) for r in rows]))
-
-        hits = _joined_candidates(lowered, dictionary)
-        grouped = hits.groupBy("text_id").agg(F.collect_list(F.struct("name", "start", "end")).alias("c"))
-        found = grouped.select("text_id", F.explode(resolve("c")).alias("m"))
-    return found.select(F.col("text_id").alias(key), F.col("m.name").alias("name"), F.col("m.start").alias("start"))
+        found = _found_in_blocks(lowered, dictionary)
+    return found.withColumnRenamed("text_id", key)
 
 
 def mention_counts(docs: DataFrame, names: DataFrame, text_col: str = "content", key: str = "doc_id",

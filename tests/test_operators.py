@@ -672,6 +672,25 @@ def test_constants_hold_their_counts():
     assert len(C.TITLE_ALIASES) == 9 and len(C.ALIAS_PATTERNS) == 12 and len(C.VALID_RELATIONS) == 21
 
 
+def test_frequent_words_meet_the_dictionary_once_per_block(spark):
+    texts = spark.createDataFrame([(i, "the red fox " * 500) for i in range(200)], "text_id long, text string")
+    names = spark.createDataFrame([("Red",), ("red fox",), ("The",)], "name string")
+    found = mentions.find_mentions(texts, names)
+    assert sorted((r.name, r.start, r.n) for r in found.groupBy("name", "start").agg(F.count(F.lit(1)).alias("n")).collect()) == [("The", 0, 200), ("red fox", 4, 200)]
+    joined, join = [], texts.__class__.join
+
+    def counted(self, other, *more):
+        if {"block", "core"} <= set(self.columns):
+            joined.append(self.count())
+        return join(self, other, *more)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(texts.__class__, "join", counted)
+        mentions.find_mentions(texts, names)
+    blocks = spark.sparkContext.defaultParallelism
+    assert joined and joined[0] <= 3 * blocks
+
+
 def test_mention_plans_agree(spark, tables):
     texts = tables.documents.select(F.col("doc_id").alias("text_id"), "text")
     words = tables.benchmark.select(F.split("text", " ").alias("w"))
