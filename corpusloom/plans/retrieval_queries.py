@@ -451,7 +451,8 @@ def _texts(t):
 
 def _reranked(t):
     top = similarity.vector_topk(_with_vectors(t), t.embeddings, 8, query_id="question_id", item_id="vec_id").withColumnRenamed("query_id", "question_id")
-    return context.rerank_passages(top, _texts(t), _typed(t))
+    # As in SQL, passages are scored, and their relevance shown, from the score with six places.
+    return context.rerank_passages(top.withColumn("score", F.round("score", 6)), _texts(t), _typed(t))
 
 
 def _typed(t):

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from datetime import datetime, timezone
 
 import numpy as np
@@ -784,3 +785,17 @@ def test_retrieval_of_many_questions_is_that_of_each(spark):
     text = together["q1"].full_context
     assert "  1. Ada -[KNOWS_OF]-> Ed\n  2. Ed -[KNOWS_OF]-> Di" in text and "## Connection Path" not in together["q2"].full_context
     assert all(f"Text {i} about" in text for i in range(6)) and "Bo —[LOCATED_IN]→ Town" in together["q2"].full_context
+
+
+def test_relevance_shows_the_stored_number(spark):
+    rows = [("q", i + 1, x, "T", "", "", "body") for i, x in enumerate([0.565, 0.125, 0.135, 0.375])]
+    passages = spark.createDataFrame(rows, "question_id string, place int, score double, title string, section_title string, source_url string, full_text string")
+    text = context.pack_passages(passages).first().text_context
+    assert re.findall(r"relevance: (.*?)[)]", text) == ["0.56", "0.12", "0.14", "0.38"]
+
+
+def test_ring_query_does_not_give_a_hub_to_each_question(tables, monkeypatch):
+    from corpusloom.plans import graph_queries
+
+    monkeypatch.setattr(graph, "neighbors", None)  # with a bound as large as the graph it gives each question all edges of its hub
+    assert graph_queries.j14(tables).count() > 0
