@@ -11,6 +11,7 @@ from corpusloom.operators.mentions import mention_counts
 from corpusloom.operators.ranking import first_per_key, top_per_key
 from corpusloom.operators.similarity import vector_topk
 from corpusloom.session import cut_lineage
+from corpusloom.tables import beside, by_key, spread
 
 GRAM = 8
 
@@ -60,9 +61,9 @@ def title_matches(entities: DataFrame, docs: DataFrame, id_col: str = "doc_id")
 
 def layer_title(questions: DataFrame, docs: DataFrame, key: str = "question_id", id_col: str = "doc_id") -> DataFrame:
     """Layer A: one document per entity at most, distinct per question, in entity order."""
-    asked = asked_entities(questions, key)
+    asked = asked_entities(spread(questions.select(key, "entities")), key)
     best = title_matches(asked, docs, id_col)
-    found = asked.join(best, "entity").groupBy(key, id_col).agg(F.min("entity_no").alias("place"), F.max("score").alias("score"))
+    found = asked.join(beside(best), "entity").groupBy(key, id_col).agg(F.min("entity_no").alias("place"), F.max("score").alias("score"))
     return found
 
 
@@ -77,7 +78,7 @@ def layer_semantic(questions: DataFrame, vectors: DataFrame, held: DataFrame, k:
     if docs is not None:
         found = found.join(docs.select(id_col), id_col, "left_semi")
     near_docs = found.groupBy(key, id_col).agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
-    fresh = near_docs.join(held.select(key, id_col), [key, id_col], "left_anti")
+    fresh = near_docs.join(by_key(held.select(key, id_col)), [key, id_col], "left_anti")
     place = F.row_number().over(Window.partitionBy(key).orderBy("rank"))
     return fresh.withColumn("place", place).filter(F.col("place") <= keep)
 
@@ -128,15 +129,15 @@ def layer_comention(questions: DataFrame, docs: DataFrame, held: DataFrame, enti
     """
     pairs = entity_pairs(questions, entities, key)
     holds = held.groupBy(key).agg(F.count_distinct(id_col).alias("held"))
-    needs = pairs.join(holds, key, "left").withColumn("depth", F.coalesce("held", F.lit(0)) + F.least(F.col("pair_no"), F.lit(keep - 1)) + 1)
+    needs = pairs.join(by_key(holds), key, "left").withColumn("depth", F.coalesce("held", F.lit(0)) + F.least(F.col("pair_no"), F.lit(keep - 1)) + 1)
     # The greatest need only trims what a task hands on; each pair is then cut to its own.
     most = needs.agg(F.coalesce(F.max("depth"), F.lit(1)).alias("n")).first()["n"]
     best = comention_scores(needs.select("a", "b", "depth"), docs, int(most), id_col)
     ranked = best.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("rank", id_col))).alias("candidates"))
     taken = held.groupBy(key).agg(F.collect_set(id_col).alias("held"))
-    offers = pairs.join(ranked, ["a", "b"]).groupBy(key).agg(
+    offers = pairs.join(beside(ranked), ["a", "b"]).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pair_no", "candidates"))).alias("offers"))
-    rows = offers.join(taken, key, "left")
+    rows = offers.join(by_key(taken), key, "left")
     kind = docs.schema[id_col].dataType.simpleString()
     none = F.array().cast(f"array<{kind}>")
     barred = F.coalesce("held", none)
@@ -164,7 +165,7 @@ def fetch_layers(questions: DataFrame, docs: DataFrame, vectors: DataFrame, cap:
         key, id_col, "place").withColumn("layer", F.lit("C"))
     every = a.unionByName(b).unionByName(c)
     kept = top_per_key(every, [key], ["layer", "place", id_col], cap, "doc_no")
-    counts = questions.select(key).join(every.groupBy(key).agg(
+    counts = questions.select(key).join(by_key(every.groupBy(key).agg(
         F.count_if(F.col("layer") == "A").alias("layer_a"), F.count_if(F.col("layer") == "B").alias("layer_b"),
-        F.count_if(F.col("layer") == "C").alias("layer_c"), F.least(F.count(F.lit(1)), F.lit(cap)).alias("total")), key, "left").na.fill(0)
+        F.count_if(F.col("layer") == "C").alias("layer_c"), F.least(F.count(F.lit(1)), F.lit(cap)).alias("total"))), key, "left").na.fill(0)
     return kept, counts

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from corpusloom import constants as C
 from corpusloom.functions import scoring, text as X
 from corpusloom.operators.ranking import first_per_key, top_per_key
+from corpusloom.session import written
+from corpusloom.tables import beside, by_key, spread
 
 EDGE_KEY = ["head", "relation", "tail"]
 
@@ -152,32 +154,43 @@ def neighbors(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int =
     hub with most edges is neither matched nor ranked in one task.
     """
     wanted = seeds.select(F.lower("name").alias("__key")).distinct()
-    found = nodes.join(wanted, F.lower(nodes["name"]) == F.col("__key"), "left_semi").select(
-        F.col("name").alias("entity"), F.col("type").alias("entity_type"), "description")
+    found = written(nodes.join(beside(wanted), F.lower(nodes["name"]) == F.col("__key"), "left_semi").select(
+        F.col("name").alias("entity"), F.col("type").alias("entity_type"), "description"))
     ends = F.explode(F.array(
         F.struct(F.col("head").alias("entity"), F.lit("outgoing").alias("direction"), F.col("tail").alias("other")),
         F.struct(F.col("tail").alias("entity"), F.lit("incoming").alias("direction"), F.col("head").alias("other"))))
     touching = edges.select(ends.alias("e"), "relation", "evidence").select("e.*", "relation", "evidence")
     touching = touching.withColumn("__salt", F.pmod(F.xxhash64("other", "relation"), F.lit(salts)).cast("int"))
     asked = found.select("entity", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-    parts = top_per_key(touching.join(asked, ["entity", "__salt"], "left_semi"), ["entity", "__salt", "direction"], ["other", "relation"], limit)
+    parts = top_per_key(touching.join(beside(asked), ["entity", "__salt"], "left_semi"), ["entity", "__salt", "direction"], ["other", "relation"], limit)
     kept = top_per_key(parts.drop("__salt"), ["entity", "direction"], ["other", "relation"], limit, "rank")
-    kept = kept.join(found, "entity", "right")
+    kept = written(kept.join(found, "entity", "right"))
     # Stored edges have existing ends, so only the types of the kept ones are looked up.
-    return kept.join(nodes.select(F.col("name").alias("other"), F.col("type").alias("other_type")), "other", "left")
+    types = nodes.select(F.col("name").alias("other"), F.col("type").alias("other_type"))
+    return kept.join(by_key(types.join(beside(kept.select("other").distinct()), "other", "left_semi")), "other", "left")
 
 
 def neighbors_many(questions: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 10,
                    key: str = "question_id") -> DataFrame:
     """Neighbourhoods of all entities of all questions; unknown entities drop out."""
-    asked = questions.select(key, F.posexplode("entities").alias("entity_no", "asked")).withColumn("__key", F.lower("asked"))
+    asked = spread(questions.select(key, "entities")).select(key, F.posexplode("entities").alias("entity_no", "asked")).withColumn("__key", F.lower("asked"))
     around = neighbors(asked.select(F.col("asked").alias("name")), nodes, edges, limit)
-    return asked.join(around.withColumn("__key", F.lower("entity")), "__key").drop("__key", "asked")
+    return asked.join(beside(around.withColumn("__key", F.lower("entity"))), "__key").drop("__key", "asked")
+
+
+def entity_lists(questions: DataFrame) -> DataFrame:
+    """Distinct entity lists (entities). What depends on nothing else is worked out with ``key="entities"`` and handed on by ``per_question``."""
+    return questions.select("entities").distinct()
+
+
+def per_question(rows: DataFrame, questions: DataFrame, key: str = "question_id") -> DataFrame:
+    """Rows of an entity list (entities) for each question that has this list, by its key."""
+    return spread(questions.select(key, "entities")).join(beside(rows), "entities").drop("entities")
 
 
 def rank_relations(around: DataFrame, questions: DataFrame, key: str = "question_id") -> DataFrame:
     """Score every relation for its question and order it within the entity."""
-    scored = around.join(questions.select(key, F.col("entities").alias("__asked")), key).withColumn(
+    scored = around.join(by_key(questions.select(F.col(key), F.col("entities").alias("__asked"))), key).withColumn(
         "score", scoring.relation_score(F.col("evidence"), F.col("relation"), F.col("other"), F.col("__asked")))
     direction = F.when(F.col("direction") == "outgoing", 0).otherwise(1)
     order = Window.partitionBy(key, "entity_no").orderBy(F.desc("score"), direction, "rank")
@@ -227,5 +240,5 @@ def entity_text(nodes: DataFrame, limit: int = 200) -> Column:
 __all__: Sequence[str] = [
     "dedup_entities", "upsert_nodes", "upsert_edges", "existing_edges", "entity_table", "retype_edges",
     "graph_counts", "export_graph", "degrees", "symmetric_aliases", "neighbors", "neighbors_many",
-    "rank_relations", "induced_subgraph", "edges_among", "edge_load_report", "complete_triple", "EDGE_KEY", "C",
+    "entity_lists", "per_question", "rank_relations", "induced_subgraph", "edges_among", "edge_load_report", "complete_triple", "EDGE_KEY", "C",
 ]

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from corpusloom import constants as C
 from corpusloom.functions import labels, scoring
 from corpusloom.functions import text as X
-from corpusloom.operators import aliases, context, fetching, mentions, ranking, reports, similarity
+from corpusloom.operators import aliases, context, fetching, graph, mentions, ranking, reports, similarity
 from corpusloom.plans import graph_queries as G
 from corpusloom.plans.catalog import d_quote, query
 from corpusloom.plans.retrieve import RetrievalConfig, Stores, question_paths, retrieve
 from corpusloom.plans.text_queries import d_valid_alias
+from corpusloom.session import written
+from corpusloom.tables import by_key
 
 # ---------------------------------------------------------------- aliases
 
@@ -341,7 +343,7 @@ WHERE place <= 8"""
 
 def _with_vectors(t):
     n = t.embeddings.count()
-    return t.wide.questions.withColumn("vec_id", F.col("k") % n).join(t.embeddings.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    return by_key(t.wide.questions.withColumn("vec_id", F.col("k") % n)).join(t.embeddings.select("vec_id", "embedding"), "vec_id").drop("vec_id")
 
 
 def _vectors(t):
@@ -518,8 +520,9 @@ SELECT question_id, entity_no, CAST(line_no AS INT) AS line_no, line, tokens_bef
 
 @query("W07_packed_graph_lines", _LINES, ["questions", "kg_edges", "kg_nodes"])
 def w07(t):
-    lines = context.pack_graph_context(G.ranked(t), budget=700, around=G.around(t))
-    return lines.select("question_id", "entity_no", "line_no", "line", "tokens_before")
+    lists, around = graph.entity_lists(t.questions), written(G.around(t))
+    lines = context.pack_graph_context(graph.rank_relations(around, lists, key="entities"), budget=700, key="entities", around=around)
+    return graph.per_question(lines, t.questions).select("question_id", "entity_no", "line_no", "line", "tokens_before")
 
 
 @query("U04_hybrid_rows", f"""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom import constants as C
 from corpusloom.functions import labels
 from corpusloom.operators import context, graph, paths, similarity
+from corpusloom.session import written
+from corpusloom.tables import beside, spread
 
 
 @dataclass(frozen=True)
@@ -57,10 +59,11 @@ def _passages(questions: DataFrame, stores: Stores, config: RetrievalConfig) ->
 
 
 def _relations(questions: DataFrame, stores: Stores, config: RetrievalConfig) -> tuple[DataFrame, DataFrame]:
-    """Neighbourhoods of the asked entities, those without relations included, and their ranked relations."""
-    around = graph.neighbors_many(questions, stores.nodes, stores.edges, config.max_relations)
+    """Neighbourhoods of the entity lists that are asked, those without relations included, and their ranked relations."""
+    lists = graph.entity_lists(questions)
+    around = written(graph.neighbors_many(lists, stores.nodes, stores.edges, config.max_relations, key="entities"))
     if config.use_graph_ranking:
-        ranked = graph.rank_relations(around, questions)
+        ranked = graph.rank_relations(around, lists, key="entities")
     else:
         place = F.col("rank") + F.when(F.col("direction") == "outgoing", 0).otherwise(config.max_relations)
         ranked = around.filter(F.col("relation").isNotNull()).withColumn("score", F.lit(0.0)).withColumn("place", place)
@@ -82,7 +85,7 @@ def question_paths(questions: DataFrame, stores: Stores, config: RetrievalConfig
     pair = F.concat_ws("\x1f", "source", "target", F.col("hops").cast("string"))
     asked = asked.withColumn("pair_id", pair)
     found = paths.paths(asked.select("pair_id", "source", "target", "hops").distinct(), stores.nodes, stores.edges, hops, keep)
-    return asked.select("question_id", "pair_id", "source", "target", "keep").join(found, "pair_id").filter(F.col("path_rank") <= F.col("keep"))
+    return spread(asked.select("question_id", "pair_id", "source", "target", "keep")).join(beside(found), "pair_id").filter(F.col("path_rank") <= F.col("keep"))
 
 
 def retrieve(questions: DataFrame, stores: Stores, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
@@ -104,6 +107,6 @@ def retrieve(questions: DataFrame, stores: Stores, config: RetrievalConfig = Ret
             best = question_paths(typed, stores, config).filter(F.col("path_rank") == 1)
             blocks = context.path_block(best.withColumnRenamed("source", "entity1").withColumnRenamed("target", "entity2"))
         around, ranked = _relations(typed, stores, config)
-        lines = context.pack_graph_context(ranked, blocks, config.graph_budget, around=around)
-        graphs = context.graph_text(lines, blocks)
+        lines = context.pack_graph_context(ranked, None, config.graph_budget, key="entities", around=around)
+        graphs = context.shared_graph_text(lines, typed, blocks, config.graph_budget)
     return context.assemble_context(typed, texts, graphs)

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import written
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -34,6 +36,27 @@ def fits_in_rows(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+SHARED_ROWS = 65_536  # of a table that may be sent whole to the driver and all tasks
+
+
+def by_key(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that deals both sides by key, never sent whole.
+
+    Spark estimates a side from the bytes of its files. Rows that take a few bytes there (one per question) would be
+    sent through the driver with all that was derived from them.
+    """
+    return df.hint("merge")
+
+
+def beside(df: DataFrame, limit: int = SHARED_ROWS) -> DataFrame:
+    """``df`` as the smaller side of a join: shared with all tasks if it was counted to be small, dealt by key otherwise.
+
+    A few keys that most rows of the other side have stay where they are, and are not brought together by key.
+    """
+    small = written(df)
+    return F.broadcast(small) if fits_in_rows(small, limit) else by_key(small)
+
+
 def let_workers_import(spark: SparkSession) -> None:
     """Put the folder of this package on the Python path of the workers, where it exists there.
 

@@ -799,3 +799,53 @@ def test_ring_query_does_not_give_a_hub_to_each_question(tables, monkeypatch):
 
     monkeypatch.setattr(graph, "neighbors", None)  # with a bound as large as the graph it gives each question all edges of its hub
     assert graph_queries.j14(tables).count() > 0
+
+
+def test_rows_of_questions_are_never_sent_whole(spark, tmp_path):
+    """A question takes a few bytes in a file, so Spark took a million of them for a side that is small enough to share."""
+    from corpusloom.operators import context, graph
+
+    asked = spark.range(50_000).selectExpr("cast(id as string) question_id", "array('a') entities", "'FACTUAL' query_type")
+    asked.write.parquet(f"{tmp_path}/asked")
+    asked = spark.read.parquet(f"{tmp_path}/asked")
+    around = asked.selectExpr("question_id", "0 entity_no", "'a' entity", "'T' entity_type", "'d' description", "'outgoing' direction",
+                              "'b' other", "'T' other_type", "'R' relation", "'e' evidence", "1 rank")
+    ranked = graph.rank_relations(around, asked)
+    texts = asked.selectExpr("question_id", "'x' text_context", "'y' graph_context", "'z' path_text", "1 place", "1 doc_id", "1D score", "1 path_rank", "array('s') path_steps")
+    plans = [ranked, context.pack_graph_context(ranked, texts), context.hybrid_rows(texts, ranked, texts, asked), context.assemble_context(asked, texts, texts)]
+    for df in plans:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relations_worked_out_per_entity_list(spark):
+    from corpusloom.operators import context, graph
+    from corpusloom.tables import beside
+
+    nodes = spark.createDataFrame([(n, "T", f"text {n}") for n in "ABCD"], "name string, type string, description string")
+    edges = spark.createDataFrame([("A", "R", "B", "x"), ("B", "S", "C", None), ("C", "R", "A", "")], "head string, relation string, tail string, evidence string")
+    rows = [("1", ["a", "B"]), ("2", ["a", "B"]), ("3", ["B", "a"]), ("4", ["nobody"]), ("5", ["D"]), ("6", None), ("7", [])]
+    asked = spark.createDataFrame(rows, "question_id string, entities array<string>")
+    around = graph.neighbors_many(asked, nodes, edges)
+    lists = graph.entity_lists(asked)
+    shared = graph.neighbors_many(lists, nodes, edges, key="entities")
+    ranked, once = graph.rank_relations(around, asked), graph.rank_relations(shared, lists, key="entities")
+    keys = ["question_id", "entity_no", "direction", "relation", "other", "score", "place"]
+    assert sorted(graph.per_question(once, asked).select(keys).collect()) == sorted(ranked.select(keys).collect())
+    path = spark.createDataFrame([("1", "p" * 40), ("4", "only a path")], "question_id string, path_text string")
+    budget = 20
+    before = context.graph_text(context.pack_graph_context(ranked, path, budget, around=around), path)
+    after = context.shared_graph_text(context.pack_graph_context(once, None, budget, key="entities", around=shared), asked, path, budget)
+    assert sorted(after.select("question_id", "graph_context").collect()) == sorted(before.select("question_id", "graph_context").collect())
+    assert beside(asked, 7)._jdf.queryExecution().analyzed().toString().count("broadcast") == 1
+    assert beside(asked, 6)._jdf.queryExecution().analyzed().toString().count("broadcast") == 0
+
+
+def test_long_passages_are_cut_as_before(spark):
+    from corpusloom.operators import context
+
+    rows = [(1, i, "t", "", 0.5, "", "w" * n) for i, n in enumerate([30, 9000, 50], 1)]
+    df = spark.createDataFrame(rows, "question_id int, place int, title string, section_title string, score double, source_url string, full_text string")
+    got = context.pack_passages(df, budget=200).first()
+    assert (got.taken, got.offered) == (2, 3) and got.text_context.endswith(context.TRUNCATED)
+    whole = context.pack_passages(df, budget=5000).first()
+    assert whole.taken == 3 and "w" * 9000 in whole.text_context
