@@ -3,6 +3,7 @@ the library's sources, sinks and streams."""
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from corpusloom.sources import readers, writers
 from corpusloom.sources.parted import PartedTable
 from corpusloom.streaming import incremental
 from corpusloom.streaming.sessions import session_state
+from corpusloom.tables import DEALT_ROWS
 
 
 def fresh_folder(t) -> str:
@@ -87,11 +89,17 @@ def s13(t):
 # ---------------------------------------------------------------- streams
 
 
-def _streamed(t, df, files: int):
-    """The rows as files of a folder, as a stream with one file per batch."""
+def files_of_a_batch(df, batches: int) -> int:
+    """Files that a batch is dealt over, so that a task writes and reads a fixed number of rows however large the table is."""
+    return max(1, math.ceil(df.count() / (batches * DEALT_ROWS)))
+
+
+def _streamed(t, df, batches: int):
+    """The rows as files of a folder, as a stream of ``batches`` batches."""
     path = fresh_folder(t)
-    df.repartition(files).write.parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    each = files_of_a_batch(df, batches)
+    df.repartition(batches * each).write.parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 @query("R02_session_state", f"""
@@ -135,8 +143,9 @@ def r04(t):
     columns = mentions.unionByName(triples, allowMissingColumns=True).schema
     store = incremental.GraphStore(t.spark, f"{path}/graph")
     for rows in (mentions.unionByName(triples.limit(0), allowMissingColumns=True), mentions.limit(0).unionByName(triples, allowMissingColumns=True)):
-        rows.repartition(3).write.mode("append").parquet(f"{path}/in")
-        stream = t.spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        each = files_of_a_batch(rows, 3)
+        rows.repartition(3 * each).write.mode("append").parquet(f"{path}/in")
+        stream = t.spark.readStream.schema(columns).option("maxFilesPerTrigger", each).parquet(f"{path}/in")
         incremental.incremental_graph(stream, store, f"{path}/checkpoint").awaitTermination()
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
     nodes = store.nodes().select(F.lit("node").alias("kind"), F.col("name").alias("head"), none.alias("relation"), none.alias("tail"), F.length(F.coalesce("description", F.lit(""))).cast("long").alias("chars"))

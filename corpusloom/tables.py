@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import uuid
 
@@ -17,15 +18,18 @@ TABLES = (
 )
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Give CPU-heavy row work at least one task per core.
 
     A table that arrives as fewer splits than there are cores (one small parquet row group) is
     dealt out round-robin; a table with enough splits is returned as it is, so nothing is
     shuffled at scale. The row count that is observed keeps later filters above the exchange,
-    where they run on all cores; select the needed columns beforehand.
+    where they run on all cores; select the needed columns beforehand. With ``rows``, for tables of
+    which a row makes many, a task has no more than about that number of them however large the table is.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        wanted = max(wanted, math.ceil(df.count() / rows))
     if df.rdd.getNumPartitions() >= wanted:
         return df
     return df.repartition(wanted).observe(f"rows_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
@@ -36,6 +40,7 @@ def fits_in_rows(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+DEALT_ROWS = 32_768   # of a table per task, where a row makes many
 SHARED_ROWS = 65_536  # of a table that may be sent whole to the driver and all tasks
 
 
@@ -75,9 +80,10 @@ class Tables:
     view costs no further look at the files.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, spread_out: bool = False):
+    def __init__(self, spark: SparkSession, folder: str, spread_out: bool = False, rows: int | None = None):
         self.spark = spark
         self.spread_out = spread_out
+        self.rows = rows
         self.folder = folder.rstrip("/")
         self._open: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -88,13 +94,18 @@ class Tables:
         """The same tables dealt out over all cores, for views whose rows are costly to work on."""
         return Tables(self.spark, self.folder, spread_out=True)
 
+    @property
+    def dealt(self) -> Tables:
+        """The same tables dealt out in tasks of a fixed number of rows, for views that make many rows of one."""
+        return Tables(self.spark, self.folder, spread_out=True, rows=DEALT_ROWS)
+
     def sql_name(self, table: str) -> str:
         """Name under which SQL text can read a table of this folder."""
-        kind = "wide" if self.spread_out else "corpusloom"
+        kind = "corpusloom" if not self.spread_out else "wide" if self.rows is None else f"dealt{self.rows}"
         name = f"{kind}_{hashlib.md5(self.folder.encode()).hexdigest()[:8]}_{table}"
         if table not in self._open:
             df = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
-            self._open[table] = spread(df) if self.spread_out else df
+            self._open[table] = spread(df, self.rows) if self.spread_out else df
             self._open[table].createOrReplaceTempView(name)
         return name
 
