@@ -43,8 +43,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Rows of short repetitive names take about 30 times the bytes of their Parquet files once a join holds them.
+FILE_GROWTH = 30
+
+
+def size_by_rows(spark: SparkSession) -> None:
+    """Have Spark estimate a scanned table by what its rows take in memory, so that no join sends whole what is only small as a file."""
+    name = "spark.sql.sources.fileCompressionFactor"
+    if float(spark.conf.get(name)) < FILE_GROWTH:
+        spark.conf.set(name, str(float(FILE_GROWTH)))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: later steps start from its files and know its size."""
+    size_by_rows(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -849,3 +849,13 @@ def test_long_passages_are_cut_as_before(spark):
     assert (got.taken, got.offered) == (2, 3) and got.text_context.endswith(context.TRUNCATED)
     whole = context.pack_passages(df, budget=5000).first()
     assert whole.taken == 3 and "w" * 9000 in whole.text_context
+
+
+def test_tables_that_are_small_only_as_files_are_not_sent_whole(spark):
+    from corpusloom.session import written
+
+    rows = written(spark.range(500_000).select(F.format_string("Customer#%09d", "id").alias("name")))
+    joined = rows.join(written(rows.withColumnRenamed("name", "other")), F.col("name") == F.col("other"))
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    few = written(spark.range(5).select(F.format_string("Customer#%09d", "id").alias("other")))
+    assert "BroadcastHashJoin" in rows.join(few, F.col("name") == F.col("other"))._jdf.queryExecution().executedPlan().toString()
