@@ -859,3 +859,10 @@ def test_tables_that_are_small_only_as_files_are_not_sent_whole(spark):
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     few = written(spark.range(5).select(F.format_string("Customer#%09d", "id").alias("other")))
     assert "BroadcastHashJoin" in rows.join(few, F.col("name") == F.col("other"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_which_a_row_makes_many_are_dealt_by_rows(spark, tables):
+    from corpusloom.tables import Tables
+
+    part = Tables(spark, tables.folder, spread_out=True, rows=5).part
+    assert part.rdd.getNumPartitions() >= part.count() / 5 > spark.sparkContext.defaultParallelism
