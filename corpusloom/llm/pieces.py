@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Words that a task keeps between its blocks of so many rows, and the longest of them; more are worked out again.
-KEPT_WORDS, KEPT_LENGTH, BLOCK_ROWS = 60_000, 64, 512
+from corpusloom.llm.shared import no_cycles
+
+#: Words (in each of two generations) that a task keeps between its blocks of so many rows, and the longest of them; more are worked out again.
+KEPT_WORDS, KEPT_LENGTH, BLOCK_ROWS = 110_000, 64, 512
 
 # Fixed values of the model file's format: the sign for a blank, kinds of pieces and the kind of model.
 BLANK = "▁"
@@ -88,6 +90,7 @@ class PieceTokens:
         self.numbers = list(map(str, range(len(self.pieces))))
         self.tables({p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == NORMAL}, scores)
         self.words: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def tables(self, ids: dict[str, int], scores: list[float]) -> None:
         """Numbers of characters, pairs of characters inside pieces, and the pieces that two symbols make."""
@@ -285,9 +288,12 @@ class PieceTokens:
         find = self.parts.findall
         split = [find(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        known = self.words
-        known.update(self.learn(set().union(*split).difference(known)))
+            self.older, self.words = self.words, {}  # those not met for long go
+        known, older = self.words, self.older
+        new = set().union(*split).difference(known)
+        met = new.intersection(older)
+        known.update({w: older[w] for w in met})
+        known.update(self.learn(new - met))
         for words in split:
             both = [known[w] for w in words]
             # the first piece opens with the blank that encoding has put there
@@ -296,8 +302,9 @@ class PieceTokens:
             del known[word]
 
     def forget(self) -> None:
-        """Empty the cache of words; the vocabulary stays."""
+        """Empty the caches of words; the vocabulary stays."""
         self.words.clear()
+        self.older.clear()
 
 
 def utf8(data: bytes) -> str:
@@ -339,23 +346,24 @@ def encoded(docs: DataFrame, model: str, digests: bool = False, id_col: str = "d
     def run(batches):
         coder = pieces_of(content.value)
         try:
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK_ROWS):
-                    block = batch.slice(at, BLOCK_ROWS)
-                    pairs = list(coder.encode_texts([t or "" for t in block.column(1).to_pylist()]))
-                    if digests:
-                        columns = [
-                            pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in pairs], pa.int64()),
-                            pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in pairs], pa.string()),
-                            pa.array([hashlib.sha256(shown.encode()).hexdigest() for _, shown in pairs], pa.string()),
-                        ]
-                    else:
-                        columns = [
-                            pa.array([[int(i) for i in ids.split(",") if i] for ids, _ in pairs], pa.list_(pa.int32())),
-                            pa.array([shown for _, shown in pairs], pa.string()),
-                        ]
-                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "ids", "decoded"]
-                    yield pa.RecordBatch.from_arrays([block.column(0), *columns], names=names)
+            with no_cycles():
+                for batch in batches:
+                    for at in range(0, batch.num_rows, BLOCK_ROWS):
+                        block = batch.slice(at, BLOCK_ROWS)
+                        pairs = list(coder.encode_texts([t or "" for t in block.column(1).to_pylist()]))
+                        if digests:
+                            columns = [
+                                pa.array([ids.count(",") + 1 if ids else 0 for ids, _ in pairs], pa.int64()),
+                                pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in pairs], pa.string()),
+                                pa.array([hashlib.sha256(shown.encode()).hexdigest() for _, shown in pairs], pa.string()),
+                            ]
+                        else:
+                            columns = [
+                                pa.array([[int(i) for i in ids.split(",") if i] for ids, _ in pairs], pa.list_(pa.int32())),
+                                pa.array([shown for _, shown in pairs], pa.string()),
+                            ]
+                        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "ids", "decoded"]
+                        yield pa.RecordBatch.from_arrays([block.column(0), *columns], names=names)
         finally:
             coder.forget()
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +29,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """For task code that makes many lasting objects but no reference cycles: they are not searched for cycles again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, str, list[Column]]:
     """``df`` stored with a number per row, the name of that column (none that ``df`` has) and the columns of ``df``."""
     name = "__row"

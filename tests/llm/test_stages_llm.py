@@ -1,5 +1,6 @@
 """The pipeline's stages on odd rows, and links of vectors that share an id."""
 
+import gc
 from collections import Counter
 
 import numpy as np
@@ -7,8 +8,9 @@ import pytest
 
 import corpus_pipeline
 from conftest import DATA
-from corpusloom.llm import bpe, embeddings
-from corpusloom.llm.queries import vocabulary
+from corpusloom.llm import bpe, embeddings, pieces
+from corpusloom.llm.queries import piece_model, vocabulary
+from corpusloom.llm.shared import no_cycles
 
 WIDE = "doc_id long, text string, lang string, source string, n_chars long, copies int, copy int, row int, __row int, `a.b` int"
 
@@ -70,3 +72,26 @@ def test_new_capitals_and_caches_that_end_with_the_task(spark):
         assert [int(i) for i in ids.split()] == library.encode(text, add_special_tokens=False).ids
     coder.forget()
     assert not (coder.fits or coder.chunks or coder.older or coder.sizes or coder.older_sizes)
+
+
+def test_words_of_an_earlier_generation_are_not_merged_again(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_WORDS", 2)
+    coder = pieces.pieces_of(open(piece_model(), "rb").read())
+    coder.forget()
+    asked, learn = [], coder.learn
+    monkeypatch.setattr(coder, "learn", lambda words: asked.append(set(words)) or learn(words))
+    first = list(coder.encode_texts(["erungchzu größe ononanti"]))
+    assert list(coder.encode_texts(["erungchzu größe ononanti"])) == first
+    assert len(asked[0]) == 3 and not asked[1]
+    coder.forget()
+    assert not (coder.words or coder.older)
+
+
+def test_encoding_does_not_look_for_cycles(spark):
+    def seen(batches):
+        with no_cycles():
+            yield from batches
+            assert not gc.isenabled()
+        assert gc.isenabled()
+
+    assert spark.range(10).mapInArrow(seen, "id long").count() == 10
