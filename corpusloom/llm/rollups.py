@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bpe import BLOCK_ROWS, words_of
-from corpusloom.llm.shared import WORD
+from corpusloom.llm.shared import WORD, no_cycles
 from corpusloom.sources.writers import latest_version
 
 KEYS = ("source", "lang", "version")
@@ -35,12 +35,13 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, version: str =
     def run(batches):
         coder = words_of(spec.value)
         try:
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK_ROWS):
-                    block = batch.slice(at, BLOCK_ROWS)
-                    counts = coder.count_texts([t or "" for t in block.column(3).to_pylist()])
-                    columns = [*block.columns[:3], pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "lang", "version", "tokens"])
+            with no_cycles():
+                for batch in batches:
+                    for at in range(0, batch.num_rows, BLOCK_ROWS):
+                        block = batch.slice(at, BLOCK_ROWS)
+                        counts = coder.count_texts([t or "" for t in block.column(3).to_pylist()])
+                        columns = [*block.columns[:3], pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "lang", "version", "tokens"])
         finally:
             coder.forget()
 
