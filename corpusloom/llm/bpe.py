@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from corpusloom.llm.shared import no_cycles
+
 #: Distinct chunks (in each of two generations) and token pairs that a task keeps between its blocks; more are worked out again.
 KEPT_CHUNKS, KEPT_PAIRS, BLOCK_ROWS = 110_000, 300_000, 512
 #: The same where only counts are wanted: a number takes less room than ids and tokens.
@@ -54,6 +56,8 @@ CAPITAL_RANGES = [[int(x, 16) for x in r.split("-")] for r in NEW_CAPITALS.split
 LOWER = {c: low + c - first for first, last, low in CAPITAL_RANGES for c in range(first, last + 1)}
 HAS_NEW_CAPITAL = re.compile("[" + "".join(map(chr, LOWER)) + "]")
 
+OLD_LETTERS = "\u0250"  # below it every version of Unicode knows the same letters
+
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 CODES = "doc_id long, ids array<int>, decoded string"
 
@@ -76,12 +80,14 @@ class WordTokens:
         self.halves = {a + b: (a, b) for a, b in reversed(self.ranks)}  # the two parts that a token is made of
         self.rank_of = {t: self.ranks[p] for t, p in self.halves.items()}
         self.one_way = len(self.halves) == len(self.ranks)  # no token is made in two ways
-        self.longest = max(map(len, self.ids))
+        self.inner, self.last = self.lengths_by_ending(False), self.lengths_by_ending(True)
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.stops = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECES.replace("NEW", NEW_CLASS), regex.V1)
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.numbers = {t: str(i) for t, i in self.ids.items()}
+        self.follows: dict[str, dict[str, bool]] = {t: {} for t in self.ids}  # by token, then by the token before it
+        self.pairs = 0
         self.chunks: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
         self.sizes: dict[str, int] = {}
@@ -89,8 +95,20 @@ class WordTokens:
 
     def forget(self) -> None:
         """Empty all caches; the vocabulary stays."""
-        for known in (self.fits, self.chunks, self.older, self.sizes, self.older_sizes):
+        for known in (self.chunks, self.older, self.sizes, self.older_sizes):
             known.clear()
+        self.forget_pairs()
+
+    @property
+    def fits(self) -> dict[str, dict[str, bool]]:
+        """The pairs of tokens that are held."""
+        return {token: before for token, before in self.follows.items() if before}
+
+    def forget_pairs(self) -> None:
+        for before in self.follows.values():
+            if before:
+                before.clear()
+        self.pairs = 0
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain merging of a few symbols: the lowest rank first, from the left."""
@@ -118,11 +136,12 @@ class WordTokens:
         Their merges are undone from the last one on. If by then the two signs at the border have a merge
         that comes before the one undone (of equal ranks the left one comes first), they would not have stayed apart.
         """
-        if len(self.fits) >= KEPT_PAIRS:
-            self.fits.clear()
+        if self.pairs >= KEPT_PAIRS:
+            self.forget_pairs()
+        self.pairs += 1
         if not before or not self.one_way:
             tokens = self.merged([*self.symbols(before), *self.symbols(token)])
-            known = self.fits[before, token] = tokens == ([before, token] if before else [token])
+            known = self.follows[token][before] = tokens == ([before, token] if before else [token])
             return known
         ranks, rank_of, halves = self.ranks, self.rank_of, self.halves
         a, b, limit = before, token, len(ranks)
@@ -139,45 +158,66 @@ class WordTokens:
             else:
                 known = True
                 break
-        self.fits[before, token] = known
+        self.follows[token][before] = known
         return known
 
-    def last_token(self, word: str, length: int, last: list[str], end: str) -> str:
-        """The last token of the prefix of this length, from the states of all shorter ones."""
-        fits = self.fits
-        for start in range(max(0, length - self.longest), length):
-            token = word[start:length] + end
-            if token in self.ids:
-                known = fits.get((last[start], token))
-                if known or known is None and self.may_follow(last[start], token):
-                    return token
-        raise ValueError(f"the vocabulary has no token for {word[length - 1]!r}")
-
-    def encode_words(self, words: set[str]) -> dict[str, tuple[str, str]]:
-        """(ids, tokens) of each distinct word, joined by blanks; the words are given as byte letters."""
+    def lengths_by_ending(self, whole: bool) -> dict[str, tuple[int, ...]]:
+        """Lengths of the tokens with this ending (their last three letters, or all of a shorter one), the longest first.
+
+        ``whole`` takes the tokens that end a word, without their sign for it, otherwise the others.
+        """
+        cut, found = len(self.end), {}
+        for token in self.ids:
+            if token.endswith(self.end) == whole:
+                body = token[:-cut] if whole else token
+                found.setdefault(body[-3:], set()).add(len(body))
+        for ending in list(found):
+            for size in range(1, len(ending)):
+                found[ending] |= {size} & found.get(ending[-size:], set())
+        return {ending: tuple(sorted(sizes, reverse=True)) for ending, sizes in found.items()}
+
+    def encode_words(self, words: set[str], count: bool = False) -> dict[str, tuple[str, str]] | dict[str, int]:
+        """(ids, tokens) of each distinct word, joined by blanks, or the number of tokens; the words are given as byte letters."""
         out, path, last = {}, "", [""]
-        ids, step, whole, cut = self.ids, self.last_token, self.end, len(self.end)
+        told = [0] if count else [("", "")]  # what comes out for each prefix, a blank behind it
+        numbers, follows, may_follow, end = self.numbers, self.follows, self.may_follow, self.end
+        inner, whole = self.inner, self.last
         for word in sorted(words):
-            shared, body = 0, word[:-1]
+            shared, body, size_of_word = 0, word[:-1], len(word)
             if body.startswith(path):
                 shared = len(path)
             else:
                 while path[shared] == body[shared : shared + 1]:
                     shared += 1
-                del last[shared + 1 :]
-            for length in range(shared + 1, len(word)):
-                last.append(step(body, length, last, ""))
+                del last[shared + 1 :], told[shared + 1 :]
+            for length in range(shared + 1, size_of_word + 1):
+                sizes, sign = (inner, "") if length < size_of_word else (whole, end)
+                ending = word[length - 3 : length] if length > 3 else word[:length]
+                # of an ending that no token has, a shorter one
+                for size in sizes.get(ending) or sizes.get(ending[-2:]) or sizes.get(ending[-1:], ()):
+                    if size <= length:
+                        token = word[length - size : length] + sign
+                        fits = follows.get(token)
+                        if fits is not None:
+                            before = last[length - size]
+                            known = fits.get(before)
+                            if known or known is None and may_follow(before, token):
+                                break
+                else:
+                    raise ValueError(f"the vocabulary has no token for {word[length - 1]!r}")
+                so_far = told[length - size]
+                if length < size_of_word:
+                    last.append(token)
+                    told.append(so_far + 1 if count else (f"{so_far[0]}{numbers[token]} ", f"{so_far[1]}{token} "))
+                else:
+                    out[word] = so_far + 1 if count else (so_far[0] + numbers[token], so_far[1] + token)
             path = body
-            token = step(word, len(word), last, whole)
-            number, at = str(ids[token]), len(word) + cut - len(token)
-            while at:
-                part = last[at]
-                token, number, at = f"{part} {token}", f"{ids[part]} {number}", at - len(part)
-            out[word] = (number, token)
         return out
 
     def parts_of(self, chunk: str) -> list[str]:
         """The words of a chunk, as byte letters."""
+        if chunk.isalpha() and max(chunk) < OLD_LETTERS:
+            return [chunk.encode().decode("latin-1").translate(self.letters)]
         if HAS_NEW_CAPITAL.search(chunk):
             chunk = chunk.translate(LOWER)
         return [m.encode().decode("latin-1").translate(self.letters) for m in self.pieces.findall(chunk)]
@@ -186,20 +226,25 @@ class WordTokens:
         """Encode the chunks (text between blanks, lower case) that aren't known; those not met for long go."""
         if len(self.chunks) > KEPT_CHUNKS:
             self.older, self.chunks = self.chunks, {}
+        held, older = self.chunks, self.older
+        marked = {c: (c[:-1], c[-1]) for c in chunks.difference(held) if c not in older and word_and_sign(c)}
         new = []
-        for chunk in chunks.difference(self.chunks):
-            if chunk in self.older:
-                self.chunks[chunk] = self.older[chunk]
+        for chunk in chunks.difference(marked).union(*marked.values()).difference(held):
+            if chunk in older:
+                held[chunk] = older[chunk]
             else:
                 new.append(chunk)
         plain = {c for c in new if c.isascii() and c.isalpha()}
         parts = {c: self.parts_of(c) for c in new if c not in plain}
         tokens = self.encode_words(plain.union(*parts.values()))
         for chunk in plain:
-            self.chunks[chunk] = tokens[chunk]
+            held[chunk] = tokens[chunk]
         for chunk, words in parts.items():
             both = [tokens[w] for w in words]
-            self.chunks[chunk] = (" ".join([i for i, _ in both]), " ".join([t for _, t in both]))
+            held[chunk] = (" ".join([i for i, _ in both]), " ".join([t for _, t in both]))
+        for chunk, (word, sign) in marked.items():
+            (ids, text), (sign_ids, sign_text) = held[word], held[sign]
+            held[chunk] = (f"{ids} {sign_ids}", f"{text} {sign_text}")
 
     def split(self, text: str) -> list[tuple[bool, list[str]]]:
         """(special, chunks) runs of a text: special tokens stand by themselves, the rest is normalised."""
@@ -233,14 +278,21 @@ class WordTokens:
         for chunk in met.difference(self.sizes):
             if chunk in self.older_sizes:
                 self.sizes[chunk] = self.older_sizes[chunk]
+            elif word_and_sign(chunk):
+                new[chunk] = [*self.parts_of(chunk[:-1]), chunk[-1]]
             else:
                 new[chunk] = [chunk] if chunk.isascii() and chunk.isalpha() else self.parts_of(chunk)
-        words = {w: ids.count(" ") + 1 for w, (ids, _) in self.encode_words(set().union(*new.values())).items()}
+        words = self.encode_words(set().union(*new.values()), count=True)
         for chunk, parts in new.items():
             self.sizes[chunk] = sum(map(words.__getitem__, parts))
         return [sum(len(chunks) if special else sum(map(self.sizes.__getitem__, chunks)) for special, chunks in runs) for runs in split]
 
 
+def word_and_sign(chunk: str) -> bool:
+    """Whether a chunk is a word of old letters and one sign of ASCII behind it, which the pattern parts so."""
+    return "!" <= chunk[-1:] <= "~" and not chunk[-1].isalpha() and chunk[:-1].isalpha() and max(chunk[:-1]) < OLD_LETTERS
+
+
 def lowered(text: str) -> str:
     """Lower case letter by letter: a final sigma is not treated apart. Capitals that Python does not know follow in the chunks."""
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
@@ -265,23 +317,24 @@ def encoded(docs: DataFrame, vocabulary: str, digests: bool = False, id_col: str
     def run(batches):
         coder = words_of(spec.value)
         try:
-            for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK_ROWS):
-                    block = batch.slice(at, BLOCK_ROWS)
-                    pairs = list(coder.encode_texts([t or "" for t in block.column(1).to_pylist()]))
-                    if digests:
-                        columns = [
-                            pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in pairs], pa.int64()),
-                            pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in pairs], pa.string()),
-                            pa.array([hashlib.sha256(text.encode()).hexdigest() for _, text in pairs], pa.string()),
-                        ]
-                    else:
-                        columns = [
-                            pa.array([[int(i) for i in ids.split()] for ids, _ in pairs], pa.list_(pa.int32())),
-                            pa.array([text for _, text in pairs], pa.string()),
-                        ]
-                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "ids", "decoded"]
-                    yield pa.RecordBatch.from_arrays([block.column(0), *columns], names=names)
+            with no_cycles():
+                for batch in batches:
+                    for at in range(0, batch.num_rows, BLOCK_ROWS):
+                        block = batch.slice(at, BLOCK_ROWS)
+                        pairs = list(coder.encode_texts([t or "" for t in block.column(1).to_pylist()]))
+                        if digests:
+                            columns = [
+                                pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in pairs], pa.int64()),
+                                pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in pairs], pa.string()),
+                                pa.array([hashlib.sha256(text.encode()).hexdigest() for _, text in pairs], pa.string()),
+                            ]
+                        else:
+                            columns = [
+                                pa.array([[int(i) for i in ids.split()] for ids, _ in pairs], pa.list_(pa.int32())),
+                                pa.array([text for _, text in pairs], pa.string()),
+                            ]
+                        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "ids", "decoded"]
+                        yield pa.RecordBatch.from_arrays([block.column(0), *columns], names=names)
         finally:
             coder.forget()  # an idle worker holds nothing but the vocabulary
 

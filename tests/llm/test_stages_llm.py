@@ -74,6 +74,21 @@ def test_new_capitals_and_caches_that_end_with_the_task(spark):
     assert not (coder.fits or coder.chunks or coder.older or coder.sizes or coder.older_sizes)
 
 
+def test_a_word_with_a_sign_behind_it_is_not_walked_again(monkeypatch):
+    coder = bpe.words_of(open(vocabulary(), encoding="utf-8").read())
+    coder.forget()
+    asked, walk = [], coder.encode_words
+    monkeypatch.setattr(coder, "encode_words", lambda words, **how: asked.append(set(words)) or walk(words, **how))
+    words = ["erungchzu", "größe", "ononanti"]
+    alone = list(coder.encode_texts(words))
+    with_signs = list(coder.encode_texts([w + s for w in words for s in ".,1"]))
+    assert asked[1] == {".", ",", "1"}
+    signs = list(coder.encode_texts([".", ",", "1"]))
+    assert with_signs == [(f"{a[0]} {s[0]}", f"{a[1]} {s[1]}") for a in alone for s in signs]
+    assert coder.count_texts([w + s for w in words for s in ".,1"]) == [a[0].count(" ") + 2 for a in alone for _ in signs]
+    coder.forget()
+
+
 def test_words_of_an_earlier_generation_are_not_merged_again(monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_WORDS", 2)
     coder = pieces.pieces_of(open(piece_model(), "rb").read())
