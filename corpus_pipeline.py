@@ -62,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, decoded) of every row of the mix: token ids and decoded text of its whole text, none for a null text."""
     let_workers_import(spark)
-    return bpe.encoded(docs, vocabulary())
+    return bpe.encoded(docs, vocabulary(), kept=bpe.KEPT_BESIDE_STAGES)
 
 
 STAGES = [

@@ -16,14 +16,20 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.shared import no_cycles
+from corpusloom.llm.shared import give_back, no_cycles
 
 #: Distinct chunks (in each of two generations) and token pairs that a task keeps between its blocks; more are worked out again.
 KEPT_CHUNKS, KEPT_PAIRS, BLOCK_ROWS = 110_000, 300_000, 512
+#: Chunks kept by a worker of an executor whose heap is already full of earlier stages.
+KEPT_BESIDE_STAGES = 40_000
+#: Bytes of text at which a block ends before it has that many rows.
+BLOCK_BYTES = 1 << 20
 #: The same where only counts are wanted: a number takes less room than ids and tokens.
 KEPT_COUNTS = 250_000
 
@@ -87,7 +93,7 @@ class WordTokens:
         self.pieces = regex.compile(PIECES.replace("NEW", NEW_CLASS), regex.V1)
         self.numbers = {t: str(i) for t, i in self.ids.items()}
         self.follows: dict[str, dict[str, bool]] = {t: {} for t in self.ids}  # by token, then by the token before it
-        self.pairs = 0
+        self.pairs, self.kept = 0, KEPT_CHUNKS
         self.chunks: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
         self.sizes: dict[str, int] = {}
@@ -224,7 +230,7 @@ class WordTokens:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks (text between blanks, lower case) that aren't known; those not met for long go."""
-        if len(self.chunks) > KEPT_CHUNKS:
+        if len(self.chunks) > self.kept:
             self.older, self.chunks = self.chunks, {}
         held, older = self.chunks, self.older
         marked = {c: (c[:-1], c[-1]) for c in chunks.difference(held) if c not in older and word_and_sign(c)}
@@ -298,29 +304,48 @@ def lowered(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
+def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of (id, text) in runs of at most ``BLOCK_ROWS`` rows, which end once they hold ``BLOCK_BYTES`` of text."""
+    first = held = 0
+    for behind, size in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 1):
+        held += size
+        if held >= BLOCK_BYTES or behind - first == BLOCK_ROWS or behind == batch.num_rows:
+            yield batch.slice(first, behind - first)
+            first, held = behind, 0
+
+
+def id_lists(rows: list[str]) -> pa.ListArray:
+    """The ids of every row, given joined by blanks, as one flat array: no number is a Python object."""
+    numbers = [np.zeros(0, dtype=np.int32), *(np.fromstring(ids, dtype=np.int32, sep=" ") for ids in rows)]
+    ends = np.cumsum([*map(len, numbers)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(numbers)))
+
+
 @lru_cache(maxsize=2)
 def words_of(spec: str) -> WordTokens:
     return WordTokens(json.loads(spec))
 
 
-def encoded(docs: DataFrame, vocabulary: str, digests: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str, digests: bool = False, id_col: str = "doc_id", text: str = "text", kept: int = KEPT_CHUNKS) -> DataFrame:
     """Token ids and decoded text of every row: (doc_id, ids, decoded), or counts and digests of them.
 
     ``vocabulary`` is a path of a tokenizer file (BPE over byte letters with an end-of-word suffix);
     its content is broadcast. Nothing is shuffled: each task walks the trie of its own blocks of
-    ``BLOCK_ROWS`` rows. A null text counts as empty and gives no ids; repeated rows give repeated
-    results; other columns are left out, whatever their names; an empty table gives an empty one.
+    ``BLOCK_ROWS`` rows or ``BLOCK_BYTES`` of text. A null text counts as empty and gives no ids; repeated rows give repeated
+    results; other columns are left out, whatever their names; an empty table gives an empty one. ``kept`` bounds
+    the cache of a task (in each of two generations), which changes its time and memory, not its results.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
+        give_back()  # what earlier stages left in this worker
         coder = words_of(spec.value)
+        coder.kept = kept
         try:
             with no_cycles():
                 for batch in batches:
-                    for at in range(0, batch.num_rows, BLOCK_ROWS):
-                        block = batch.slice(at, BLOCK_ROWS)
+                    for block in blocks(batch):
                         pairs = list(coder.encode_texts([t or "" for t in block.column(1).to_pylist()]))
                         if digests:
                             columns = [
@@ -329,14 +354,13 @@ def encoded(docs: DataFrame, vocabulary: str, digests: bool = False, id_col: str
                                 pa.array([hashlib.sha256(text.encode()).hexdigest() for _, text in pairs], pa.string()),
                             ]
                         else:
-                            columns = [
-                                pa.array([[int(i) for i in ids.split()] for ids, _ in pairs], pa.list_(pa.int32())),
-                                pa.array([text for _, text in pairs], pa.string()),
-                            ]
+                            columns = [id_lists([ids for ids, _ in pairs]), pa.array([text for _, text in pairs], pa.string())]
                         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "ids", "decoded"]
                         yield pa.RecordBatch.from_arrays([block.column(0), *columns], names=names)
+                        del pairs, columns
         finally:
             coder.forget()  # an idle worker holds nothing but the vocabulary
+            give_back()
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text}` text").mapInArrow(run, DIGESTS if digests else CODES)
 

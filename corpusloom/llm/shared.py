@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,12 @@ def no_cycles() -> Iterator[None]:
             gc.enable()
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: it stays alive between tasks, beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, str, list[Column]]:
     """``df`` stored with a number per row, the name of that column (none that ``df`` has) and the columns of ``df``."""
     name = "__row"

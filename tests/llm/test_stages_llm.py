@@ -4,6 +4,7 @@ import gc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -110,3 +111,14 @@ def test_encoding_does_not_look_for_cycles(spark):
         assert gc.isenabled()
 
     assert spark.range(10).mapInArrow(seen, "id long").count() == 10
+
+
+def test_encoding_blocks_end_by_size_and_caches_are_bounded(spark, monkeypatch):
+    batch = pa.record_batch({"doc_id": range(5), "text": ["a" * bpe.BLOCK_BYTES, None, "b", "c" * bpe.BLOCK_BYTES, "d"]})
+    assert [b.column(0).to_pylist() for b in bpe.blocks(batch)] == [[0], [1, 2, 3], [4]]
+    assert [b.num_rows for b in bpe.blocks(pa.record_batch({"doc_id": range(1025), "text": ["x"] * 1025}))] == [512, 512, 1]
+    assert not list(bpe.blocks(batch.slice(5)))
+    assert bpe.id_lists(["1 48000", "", "7"]).to_pylist() == [[1, 48000], [], [7]] and not len(bpe.id_lists([]))
+    docs = spark.createDataFrame([(i, f"word{i} größe ononanti{i % 3}.") for i in range(700)] + [(700, None)], "doc_id long, text string").coalesce(1)
+    whole = sorted(map(tuple, bpe.encoded(docs, vocabulary()).collect()))
+    assert sorted(map(tuple, bpe.encoded(docs, vocabulary(), kept=1).collect())) == whole
