@@ -54,6 +54,18 @@ def size_by_rows(spark: SparkSession) -> None:
         spark.conf.set(name, str(float(FILE_GROWTH)))
 
 
+# Bytes of rows that a Python worker is given at a time; it holds several copies of them in other forms.
+BATCH_BYTES = 4 << 20
+
+
+def batch_by_bytes(spark: SparkSession) -> None:
+    """Have Spark end a batch for a Python worker by its bytes as well: 10,000 rows are little of numbers and much of whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(spark.conf.get(name).removesuffix("b"))
+    if held <= 0 or held > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: later steps start from its files and know its size."""
     size_by_rows(df.sparkSession)

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import size_by_rows, written
+from corpusloom.session import batch_by_bytes, size_by_rows, written
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -88,6 +88,7 @@ class Tables:
         self._open: dict[str, DataFrame] = {}
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         size_by_rows(spark)
+        batch_by_bytes(spark)
         let_workers_import(spark)
 
     @property

@@ -882,3 +882,22 @@ def test_tables_of_which_a_row_makes_many_are_dealt_by_rows(spark, tables):
 
     part = Tables(spark, tables.folder, spread_out=True, rows=5).part
     assert part.rdd.getNumPartitions() >= part.count() / 5 > spark.sparkContext.defaultParallelism
+
+
+def test_python_workers_are_given_texts_by_bytes(spark):
+    import pyarrow as pa
+
+    from conftest import DATA
+    from corpusloom.session import BATCH_BYTES
+    from corpusloom.tables import Tables
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, "67108864")
+    Tables(spark, DATA)
+    docs = spark.range(4000).selectExpr("id", "repeat('text ', 1000) text").coalesce(1)
+    sizes = [r[0] for r in docs.mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    assert len(sizes) >= 4 and max(sizes) < 2 * BATCH_BYTES
+    spark.conf.set(name, "1000")  # a smaller bound of the session stays
+    Tables(spark, DATA)
+    assert spark.conf.get(name).removesuffix("b") == "1000"
+    spark.conf.unset(name)
