@@ -6,6 +6,8 @@ replaces its own output and nothing else.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +23,7 @@ from corpusloom.operators.similarity import cache_lookup
 from corpusloom.session import written
 from corpusloom.sources.writers import latest_version
 from corpusloom.streaming.keys import KeyStore
+from corpusloom.tables import by_key
 
 
 def _batch_folder(path: str, batch_id: int) -> str:
@@ -51,6 +54,16 @@ def _start(stream: DataFrame, handle, checkpoint: str, once: bool) -> StreamingQ
 CLEAN_SCHEMA = "doc_id long, content string, content_hash string"
 
 
+#: Bytes of text that a task is dealt.
+TASK_BYTES = 64 << 20
+
+
+def tasks_for_texts(rows: DataFrame, col: str) -> int:
+    """Tasks over which texts are dealt: the session's number, or more, so that none is dealt over ``TASK_BYTES`` however large the batch is."""
+    total = rows.agg(F.sum(F.octet_length(col))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_BYTES))
+
+
 def clean_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     """Unseen documents of a batch: first per hash, not stored by an earlier batch, long enough.
 
@@ -59,10 +72,16 @@ def clean_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     content, as their hash counts as seen.
     """
     store = seen_hashes(batch.sparkSession, path)
-    hashed = written(first_per_key(with_hash(batch.select("doc_id", F.col("text").alias("content"))), ["content_hash"], ["doc_id"]))
-    keys = hashed.select(F.col("content_hash").alias("key"))
+    rows = with_hash(batch.select("doc_id", F.col("text").alias("content"))).withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows.select("row", "doc_id", "content", "content_hash"))
+    # Hashes are sorted out by themselves; a text is moved once, to be met by the number of its row.
+    first = written(rows.groupBy("content_hash").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("content_hash", "first.row"))
+    keys = first.select(F.col("content_hash").alias("key"))
     seen = store.held(keys, before=batch_id).withColumnRenamed("key", "content_hash")
-    fresh = hashed.join(seen, "content_hash", "left_anti").withColumn("content", X.normalize_text(F.col("content")))
+    fresh = first.join(seen, "content_hash", "left_anti").select("row")
+    parts = tasks_for_texts(rows, "content")
+    fresh = rows.repartition(parts, "row").join(by_key(fresh.repartition(parts, "row")), "row", "left_semi")
+    fresh = fresh.withColumn("content", X.normalize_text(F.col("content")))
     short = F.length("content") < C.MIN_CONTENT_CHARS
     kept = fresh.withColumn("content", F.when(short, F.lit(None)).otherwise(F.col("content")))
     kept.select("doc_id", "content", "content_hash").write.mode("overwrite").parquet(_batch_folder(path, batch_id))

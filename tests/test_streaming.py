@@ -186,3 +186,13 @@ def test_incremental_cache(spark, tables, tmp_path):
     assert sorted(r.entry_id for r in last.collect()) == [1, 3, 4]
     hits = spark.read.parquet(f"{path}/lookups").filter("hit").orderBy("query_id").collect()
     assert [(r.query_id, r.entry_id) for r in hits] == [(5, 1), (6, 3)]
+
+
+def test_texts_of_a_batch_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "TASK_BYTES", 4000)
+    docs = spark.range(400).selectExpr("id doc_id", "repeat(concat('word', id % 300, ' '), 60) text")
+    path = str(tmp_path / "out")
+    I.clean_batch(docs, 0, path)
+    kept = I.read_batches(spark, path, I.CLEAN_SCHEMA)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))  # of equal texts the first
+    assert kept.select(F.input_file_name()).distinct().count() > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
