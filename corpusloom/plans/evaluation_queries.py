@@ -9,7 +9,7 @@ from corpusloom.functions import text as X
 from corpusloom.functions.jsonfix import salvage_json
 from corpusloom.operators import evaluation, filtering, models, ranking, reports
 from corpusloom.plans.catalog import d_round, d_strip, query
-from corpusloom.tables import by_key, spread
+from corpusloom.tables import by_key, dealt_by, spread
 
 CONFIGS = ["S4-LLM", "S4-VEC", "S4-GRF", "S4-HYB", "G4-LLM", "G4-VEC", "G4-GRF", "G4-HYB"]
 
@@ -71,7 +71,9 @@ FROM (SELECT *, coalesce(answer = '', true) OR error IS NOT NULL AS empty, len(l
 
 def _judged(t):
     gold = t.gold.select("question_id", "key_facts", "hallucination_traps", "min_acceptable_facts")
-    return t.dealt.runs.join(by_key(gold), "question_id").withColumn("parsed_ok", F.col("k") % 19 != 0)
+    asked = t.questions.count()
+    runs = dealt_by(t.dealt.runs, asked, "question_id")
+    return runs.join(by_key(dealt_by(gold, asked, "question_id")), "question_id").withColumn("parsed_ok", F.col("k") % 19 != 0)
 
 
 def _scores(t):
@@ -178,7 +180,8 @@ def a26(t):
 @query("W03_last_run", """
 SELECT question_id, config, attempt, tokens_in FROM (SELECT *, row_number() OVER (PARTITION BY question_id, config ORDER BY attempt DESC) AS r FROM runs) WHERE r = 1""", ["runs"])
 def w03(t):
-    return ranking.keep_last(t.dealt.runs, ["question_id", "config"], ["attempt"]).select("question_id", "config", "attempt", "tokens_in")
+    runs = dealt_by(t.dealt.runs.select("question_id", "config", "attempt", "tokens_in"), t.questions.count(), "question_id")
+    return ranking.keep_last(runs, ["question_id", "config"], ["attempt"]).select("question_id", "config", "attempt", "tokens_in")
 
 
 # ---------------------------------------------------------------- model replies

@@ -62,6 +62,12 @@ def beside(df: DataFrame, limit: int = SHARED_ROWS) -> DataFrame:
     return F.broadcast(small) if fits_in_rows(small, limit) else by_key(small)
 
 
+def dealt_by(df: DataFrame, keys: int, *cols: str) -> DataFrame:
+    """``df`` dealt by columns over the session's number of tasks, or more, so that none has over ``DEALT_ROWS`` of the ``keys`` different values."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, math.ceil(keys / DEALT_ROWS)), *cols)
+
+
 def let_workers_import(spark: SparkSession) -> None:
     """Put the folder of this package on the Python path of the workers, where it exists there.
 

@@ -901,3 +901,17 @@ def test_python_workers_are_given_texts_by_bytes(spark):
     Tables(spark, DATA)
     assert spark.conf.get(name).removesuffix("b") == "1000"
     spark.conf.unset(name)
+
+
+def test_scores_and_last_runs_are_dealt_by_questions(spark, tables, monkeypatch):
+    from corpusloom import tables as T
+    from corpusloom.plans import evaluation_queries as E
+
+    monkeypatch.setattr(T, "DEALT_ROWS", 4)
+    asked = tables.questions.count()
+    wanted = -(-asked // 4)
+    assert wanted > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for made in (E.w03(tables), E._scores(tables)):
+        tasks = made.select("question_id", F.spark_partition_id().alias("task")).groupBy("task").agg(F.count_distinct("question_id").alias("n")).collect()
+        assert len(tasks) > wanted // 2 and sum(r.n for r in tasks) == asked  # a question is in one task
+        assert max(r.n for r in tasks) < 20
