@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import components, forest, stored
+from corpusloom.tables import by_key
 
 #: Blocks of a fingerprint; keys of a table join more rows than this in tiles, of this many rows each.
 BLOCKS, CROWD, TILE = 7, 64, 1024
@@ -58,17 +59,19 @@ def links(prints: DataFrame, distance: int = 4, blocks: int = BLOCKS) -> DataFra
     pair meets in one of them. A key with few fingerprints meets in a join. A crowded key is dealt
     over tiles of about ``TILE`` rows; every two tiles meet in one small group that hands on a
     spanning forest, not the pairs. Both ways are exact, and no group grows with the crowd.
+
+    Keys are dealt, never sent whole: Spark takes them for as large as the fingerprints that they are made of.
     """
     if blocks <= distance:
         raise ValueError("more blocks than differing bits are needed")
     table = F.array(*[F.struct(F.lit(i).alias("t"), F.col("f").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks(blocks, distance))])
     keyed = prints.select(F.col("fingerprint").alias("f")).distinct().select("f", F.explode(table).alias("x")).select("f", "x.t", "x.k")
     sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = keyed.join(sizes, ["t", "k"])
+    met = keyed.join(by_key(sizes), ["t", "k"])
 
     few = met.filter(F.col("n") <= CROWD).drop("n")
     other = few.withColumnRenamed("f", "g")
-    close = few.join(other, ["t", "k"]).filter((F.col("f") < F.col("g")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= distance))
+    close = few.join(by_key(other), ["t", "k"]).filter((F.col("f") < F.col("g")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= distance))
     close = close.select(F.col("f").alias("a"), F.col("g").alias("b"))
 
     crowd = met.filter(F.col("n") > CROWD).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))

@@ -298,6 +298,13 @@ def test_crowded_keys_link_like_all_pairs(spark, blocks, monkeypatch):
     assert brute_components(values, [tuple(e) for e in edges]) == brute_components(values, near)
 
 
+def test_keys_of_fingerprints_are_dealt(spark):
+    """Of few bytes of fingerprints come many keys: neither side of their joins is sent whole."""
+    prints = shared.stored(spark.range(2000).select(shared.F.xxhash64("id").alias("fingerprint")))
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # 8 quality
 
 
