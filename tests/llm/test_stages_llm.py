@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from conftest import DATA
-from corpusloom.llm import bpe, embeddings, pieces
+from corpusloom.llm import bpe, embeddings, pieces, shared, simhash
 from corpusloom.llm.queries import piece_model, vocabulary
 from corpusloom.llm.shared import no_cycles
 
@@ -34,6 +34,18 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, wide):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(5, story(1)), (2, story(2)), (5, story(3)), (None, story(4)), (1, story(5)), (7, None)])
 
 
+def test_near_dedup_deals_the_keys_of_fingerprints(spark, wide, monkeypatch):
+    plans = []
+
+    def components(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return shared.components(edges)
+
+    monkeypatch.setattr(simhash, "components", components)
+    corpus_pipeline.near_dedup(spark, wide, DATA)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_mixing_keeps_every_column(spark, wide):
     out = corpus_pipeline.mix_sources(spark, wide, DATA)
     assert out.columns == wide.columns and out.schema == wide.schema
