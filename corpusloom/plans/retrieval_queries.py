@@ -13,7 +13,7 @@ from corpusloom.plans.catalog import d_quote, query
 from corpusloom.plans.retrieve import RetrievalConfig, Stores, question_paths, retrieve
 from corpusloom.plans.text_queries import d_valid_alias
 from corpusloom.session import written
-from corpusloom.tables import by_key
+from corpusloom.tables import by_key, in_shares
 
 # ---------------------------------------------------------------- aliases
 
@@ -498,9 +498,14 @@ SELECT question_id, md5(body) AS digest, used AS tokens, taken, n AS offered FRO
 
 @query("W08_packed_passages", _PACKED, ["questions"])
 def w08(t):
-    packed = context.pack_passages(_reranked(t).join(_texts(t), "item_id"))
-    return packed.select("question_id", F.md5(F.col("text_context").cast("binary")).alias("digest"), "tokens", "taken",
-                         F.col("offered").cast("long").alias("offered"))
+    placed, texts = written(_reranked(t)), _texts(t)
+
+    def digests(cut):
+        packed = context.pack_passages(cut(placed).join(texts, "item_id"))
+        return packed.select("question_id", F.md5(F.col("text_context").cast("binary")).alias("digest"), "tokens", "taken",
+                             F.col("offered").cast("long").alias("offered"))
+
+    return in_shares(t.spark, "question_id", context.text_shares(placed, texts), digests)
 
 
 _LINES = f"""
@@ -599,5 +604,3 @@ def d08(t):
     result = retrieve(asked, stores, RetrievalConfig())
     return result.select("question_id", "query_type", "graph_tokens", "text_tokens", "total_tokens",
                          F.md5(F.col("full_context").cast("binary")).alias("digest"))
-
-

@@ -6,11 +6,12 @@ import hashlib
 import math
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import batch_by_bytes, size_by_rows, written
+from corpusloom.session import batch_by_bytes, shared_folder, shuffles_dropped, size_by_rows, written
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -68,6 +69,20 @@ def dealt_by(df: DataFrame, keys: int, *cols: str) -> DataFrame:
     return df.repartition(max(wanted, math.ceil(keys / DEALT_ROWS)), *cols)
 
 
+def in_shares(spark: SparkSession, key: str, shares: int, make: Callable[[Callable[[DataFrame], DataFrame]], DataFrame]) -> DataFrame:
+    """What ``make`` returns for each share of the keys, one after the other, as one written table.
+
+    ``make`` is given the function that cuts a table with the column ``key`` to the share. For results that bring large
+    rows to many keys: a share's shuffles go before the next one begins, so the disk holds those of one share.
+    """
+    path = f"{shared_folder(spark)}/shares-{uuid.uuid4().hex}"
+    for share in range(shares):
+        part = make(lambda df, share=share: df.filter(F.pmod(F.xxhash64(key), F.lit(shares)) == share))
+        with shuffles_dropped(spark):
+            part.write.mode("append").parquet(path)
+    return spark.read.schema(part.schema).parquet(path)
+
+
 def let_workers_import(spark: SparkSession) -> None:
     """Put the folder of this package on the Python path of the workers, where it exists there.
 

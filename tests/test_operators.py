@@ -1,8 +1,10 @@
 """Hand-made cases and invariants of operators that SQL cannot check as a whole."""
 
 import json
+import math
 import random
 import re
+import time
 from datetime import datetime, timezone
 
 import numpy as np
@@ -19,6 +21,7 @@ from corpusloom.operators import aliases, chunking, context, conversations, eval
 from corpusloom.sources import readers, writers
 from corpusloom.sources.parted import PartedTable
 from corpusloom.streaming.sessions import fold_session
+from corpusloom.tables import in_shares
 
 
 def one(df):
@@ -930,3 +933,50 @@ def test_tasks_of_the_sign_codes_stay_even_with_many_slots(tables, monkeypatch):
     similarity.vector_topk_approx(tables.cache_lookups, tables.embeddings, 8, item_id="vec_id", rows_per_task=few, query_rows=most)
     asked, held = (one(sizes.agg(F.max("count"))) for sizes in met)
     assert held <= 2 * few and asked <= 2 * most
+
+
+def _shuffle_files(spark):
+    """Files of shuffles that this session's disk holds."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_shares_leave_no_shuffle(spark):
+    """A table made in shares, of rows that each share deals, holds all keys, null too; files of shuffles go with the share that made them."""
+    rows = spark.range(1000).select(F.when(F.col("id") % 10 > 0, F.concat(F.lit("k"), F.col("id") % 100)).alias("k"), "id")
+    before = _shuffle_files(spark)
+    out = in_shares(spark, "k", 3, lambda cut: cut(rows).groupBy("k").agg(F.sum("id").alias("n")))
+    left = _shuffle_files(spark) - before
+    for _ in range(50):  # Spark removes them in the background
+        left = left and _shuffle_files(spark) & left
+        if left:
+            time.sleep(0.2)
+    assert not left
+    assert sorted(map(tuple, out.fillna("none").collect())) == sorted(map(tuple, rows.groupBy("k").agg(F.sum("id")).fillna("none").collect()))
+
+
+def test_passages_are_packed_in_shares(spark, tables, monkeypatch):
+    """Digests of all contexts are the same in one share and in many; texts are brought to no more questions at a time than fill a share."""
+    from corpusloom.plans import retrieval_queries
+
+    shares = []
+
+    def counted(spark, key, n, make):
+        shares.append(n)
+        return in_shares(spark, key, n, make)
+
+    monkeypatch.setattr(retrieval_queries, "in_shares", counted)
+    whole = retrieval_queries.w08(tables).collect()
+    monkeypatch.setattr(context, "SHARE_CHARS", 1)
+    parts = retrieval_queries.w08(tables)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole)) and shares[0] == 1 and shares[1] > 2
+
+
+def test_texts_are_counted_for_shares(spark, monkeypatch):
+    """As much text as the questions are shown, with what else comes, by as much as all texts have; ids twice, unknown or null."""
+    monkeypatch.setattr(context, "SHARE_CHARS", 10)
+    texts = spark.createDataFrame([(1, "x" * 30), (2, "y" * 10), (2, "z" * 10), (3, None), (None, "w" * 50)], "item_id long, full_text string")
+    found = spark.createDataFrame([("q", i) for i in [1] * 10 + [2] * 5 + [3, 4, None]], "question_id string, item_id long")
+    assert context.text_shares(found, texts) == 4 and context.text_shares(found, texts, more=100) == 5
+    assert context.text_shares(found, texts, budget=1) == math.ceil((10 * 8 + 5 * 2 * 8) / 100)
+    assert context.text_shares(found.limit(0), texts) == context.text_shares(found, texts.limit(0)) == 1
