@@ -601,6 +601,7 @@ def d08(t):
     stores = Stores(vectors=t.embeddings.select(F.col("vec_id").alias("item_id"), "embedding"), passages=passages,
                     nodes=t.kg_nodes, edges=t.kg_edges)
     asked = _with_vectors(t).select("question_id", "question", "entities", "embedding")
-    result = retrieve(asked, stores, RetrievalConfig())
-    return result.select("question_id", "query_type", "graph_tokens", "text_tokens", "total_tokens",
-                         F.md5(F.col("full_context").cast("binary")).alias("digest"))
+    return retrieve(asked, stores, RetrievalConfig(keep=lambda contexts: contexts.select(
+        "question_id", "query_type", "graph_tokens", "text_tokens", "total_tokens", F.md5(F.col("full_context").cast("binary")).alias("digest"))))
+
+

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from corpusloom import constants as C
 from corpusloom.functions import labels
 from corpusloom.operators import context, graph, paths, similarity
 from corpusloom.session import written
-from corpusloom.tables import beside, spread
+from corpusloom.tables import beside, in_shares, spread
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,8 @@ class RetrievalConfig:
     max_paths: int = 3
     graph_budget: int = C.GRAPH_BUDGET
     text_budget: int = C.TEXT_BUDGET
+    #: What a caller keeps of the contexts, who then has them made in shares of the questions.
+    keep: Callable[[DataFrame], DataFrame] | None = field(default=None, compare=False)
 
 
 @dataclass(frozen=True)
@@ -49,13 +52,14 @@ def enrich_text(matches: DataFrame, chunks: DataFrame, key: str, text: str = "te
     return joined.withColumn("full_text", F.coalesce(F.nullif(F.col(text), F.lit("")), F.col(preview))).drop(text)
 
 
-def _passages(questions: DataFrame, stores: Stores, config: RetrievalConfig) -> DataFrame:
+def _passages(questions: DataFrame, stores: Stores, config: RetrievalConfig) -> tuple[DataFrame, DataFrame]:
+    """The passages found for each question, with their places, and the texts that they are shown with."""
     top = similarity.vector_topk(questions, stores.vectors, config.top_k, query_id="question_id").withColumnRenamed("query_id", "question_id")
     texts = stores.passages
     if not config.use_full_text and "preview" in texts.columns:
         texts = texts.withColumn("full_text", F.col("preview"))
     placed = context.rerank_passages(top, texts, questions) if config.use_reranking else top.withColumn("place", F.col("rank"))
-    return placed.join(texts, "item_id")
+    return placed, texts
 
 
 def _relations(questions: DataFrame, stores: Stores, config: RetrievalConfig) -> tuple[DataFrame, DataFrame]:
@@ -92,21 +96,39 @@ def retrieve(questions: DataFrame, stores: Stores, config: RetrievalConfig = Ret
     """Context and token figures per question (question_id, question, entities, embedding).
 
     The configuration decides which branches the plan has. Work is shared across questions:
-    neighbourhoods per distinct entity, paths per distinct pair, one vector pass.
+    neighbourhoods per distinct entity, paths per distinct pair, one vector pass. Contexts are many times the
+    texts that they are made of. A caller who keeps only something of them (``config.keep``: rows of contexts to rows) has
+    them made in shares of the questions, after the shared work, so that no more than a share's are on disk.
     """
     typed = questions.withColumn("query_type", labels.classify_query(F.col("question")))
-    empty_texts = typed.select("question_id").limit(0).withColumn("text_context", F.lit(""))
-    empty_graphs = typed.select("question_id").limit(0).withColumn("graph_context", F.lit(""))
-    texts = empty_texts
+    hold = written if config.keep is not None else lambda df: df
+    placed = texts = lines = lists = blocks = None
     if config.use_vectors:
-        texts = context.pack_passages(_passages(typed, stores, config), config.text_budget)
-    graphs = empty_graphs
+        placed, texts = _passages(typed, stores, config)
+        placed = hold(placed)
     if config.use_graph:
-        blocks = None
         if config.use_paths:
             best = question_paths(typed, stores, config).filter(F.col("path_rank") == 1)
-            blocks = context.path_block(best.withColumnRenamed("source", "entity1").withColumnRenamed("target", "entity2"))
+            blocks = hold(context.path_block(best.withColumnRenamed("source", "entity1").withColumnRenamed("target", "entity2")))
         around, ranked = _relations(typed, stores, config)
         lines = context.pack_graph_context(ranked, None, config.graph_budget, key="entities", around=around)
-        graphs = context.shared_graph_text(lines, typed, blocks, config.graph_budget)
-    return context.assemble_context(typed, texts, graphs)
+        lists = context.line_lists(lines)
+
+    def contexts(cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        asked = cut(typed)
+        packed = asked.select("question_id").limit(0).withColumn("text_context", F.lit(""))
+        graphs = asked.select("question_id").limit(0).withColumn("graph_context", F.lit(""))
+        if placed is not None:
+            packed = context.pack_passages(cut(placed).join(texts, "item_id"), config.text_budget)
+        if lists is not None:
+            graphs = context.shared_graph_text(lines, asked, cut(blocks) if blocks is not None else None, config.graph_budget, lists=lists)
+        return context.assemble_context(asked, packed, graphs)
+
+    if config.keep is None:
+        return contexts(lambda df: df)
+    typed = written(typed.select("question_id", "query_type", "entities"))
+    shares = 1
+    if placed is not None:
+        graph_chars = typed.count() * config.graph_budget * C.CHARS_PER_TOKEN if lists is not None else 0
+        shares = context.text_shares(placed, texts, config.text_budget, more=graph_chars)
+    return in_shares(typed.sparkSession, "question_id", shares, lambda cut: config.keep(contexts(cut)))

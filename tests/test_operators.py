@@ -980,3 +980,28 @@ def test_texts_are_counted_for_shares(spark, monkeypatch):
     assert context.text_shares(found, texts) == 4 and context.text_shares(found, texts, more=100) == 5
     assert context.text_shares(found, texts, budget=1) == math.ceil((10 * 8 + 5 * 2 * 8) / 100)
     assert context.text_shares(found.limit(0), texts) == context.text_shares(found, texts.limit(0)) == 1
+
+
+def test_contexts_are_made_in_shares(spark, tables, monkeypatch):
+    """Retrieval for a caller who keeps digests makes the contexts in several shares, the same as all at once."""
+    from corpusloom.plans import retrieval_queries, retrieve
+
+    shares = []
+
+    def counted(spark, key, n, make):
+        shares.append(n)
+        return in_shares(spark, key, n, make)
+
+    monkeypatch.setattr(retrieve, "in_shares", counted)
+    monkeypatch.setattr(context, "SHARE_CHARS", 1 << 18)
+    parts = retrieval_queries.d08(tables)
+    whole = {}
+
+    def look(asked, stores, config):
+        whole["rows"] = config.keep(retrieve.retrieve(asked, stores, retrieve.RetrievalConfig()))
+        return whole["rows"]
+
+    monkeypatch.setattr(retrieval_queries, "retrieve", look)
+    retrieval_queries.d08(tables)
+    assert shares[0] > 1 and len(shares) == 1
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole["rows"].collect()))
