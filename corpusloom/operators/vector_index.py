@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ranking import top_per_key
-from corpusloom.operators.similarity import BLOCK_ROWS, _best, _output_type, _unit_rows
+from corpusloom.operators.similarity import _best, _output_type, _unit_rows
 from corpusloom.session import written
+from corpusloom.tables import beside
 
 #: Rows that the centres are fitted on at most (the first by a hash of their ids), and rounds of the fit.
 SAMPLE, ROUNDS = 16_384, 12
-#: Rows of a list that one task scores; longer lists are dealt over several.
-TASK_ROWS = 20_000
+#: Rows of a list that one task scores, and queries that it scores them for; longer lists, and more queries of a list, are dealt over several.
+TASK_ROWS, TASK_QUERIES = 20_000, 32_768
 
 
 def fit_centres(vectors: np.ndarray, lists: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -91,31 +92,45 @@ class VectorIndex:
 
         asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("query_vec")).filter(F.col("query_vec").isNotNull())
         kind = asked.schema["query_id"].dataType.simpleString()
-        return asked.mapInArrow(look, f"query_id {kind}, query_vec array<double>, lists array<int>").select("query_id", "query_vec", F.explode("lists").alias("list"))
+        found = written(asked.mapInArrow(look, f"query_id {kind}, query_vec array<double>, lists array<int>"))
+        return found.select("query_id", "query_vec", F.explode("lists").alias("list"))
 
-    def topk(self, queries: DataFrame, k: int = 8, probes: int = 8, query_id: str = "query_id", query_vec: str = "embedding", task_rows: int = TASK_ROWS) -> DataFrame:
+    def _met(self, asked: DataFrame, task_rows: int, task_queries: int) -> tuple[DataFrame, DataFrame]:
+        """The queries of ``_probed`` and the rows of the lists that they look at, each under the (list, salt, block) of the tasks where they meet.
+
+        A query goes to each salt of a list and a row to each block of its queries, so a task has about ``task_rows`` rows
+        and ``task_queries`` queries at most, however many look at one list.
+        """
+        sizes = self.spark.read.parquet(f"{self.path}/sizes")
+        visits = asked.groupBy("list").agg(F.count(F.lit(1)).alias("visits"))
+        counted = sizes.join(visits, "list").select(
+            "list", F.ceil(F.col("n") / task_rows).cast("int").alias("salts"), F.ceil(F.col("visits") / task_queries).cast("int").alias("blocks"))
+        counted = beside(counted)  # a row per list
+        left = asked.join(counted, "list").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        left = left.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(11)), F.col("blocks")).cast("int"))
+        right = self.spark.read.parquet(f"{self.path}/lists").join(counted, "list")
+        right = right.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.col("salts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keys = ["list", "salt", "block"]
+        return left.select("query_id", "query_vec", *keys), right.select("item_id", "item_vec", *keys)
+
+    def topk(self, queries: DataFrame, k: int = 8, probes: int = 8, query_id: str = "query_id", query_vec: str = "embedding", task_rows: int = TASK_ROWS,
+             task_queries: int = TASK_QUERIES) -> DataFrame:
         """(query_id, item_id, score, rank): the ``k`` best rows of the probed lists by exact cosine, ids breaking ties.
 
-        A list longer than ``task_rows`` is dealt over as many tasks as it needs, and its queries visit each; a task
-        multiplies blocks and hands on ``k`` rows per query.
+        A list longer than ``task_rows`` is dealt over as many tasks as it needs, and its queries visit each; more queries than
+        ``task_queries`` are dealt in blocks, each of which meets the list. A task multiplies tiles and hands on ``k`` rows per query.
         """
-        sizes = self.spark.read.parquet(f"{self.path}/sizes").withColumn("salts", F.ceil(F.col("n") / task_rows).cast("int")).select("list", "salts")
-        asked = self._probed(queries, probes, query_id, query_vec).join(sizes, "list").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        items = self.spark.read.parquet(f"{self.path}/lists").join(sizes, "list").withColumn("salt", F.pmod(F.xxhash64("item_id"), F.col("salts")).cast("int"))
-        out = _output_type(queries, items, query_id, "item_id")
-
-        def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            found = [pd.DataFrame({"query_id": left["query_id"].iloc[:0], "item_id": right["item_id"].iloc[:0], "score": np.zeros(0)})]
-            if len(left) and len(right):
-                rows, ids = _unit_rows(left["query_vec"]), left["query_id"].to_numpy()
-                for a in range(0, len(rows), BLOCK_ROWS):
-                    for b in range(0, len(right), BLOCK_ROWS):
-                        at, item, value = _best(rows[a : a + BLOCK_ROWS], np.zeros(len(rows[a : a + BLOCK_ROWS]), dtype=object), right.iloc[b : b + BLOCK_ROWS], (), k)
-                        found.append(pd.DataFrame({"query_id": ids[a : a + BLOCK_ROWS][at], "item_id": item, "score": value}))
-            return pd.concat(found[1:] or found, ignore_index=True)
-
-        left = asked.select("query_id", "query_vec", "list", "salt").groupBy("list", "salt")
-        met = left.cogroup(items.select("item_id", "item_vec", "list", "salt").groupBy("list", "salt")).applyInPandas(score, out)
+        left, right = self._met(self._probed(queries, probes, query_id, query_vec), task_rows, task_queries)
+        out = _output_type(queries, right, query_id, "item_id")
+
+        def score(asked: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked) or not len(items):
+                return pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "item_id": items["item_id"].iloc[:0], "score": np.zeros(0)})
+            at, item, value = _best(_unit_rows(asked["query_vec"]), np.zeros(len(asked), dtype=object), items, (), k)
+            return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[at], "item_id": item, "score": value})
+
+        keys = ["list", "salt", "block"]
+        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, out)
         return top_per_key(met, ["query_id"], [F.desc("score"), F.col("item_id")], k, "rank")
 
     def share(self, queries: DataFrame, probes: int = 8, query_id: str = "query_id", query_vec: str = "embedding") -> float:

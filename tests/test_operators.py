@@ -569,6 +569,24 @@ def test_inverted_lists(spark, tables, tmp_path):
     assert everything == {(r.query_id, r.item_id, r["rank"]) for r in similarity.vector_topk(asked, corpus.filter("embedding is not null"), 8).collect()}
 
 
+def test_queries_of_a_list_are_dealt_in_blocks(spark, tmp_path):
+    """Very many queries that look at one list: no task has many of them, and the rows are those of a single task; ids twice or null, vectors null."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(400, 6)).tolist()
+    corpus = spark.createDataFrame([(i % 350, v) for i, v in enumerate(vectors)], "item_id long, embedding array<double>")
+    asked = [(i % 900, (rng.normal(scale=0.05, size=6) + vectors[0]).tolist()) for i in range(1000)] + [(None, vectors[1]), (None, vectors[1]), (7000, None)]
+    asked = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    index = vector_index.VectorIndex(spark, str(tmp_path / "index")).build(corpus, lists=4)
+    probed = index._probed(asked, 2, "query_id", "embedding")
+    left, right = index._met(probed, 30, 50)
+    keys = ["list", "salt", "block"]
+    most = [df.groupBy(*keys).count().agg(F.max("count")).first()[0] for df in (left, right)]
+    assert probed.groupBy("list").count().agg(F.max("count")).first()[0] > 900 and most[0] <= 100 and most[1] <= 60
+    whole = sorted(map(str, index.topk(asked, 5, 2).collect()))
+    assert whole == sorted(map(str, index.topk(asked, 5, 2, task_rows=30, task_queries=50).collect()))
+    assert index.topk(asked.limit(0), 5, 2).count() == 0
+
+
 def test_a_turn_may_drop_a_name_and_say_another_again(spark):
     df = spark.createDataFrame([("s", 0, ["a", "b", "c"]), ("s", 1, ["d", "a"])], "session_id string, turn_no int, entities array<string>")
     assert [r.entity for r in conversations.accumulated_entities(df, 3).orderBy("place").collect()] == ["b", "c", "d"]
